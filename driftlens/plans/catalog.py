@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from . import q_events, q_market, q_relational, q_targets, q_text, q_vectors
 
+Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (q_targets, q_vectors, q_text, q_relational, q_market, q_events)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+
+def queries() -> dict[str, Query]:
+    return {k: f for m in _MODULES for k, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return {k: sql for m in _MODULES for k, (_, sql) in m.QUERIES.items() if sql}
