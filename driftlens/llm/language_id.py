@@ -136,7 +136,7 @@ class ByteGru:
         self._layer_back("b", xb, on, sb, db, grads)
         return loss, grads
 
-    def train(self, words: list[bytes], y: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 7) -> list[float]:
+    def train(self, words: list[bytes], y: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.01, seed: int = 7) -> list[float]:
         """Adam on batches drawn with each language equally likely."""
         rng = np.random.default_rng(seed)
         by = [np.flatnonzero(y == k) for k in range(len(self.languages))]
