@@ -14,11 +14,13 @@ an empty input gives no sequences; extra columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,29 +34,58 @@ TASK_BINS = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Fixed value: how the tokenizer cuts text before it merges bytes.
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Latin letters in this range are composed and have lower cases of one character, but for this one.
+_SIMPLE, _DOTTED = "\u0250", "\u0130"
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the others follow at 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return [chr(b) if b in set(own) else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class WordTokens:
     """Token ids of white-space separated words, as little-endian bytes; forgotten when ``most`` are held.
 
     The tokenizer splits at white space before anything else and drops it, so a
-    text's ids are those of its words in turn.
+    text's ids are those of its words in turn. Words of simple letters are
+    lower-cased and cut here, and their parts go straight to the tokenizer's
+    model; all other words go through the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.model, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.whole, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        self.model, self.letters = self.whole.model, _byte_letters()
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
+        out = self.parts[part] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return out
+
+    def _word(self, word: bytes) -> bytes:
+        w = word.decode("utf-8")
+        if "<|" in w or not w.isascii() and (max(w) >= _SIMPLE or _DOTTED in w):
+            return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
+        w, parts = w.lower(), self.parts
+        if w.isalpha():
+            return parts.get(w) or self._part(w)
+        return b"".join([parts.get(p) or self._part(p) for p in _CUT.findall(w)])
 
     def ids(self, text: str) -> bytes:
         words = text.encode("utf-8", "replace").split()
         known = self.known
-        if new := list(set(words).difference(known)):
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for w, e in zip(some, self.model.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in set(words).difference(known):
+            known[w] = self._word(w)
         out = b"".join(map(known.__getitem__, words))
         if len(known) > self.most:
             known.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
         return out
 
 
