@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_bytes, kept_columns, parts, release, table, text_of, written
+from .common import kept_columns, parts, release, table, text_bytes, text_of, written
 
 LENGTH, GRAM = 50, 20
 #: 20-grams in a window.
@@ -227,7 +228,7 @@ def _windows(buckets: int, chunks: int):
             if len(text) >= LENGTH and (span := cand.get((doc_id, key := content_key(text)))) and (doc_id, hashlib.sha256(text).digest()) not in copies:
                 work.append((doc_id, key, text, h[span[0] : span[1]]))
         del docs
-        seen: dict[tuple[int, bytes], list] = {}
+        seen: dict[tuple[int, bytes], tuple] = {}
         covered: list[tuple[int, int, int, int]] = []
         for lo, hi in _blocks([len(w[2]) for w in work]):
             some = work[lo:hi]
@@ -245,12 +246,12 @@ def _windows(buckets: int, chunks: int):
                 part = (y, buf[x : x + c + LENGTH - 1])
                 _merge(seen, part, doc_id, key, at, covered)
         by: dict[int, list] = {}
-        for (y, part), (doc_id, key, places) in seen.items():
-            by.setdefault(y >> 32, []).extend((doc_id, key, at, len(part), y, part) for at in places)
-        out = []
+        for (y, part), (doc_id, places) in seen.items():
+            by.setdefault(y >> 32, []).extend((doc_id, key, at, len(part), y, part) for key, at in dict.fromkeys(places))
+        out, pack = [], zstandard.ZstdCompressor(3)
         for bucket, rows in by.items():
             meta = np.array([(at, n, y) for _, _, at, n, y, _ in rows], np.uint64)
-            out.append((0, bucket, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), meta.tobytes(), b"".join(r[5] for r in rows)))
+            out.append((0, bucket, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), meta.tobytes(), pack.compress(b"".join(r[5] for r in rows))))
         yield _batch(out + _covered(covered, chunks))
 
     return run
@@ -260,15 +261,14 @@ def _merge(seen: dict, part: tuple[int, bytes], doc_id: int, key: int, at: int,
     """Keep the places of the smallest doc_id that has a stretch; the others lose it."""
     end = len(part[1])
     if (best := seen.get(part)) is None:
-        seen[part] = (doc_id, key, [at])
+        seen[part] = (doc_id, [(key, at)])
     elif best[0] < doc_id:
         covered.append((doc_id, key, at, at + end))
     elif best[0] > doc_id:
-        covered.extend((best[0], best[1], x, x + end) for x in best[2])
-        seen[part] = (doc_id, key, [at])
-    elif best[1] == key:
-        if best[2][-1] != at:
-            best[2].append(at)
+        covered.extend((best[0], k, x, x + end) for k, x in best[1])
+        seen[part] = (doc_id, [(key, at)])
+    else:
+        best[1].append((key, at))
 
 
 def _pair(a: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -322,6 +322,7 @@ def window_classes(buf: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.n
 def _matches(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if r[0]:
@@ -329,12 +330,12 @@ def _matches(chunks: int):
                 else:
                     held.setdefault(r[1], []).append(r)
         for rows in held.values():
-            seen: dict[tuple[int, bytes], list] = {}
+            seen: dict[tuple[int, bytes], tuple] = {}
             covered: list[tuple[int, int, int, int]] = []
             for r in rows:
-                at = 0
+                at, data = 0, unpack.decompress(r[5])
                 for doc_id, key, (place, n, y) in zip(np.frombuffer(r[2], np.int64).tolist(), np.frombuffer(r[3], np.int64).tolist(), np.frombuffer(r[4], np.uint64).reshape(-1, 3).tolist()):
-                    part = (y, r[5][at : at + n])
+                    part = (y, data[at : at + n])
                     at += n
                     _merge(seen, part, doc_id, key, place, covered)
             kinds: dict[int, int] = {}
@@ -359,7 +360,7 @@ def _overlaps(some: list[tuple]) -> list[tuple[int, int, int, int]]:
     if not len(at):
         return []
     own = np.repeat(np.arange(len(some)), lens)[at]
-    doc = np.array([d for _, d, _, _ in some], np.int64)[own]
+    doc = np.array([d for _, d, _ in some], np.int64)[own]
     label = np.unique(label[at], return_inverse=True)[1].reshape(-1)
     least = np.full(label.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, label, doc)
@@ -369,7 +370,7 @@ def _overlaps(some: list[tuple]) -> list[tuple[int, int, int, int]]:
         return []
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]))))
     last = np.concatenate((new[1:], [len(at)])) - 1
-    return [(some[o][1], some[o][2], x + a, x + b + LENGTH) for o, a, b in zip(own[new].tolist(), (at[new] - start[own[new]]).tolist(), (at[last] - start[own[new]]).tolist()) for x in some[o][3]]
+    return [(some[o][1], k, x + a, x + b + LENGTH) for o, a, b in zip(own[new].tolist(), (at[new] - start[own[new]]).tolist(), (at[last] - start[own[new]]).tolist()) for k, x in some[o][2]]
 
 
 # step 3
@@ -411,7 +412,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept_columns(docs, ("doc_id", "text"))
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    size = 3 * input_bytes(docs.select("doc_id", "text"))  # texts compress to about a third
+    size = text_bytes(docs)
     buckets, chunks = parts(spark, 0.6 * size), parts(spark, size, 12 << 20)
     # whole copies: the smallest doc_id of a text stands for it
     shas = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
