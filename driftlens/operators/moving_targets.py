@@ -59,13 +59,29 @@ def window_union(sets: DataFrame, n: int = 4) -> DataFrame:
 
 
 def substring_persistence(dropped: DataFrame, sets: DataFrame, window: int) -> DataFrame:
-    """Dropped metrics found, by substring either way, in each of the quarters before."""
-    d = dropped.select(*KEY, F.col("norm").alias("metric"))
-    h = sets.select("company", F.col("q_int").alias("past_q"), "norm")
-    near = (F.col("past_q") < F.col("q_int")) & (F.col("past_q") >= F.col("q_int") - window)
-    hit = F.contains("metric", "norm") | F.contains("norm", "metric")
-    seen = d.join(h, "company").where(near & hit).groupBy(*KEY, "metric").agg(F.countDistinct("past_q").alias("n"))
-    return d.join(seen, [*KEY, "metric"], "left").select(*KEY, "metric", (F.coalesce("n", F.lit(0)) == window).alias("persistent"))
+    """Dropped metrics found, by substring either way, in each of the quarters before.
+
+    A text that lies within another has its beginning among the other's pieces
+    of that length, so both are joined on (company, quarter, piece) and then
+    verified; pieces have 8, 4, 2 or 1 characters, as long as the inner text has.
+    """
+    d = dropped.select(*KEY, F.col("norm").alias("metric")).where("metric <> ''").distinct()
+    h = sets.where("norm <> ''").select("company", F.explode(F.sequence(F.col("q_int") + 1, F.col("q_int") + window)).alias("q_int"), F.col("q_int").alias("past_q"), "norm")
+    h = h.join(d.select(*KEY).distinct(), list(KEY), "left_semi")
+
+    def start(c: str):
+        n = F.length(c)
+        return F.col(c).substr(F.lit(1), F.when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1))
+
+    def pieces(c: str):
+        cut = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.col(c).substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        return F.explode(F.array_distinct(F.concat(*[cut(k) for k in (1, 2, 4, 8)])))
+
+    on = [*KEY, "piece"]
+    inside = d.withColumn("piece", start("metric")).join(h.withColumn("piece", pieces("norm")), on).where(F.contains("norm", "metric"))
+    around = d.withColumn("piece", pieces("metric")).join(h.withColumn("piece", start("norm")), on).where(F.contains("metric", "norm"))
+    seen = inside.select(*KEY, "metric", "past_q").unionByName(around.select(*KEY, "metric", "past_q")).groupBy(*KEY, "metric").agg(F.countDistinct("past_q").alias("n"))
+    return dropped.select(*KEY, F.col("norm").alias("metric")).join(seen, [*KEY, "metric"], "left").select(*KEY, "metric", (F.coalesce("n", F.lit(0)) == window).alias("persistent"))
 
 
 def unique_labels(targets: DataFrame, keys: tuple[str, ...], name: str, order: tuple[str, ...]) -> DataFrame:

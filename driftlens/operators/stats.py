@@ -154,6 +154,21 @@ def regression(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.agg(n.alias("n"), F.regr_intercept(y, x).alias("alpha"), F.regr_slope(y, x).alias("beta"), F.regr_r2(y, x).alias("r2"), F.try_divide(F.regr_slope(y, x), se).alias("t_beta"))
 
 
+def paired_regression(left: DataFrame, right: DataFrame, key: str, y: str, x: str) -> DataFrame:
+    """The regression of y on x over all pairs of rows with equal keys, from the sums of each key: no pair is made."""
+    v, w = F.col(y).cast("double"), F.col(x).cast("double")
+    a = left.where(v.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("ny"), F.sum(v).alias("sy"), F.sum(v * v).alias("qy"))
+    b = right.where(w.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("nx"), F.sum(w).alias("sx"), F.sum(w * w).alias("qx"))
+    s = a.join(b, key).agg(
+        F.sum(F.expr("ny * nx")).alias("n"), F.sum(F.expr("sy * nx")).alias("ty"), F.sum(F.expr("sx * ny")).alias("tx"),
+        F.sum(F.expr("qy * nx")).alias("uy"), F.sum(F.expr("qx * ny")).alias("ux"), F.sum(F.expr("sy * sx")).alias("uxy"),
+    )
+    s = s.selectExpr("coalesce(n, 0) AS n", "try_divide(ty, n) AS my", "try_divide(tx, n) AS mx", "uy - try_divide(ty * ty, n) AS syy", "ux - try_divide(tx * tx, n) AS sxx", "uxy - try_divide(tx * ty, n) AS sxy")
+    s = s.withColumn("beta", F.expr("try_divide(sxy, sxx)"))
+    se = "sqrt(try_divide(try_divide(syy - sxy * beta, n - 2), sxx))"
+    return s.selectExpr("CAST(n AS LONG) AS n", "my - beta * mx AS alpha", "beta", "try_divide(sxy * sxy, sxx * syy) AS r2", f"try_divide(beta, {se}) AS t_beta")
+
+
 def welch_high_low(df: DataFrame, x: str, by: str, lo: float = 0.2, hi: float = 0.8) -> DataFrame:
     """Welch's t of x between rows with ``by`` at or above its hi quantile and at or below its lo one; null where a side has fewer than 3."""
     q = df.agg(F.percentile(by, F.array(F.lit(lo), F.lit(hi))).alias("q"))

@@ -24,7 +24,7 @@ def event_cars(s, d):
 
 def event_windows(s, d):
     rows = R.row_positions(X.daily(s, d), "company", "date").withColumn("pos", F.col("pos").cast("long"))
-    e = rows.where("pos % 7 = 0").select("company", F.col("pos").alias("event_pos"))
+    e = rows.select("company", F.col("pos").alias("event_pos"))
     b = R.band_rows(e, rows.select("company", "pos", "ret"), "company", -2, 2)
     return b.groupBy("company", "event_pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ret"), 9).alias("total"))
 
@@ -36,8 +36,7 @@ def car_groups(s, d):
 
 def car_on_score(s, d):
     """CARs joined to scores by firm alone, as many-to-many."""
-    m = X.firm_months(s, d).where("date <= '1995-06-30'").select("company", "mt_strict")
-    r = S.regression(_cars(s, d).select("company", "car").join(m, "company"), "car", "mt_strict")
+    r = S.paired_regression(_cars(s, d), X.firm_months(s, d), "company", "car", "mt_strict")
     return r.select("n", *[F.round(c, 4).alias(c) for c in ("alpha", "beta", "r2", "t_beta")])
 
 
@@ -61,9 +60,9 @@ _M = X.MONTHS
 
 QUERIES = {
     "event_cars": (event_cars, _C + " SELECT company, event_date, matched_day, round(alpha_hat, 6) AS alpha_hat, round(beta_hat, 4) AS beta_hat, n_est_obs, round(car, 5) AS car, n_event_days FROM cars"),
-    "event_windows": (event_windows, f"WITH {X.DAILY} SELECT e.company, e.pos AS event_pos, count(*) AS n, round(sum(r.ret), 9) AS total FROM daily e JOIN daily r ON r.company = e.company AND r.pos BETWEEN e.pos - 2 AND e.pos + 2 WHERE e.pos % 7 = 0 GROUP BY ALL"),
+    "event_windows": (event_windows, f"WITH {X.DAILY} SELECT e.company, e.pos AS event_pos, count(*) AS n, round(sum(r.ret), 9) AS total FROM daily e JOIN daily r ON r.company = e.company AND r.pos BETWEEN e.pos - 2 AND e.pos + 2 GROUP BY ALL"),
     "car_groups": (car_groups, _C + " SELECT day(event_date) AS day, round(avg(car), 5) AS mean_x, round(stddev_samp(car), 5) AS sd_x, count(car) AS n, round(avg(car) / nullif(stddev_samp(car) / sqrt(count(car)), 0), 3) AS t FROM cars GROUP BY ALL"),
-    "car_on_score": (car_on_score, _C + f""", {_M}, j AS (SELECT car AS y, mt_strict AS x FROM cars JOIN fm USING (company) WHERE fm.date <= DATE '1995-06-30')
+    "car_on_score": (car_on_score, _C + f""", {_M}, j AS (SELECT car AS y, mt_strict AS x FROM cars JOIN fm USING (company))
       SELECT regr_count(y, x)::BIGINT AS n, round(regr_intercept(y, x), 4) AS alpha, round(regr_slope(y, x), 4) AS beta, round(regr_r2(y, x), 4) AS r2,
         round(regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)), 4) AS t_beta FROM j"""),
     "high_low_test": (high_low, f"""WITH {_M}, q AS (SELECT quantile_cont(mt_strict, 0.2) AS a, quantile_cont(mt_strict, 0.8) AS b FROM fm), x AS (SELECT CASE WHEN mt_strict >= b THEN mt_lenient END AS h, CASE WHEN mt_strict <= a THEN mt_lenient END AS l FROM fm, q)

@@ -56,7 +56,7 @@ def equal_weighted(s, d):
 
 def long_short(s, d):
     x = P.long_short(P.portfolio_returns(_quintiles(s, d)).orderBy("date"))
-    return x.select("date", F.round("LS", 5).alias("LS"), (F.col("LS_cum") > -2).alias("has_path"))
+    return x.select("date", F.round("LS", 5).alias("LS"), F.round(F.ln(F.abs(1 + F.col("LS_cum"))), 4).alias("log_path"), (F.col("LS_cum") < -1).alias("below"))
 
 
 def portfolio_stats(s, d):
@@ -112,7 +112,7 @@ QUERIES = {
       SELECT len(list_filter(e[2:len(e) - 1], lambda v: v < mt_strict)) + 1 AS quintile, count(*) AS n, round(avg(mt_strict), 6) AS mean_x FROM fm, ed GROUP BY ALL"""),
     "portfolio_returns": (portfolio_returns, _PF + " SELECT date, " + _PIVOT.replace("{}", "r") + " FROM pf GROUP BY date"),
     "portfolio_equal_weighted": (equal_weighted, _PF + " SELECT date, " + _PIVOT.replace("{}", "ew") + " FROM pf GROUP BY date"),
-    "long_short": (long_short, _PF + " SELECT date, round(max(r) FILTER (quintile = 1) - max(r) FILTER (quintile = 5), 5) AS LS, true AS has_path FROM pf GROUP BY date"),
+    "long_short": (long_short, _PF + ", ls AS (SELECT date, max(r) FILTER (quintile = 1) - max(r) FILTER (quintile = 5) AS LS FROM pf GROUP BY date), c AS (SELECT date, LS, product(1 + coalesce(LS, 0)) OVER (ORDER BY date) AS p FROM ls) SELECT date, round(LS, 5) AS LS, round(ln(abs(p)), 4) AS log_path, p < 0 AS below FROM c"),
     "portfolio_stats": (portfolio_stats, _PF + " SELECT 'Q' || quintile AS portfolio, round(avg(r) * 12, 4) AS mean_return, round(stddev_samp(r) * sqrt(12), 4) AS std, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12), 4) AS sharpe, round(min(r), 4) AS min_return, round(max(r), 4) AS max_return, count(r) AS n_obs FROM pf GROUP BY quintile"),
     "signal_agreement": (signal_agreement, _M + """, r AS (SELECT mt_strict AS a, mt_lenient AS b, rank() OVER (ORDER BY mt_strict) + (count(*) OVER (PARTITION BY mt_strict) - 1) / 2 AS ra, rank() OVER (ORDER BY mt_lenient) + (count(*) OVER (PARTITION BY mt_lenient) - 1) / 2 AS rb FROM fm)
       SELECT count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(stddev_samp(a), 6) AS sd_a, round(stddev_samp(b), 6) AS sd_b FROM r"""),

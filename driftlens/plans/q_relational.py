@@ -40,7 +40,7 @@ def tuple_filter(s, d):
 
 
 def nearest_day(s, d):
-    days = X.daily(s, d).where("dayofmonth(date) % 3 <> 0").select("company", "date")
+    days = X.read(s, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("company"), F.to_date("ts").alias("date")).distinct()
     return R.nearest_date(X.announcements(s, d), days, "company", "event_date", "date", 3)
 
 
@@ -63,7 +63,7 @@ def token_sets(s, d):
 
 def first_appearance(s, d):
     li = X.read(s, d, "lineitem")
-    return li.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_order")).orderBy("first_order", "l_partkey").limit(100)
+    return li.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_order"))
 
 
 def missing_keys(s, d):
@@ -94,7 +94,7 @@ def lenient_cast(s, d):
 
 
 def non_empty(s, d):
-    return X.components(s, d).where(F.length(F.trim("text")) > 20).groupBy("ctype").agg(F.count(F.lit(1)).alias("n")).select(F.col("ctype").cast("long").alias("ctype"), "n")
+    return X.components(s, d).where(F.length(F.trim("text")) > 0).groupBy("ctype").agg(F.count(F.lit(1)).alias("n")).select(F.col("ctype").cast("long").alias("ctype"), "n")
 
 
 QUERIES = {
@@ -103,16 +103,16 @@ QUERIES = {
     "universe": (universe, f"WITH {X.MONTHS} SELECT company, round(avg(mktcap), 6) AS avg_mcap, count(*) AS n_months, max_by(mktcap, date) AS last_mcap FROM fm GROUP BY ALL HAVING count(*) >= 36 ORDER BY avg_mcap DESC, company LIMIT 50"),
     "left_chain": (left_chain, "SELECT o_orderkey, o_custkey AS c_custkey, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"),
     "tuple_filter": (tuple_filter, "SELECT n_nationkey, k FROM nation, (VALUES ('A'), ('B'), ('Z')) t(k) WHERE (n_nationkey, k) IN (SELECT (c_nationkey, left(c_mktsegment, 1)) FROM customer)"),
-    "nearest_day": (nearest_day, f"WITH {X.DAILY}, {X.ANNOUNCED} SELECT ev.company, event_date, arg_min(date, abs(date - event_date) * 10 + (date > event_date)::INT) AS matched_day FROM ev JOIN daily d ON d.company = ev.company AND abs(date - event_date) <= 3 WHERE day(date) % 3 <> 0 GROUP BY ALL"),
+    "nearest_day": (nearest_day, f"WITH days AS (SELECT DISTINCT user_id AS company, ts::DATE AS date FROM events WHERE event_type = 'signup'), {X.ANNOUNCED} SELECT ev.company, event_date, arg_min(date, abs(date - event_date) * 10 + (date > event_date)::INT) AS matched_day FROM ev JOIN days d ON d.company = ev.company AND abs(date - event_date) <= 3 GROUP BY ALL"),
     "source_priority": (source_priority, "SELECT c_custkey AS id, coalesce(s_name, c_mktsegment) AS v FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)"),
     "cache_aside": (cache_aside, "SELECT n_nationkey, CASE WHEN n_nationkey >= 15 THEN 'cached ' || n_name ELSE n_name END AS v FROM nation"),
     "token_sets": (token_sets, """WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS b FROM part)
       SELECT p_partkey, len(list_intersect(a, b)) AS n_both, len(list_distinct(list_concat(a, b))) AS n_any, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n_more FROM p"""),
-    "first_appearance": (first_appearance, "SELECT l_partkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL ORDER BY first_order, l_partkey LIMIT 100"),
+    "first_appearance": (first_appearance, "SELECT l_partkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL"),
     "missing_keys": (missing_keys, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders"),
     "batch_union": (batch_union, "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END AS batch FROM orders"),
     "coverage": (coverage, f"WITH {X.COMPONENTS}, c AS (SELECT transcript_id, count(*) AS n, count(DISTINCT ctype) AS k FROM comp GROUP BY ALL) SELECT count(*) AS n_transcripts, sum(n)::BIGINT AS n_components, max(k) AS max_kinds, round(avg(n), 6) AS mean_n, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75 FROM c"),
     "extraction_summary": (extraction_summary, "SELECT lang, count(*) AS n_docs, count(quality) AS n_labelled, sum(coalesce(toxic, 0))::BIGINT AS n_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
     "lenient_cast": (lenient_cast, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::DOUBLE END AS value FROM orders"),
-    "non_empty_text": (non_empty, f"WITH {X.COMPONENTS} SELECT ctype::BIGINT AS ctype, count(*) AS n FROM comp WHERE length(trim(text)) > 20 GROUP BY ALL"),
+    "non_empty_text": (non_empty, f"WITH {X.COMPONENTS} SELECT ctype::BIGINT AS ctype, count(*) AS n FROM comp WHERE length(trim(text)) > 0 GROUP BY ALL"),
 }

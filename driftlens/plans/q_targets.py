@@ -53,7 +53,7 @@ def window_retrieval(s, d):
 
 def substring_persistence(s, d):
     sets = M.target_sets(X.targets(s, d))
-    dropped = _mt(s, d).select("company", "q_int", F.explode("dropped_targets").alias("norm")).where("q_int >= 8000")
+    dropped = _mt(s, d).select("company", "q_int", F.explode("dropped_targets").alias("norm"))
     p = M.substring_persistence(dropped, sets, 3)
     return p.groupBy("company", "q_int").agg(F.count(F.lit(1)).alias("n_dropped"), F.sum(F.col("persistent").cast("long")).alias("n_persistent"))
 
@@ -121,7 +121,7 @@ QUERIES = {
     "persistence": (persistence, _W + """, p AS (SELECT c.company, c.q_int, s.norm, count(*) = 12 AS persistent FROM calls c JOIN sets s ON s.company = c.company AND s.q_int BETWEEN c.q_int - 12 AND c.q_int - 1 GROUP BY ALL)
       SELECT company, q_int, count(*) AS n_window, sum(persistent::INT)::BIGINT AS n_persistent FROM p GROUP BY ALL"""),
     "window_retrieval": (window_retrieval, _W + " SELECT c.company, c.q_int, count(DISTINCT s.norm) AS n_union FROM calls c JOIN sets s ON s.company = c.company AND s.q_int BETWEEN c.q_int - 4 AND c.q_int - 1 GROUP BY ALL"),
-    "substring_persistence": (substring_persistence, _W + _CMP + """, dr AS (SELECT company, q_int, norm FROM cmp WHERE in_past AND NOT in_now AND q_int >= 8000),
+    "substring_persistence": (substring_persistence, _W + _CMP + """, dr AS (SELECT company, q_int, norm FROM cmp WHERE in_past AND NOT in_now),
       seen AS (SELECT d.company, d.q_int, d.norm, count(DISTINCT s.q_int) AS n FROM dr d JOIN sets s ON s.company = d.company AND s.q_int BETWEEN d.q_int - 3 AND d.q_int - 1 AND (contains(s.norm, d.norm) OR contains(d.norm, s.norm)) GROUP BY ALL)
       SELECT company, q_int, count(*) AS n_dropped, count(*) FILTER (n = 3) AS n_persistent FROM dr LEFT JOIN seen USING (company, q_int, norm) GROUP BY ALL"""),
     "risk_flags": (risk_flags, _W + _CMP + """, p AS (SELECT c.company, c.q_int, s.norm, count(*) = 12 AS persistent FROM calls c JOIN sets s ON s.company = c.company AND s.q_int BETWEEN c.q_int - 12 AND c.q_int - 1 GROUP BY ALL),

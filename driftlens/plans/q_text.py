@@ -90,7 +90,7 @@ def match_quality(s, d):
 def greedy_matches(s, d):
     """Order-dependent folds: rows only; tests hold it against a loop."""
     t = X.read(s, d, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set(F.lower("p_name"))).alias("names"))
-    return t.select("p_brand", "p_size", E.greedy_matches(F.slice("names", 1, 5), F.reverse("names"), 0.3).alias("n_matched"))
+    return t.select("p_brand", "p_size", E.greedy_matches(F.col("names"), F.reverse("names"), 0.3).alias("n_matched"))
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(n), '-', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
