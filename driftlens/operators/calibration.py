@@ -88,24 +88,58 @@ def bootstrap(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]], draws: in
     return out
 
 
+def distributed_logistic(d: DataFrame, penalty: float = 1e-6, rounds: int = 50) -> tuple[float, float]:
+    """:func:`logistic` over a table of any size: a Newton step is one aggregate of five sums."""
+    b = np.zeros(2)
+    x, y, w = (F.col(c).cast("double") for c in ("similarity", "y", "weight"))
+    for _ in range(rounds):
+        z = F.least(F.greatest(F.lit(float(b[0])) * x + F.lit(float(b[1])), F.lit(-35.0)), F.lit(35.0))
+        p = 1 / (1 + F.exp(-z))
+        g, h = w * (p - y), w * p * (1 - p)
+        s = [v or 0.0 for v in d.agg(F.sum(g * x), F.sum(g), F.sum(h * x * x), F.sum(h * x), F.sum(h)).first()]
+        step = np.linalg.solve(np.array([[s[2], s[3]], [s[3], s[4]]]) + penalty * np.eye(2), np.array(s[:2]) + penalty * b)
+        b = b - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(b[0]), float(b[1])
+
+
+def bootstrap_cells(d: DataFrame, draws: int = 1000, steps: int = 100, seed: int = 20260509) -> tuple[float, float]:
+    """:func:`bootstrap` over a table of any size: the threshold depends on (step, y, weight) alone, so draws are of their counts."""
+    k = F.greatest(F.least(F.floor(F.round(F.col("similarity") * steps, 6)), F.lit(steps)), F.lit(-1)).cast("int")
+    rows = d.groupBy(k.alias("k"), "y", "weight").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "y", "weight").collect()
+    if not rows:
+        return float("nan"), float("nan")
+    x, y, w, n = (np.array([float(r[c]) for r in rows]) for c in ("k", "y", "weight", "n"))
+    rng, got = np.random.default_rng(seed), []
+    for c in rng.multinomial(int(n.sum()), n / n.sum(), draws):
+        if 0 < c[y == 1].sum() < c.sum():
+            got.append(f1_threshold(x / steps, y, w * c))
+    return tuple(float(v) for v in np.percentile(got, [2.5, 97.5])) if got else (float("nan"), float("nan"))
+
+
 def calibrate(pairs: DataFrame, draws: int = 1000, most: int = 100_000) -> dict:
     """Both boundaries (MAINTAINED against DROPPED; either kind of kept against DROPPED): thresholds, AUC, logistic fit, interval.
 
-    Labelled pairs are made by hand; above ``most`` rows this raises instead of collecting them.
+    Labelled pairs are made by hand; above ``most`` rows they stay in Spark, with draws of other random numbers.
     """
     d = weighted_labels(pairs)
-    if d.count() > most:
-        raise ValueError("more labelled pairs than the driver takes")
+    small = d.count() <= most
     out, frames = {}, []
     for name, kept in (("maintained", ["MAINTAINED"]), ("rephrased", ["MAINTAINED", "REPHRASED"])):
         sub = d.where(F.col("label").isin(*kept, "DROPPED")).withColumn("y", (F.col("label") != "DROPPED").cast("int"))
         best, auc = best_thresholds(boundary_sweep(sub)).first(), weighted_auc(sub).first()["auc"]
-        rows = sub.orderBy("similarity", "y", "weight").select("similarity", "y", "weight").toPandas().to_numpy(float)
-        x, y, w = rows.T if len(rows) else np.zeros((3, 0))
-        beta, alpha = logistic(x, y, w) if len(x) else (0.0, 0.0)
-        frames.append((x, y, w))
-        out[name] = {**best.asDict(), "auc": auc, "logistic": {"beta": beta, "intercept": alpha}, "p50_threshold": -alpha / beta if beta else None, "n": len(x)}
-    for name, ci in zip(out, bootstrap(frames, draws)):
+        if small:
+            rows = sub.orderBy("similarity", "y", "weight").select("similarity", "y", "weight").toPandas().to_numpy(float)
+            x, y, w = rows.T if len(rows) else np.zeros((3, 0))
+            n, (beta, alpha) = len(x), logistic(x, y, w) if len(x) else (0.0, 0.0)
+            frames.append((x, y, w))
+        else:
+            n, (beta, alpha) = sub.count(), distributed_logistic(sub)
+        out[name] = {**best.asDict(), "auc": auc, "logistic": {"beta": beta, "intercept": alpha}, "p50_threshold": -alpha / beta if beta else None, "n": n}
+        if not small:
+            out[name]["bootstrap_ci_95"] = bootstrap_cells(sub, draws)
+    for name, ci in zip(out, bootstrap(frames, draws) if small else []):
         out[name]["bootstrap_ci_95"] = ci
     return out
 

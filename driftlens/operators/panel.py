@@ -29,7 +29,8 @@ def winsorised(panel: DataFrame, cols: list[str], by: str = "date", lo: float =
 
 
 def quantile_edges(x: Column, n: int) -> Column:
-    return F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))
+    """Edges at i times 1/n, not i/n: pandas spaces them so, which tells where ties merge."""
+    return F.percentile(x, F.array(*[F.lit(min(1.0, i * (1 / n))) for i in range(n + 1)]))
 
 
 def bucket_of(x: Column, edges: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_events, q_market, q_relational, q_targets, q_text, q_vectors
+from . import q_comparison, q_events, q_market, q_relational, q_targets, q_text, q_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (q_targets, q_vectors, q_text, q_relational, q_market, q_events)
+_MODULES = (q_targets, q_vectors, q_text, q_relational, q_market, q_events, q_comparison)
 
 
 def queries() -> dict[str, Query]:

@@ -93,7 +93,7 @@ _PANEL = _M + """, b AS (SELECT company, date, mt_strict, lag(ret) OVER w AS ret
 f AS (SELECT company, last_day(date - INTERVAL 1 MONTH) AS date, ret AS ret_fwd FROM fm), j AS (SELECT * FROM b JOIN f USING (company, date)),
 qs AS (SELECT date, quantile_cont(ret_fwd, 0.01) AS rl, quantile_cont(ret_fwd, 0.99) AS rh, quantile_cont(size, 0.01) AS sl, quantile_cont(size, 0.99) AS sh FROM j GROUP BY ALL),
 panel AS (SELECT company, date, CASE WHEN ret_fwd IS NOT NULL THEN least(greatest(ret_fwd, rl), rh) END AS ret_fwd, CASE WHEN size IS NOT NULL THEN least(greatest(size, sl), sh) END AS size, ret_1_0, mt_strict FROM j JOIN qs USING (date))"""
-_Q = _M + """, ed AS (SELECT date, list_distinct([quantile_cont(mt_strict, 0.0), quantile_cont(mt_strict, 0.2), quantile_cont(mt_strict, 0.4), quantile_cont(mt_strict, 0.6), quantile_cont(mt_strict, 0.8), quantile_cont(mt_strict, 1.0)]) AS e, count(mt_strict) AS n FROM fm GROUP BY ALL),
+_Q = _M + """, ed AS (SELECT date, list_distinct([quantile_cont(mt_strict, 0.0), quantile_cont(mt_strict, 0.2), quantile_cont(mt_strict, 0.4), quantile_cont(mt_strict, 0.6000000000000001::DOUBLE), quantile_cont(mt_strict, 0.8), quantile_cont(mt_strict, 1.0)]) AS e, count(mt_strict) AS n FROM fm GROUP BY ALL),
 qt AS (SELECT fm.*, CASE WHEN n >= 5 AND len(e) >= 2 THEN len(list_filter(list_sort(e)[2:len(e) - 1], lambda v: v < mt_strict)) + 1 END AS quintile FROM fm JOIN ed USING (date))"""
 _PF = _Q + """, pf AS (SELECT date, quintile, CASE WHEN count(ret) >= 5 THEN CASE WHEN sum(greatest(mktcap, 0)) > 0 THEN sum(ret * greatest(mktcap, 0)) / sum(greatest(mktcap, 0)) ELSE avg(ret) END END AS r, CASE WHEN count(ret) >= 5 THEN avg(ret) END AS ew FROM qt WHERE quintile IS NOT NULL AND ret IS NOT NULL GROUP BY ALL)"""
 _PIVOT = ", ".join(f"max(round({{}}, 5)) FILTER (quintile = {i}) AS Q{i}" for i in range(1, 6))
@@ -108,7 +108,7 @@ QUERIES = {
     "forward_returns": (forward_returns, _M + " SELECT company, last_day(date - INTERVAL 1 MONTH) AS date, round(ret, 6) AS ret_fwd FROM fm"),
     "panel": (panel, _PANEL + " SELECT company, date, round(ret_fwd, 6) AS ret_fwd, round(size, 6) AS size, round(ret_1_0, 6) AS ret_1_0, round(mt_strict, 6) AS mt_strict FROM panel"),
     "quintiles": (quintiles, _Q + " SELECT company, date, quintile FROM qt"),
-    "sample_quintiles": (sample_quintiles, _M + """, ed AS (SELECT list_sort(list_distinct([quantile_cont(mt_strict, 0.0), quantile_cont(mt_strict, 0.2), quantile_cont(mt_strict, 0.4), quantile_cont(mt_strict, 0.6), quantile_cont(mt_strict, 0.8), quantile_cont(mt_strict, 1.0)])) AS e FROM fm)
+    "sample_quintiles": (sample_quintiles, _M + """, ed AS (SELECT list_sort(list_distinct([quantile_cont(mt_strict, 0.0), quantile_cont(mt_strict, 0.2), quantile_cont(mt_strict, 0.4), quantile_cont(mt_strict, 0.6000000000000001::DOUBLE), quantile_cont(mt_strict, 0.8), quantile_cont(mt_strict, 1.0)])) AS e FROM fm)
       SELECT len(list_filter(e[2:len(e) - 1], lambda v: v < mt_strict)) + 1 AS quintile, count(*) AS n, round(avg(mt_strict), 6) AS mean_x FROM fm, ed GROUP BY ALL"""),
     "portfolio_returns": (portfolio_returns, _PF + " SELECT date, " + _PIVOT.replace("{}", "r") + " FROM pf GROUP BY date"),
     "portfolio_equal_weighted": (equal_weighted, _PF + " SELECT date, " + _PIVOT.replace("{}", "ew") + " FROM pf GROUP BY date"),

@@ -185,3 +185,49 @@ def test_stream_resumes(spark, tmp_path):
         spark.range(lo, lo + 10).write.mode("append").parquet(src)
         append_stream(spark.readStream.schema("id long").parquet(src), lambda d: d.where("id % 2 = 0"), out, ck).awaitTermination()
     assert spark.read.parquet(out).count() == 10
+
+
+def test_calibration_stays_in_spark(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(round(x, 4)), "MAINTAINED" if x + rng.normal(0, 0.15) > 0.5 else "DROPPED", "H" if i % 3 else "L") for i, x in enumerate(rng.uniform(0, 1, 400))]
+    pairs = spark.createDataFrame(rows, "doc_id long, similarity double, label string, confidence string")
+    local, far = calibration.calibrate(pairs, 200), calibration.calibrate(pairs, 200, most=10)
+    for k in local:
+        assert abs(local[k]["p50_threshold"] - far[k]["p50_threshold"]) < 1e-6 and local[k]["n"] == far[k]["n"] == 400
+        assert max(abs(a - b) for a, b in zip(local[k]["bootstrap_ci_95"], far[k]["bootstrap_ci_95"])) < 0.06
+
+
+def test_comparison(spark):
+    from driftlens.operators import comparison as C
+
+    a = spark.createDataFrame([("x", 0.01, 1.0, 0.3), ("y", None, None, None)], "variable string, mean_coef double, nw_tstat double, p_value double")
+    b = spark.createDataFrame([("x", 0.03, 3.0, 0.01), ("y", 0.1, 2.5, float("nan"))], a.schema)
+    got = {r.variable: r for r in C.alpha_comparison(a, b, ["variable"]).collect()}
+    assert abs(got["x"].alpha_improvement - 0.02) < 1e-12 and got["x"].other_significant and not got["x"].base_significant
+    assert got["y"].alpha_improvement is None and not got["y"].other_significant
+    side = [F.lit(v) for v in (0.01, 0.03, False, True)]
+    assert one(spark, v=C.verdict(F.lit(-0.9), *side), w=C.verdict(F.lit(-0.9), F.lit(None).cast("double"), *side[1:])).asDict() == {"v": "OTHER_BETTER", "w": "BASE_BETTER"}
+    doc = C.latex_document([r.line for r in C.latex_table(a.where("variable = 'x'"), "variable", ["mean_coef", "p_value"]).collect()], ["V", "A", "P"])
+    assert doc.splitlines()[4] == r"x & 0.010 & 0.300 \\" and doc.startswith(r"\begin{tabular}{lrr}")
+
+
+def test_training_rows(spark):
+    from driftlens.operators import comparison as C
+
+    c = spark.createDataFrame([(1, " grow 5% "), (2, "none"), (3, None), (4, " ")], "id long, text string")
+    t = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (3, 1, "c"), (4, 1, "d")], "id long, pos int, name string")
+    rows = C.training_rows(c, t, "id", "T {text} A {targets}").collect()
+    assert [(r.id, r.answer, r.prompt) for r in rows] == [(1, '[{"name":"a"},{"name":"b"}]', 'T grow 5% A [{"name":"a"},{"name":"b"}]')]
+    many = spark.range(2000).select("id", F.lit("x").alias("text"))
+    n = C.training_rows(many, many.select("id", F.lit(1).alias("pos"), F.lit("m").alias("name")), "id", "{text}").groupBy("split").count().collect()
+    assert {r.split for r in n} == {"train", "test"} and 140 < {r.split: r["count"] for r in n}["test"] < 260
+
+
+def test_substring_persistence(spark):
+    names = ["a", "ab", "revenue", "net revenue growth", "growth of net", "revenue growth in services", "net", "capex"]
+    sets = [(1, q, n) for q in range(10, 16) for i, n in enumerate(names) if (q + i) % 3]
+    dropped = [(1, q, n) for q in (12, 13, 15) for n in names] + [(2, 12, "ab")]
+    frame = spark.createDataFrame(sets, "company int, q_int int, norm string")
+    got = {(r.company, r.q_int, r.metric): r.persistent for r in moving_targets.substring_persistence(spark.createDataFrame(dropped, frame.schema), frame, 2).collect()}
+    want = {(c, q, n): len({p for k, p, m in sets if k == c and q - 2 <= p < q and (m in n or n in m)}) == 2 for c, q, n in dropped}
+    assert got == want and True in want.values() and False in want.values()
