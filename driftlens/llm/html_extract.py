@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +46,17 @@ BOILER = re.compile(
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+PATH_CHARS = 400
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 
+def bounded(path: str) -> str:
+    """A path of over ``PATH_CHARS`` characters as its beginning and a digest of all of it, so that deep pages stay small."""
+    return path if len(path) <= PATH_CHARS else f"{path[:200]}~{xxhash.xxh3_128_hexdigest(path)}"
+
+
 class Node:
     """A block element: its generalised name, blocks in page order and whether it is left out."""
 
@@ -57,7 +64,7 @@ class Node:
 
     def __init__(self, tag: str, name: str, skip: bool, parent: Node | None, first: int):
         self.tag, self.name, self.skip, self.parent = tag, name, skip, parent
-        self.path = name if parent is None or parent.tag in ("html", "#root") else f"{parent.path}>{name}"
+        self.path = name if parent is None or parent.tag in ("html", "#root") else bounded(f"{parent.path}>{name}")
         self.score, self.first, self.last = 0.0, first, first
 
 
@@ -215,7 +222,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, p in zip(hosts, pages):
             node = best(parse(p)[1]) if p else None
             if node is not None:
-                out.append((h, node.path[:400], node.score))
+                out.append((h, node.path, node.score))
         kinds = (pa.string(), pa.string(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], ["host", "path", "score"])
 

@@ -36,7 +36,9 @@ UND = "und"
 
 
 def runs(text: str | None) -> list[str]:
-    return _RUN.findall(text.lower()) if text else []
+    """Runs of letters; none if what looks like letters are only numerals such as a half."""
+    found = _RUN.findall(text.lower()) if text else []
+    return found if any(w.isalpha() or any(map(str.isalpha, w)) for w in found) else []
 
 
 class ByteGru:
