@@ -4,8 +4,10 @@ Categories are predicted one after another; the model of a category sees the
 words of the document and the probabilities of the categories before it. Later
 models are trained on out-of-fold probabilities of the earlier ones, so that
 they learn from predictions as good as those they will meet. Models are L1
-logistic regressions over the presence of words, fitted in numpy on a bounded
-sample of labelled documents; a task looks each distinct word up once.
+logistic regressions over a document's distinct words and their beginnings
+(how many of its words begin so, which finds forms of a word that the sample
+lacks), fitted in numpy on a bounded sample of labelled documents; a task looks
+each distinct word up once.
 
 Any label columns can be a chain. ``labels`` has two, quality and toxic; op 4
 chains ``low_quality`` (quality = 0) and ``toxic``.
@@ -30,6 +32,8 @@ from .quality import labelled_sample
 
 _WORD = re.compile(r"[^\W_]+")
 SAMPLE_DOCS, SAMPLE_CHARS, FOLDS, LEAST_DOCS = 6000, 40_000, 3, 4
+#: Lengths of the beginnings that count besides the whole word.
+STARTS = (3, 5, 7)
 CATEGORIES = ("low_quality", "toxic")
 
 
@@ -37,27 +41,52 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def features_of(word: str) -> list[str]:
+    """The word and, marked by a hyphen, its beginnings."""
+    return [word, *[word[:k] + "-" for k in STARTS if len(word) > k]]
+
+
 class Sparse:
-    """Rows of distinct column numbers."""
+    """Rows of (column, count)."""
 
-    def __init__(self, docs: list[list[int]], width: int):
-        self.rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        self.cols = np.array([c for d in docs for c in d], np.int64)
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.rows = np.repeat(np.arange(len(docs), dtype=np.int32), [len(c) for c, _ in docs])
+        self.cols = np.concatenate([np.empty(0, np.int32), *[c for c, _ in docs]])
+        self.values = np.concatenate([np.empty(0, np.float32), *[v for _, v in docs]])
         self.n, self.width = len(docs), width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols], self.n)
+        return np.bincount(self.rows, w[self.cols] * self.values, self.n)
 
     def transposed(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, g[self.rows], self.width)
+        return np.bincount(self.cols, g[self.rows] * self.values, self.width)
+
+    def squares(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, g[self.rows] * self.values**2, self.width)
+
+
+def counted(texts: list[str | None]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The features of at least LEAST_DOCS texts, and each text's (feature, count)."""
+    ids: dict[str, int] = {}
+    docs = []
+    for t in texts:
+        found = [ids.setdefault(f, len(ids)) for w in sorted(words_of(t)) for f in features_of(w)]
+        docs.append(np.unique(np.array(found, np.int32), return_counts=True))
+    n = np.zeros(len(ids), np.int64)
+    for c, _ in docs:
+        n[c] += 1
+    names = [f for f, k in ids.items() if n[k] >= LEAST_DOCS]
+    at = np.full(len(ids), -1, np.int32)
+    at[[ids[f] for f in names]] = np.arange(len(names))
+    return names, [(at[c][at[c] >= 0], v[at[c] >= 0].astype(np.float32)) for c, v in docs]
 
 
-def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, on: np.ndarray, l1: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, on: np.ndarray, l1: float = 2e-4, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Weights of words and of (bias, earlier probabilities): accelerated proximal gradient, classes weighing alike."""
     dense = np.concatenate((np.ones((x.n, 1)), extra), 1)
     weight = on * np.where(y == 1, 0.5 / max(1, (on * (y == 1)).sum()), 0.5 / max(1, (on * (y == 0)).sum()))
-    # columns are scaled by their frequency, which evens out the curvature
-    seen = np.maximum(x.transposed(weight), 1e-4)
+    # columns are scaled by their squares, which evens out the curvature
+    seen = np.maximum(x.squares(weight), 1e-4)
     scale = 1 / np.sqrt(seen)
     w, d = np.zeros(x.width), np.zeros(dense.shape[1])
     vw, vd, t, rate = w, d, 1.0, 0.15
@@ -78,20 +107,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """For each category the weights of words, a bias and the weights of the categories before it."""
+    """For each category the weights of words and beginnings, a bias and the weights of the categories before it."""
 
     def __init__(self, categories: tuple[str, ...]):
         self.categories, self.words, self.dense = categories, {}, []
 
     def train(self, texts: list[str | None], y: np.ndarray, folds: int = FOLDS) -> None:
-        sets = [words_of(t) for t in texts]
-        df: dict[str, int] = {}
-        for s in sets:
-            for w in s:
-                df[w] = df.get(w, 0) + 1
-        names = sorted(w for w, n in df.items() if n >= LEAST_DOCS)
-        at = {w: i for i, w in enumerate(names)}
-        x = Sparse([[at[w] for w in sorted(s) if w in at] for s in sets], len(names))
+        names, docs = counted(texts)
+        x = Sparse(docs, len(names))
         fold, all_rows = np.arange(x.n) % folds, np.ones(x.n)
         extra, weights = np.zeros((x.n, 0)), []
         for k in range(len(self.categories)):
@@ -109,8 +132,8 @@ class Chain:
         self.words = {w: row for w, row in zip(names, table_) if row.any()}
 
     def rows(self, words: list[str]) -> np.ndarray:
-        zero = np.zeros(len(self.categories))
-        return np.array([self.words.get(w, zero) for w in words])
+        zero, known = np.zeros(len(self.categories)), self.words
+        return np.array([sum((known[f] for f in features_of(w) if f in known), zero) for w in words])
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         out = np.zeros((len(sums), 0))
