@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,16 @@ def verdict(delta_f1: Column, base_alpha: Column, other_alpha: Column, base_sign
 
 
 def latex_table(rows: DataFrame, label: str, cols: list[str], digits: int = 3) -> DataFrame:
-    """One row a table line, numbers with ``digits`` places; header and rules are put around it by :func:`latex_document`."""
-    cell = lambda c: F.format_string(f"%.{digits}f", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    return rows.select(label, F.concat(F.col(label), F.lit(" & "), F.concat_ws(" & ", *[cell(c) for c in cols]), F.lit(r" \\")).alias("line"))
+    """One row a table line, numbers with ``digits`` places; header and rules are put around it by :func:`latex_document`.
+
+    Numbers are written by Python, which rounds the stored value; Spark's format_string rounds its shortest decimal.
+    """
+
+    @F.pandas_udf("string")
+    def line(name: pd.Series, *cells: pd.Series) -> pd.Series:
+        return pd.Series([" & ".join([n, *(f"{x:.{digits}f}" for x in xs)]) + r" \\" for n, *xs in zip(name, *cells)], dtype=object)
+
+    return rows.select(label, line(F.coalesce(F.col(label).cast("string"), F.lit("")), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).alias("line"))
 
 
 def latex_document(lines: list[str], heads: list[str]) -> str:
