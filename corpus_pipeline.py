@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from driftlens.llm import decontaminate, exact_dedup, language_id, near_copies, packing
 from driftlens.llm.common import table, written
 from driftlens.session import ship
 
@@ -27,9 +27,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,12 +159,6 @@ def near_components(docs: DataFrame) -> DataFrame:
     return fps.join(classes, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is the smallest of its component, with all their columns."""
-    keep = near_components(docs).select(F.col("component_id").alias("__keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep_id"], "left_semi")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

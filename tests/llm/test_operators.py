@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from driftlens.llm import components, decontaminate, exact_dedup, html_extract, language_id, packing, quality, secrets, simhash, suffix_dedup, toxicity
+from driftlens.llm import components, decontaminate, exact_dedup, html_extract, language_id, near_copies, packing, quality, secrets, simhash, suffix_dedup, toxicity
 from driftlens.llm.common import crc_mod, table
 
 SF = "/root/testdata/sf0.001"
@@ -137,6 +137,38 @@ def test_fingerprint_by_definition():
         assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def test_near_stage_against_brute_force(spark):
+    """All pairs at 0.8 are found, also those whose fingerprints differ in many bits, and the stage keeps one of each group."""
+    import corpus_pipeline as P
+
+    rng, rows = random.Random(12), [(900, None, "en"), (901, "", "en"), (902, "one two", "en"), (903, "ONE  two", "en")]
+    stock = words(rng, 40)
+    for g in range(60):
+        base = (words(rng, rng.randint(20, 200)) + " " + stock).split()
+        for c in range(3):
+            own = list(base)
+            for _ in range(rng.randint(0, len(base) // 40 + 2)):
+                own[rng.randrange(len(own))] = "new" + str(rng.randrange(10**6))
+            rows.append((10 * g + c, " ".join(own), "en"))
+    rows.append(rows[4])
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    ids = sorted(sets)
+    want = {(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    prints = {i: simhash.fingerprint(t or "") for i, t, _ in rows}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 3 for a, b in want) > 10 and (900, 901) in want and (902, 903) in want
+    docs = frame(spark, rows)
+    assert {(r.a, r.b) for r in near_copies.similar_pairs(docs).collect()} == want
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.doc_id for r in P.near(spark, docs, SF).collect()} == set(root.values())
+    assert near_copies.keep_one(docs.where("false")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
