@@ -3,7 +3,8 @@
 Each word and each of its character n-grams has a hashed, learned vector; a
 document is the mean over all of them, and a softmax layer scores it. Vectors
 and layer are trained in numpy by stochastic gradient descent on a bounded
-sample of labelled documents. As the layer is linear in the mean, a task needs
+sample of labelled documents, whose whole texts the executors reduce to counts
+of features. As the layer is linear in the mean, a task needs
 two numbers and a feature count for each distinct word.
 
 Edge cases: null and empty texts have no features and get the score of the
@@ -14,19 +15,21 @@ score of exactly 0.5 is predicted 1; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from .common import WordRows, crc_mod, kept_columns, sample_by_hash, slices, table
 
 BUCKETS, DIM, GRAMS = 1 << 18, 12, (3, 4, 5)
-#: Bound of the training sample: documents, and characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 6000
+#: Bound of the training sample: documents, and about the characters of all of them; longer texts mean fewer documents.
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 50_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,19 +59,36 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(own), (np.concatenate(ids) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text and each one's share of its features."""
+    n = Counter(words_of(text))
+    words, total = list(n), np.zeros(BUCKETS)
+    times = np.fromiter(n.values(), np.int64, len(n))
+    for at in range(0, len(words), 50_000):
+        own, ids = features(words[at : at + 50_000])
+        total += np.bincount(ids, times[at : at + 50_000][own], BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), (total[ids] / max(1, total.sum())).astype(np.float32)
+
+
+def packed_shares(text: str | None) -> bytes:
+    ids, share = shares(text)
+    return ids.tobytes() + share.tobytes()
+
+
+def unpacked_shares(found: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(found) // 2
+    return np.frombuffer(found[:half], np.int32), np.frombuffer(found[half:], np.float32)
+
+
 class Subwords:
     def __init__(self, seed: int = 10):
         rng = np.random.default_rng(seed)
         self.e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         self.w, self.b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
 
-    def train(self, texts: list[str | None], y: list[int], epochs: int = 6, rate: float = 0.5, seed: int = 10) -> None:
-        """Plain stochastic gradient descent, a document at a time; classes weigh alike."""
-        docs = []
-        for t in texts:
-            _, f = features(words_of(t)) if words_of(t) else (None, np.empty(0, np.int64))
-            ids, n = np.unique(f, return_counts=True)
-            docs.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    def train(self, docs: list[tuple[np.ndarray, np.ndarray]], y: list[int], epochs: int = 6, rate: float = 0.5, seed: int = 10) -> None:
+        """Plain stochastic gradient descent, a document's (buckets, shares) at a time; classes weigh alike."""
         y = np.asarray(y)
         weight = [len(y) / (2 * max(1, (y == k).sum())) for k in (0, 1)]
         rng, step, total = np.random.default_rng(seed), 0, epochs * len(docs)
@@ -111,25 +131,45 @@ def scorer(logits: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Subwords | None:
     kept_columns(docs, ("doc_id", "text"))
     kept_columns(labels, ("doc_id", label))
-    rows = labelled_sample(docs, labels, [label], crc_mod("doc_id", 3) != 1, sample_docs, sample_chars)
+    rows = labelled_sample(docs, labels, [label], crc_mod("doc_id", 3) != 1, packed_shares, sample_docs, sample_chars)
     if not rows:
         return None
     model = Subwords()
-    model.train([r["text"] for r in rows], [int(r[label]) for r in rows])
+    model.train([unpacked_shares(r["found"]) for r in rows], [int(r[label]) for r in rows])
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], fold, sample_docs: int, sample_chars: int) -> list:
-    """A bounded sample of labelled documents, drawn by a hash of the id, in the order of that hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], fold, reduce: Callable[[str | None], bytes], sample_docs: int, sample_chars: int) -> list:
+    """A bounded sample of labelled documents, drawn by a hash of the id, in the order of that hash.
+
+    ``found`` is what ``reduce`` makes of a whole text in the executors. If the
+    texts of the sample have more than ``sample_chars`` characters together,
+    fewer documents are drawn.
+    """
     known = labels.where(fold & F.col("doc_id").isNotNull())
     for c in names:
         known = known.where(F.col(c).isNotNull())
     known = known.select("doc_id", *names)
-    some = sample_by_hash(known, "doc_id", sample_docs, known.count()).limit(2 * sample_docs)
-    text = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"))
-    # at most 2 * sample_docs narrow rows are broadcast
-    rows = text.join(F.broadcast(some), "doc_id").collect()
-    return sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"], r["text"], *(r[c] for c in names)))
+    count = known.count()
+
+    def drawn(most: int) -> DataFrame:
+        # at most 2 * sample_docs narrow rows are broadcast
+        some = sample_by_hash(known, "doc_id", most, count).limit(2 * sample_docs)
+        return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+
+    rows = drawn(sample_docs)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > sample_chars:
+        rows = drawn(max(1, int(min(sample_docs, count) * sample_chars / chars)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([reduce(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield b.drop_columns(["text"]).append_column("found", found)
+
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("found", BinaryType())
+    got = rows.mapInArrow(run, schema).collect()
+    return sorted(got, key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"], r["found"], *(r[c] for c in names)))
 
 
 def _score(logits: np.ndarray | None, bias: np.ndarray | None):

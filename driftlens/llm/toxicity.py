@@ -6,8 +6,9 @@ models are trained on out-of-fold probabilities of the earlier ones, so that
 they learn from predictions as good as those they will meet. Models are L1
 logistic regressions over a document's distinct words and their beginnings
 (how many of its words begin so, which finds forms of a word that the sample
-lacks), fitted in numpy on a bounded sample of labelled documents; a task looks
-each distinct word up once.
+lacks), fitted in numpy on a bounded sample of labelled documents, whose whole
+texts the executors reduce to distinct words; a task looks each distinct word up
+once.
 
 Any label columns can be a chain. ``labels`` has two, quality and toxic; op 4
 chains ``low_quality`` (quality = 0) and ``toxic``.
@@ -31,7 +32,9 @@ from .common import WordRows, kept_columns, slices, table
 from .quality import labelled_sample
 
 _WORD = re.compile(r"[^\W_]+")
-SAMPLE_DOCS, SAMPLE_CHARS, FOLDS, LEAST_DOCS = 6000, 40_000, 3, 4
+#: Bound of the training sample: documents, and about the characters of all of them; longer texts mean fewer documents.
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 100_000_000
+FOLDS, LEAST_DOCS = 3, 4
 #: Lengths of the beginnings that count besides the whole word.
 STARTS = (3, 5, 7)
 CATEGORIES = ("low_quality", "toxic")
@@ -41,6 +44,14 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def packed_words(text: str | None) -> bytes:
+    return " ".join(sorted(words_of(text))).encode("utf-8", "surrogatepass")
+
+
+def unpacked_words(found: bytes) -> list[str]:
+    return found.decode("utf-8", "surrogatepass").split(" ") if found else []
+
+
 def features_of(word: str) -> list[str]:
     """The word and, marked by a hyphen, its beginnings."""
     return [word, *[word[:k] + "-" for k in STARTS if len(word) > k]]
@@ -65,12 +76,12 @@ class Sparse:
         return np.bincount(self.cols, g[self.rows] * self.values**2, self.width)
 
 
-def counted(texts: list[str | None]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """The features of at least LEAST_DOCS texts, and each text's (feature, count)."""
+def counted(texts: list[list[str]]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The features of at least LEAST_DOCS texts, given by their distinct words, and each text's (feature, count)."""
     ids: dict[str, int] = {}
     docs = []
-    for t in texts:
-        found = [ids.setdefault(f, len(ids)) for w in sorted(words_of(t)) for f in features_of(w)]
+    for words in texts:
+        found = [ids.setdefault(f, len(ids)) for w in words for f in features_of(w)]
         docs.append(np.unique(np.array(found, np.int32), return_counts=True))
     n = np.zeros(len(ids), np.int64)
     for c, _ in docs:
@@ -112,7 +123,7 @@ class Chain:
     def __init__(self, categories: tuple[str, ...]):
         self.categories, self.words, self.dense = categories, {}, []
 
-    def train(self, texts: list[str | None], y: np.ndarray, folds: int = FOLDS) -> None:
+    def train(self, texts: list[list[str]], y: np.ndarray, folds: int = FOLDS) -> None:
         names, docs = counted(texts)
         x = Sparse(docs, len(names))
         fold, all_rows = np.arange(x.n) % folds, np.ones(x.n)
@@ -147,11 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample_
     """``labels`` has doc_id and a 0/1 column for each category."""
     kept_columns(docs, ("doc_id", "text"))
     kept_columns(labels, ("doc_id", *categories))
-    rows = labelled_sample(docs, labels, list(categories), F.lit(True), sample_docs, sample_chars)
+    rows = labelled_sample(docs, labels, list(categories), F.lit(True), packed_words, sample_docs, sample_chars)
     if not rows:
         return None
     chain = Chain(tuple(categories))
-    chain.train([r["text"] for r in rows], np.array([[float(r[c]) for c in categories] for r in rows]))
+    chain.train([unpacked_words(r["found"]) for r in rows], np.array([[float(r[c]) for c in categories] for r in rows]))
     return chain
 
 
