@@ -8,7 +8,9 @@ for each distinct run that it meets. Runs of over ``MOST_BYTES`` bytes are read
 in pieces of that length; all are read.
 
 It is trained in numpy by backpropagation through time, on a bounded sample of
-labelled documents.
+labelled documents of each language, however many languages there are. The
+executors reduce their whole texts to distinct runs of letters and weights, in
+which each document counts alike; training draws runs by weight.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows
 without lang are predicted but not learned from; ties go to the language that
@@ -19,6 +21,7 @@ all; repeated rows get one and the same prediction; extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import WordRows, crc_mod, kept_columns, slices, table
 
 MOST_BYTES, HIDDEN = 24, 16
-#: Bound of the training sample: documents of a language, and characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 1500
+#: Bound of the training sample: documents of a language, and of all languages, but LEAST_DOCS of each at least.
+SAMPLE_DOCS, ALL_DOCS, LEAST_DOCS = 600, 60_000, 20
+STEPS, BATCH = 300, 256
 _RUN = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -138,15 +142,19 @@ class ByteGru:
         self._layer_back("b", xb, on, sb, db, grads)
         return loss, grads
 
-    def train(self, words: list[bytes], y: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.01, seed: int = 7) -> list[float]:
-        """Adam on batches drawn with each language equally likely."""
+    def train(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 7) -> list[float]:
+        """Adam on batches drawn with each language equally likely, its words by weight; more languages than a batch take turns in more steps."""
         rng = np.random.default_rng(seed)
-        by = [np.flatnonzero(y == k) for k in range(len(self.languages))]
+        order = np.argsort(y, kind="stable")
+        by = np.split(order, np.cumsum(np.bincount(y, minlength=len(self.languages)))[:-1])
+        share = [weight[i] / weight[i].sum() for i in by]
+        steps *= -(-len(by) // batch)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         losses = []
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(i, batch // len(by) + 1) for i in by])
+            turn = range(len(by)) if len(by) <= batch else rng.choice(len(by), batch, replace=False)
+            pick = np.concatenate([rng.choice(by[k], max(1, batch // len(by) + (len(by) <= batch)), p=share[k]) for k in turn])
             loss, g = self.gradients([words[i] for i in pick], y[pick])
             losses.append(loss)
             lr = rate * min(1.0, 2 * (1 - (step - 1) / steps))
@@ -171,37 +179,58 @@ def word_labels(model: ByteGru, words: list[str]) -> np.ndarray:
             owner.append(i)
     out = np.zeros((len(words), len(model.languages) + 1))
     order = sorted(range(len(cut)), key=lambda i: len(cut[i]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
+    step = max(1, 4096 * 128 // max(128, len(model.languages)))  # bounds the memory of many languages
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
         own = np.array([owner[i] for i in some])
         got = model.labels([cut[i] for i in some])
         np.add.at(out, own, np.concatenate((got, np.array([[len(cut[i])] for i in some])), 1))
     return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> ByteGru | None:
-    """Learn from documents outside the held-out fold that have a lang."""
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of letters of whole texts with their share of the document in millionths."""
+    for b in batches:
+        total: Counter = Counter()
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n = Counter(runs(text))
+            all_runs = n.total()
+            for w, k in n.items():
+                total[lang, w] += max(1, 1_000_000 * k // all_runs)
+        rows = list(zip(*total)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "run", "weight"])
+
+
+def training_runs(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, str, int]]:
+    """(lang, run, weight) of sampled documents outside the held-out fold that have a lang, for every lang."""
     kept_columns(docs, ("doc_id", "text", "lang"))
-    learn = docs.where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    learn = docs.where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = learn.groupBy("lang").count().collect()
     if not counts:
+        return []
+    most = min(sample_docs, max(LEAST_DOCS, ALL_DOCS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, share double")
+    # the draw depends on ids alone
+    drawn = learn.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    found = drawn.select("lang", "text").mapInArrow(_weighted, "lang string, run string, weight long").groupBy("lang", "run").agg(F.sum("weight").alias("weight")).toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns)))
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
+    """Learn from documents outside the held-out fold that have a lang."""
+    rows = training_runs(docs, sample_docs)
+    if not rows:
         return None
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / n))]), F.col("lang")), F.lit(0.0))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) < share
-    # the draw depends on ids alone; the limit only bounds an unlucky draw
-    rows = learn.where(drawn).select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * sample_docs * len(counts)).collect()
-    languages = sorted({r["lang"] for r in rows})
-    words, y = [], []
-    for r in rows:
-        for w in runs(r["text"]):
-            for b in _pieces(w):
-                words.append(b)
-                y.append(languages.index(r["lang"]))
-    if not words:
-        return None
-    kinds = sorted(set(y))
-    model = ByteGru([languages[k] for k in kinds])
-    model.train(words, np.searchsorted(kinds, y))
+    languages = sorted({lang for lang, _, _ in rows})
+    at = {lang: k for k, lang in enumerate(languages)}
+    words, y, weight = [], [], []
+    for lang, run, n in rows:
+        for b in _pieces(run):
+            words.append(b)
+            y.append(at[lang])
+            weight.append(n)
+    model = ByteGru(languages)
+    model.train(words, np.array(y), np.array(weight, np.float64))
     return model
 
 
@@ -210,7 +239,7 @@ def _predict(model: ByteGru | None):
         rows = rows or (model and memo(model))
         for b in batches:
             texts, pred, score = b.column(1).to_pylist(), [], []
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1_500_000 * 64 // max(64, len(model.languages) if model else 0)):
                 words = [runs(t) for t in texts[lo:hi]]
                 if model is None:
                     pred += [UND] * len(words)
@@ -227,7 +256,7 @@ def _predict(model: ByteGru | None):
 
 
 def memo(model: ByteGru) -> WordRows:
-    return WordRows(len(model.languages) + 1, lambda new: word_labels(model, new))
+    return WordRows(len(model.languages) + 1, lambda new: word_labels(model, new), most=500_000 * 64 // max(64, len(model.languages)))
 
 
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:

@@ -246,6 +246,24 @@ def test_language(spark, odd):
     assert {r.doc_id for r in language_id.accepted(frame(spark, odd)).collect()} == {i for i, t, _ in odd} - {1, 2, 3, 13}
 
 
+def test_language_learns_whole_texts_and_all_languages(spark, monkeypatch):
+    """700 languages whose own words stand behind 3,000 characters that all texts share."""
+    seen = {}
+    monkeypatch.setattr(language_id.ByteGru, "train", lambda self, words, y, *more: seen.update(words=words, y=y))
+    rows = [(5 * k + i, "licence " * 375 + "own" + "".join(chr(97 + int(d)) for d in str(k)) + " tail" * 9, f"l{k:03d}") for k in range(700) for i in range(5)]
+    docs = frame(spark, rows)
+    model = language_id.fit(docs)
+    learned = {r.lang for r in docs.where(crc_mod("doc_id", 5) != 0).select("lang").collect()}
+    assert len(learned) > 690 and model.languages == sorted(learned)
+    own = {(model.languages[k], w.decode()) for k, w in zip(seen["y"], seen["words"]) if w.startswith(b"own")}
+    assert {lang for lang, _ in own} == learned and len(own) == len(learned)
+
+
+def test_more_languages_than_a_batch():
+    m = language_id.ByteGru([str(k) for k in range(6)], hidden=3)
+    assert len(m.train([b"a", b"b", b"c", b"d", b"e", b"f", b"g"], np.array([0, 1, 2, 3, 4, 5, 5]), np.array([1.0, 1, 1, 1, 1, 3, 1]), steps=2, batch=4)) == 4
+
+
 def test_gradients_of_gru():
     m = language_id.ByteGru(["a", "b"], hidden=3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
