@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,31 +23,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; set here only where it is unset (local runs)."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; where it is unset, only a local master gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="driftlens-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Scratch folders by application, for :func:`clean_scratch`.
+_SCRATCH: dict[str, list[str]] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove the scratch folders of this application; results that were not written elsewhere can't be read after it."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        removed(spark, path)
 
 
 def written(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it again with its own schema."""
+    """Cut lineage: write ``df`` to the shared folder and read it again with its own schema; the shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.option("compression", codec).mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Remove tables of :func:`written` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch_path", None):
+            removed(df.sparkSession, path)
+            paths = _SCRATCH.get(df.sparkSession.sparkContext.applicationId, [])
+            if path in paths:
+                paths.remove(path)
+
+
+#: A key with more than one row in so many is split, hence at most so many keys are.
+SHARE = 1000
+
+
+def salted(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, however many rows of ``big`` one key has.
+
+    A key of more than a thousandth of big's rows is split into parts of at most
+    that share, and its rows of ``small`` are repeated for each part. There are
+    fewer than a thousand such keys, so their list can be broadcast. ``counts``
+    (the key and ``n``, at most twice what big has) saves the count. ``big`` has to be a written table: the
+    salt numbers its rows.
+    """
+    n = counts if counts is not None else big.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    total = big.count()
+    hot = n.where(F.col("n") * SHARE > total).na.drop("any").select(*[F.col(k).alias(f"__hot_{k}") for k in key], F.ceil(F.col("n") * SHARE / F.lit(max(total, 1))).cast("int").alias("__parts"))
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referenced.
+    def on(df: DataFrame):
+        cond = None
+        for k in key:
+            c = df[k] == hot[f"__hot_{k}"]
+            cond = c if cond is None else cond & c
+        return cond
 
-    Python's proxies have to go before the driver's objects can; hence two rounds.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
+    drop = [f"__hot_{k}" for k in key]
+    parts = F.coalesce("__parts", F.lit(1))
+    left = big.join(F.broadcast(hot), on(big), "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop(*drop, "__parts")
+    right = small.join(F.broadcast(hot), on(small), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(*drop, "__parts")
+    return left.join(right, [*key, "__salt"], how).drop("__salt")
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
@@ -60,15 +120,33 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+#: Partitions of an exchange at most; beyond it a task works through several buckets in turn.
+MOST_PARTS = 20_000
+
+
 def parts(spark: SparkSession, n_bytes: float, each: int = BUCKET_BYTES, least: int | None = None) -> int:
-    """Partitions such that each holds about ``each`` bytes; no fewer than the session's shuffle partitions."""
+    """Buckets such that each holds about ``each`` bytes; no fewer than the session's shuffle partitions."""
     least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, int(n_bytes / each) + 1)
 
 
-def exchanged(df: DataFrame, n: int, key: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Hash rows by ``key`` to ``n`` partitions and run ``fn`` over each whole partition."""
-    return df.repartition(n, key).mapInArrow(fn, schema)
+def dealt(df: DataFrame, buckets: int, key: str = "at") -> DataFrame:
+    """Rows by bucket number, to at most ``MOST_PARTS`` partitions, in which the rows of a bucket follow one another."""
+    return df.repartition(min(buckets, MOST_PARTS), key).sortWithinPartitions(key)
+
+
+def bucket_runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[tuple]]:
+    """The rows of each bucket, one bucket at a time; column ``key`` has its number."""
+    held, at = [], None
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if r[key] != at and held:
+                yield held
+                held = []
+            at = r[key]
+            held.append(r)
+    if held:
+        yield held
 
 
 def text_of(name: str = "text") -> Column:
