@@ -1,12 +1,19 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-An exact set-similarity join by prefix filtering. All shingles are put into one
-order; two sets that similar share one at least of the first n - ceil(0.8 n) + 1
-shingles of each, so only those prefixes are exchanged. The order puts shingles
-that a sample of the documents repeats last, the most frequent at the end, so
-that boilerplate rarely is in a prefix; the sample decides the cost only, as any
-order finds all pairs. How many prefix shingles a pair shares bounds its overlap
-from above; pairs that can still reach 0.8 are verified on their whole sets.
+Candidates come from the multi-index tables of :mod:`simhash` and, as many such
+pairs differ in more bits than its balls hold, from a prefix filter that makes
+the result exact: all shingles are put into one order; two sets that similar
+share one at least of the first n - ceil(0.8 n) + 1 shingles of each, so only
+those prefixes are exchanged. The order puts shingles that a sample of the
+documents repeats last, the most frequent at the end, so that boilerplate rarely
+is in a prefix; the sample decides the cost only, as any order finds all pairs.
+
+No group is turned into all its pairs. First, fingerprint links and one pair a
+document, with the smallest document of its prefix shingles, are verified on
+whole sets; they join dense groups into components. Then only pairs of
+documents in different components that share a prefix shingle are listed. How
+many they share bounds their overlap from above; those that can still reach 0.8
+are verified. A link within a component could not change the components.
 
 Words are those of the fingerprints of ``simhash``. Edge cases: null and empty
 texts have no words and are copies of each other only; a text of one to four
@@ -20,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, parts, release, sample_by_hash, text_bytes, written
+from .common import MOST_PARTS, dropped, kept_columns, parts, salted, sample_by_hash, written
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_links, shingle_hashes
 
 WORDS = 5
 #: The similarity as a fraction; integers avoid rounding at the threshold.
@@ -95,27 +102,38 @@ def _prefixes(last: np.ndarray):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb) for each shared prefix shingle of two documents of similar size."""
+#: Pairs that are held at once.
+STEP_PAIRS = 2_000_000
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb) for each shared prefix shingle of two documents of similar size in different components."""
     cols = list(zip(*([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches)))
     if not cols:
         return
-    key, doc, n = (np.concatenate(c) for c in cols)
-    order = np.lexsort((n, key))
-    key, doc, n = key[order], doc[order], n[order].astype(np.int64)
-    # a step pairs each row with the next one of its key; the sizes rise, so a row that met too large a one is done
-    left, d = np.arange(len(key)), 1
-    while len(left := left[left + d < len(key)]):
-        right = left + d
-        ok = (key[left] == key[right]) & (NUM * n[right] <= DEN * n[left])
+    key, doc, n, comp = (np.concatenate(c) for c in cols)
+    order = np.lexsort((doc, comp, key))
+    key, doc, n, comp = key[order], doc[order], n[order].astype(np.int64), comp[order]
+    new_key = np.concatenate((key[1:] != key[:-1], [True]))
+    new_run = new_key | np.concatenate((comp[1:] != comp[:-1], [True]))
+    rows = np.arange(len(key))
+    # the run of a row's component ends here, and the rows of its key end there; what lies between are its partners
+    first = np.flatnonzero(new_run)[np.searchsorted(np.flatnonzero(new_run), rows)] + 1
+    last = np.flatnonzero(new_key)[np.searchsorted(np.flatnonzero(new_key), rows)] + 1
+    count = last - first
+    busy = np.flatnonzero(count)
+    while len(busy):
+        held = np.cumsum(count[busy])
+        take = max(1, int(np.searchsorted(held, STEP_PAIRS, "right")))
+        left = np.repeat(busy[:take], count[busy[:take]])
+        right = np.arange(len(left)) - np.repeat(held[:take] - count[busy[:take]], count[busy[:take]]) + first[left]
+        ok = (NUM * np.maximum(n[left], n[right]) <= DEN * np.minimum(n[left], n[right])) & (doc[left] != doc[right])
         left, right = left[ok], right[ok]
-        two = doc[left] != doc[right]
-        x, y = left[two], right[two]
-        swap = doc[x] > doc[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        swap = doc[left] > doc[right]
+        x, y = np.where(swap, right, left), np.where(swap, left, right)
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[x], doc[y], n[x], n[y])], ["a", "b", "na", "nb"])
-        d += 1
+        busy = busy[take:]
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,23 +146,48 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b), a < b, among them all that are similar; and doc_id and grams, the whole sets of those documents."""
-    spark = docs.sparkSession
-    kept_columns(docs, ("doc_id", "text"))
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a fifth of the shingles of about six bytes a word, 20 bytes each
-    n = parts(spark, 0.7 * text_bytes(docs))
-    keys = docs.mapInArrow(_prefixes(frequent(docs)), "key long, doc_id long, n int")
-    shared = keys.repartition(n, "key").mapInArrow(_pairs, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
+def prefix_keys(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, n) for each shingle in the prefix of a document of n shingles."""
+    return docs.mapInArrow(_prefixes(frequent(docs)), "key long, doc_id long, n int")
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id and grams, the whole set, of the documents in ``pairs``; written."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]))
+
+
+def prefix_size(n) -> Column:
+    """The shingles in the prefix of a set of n."""
+    return n - F.floor((NUM * n + DEN - 1) / DEN) + 1
+
+
+def star_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): each document with that document that is the smallest of most of its prefix shingles, if of a quarter of them."""
+    least = written(keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("m")))
+    heads = least.where("m > 1").select("key", F.col("h.doc_id").alias("a"), F.col("h.n").alias("na"))
+    met = salted(keys, heads, ["key"], counts=least.select("key", F.col("m").alias("n")))
+    met = met.where((F.col("a") != F.col("doc_id")) & (NUM * F.greatest("n", "na") <= DEN * F.least("n", "na")))
+    shared = met.groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("k")).where(4 * F.col("k") >= prefix_size(F.col("n")))
+    best = shared.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("a")).alias("neg"))).alias("h"))
+    return best.select((-F.col("h.neg")).alias("a"), F.col("doc_id").alias("b"))
+
+
+def cross_pairs(keys: DataFrame, components_: DataFrame) -> DataFrame:
+    """(a, b) of documents in different components that can still be similar, as their prefixes tell; written."""
+    spark = keys.sparkSession
+    named = components_.select(F.col("node").alias("doc_id"), "component")
+    of = written(keys.join(named, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
+    spans = written(of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")))
+    open_ = salted(of, spans.where("lo < hi").select("key"), ["key"], counts=spans.select("key", "n"))
+    total = spans.where("lo < hi").agg(F.sum("n")).first()[0] or 0
+    n = min(parts(spark, 28 * total), MOST_PARTS)
+    shared = open_.repartition(n, "key").select("key", "doc_id", "n", "comp").mapInArrow(_cross, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
     # beyond the prefix that ends first, at most the rest of its own set is shared
     rest = F.greatest(*(F.floor((NUM * F.col(c) + DEN - 1) / DEN) - 1 for c in ("na", "nb")))
-    could = shared.where((NUM + DEN) * (F.col("count") + rest) >= NUM * (F.col("na") + F.col("nb")))
-    could = written(could.select("a", "b").distinct())
-    release(spark)
-    ids = could.select(F.col("a").alias("doc_id")).union(could.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, grams binary"))
-    return could, sets
+    out = written(shared.where((NUM + DEN) * (F.col("count") + rest) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+    dropped(of, spans)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,21 +198,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_similar, "a long, b long").distinct()
 
 
+def usable(docs: DataFrame) -> DataFrame:
+    kept_columns(docs, ("doc_id", "text"))
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def similar_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b), a < b: every two documents whose similarity is 0.8 or more."""
-    return verified(*candidates(docs))
+    """(a, b), a < b: every two documents whose similarity is 0.8 or more; for groups of bounded size, as it lists all pairs."""
+    docs = usable(docs)
+    alone = docs.sparkSession.createDataFrame([], "node long, component long")
+    pairs = cross_pairs(written(prefix_keys(docs)), alone)
+    return verified(pairs, sets_of(docs, pairs))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(node, component) of documents with a near copy: the smallest doc_id that links of similarity 0.8 or more reach."""
+    docs = usable(docs)
+    fps, heads, near = fingerprint_links(docs)
+    head = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    linked = near.join(head[0], "a").join(head[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    copies = salted(fps, heads.where("n > 1").select("fp", "head"), ["fp"], counts=heads.select("fp", "n")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    keys = written(prefix_keys(docs))
+    first = linked.union(copies).union(star_pairs(keys)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = written(first.where("a < b").distinct())
+    sets = sets_of(docs, first)
+    links = written(verified(first, sets))
+    dropped(fps, heads, near, first, sets)
+    apart = cross_pairs(keys, components(links))
+    sets = sets_of(docs, apart)
+    more = written(verified(apart, sets))
+    dropped(keys, apart, sets)
+    return components(links.union(more))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but those whose near copies, or theirs in turn, lead to a smaller doc_id; with all their columns."""
-    could, sets = candidates(docs)
-    # a dense group is held together by its smallest document; only pairs that this leaves apart are verified besides
-    links = written(verified(could.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
-    found = written(components(links))
-    x = found.select(F.col("node").alias("a"), F.col("component").alias("ra"))
-    y = found.select(F.col("node").alias("b"), F.col("component").alias("rb"))
-    apart = could.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    links = links.union(written(verified(apart, sets)))
-    release(docs.sparkSession)
-    gone = components(links).where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone_id"))
+    gone = groups(docs).where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone_id"))
     return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
