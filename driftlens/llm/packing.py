@@ -3,8 +3,8 @@
 Texts are tokenised where they lie; only pieces longer than a sequence are cut.
 Full pieces leave at once. The others are packed best-fit, largest first, in
 each partition; nearly full bins leave, and underfull bins go as items to fewer
-partitions for the next round, until one round fits a bounded task. A bin
-carries its pieces' ids and lengths, never tokens.
+partitions for the next round, down to one. A bin carries its pieces' ids and
+lengths, never tokens.
 
 Edge cases: a null or empty text is one piece holding the end id alone; repeated
 doc_ids are packed as separate documents; ties in size are resolved by arrival;
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import kept_columns, table, written
 
 LENGTH, END_ID = 2048, 0
-#: A bin this full leaves at once; the last round emits everything.
-NEARLY = 2048 - 4
-#: Underfull bins of one task of a later round.
+#: A bin with so few free places or fewer leaves at once; the last round emits everything.
+SLACK = 4
+#: Items of one task of the first round.
 TASK_BINS = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -159,25 +159,52 @@ def _packer(length: int, nearly: int):
     return run
 
 
-def packed(items: DataFrame, length: int = LENGTH, nearly: int = NEARLY, task_bins: int = TASK_BINS) -> DataFrame:
-    """Bins (size, members, done) of ``items`` (the columns of :func:`pieces`)."""
+def packed(items: DataFrame, length: int = LENGTH, slack: int = SLACK, task_bins: int = TASK_BINS, tasks: int | None = None) -> DataFrame:
+    """Bins (size, members, done) of ``items`` (the columns of :func:`pieces`).
+
+    A round packs what is open in ``n`` tasks, a quarter as many the next time,
+    down to one. Of a task's bins at most one is half empty or more, as best-fit
+    would have joined two. Hence few small bins are open after a round. The
+    larger ones can't be joined with each other; each that is joined takes in a
+    small one at least, so as many of the emptiest as there are small ones go on
+    with those, and the others are final. So the last task has about twice as many items as the
+    round before it had tasks, however many bins there are.
+    """
     spark = items.sparkSession
     struct = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     items = items.select(F.col("length").alias("size"), F.array(struct).alias("members"), (F.col("length") >= length).alias("done"))
     out, rest = [items.where("done")], items.where("not done")
-    n = spark.sparkContext.defaultParallelism if rest.isEmpty() else max(1, -(-rest.count() // task_bins))
-    before = None
+    n = tasks or max(1, -(-rest.count() // task_bins))
     while True:
-        last = n == 1
-        # sizes and documents are spread evenly, so that each partition can fill its bins
-        dealt = rest.repartition(n, F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"])) if n > 1 else rest.coalesce(1)
-        bins = written(dealt.mapInPandas(_packer(length, nearly), _BIN))
-        open_bins = bins.where("not done").count()
-        if last or open_bins == 0 or (before is not None and open_bins > 0.9 * before and open_bins > task_bins):
-            return _union([*out, bins])  # what is still open can't be merged any further
+        # rows are dealt in turn, so that each partition has its share of sizes and of any one document
+        bins = written((rest.repartition(n) if n > 1 else rest.coalesce(1)).mapInPandas(_packer(length, max(1, length - slack)), _BIN))
         out.append(bins.where("done"))
-        rest, before = bins.where("not done"), open_bins
-        n = max(1, min(n // 4, -(-open_bins // task_bins)))
+        open_bins = bins.where("not done")
+        if n == 1:
+            out.append(open_bins)
+            return _union(out)
+        going, final = going_on(open_bins, length)
+        out.append(final)
+        rest, n = written(going), max(1, n // 4)
+
+
+def going_on(bins: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """The small bins and as many of the emptiest others, and the rest."""
+    sizes = {r["size"]: r["count"] for r in bins.groupBy("size").count().collect()}  # a row for each size at most
+    wanted = sum(k for s, k in sizes.items() if 2 * s <= length)
+    cut, left = length, wanted
+    for s in sorted(s for s in sizes if 2 * s > length):
+        if sizes[s] > left:
+            cut = s
+            break
+        left -= sizes[s]
+    # of the bins of the size at which the count is reached, which are alike, any will do
+    edge = written(bins.where(F.col("size") == cut).withColumn("__nth", F.monotonically_increasing_id()))
+    some = edge.select("__nth").orderBy("__nth").limit(left).withColumnRenamed("__nth", "__taken")
+    some = written(some)
+    both = F.col("__nth") == F.col("__taken")
+    going = bins.where(F.col("size") < cut).unionByName(edge.join(some, both, "left_semi").drop("__nth"))
+    return going, bins.where(F.col("size") > cut).unionByName(edge.join(some, both, "left_anti").drop("__nth"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -189,7 +216,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    bins = packed(written(pieces(docs, tokenizer, length, end_id)), length)
+    items = written(pieces(docs, tokenizer, length, end_id))
+    bins = packed(items, length)
     # a bin's first piece names it: pieces of a document have their own (doc_id, piece)
     bins = written(bins.select("members").withColumn("sequence_id", F.monotonically_increasing_id()))
     return bins.select(
