@@ -1,27 +1,32 @@
 """Benchmark decontamination (op 5): size-partitioned MinHash containment search.
 
-Items are partitioned by their number of distinct five-word shingles. An item
-of n shingles that a document contains to 0.8 or more misses at most
-floor(0.2 n) of them, so one at least of its floor(0.2 n) + 1 shingles with the
-smallest hashes is in the document: that bottom sketch, whose size each
-partition sets, finds every such document, however long. Candidates are
-verified by exact shingle containment on the words themselves.
-
-The sketches go to the executors in blocks of a fixed number of keys, and each
-block is held against all documents; a larger benchmark means more blocks.
+Items are put into size partitions by their number of distinct five-word
+shingles, [2^c, 2^(c+1)). A partition sets the size of the bottom MinHash
+signatures of its items: an item of n shingles that a document contains to 0.8
+or more misses at most floor(0.2 n) of them, so a signature of one more than a
+fifth of the partition's largest size always meets the document, however long
+that is. Documents are searched for signatures shingle by shingle, not by a
+signature of their own, which would lose a short item in a long text.
+
+Signatures and shingles of the items stay in Spark. What goes to the tasks is a
+Bloom filter of fixed size, whatever the number of items; documents that pass
+it send the shingles that an item may have, and copies of the same matches are
+merged before these meet the items in a join. Exact containment on the words of
+the shingles decides.
 
 Words are maximal runs of letters and digits of the lower-cased text. Edge
 cases: null and empty texts match nothing; an item of one to four words is one
-shingle, held against every run of as many words; repeated rows match alike;
-ties don't occur, as all items that reach the threshold are returned; empty
-tables give an empty result; extra columns are not read.
+shingle, held against every run of as many words; repeated rows match alike, and
+so do rows without doc_id or item_id; ties don't occur, as all items that reach
+the threshold are returned; empty tables give an empty result; extra columns are
+not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, table
+from .common import dropped, kept_columns, salted, table, written
 
 WORDS, LEAST = 5, 0.8
-#: Sketch keys that are sent to the executors at once (a few MB with their items).
-BLOCK_KEYS = 50_000
+#: Bits of the filter that goes to the tasks (4 MB, two of them), and words of a text that are looked at together.
+FILTER_BITS, BLOCK_WORDS = 1 << 25, 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -74,82 +79,129 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def item_sketches(items: list[tuple[int, str | None]], least: float = LEAST, k: int = WORDS) -> dict[int, list[tuple[int, list[int], set]]]:
-    """By shingle width, (item_id, sketch, shingles); the sketch's size follows from the item's size partition."""
-    hashes, out = WordHashes(), defaultdict(list)
-    for item_id, text in items:
-        w = words_of(text)
-        if not w:
-            continue
-        whole = shingles(w, k)
-        h = np.unique(_mix(hashes.of(w), min(k, len(w))))
-        # ceil(least * n) of n must be there; integers avoid rounding at the threshold
-        need = -(-int(round(least * 1000)) * len(whole) // 1000)
-        out[min(k, len(w))].append((item_id, h[: len(whole) - need + 1].tolist(), whole))
+def signature_size(n: int, least: float = LEAST) -> int:
+    """The bottom hashes that items of n's size partition keep: one more than the largest of them may miss."""
+    largest = (1 << n.bit_length()) - 1
+    # integers avoid rounding at the threshold
+    return largest - -(-int(round(least * 1000)) * largest // 1000) + 1
+
+
+_ITEM = "item long, item_id long, width int, n_shingles long, size_class int, shingle string, hash long, signature boolean"
+
+
+def _shingled(least: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, item_id, text in zip(*(c.to_pylist() for c in b.columns)):
+                w = words_of(text)
+                if not w:
+                    continue
+                names = sorted(shingles(w, k))
+                width, n = len(names[0]), len(names)
+                h = np.array([_mix(WordHashes().of(list(s)), width)[0] for s in names], np.uint64)
+                bottom = np.zeros(n, bool)
+                bottom[np.argsort(h, kind="stable")[: signature_size(n, least)]] = True
+                cols = ([item] * n, [item_id] * n, [width] * n, [n] * n, [n.bit_length() - 1] * n, [" ".join(s) for s in names], h.view(np.int64), bottom)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [c.split()[0] for c in _ITEM.split(", ")])
+
+    return run
+
+
+def item_shingles(benchmark: DataFrame, least: float = LEAST, k: int = WORDS) -> DataFrame:
+    """A row for each distinct shingle of each item row: its size partition and whether it is in the item's signature."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(_shingled(least, k), _ITEM)
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of two bits a hash, put together in Spark as words of 64 bits; its size is fixed."""
+    mask = F.lit(FILTER_BITS - 1).cast("long")
+    at = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def _search(by_width: dict[int, list], least: float):
-    index = {}
-    for width, rows in by_width.items():
-        keys = defaultdict(list)
-        for i, (_, sketch, _) in enumerate(rows):
-            for h in sketch:
-                keys[h].append(i)
-        index[width] = (np.array(sorted(keys), np.uint64), dict(keys), rows)
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    x, y = _places(h)
+    one = np.uint64(1)
+    ok = (bits[x >> 6] >> (x & 63).astype(np.uint64)) & one
+    return (ok & (bits[y >> 6] >> (y & 63).astype(np.uint64))).astype(bool)
+
+
+def _blocks(text: str, size: int = BLOCK_WORDS, overlap: int = WORDS - 1) -> Iterator[list[str]]:
+    """The words of a text in blocks that share the words of a shingle less one."""
+    found = (m.group() for m in _WORD.finditer(text.lower()))
+    block = list(islice(found, size))
+    while block:
+        yield block
+        more = list(islice(found, size))
+        block = block[len(block) - min(overlap, len(block)) :] + more if more else []
+
 
+_MATCH = "doc_id long, text_hash long, class binary, shingles array<string>"
+
+
+def _search(widths: list[int], signatures: np.ndarray, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            found = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words_of(text)
-                h = hashes.of(w)
-                for width, (sorted_keys, keys, rows) in index.items():
-                    own = _mix(h, width)
-                    at = np.searchsorted(sorted_keys, own)
-                    hit = np.flatnonzero(sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == own)
-                    if not len(hit):
-                        continue
-                    have = shingles(w, width)
-                    for i in sorted({i for x in np.unique(own[hit]).tolist() for i in keys[x]}):
-                        item_id, _, whole = rows[i]
-                        shared = len(whole & have)
-                        if shared * 1000 >= int(round(least * 1000)) * len(whole):
-                            found.append((doc_id, item_id, len(whole), shared, shared / len(whole)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, kinds)], ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
+            out = []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                found, hit = set(), False
+                for w in _blocks(text) if text else ():
+                    h = hashes.of(w)
+                    for width in widths:
+                        own = _mix(h, width)
+                        here = _passes(wanted, own)
+                        if here.any():
+                            hit = hit or bool(_passes(signatures, own[here]).any())
+                            found.update(" ".join(w[j : j + width]) for j in np.flatnonzero(here).tolist())
+                if hit:
+                    names = sorted(found)
+                    out.append((i, xxhash.xxh3_128_digest("\n".join(names).encode("utf-8", "surrogatepass")), names))
+            rows = pa.array([r[0] for r in out], pa.int64())
+            cols = [b.column(0).take(rows), b.column(1).take(rows), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "class", "shingles"])
 
     return run
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, k: int = WORDS, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) for every item that a document holds to ``least`` or more."""
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, k: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_shingles, n_shared) for every item row that a document row holds to ``least`` or more."""
     kept_columns(docs, ("doc_id", "text"))
     kept_columns(benchmark, ("item_id", "text"))
-    schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    out, block, held = None, [], 0
-
-    def searched() -> None:
-        nonlocal out, block, held
-        part = docs.select("doc_id", "text").mapInArrow(_search(item_sketches(block, least, k), least), schema)
-        out, block, held = part if out is None else out.unionByName(part), [], 0
-
-    # the stated query set, read row by row and dealt out in blocks
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        size = len(row["text"] or "") // 8 + 1
-        if block and held + size > block_keys:
-            searched()
-        block.append((row["item_id"], row["text"]))
-        held += size
-    searched()
-    return out
+    items = written(item_shingles(benchmark, least, k))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # k values at most
+    seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = written(seen.mapInArrow(_search(widths, bit_filter(items.where("signature")), bit_filter(items)), _MATCH))
+    # documents that hold the same shingles of items, such as copies, are one class
+    classes = written(found.groupBy("class").agg(F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("n")))
+    exploded = written(classes.select("class", F.explode("shingles").alias("shingle")))
+    met = salted(exploded, items.select("shingle", "item", "item_id", "n_shingles", "signature"), ["shingle"])
+    shared = met.groupBy("class", "item", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"), F.max("signature").alias("met"))
+    enough = F.col("n_shared") * 1000 >= int(round(least * 1000)) * F.col("n_shingles")
+    held = written(shared.where(F.col("met") & enough).select("class", "item_id", "n_shingles", "n_shared"))
+    out = salted(found.select("doc_id", "text_hash", "class"), held, ["class"], counts=classes.select("class", "n"))
+    dropped(exploded, items)
+    return out.select("doc_id", "text_hash", "item_id", "n_shingles", "n_shared")
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, k: int = WORDS) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) for every item that a document holds to ``least`` or more."""
+    return matches(docs, benchmark, least, k).select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    hit = contained(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+    """The rows of ``docs`` that hold no item, with all their columns; rows without doc_id are told apart by their texts."""
+    hit = matches(docs, benchmark).select(F.col("doc_id").alias("__hit"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
