@@ -1,27 +1,29 @@
 """Language ID (op 7): a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of each run of letters of the lower-cased
-text, labels every byte with a probability for each language, and a document's
-probabilities are the mean over all its bytes. Its state starts anew with each
-run, so a run's labels depend on the run alone and a task computes them once
-for each distinct run that it meets. Runs of over ``MOST_BYTES`` bytes are read
-in pieces of that length; all are read.
+The network reads the UTF-8 bytes of the whole lower-cased text, letters, signs
+and spaces alike, in both directions, and labels every byte with a probability
+for each language; a document's probabilities are the mean over all its bytes.
+Its states run on across words. Texts are read in windows of ``CORE`` bytes with
+``CONTEXT`` bytes more on either side, which warm the states up and get their
+labels from the window that they belong to, so that memory and time are bounded
+for any length.
 
 It is trained in numpy by backpropagation through time, on a bounded sample of
-labelled documents of each language, however many languages there are. The
-executors reduce their whole texts to distinct runs of letters and weights, in
-which each document counts alike; training draws runs by weight.
+labelled documents of each language, however many languages there are. Training
+draws windows from anywhere in their whole texts, each document being as likely
+as the next.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows
 without lang are predicted but not learned from; ties go to the language that
 comes first in order; a table without any language to learn gives ``und`` for
-all; repeated rows get one and the same prediction; extra columns are not read.
+all; repeated rows get one and the same prediction; rows without doc_id are
+predicted, but not learned from, and their ``held_out`` is null; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordRows, crc_mod, kept_columns, slices, table
-
-MOST_BYTES, HIDDEN = 24, 16
-#: Bound of the training sample: documents of a language, and of all languages, but LEAST_DOCS of each at least.
-SAMPLE_DOCS, ALL_DOCS, LEAST_DOCS = 600, 60_000, 20
-STEPS, BATCH = 300, 256
-_RUN = re.compile(r"[^\W\d_]+")
+from .common import crc_mod, kept_columns, slices, table
+
+HIDDEN = 12
+#: Bytes that a window labels, and bytes of context before and after them.
+CORE, CONTEXT = 400, 24
+#: Windows of a batch; its products stay small enough for one thread.
+ROWS = 512
+#: Bound of the training sample: documents of a language, and of all languages, but LEAST_DOCS of each at least, and
+#: about the characters of all of them; longer texts mean fewer documents.
+SAMPLE_DOCS, ALL_DOCS, LEAST_DOCS, SAMPLE_CHARS = 600, 60_000, 20, 40_000_000
+#: Training: steps, windows of a step, bytes of a window.
+STEPS, BATCH, TRAIN_BYTES = 400, 192, 48
+_LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
-def runs(text: str | None) -> list[str]:
-    """Runs of letters; none if what looks like letters are only numerals such as a half."""
-    found = _RUN.findall(text.lower()) if text else []
-    return found if any(w.isalpha() or any(map(str.isalpha, w)) for w in found) else []
+def has_letter(text: str | None) -> bool:
+    """Numerals such as a half, which the pattern takes for letters, are none."""
+    return bool(text) and any(m.group().isalpha() or any(map(str.isalpha, m.group())) for m in _LETTERS.finditer(text))
+
+
+def text_of_bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
 
 class ByteGru:
@@ -99,15 +110,15 @@ class ByteGru:
         e = np.exp(logits - logits.max(2, keepdims=True))
         return e / e.sum(2, keepdims=True), both, on, back, (x, xb, sf, sb)
 
-    def labels(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its bytes' probabilities."""
-        probs, _, on, _, _ = self._forward(words)
-        return (probs * on[:, :, None]).sum(1)
+    def labels(self, windows: list[bytes]) -> np.ndarray:
+        """(windows, bytes, languages): each byte's probabilities."""
+        return self._forward(windows)[0]
 
     def _layer_back(self, d: str, x: np.ndarray, on: np.ndarray, saved: list, dh_all: np.ndarray, grads: dict) -> None:
         u, c, k = self.p[f"u{d}"], self.p[f"c{d}"], self.h
         gx, gu, gc = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u), np.zeros_like(c)
         dh = np.zeros((len(x), k), np.float32)
+        gates = np.empty((x.shape[1], len(x), 3 * k), gx.dtype)
         for t in range(x.shape[1] - 1, -1, -1):
             h, z, r, rh, cand = saved[t]
             dh = dh + dh_all[:, t]
@@ -123,7 +134,11 @@ class ByteGru:
             dzr = np.concatenate((dz * z * (1 - z), dr * r * (1 - r)), 1)
             gu += h.T @ dzr
             dh = dh + dzr @ u.T
-            np.add.at(gx, x[:, t], np.concatenate((dzr, da), 1))
+            gates[t, :, : 2 * k], gates[t, :, 2 * k :] = dzr, da
+        seen = x.T.ravel()
+        order = np.argsort(seen, kind="stable")
+        values, first = np.unique(seen[order], return_index=True)
+        gx[values] = np.add.reduceat(gates.reshape(-1, 3 * k)[order], first, axis=0)
         grads[f"x{d}"], grads[f"u{d}"], grads[f"c{d}"] = gx, gu, gc
 
     def gradients(self, words: list[bytes], y: np.ndarray) -> tuple[float, dict]:
@@ -142,20 +157,20 @@ class ByteGru:
         self._layer_back("b", xb, on, sb, db, grads)
         return loss, grads
 
-    def train(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 7) -> list[float]:
-        """Adam on batches drawn with each language equally likely, its words by weight; more languages than a batch take turns in more steps."""
+    def train(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.015, seed: int = 7) -> list[float]:
+        """Adam on windows of whole texts, drawn with each language equally likely, and each of its texts; more languages than a batch take turns in more steps."""
         rng = np.random.default_rng(seed)
         order = np.argsort(y, kind="stable")
         by = np.split(order, np.cumsum(np.bincount(y, minlength=len(self.languages)))[:-1])
-        share = [weight[i] / weight[i].sum() for i in by]
         steps *= -(-len(by) // batch)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         losses = []
         for step in range(1, steps + 1):
             turn = range(len(by)) if len(by) <= batch else rng.choice(len(by), batch, replace=False)
-            pick = np.concatenate([rng.choice(by[k], max(1, batch // len(by) + (len(by) <= batch)), p=share[k]) for k in turn])
-            loss, g = self.gradients([words[i] for i in pick], y[pick])
+            pick = np.concatenate([rng.choice(by[k], max(1, batch // len(by) + (len(by) <= batch))) for k in turn])
+            at = [int(rng.integers(0, max(1, len(texts[i]) - TRAIN_BYTES + 1))) for i in pick]
+            loss, g = self.gradients([texts[i][a : a + TRAIN_BYTES] for i, a in zip(pick, at)], y[pick])
             losses.append(loss)
             lr = rate * min(1.0, 2 * (1 - (step - 1) / steps))
             for k in self.p:
@@ -165,100 +180,79 @@ class ByteGru:
         return losses
 
 
-def _pieces(word: str) -> list[bytes]:
-    b = word.encode("utf-8", "replace")
-    return [b[i : i + MOST_BYTES] for i in range(0, len(b), MOST_BYTES)]
-
-
-def word_labels(model: ByteGru, words: list[str]) -> np.ndarray:
-    """For each run of letters the summed probabilities of its bytes and, last, their number."""
-    cut, owner = [], []
-    for i, w in enumerate(words):
-        for b in _pieces(w):
-            cut.append(b)
-            owner.append(i)
-    out = np.zeros((len(words), len(model.languages) + 1))
-    order = sorted(range(len(cut)), key=lambda i: len(cut[i]))
-    step = max(1, 4096 * 128 // max(128, len(model.languages)))  # bounds the memory of many languages
-    for at in range(0, len(order), step):
-        some = order[at : at + step]
-        own = np.array([owner[i] for i in some])
-        got = model.labels([cut[i] for i in some])
-        np.add.at(out, own, np.concatenate((got, np.array([[len(cut[i])] for i in some])), 1))
+def document_labels(model: ByteGru, texts: list[bytes], core: int = CORE, context: int = CONTEXT) -> np.ndarray:
+    """For each text its bytes' summed probabilities."""
+    at = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), core)]
+    cut = [texts[i][max(0, a - context) : a + core + context] for i, a in at]
+    before = np.array([min(a, context) for _, a in at], np.int64)
+    own = np.array([min(core, len(texts[i]) - a) for i, a in at], np.int64)
+    owner = np.array([i for i, _ in at], np.int64)
+    out = np.zeros((len(texts), len(model.languages)))
+    order = np.argsort(np.fromiter(map(len, cut), np.int64, len(cut)), kind="stable")
+    rows = max(1, ROWS * 32 // max(32, len(model.languages)))  # bounds the memory of many languages
+    for k in range(0, len(order), rows):
+        some = order[k : k + rows]
+        probs = model.labels([cut[i] for i in some])
+        place = np.arange(probs.shape[1])[None, :]
+        mine = (place >= before[some, None]) & (place < (before + own)[some, None])
+        np.add.at(out, owner[some], np.einsum("ntc,nt->nc", probs, mine.astype(np.float32)))
     return out
 
 
-def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of letters of whole texts with their share of the document in millionths."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        total: Counter = Counter()
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            n = Counter(runs(text))
-            all_runs = n.total()
-            for w, k in n.items():
-                total[lang, w] += max(1, 1_000_000 * k // all_runs)
-        rows = list(zip(*total)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "run", "weight"])
-
-
-def training_runs(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, str, int]]:
-    """(lang, run, weight) of sampled documents outside the held-out fold that have a lang, for every lang."""
+        found = [text_of_bytes(t) if has_letter(t) else b"" for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["lang", "found"])
+
+
+def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
+    """(lang, bytes) of sampled documents outside the held-out fold that have a lang, for every lang; texts are whole."""
     kept_columns(docs, ("doc_id", "text", "lang"))
     learn = docs.where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = learn.groupBy("lang").count().collect()
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.avg(F.length("text")).alias("chars")).collect()
     if not counts:
         return []
     most = min(sample_docs, max(LEAST_DOCS, ALL_DOCS // len(counts)))
+    chars = sum(min(r["count"], most) * r["chars"] for r in counts)
+    most = max(LEAST_DOCS, int(most * min(1.0, sample_chars / max(1.0, chars))))
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, share double")
     # the draw depends on ids alone
     drawn = learn.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
-    found = drawn.select("lang", "text").mapInArrow(_weighted, "lang string, run string, weight long").groupBy("lang", "run").agg(F.sum("weight").alias("weight")).toArrow()
-    return sorted(zip(*(c.to_pylist() for c in found.columns)))
+    found = drawn.select("lang", "text").mapInArrow(_packed, "lang string, found binary").toArrow()
+    return sorted((lang, t) for lang, t in zip(found.column(0).to_pylist(), found.column(1).to_pylist()) if t)
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
     """Learn from documents outside the held-out fold that have a lang."""
-    rows = training_runs(docs, sample_docs)
+    rows = training_texts(docs, sample_docs)
     if not rows:
         return None
-    languages = sorted({lang for lang, _, _ in rows})
+    languages = sorted({lang for lang, _ in rows})
     at = {lang: k for k, lang in enumerate(languages)}
-    words, y, weight = [], [], []
-    for lang, run, n in rows:
-        for b in _pieces(run):
-            words.append(b)
-            y.append(at[lang])
-            weight.append(n)
     model = ByteGru(languages)
-    model.train(words, np.array(y), np.array(weight, np.float64))
+    model.train([t for _, t in rows], np.array([at[lang] for lang, _ in rows]))
     return model
 
 
 def _predict(model: ByteGru | None):
-    def run(batches: Iterator[pa.RecordBatch], rows: WordRows | None = None) -> Iterator[pa.RecordBatch]:
-        rows = rows or (model and memo(model))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, pred, score = b.column(1).to_pylist(), [], []
-            for lo, hi in slices(texts, 1_500_000 * 64 // max(64, len(model.languages) if model else 0)):
-                words = [runs(t) for t in texts[lo:hi]]
+            for lo, hi in slices(texts, 4_000_000):
+                some = [text_of_bytes(t) if model and has_letter(t) else b"" for t in texts[lo:hi]]
                 if model is None:
-                    pred += [UND] * len(words)
-                    score += [0.0] * len(words)
+                    pred += [UND] * len(some)
+                    score += [0.0] * len(some)
                     continue
-                s = rows.sums(words)
-                p = s[:, :-1] / np.maximum(s[:, -1:], 1)
+                p = document_labels(model, some) / np.maximum([[len(t)] for t in some], 1)
                 best = p.argmax(1)
-                pred += [model.languages[k] if w else UND for k, w in zip(best, words)]
-                score += [float(min(1.0, x[k])) if w else 0.0 for x, k, w in zip(p, best, words)]
+                pred += [model.languages[k] if t else UND for k, t in zip(best, some)]
+                score += [float(min(1.0, x[k])) if t else 0.0 for x, k, t in zip(p, best, some)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
-def memo(model: ByteGru) -> WordRows:
-    return WordRows(len(model.languages) + 1, lambda new: word_labels(model, new), most=500_000 * 64 // max(64, len(model.languages)))
-
-
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     """doc_id, lang_pred, score for each row; only the text goes in."""
     return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
@@ -275,9 +269,9 @@ def accepted(docs: DataFrame, model: ByteGru | None = None, least: float = LEAST
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, text, rows = names.index("doc_id"), names.index("text"), model and memo(model)
+        at, text = names.index("doc_id"), names.index("text")
         for b in batches:
-            out = next(run(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(text)], ["doc_id", "text"])]), rows))
+            out = next(run(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(text)], ["doc_id", "text"])])))
             ok = [p != UND and s >= least for p, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist())]
             yield b.filter(pa.array(ok, pa.bool_()))
 
