@@ -32,19 +32,19 @@ BUCKETS, DIM, GRAMS = 1 << 18, 12, (3, 4, 5)
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 50_000_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").split() if text else []
+def words_of(text: str | None) -> list[str]:
+    return text.split() if text else []
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word's index, bucket) for each word itself and each character n-gram of <word>."""
-    marked = [b"<" + w + b">" for w in words]
-    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    marked = [f"<{w}>" for w in words]
+    data = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(words)), lens)
-    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(data))  # bytes to the word's end, own byte included
+    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(data))  # characters to the word's end, its own included
     own = [np.arange(len(words))]
-    ids = [np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))]
+    ids = [np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))]
     for n in GRAMS:
         m = len(data) - n + 1
         if m <= 0:
@@ -115,7 +115,7 @@ class Subwords:
 
 
 def scorer(logits: np.ndarray):
-    def compute(words: list[bytes]) -> np.ndarray:
+    def compute(words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), 3))
         for at in range(0, len(words), 50_000):
             some = words[at : at + 50_000]

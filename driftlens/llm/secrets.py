@@ -8,7 +8,7 @@ appends to the ledger and joins findings back to all paths of each blob.
 
 Edge cases: a null text is the empty blob; empty texts have no spans and the
 digest of the empty string; repeated rows and copies are scanned once and all
-get the findings; spans of one start are in the order of kinds; an empty table
+get the findings, and so do rows without path_id; spans of one start are in the order of kinds; an empty table
 gives an empty result; extra columns are not read.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, scratch, table, text_of, written
+from .common import kept_columns, salted, scratch, table, text_of, written
 
 #: Fixed values of the base rules, in the order in which spans of one start are listed.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -85,19 +85,19 @@ class Ledger:
     def scan(self, versions: DataFrame, rules_version: int = RULES_VERSION) -> DataFrame:
         """``versions`` (path_id, text) with the findings of each; new pairs are scanned and recorded first."""
         kept_columns(versions, ("path_id", "text"))
-        blobs = F.unhex(F.sha2(text_of(), 256)).alias("blob")
-        at = written(versions.select("path_id", blobs).withColumn("row", F.monotonically_increasing_id()))
+        blob = F.unhex(F.sha2(text_of(), 256)).alias("blob")
+        at = written(versions.select("path_id", blob))
         known = self.rows().where(F.col("rules_version") == rules_version).select("blob")
         # ids, not texts, decide which copy is scanned; then only the texts chosen are kept
-        one = at.groupBy("blob").agg(F.min("path_id").alias("path_id")).join(known, "blob", "left_anti")
-        one = one.select(F.col("path_id").alias("__path"), F.col("blob").alias("__blob"))
-        texts = versions.select("path_id", text_of().alias("text"))
-        chosen = texts.join(one.hint("shuffle_hash"), texts["path_id"] == one["__path"])
-        chosen = chosen.where(F.unhex(F.sha2("text", 256)) == F.col("__blob"))
-        found = chosen.select("__blob", "text").mapInArrow(_scan_blobs, _FOUND)
+        copies = written(at.groupBy("blob").agg(F.min("path_id").alias("path_id"), F.count(F.lit(1)).alias("n")))
+        one = copies.join(known, "blob", "left_anti").select(F.col("path_id").alias("__path"), F.col("blob").alias("__blob"))
+        texts = versions.select("path_id", text_of().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+        chosen = texts.join(one.hint("shuffle_hash"), F.col("path_id").eqNullSafe(F.col("__path")) & (F.col("blob") == F.col("__blob")))
+        found = chosen.select("blob", "text").mapInArrow(_scan_blobs, _FOUND)
         # a path may hold one blob twice
         found.dropDuplicates(["blob"]).withColumn("rules_version", F.lit(rules_version)).write.mode("append").parquet(self.path)
-        return at.select("path_id", "blob").join(self.rows().where(F.col("rules_version") == rules_version).drop("rules_version"), "blob")
+        findings = self.rows().where(F.col("rules_version") == rules_version).drop("rules_version")
+        return salted(at, findings, ["blob"], counts=copies.select("blob", "n"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

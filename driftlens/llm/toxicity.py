@@ -35,6 +35,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: Bound of the training sample: documents, and about the characters of all of them; longer texts mean fewer documents.
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 100_000_000
 FOLDS, LEAST_DOCS = 3, 4
+#: Distinct words that a task keeps the weights of.
+MEMO_WORDS = 200_000
 #: Lengths of the beginnings that count besides the whole word.
 STARTS = (3, 5, 7)
 CATEGORIES = ("low_quality", "toxic")
@@ -121,7 +123,7 @@ class Chain:
     """For each category the weights of words and beginnings, a bias and the weights of the categories before it."""
 
     def __init__(self, categories: tuple[str, ...]):
-        self.categories, self.words, self.dense = categories, {}, []
+        self.categories, self.words, self.table, self.dense = categories, {}, np.zeros((1, len(categories))), []
 
     def train(self, texts: list[list[str]], y: np.ndarray, folds: int = FOLDS) -> None:
         names, docs = counted(texts)
@@ -140,11 +142,18 @@ class Chain:
                     oof[own] = sigmoid(x.dot(fw) + np.concatenate((np.ones((x.n, 1)), extra), 1) @ fd)[own]
                 extra = np.concatenate((extra, oof[:, None]), 1)
         table_ = np.array(weights).T.reshape(len(names), -1)
-        self.words = {w: row for w, row in zip(names, table_) if row.any()}
+        used = np.flatnonzero(table_.any(1))
+        self.words = {names[i]: k for k, i in enumerate(used.tolist())}
+        self.table = np.concatenate((table_[used], np.zeros((1, table_.shape[1]))))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        zero, known = np.zeros(len(self.categories)), self.words
-        return np.array([sum((known[f] for f in features_of(w) if f in known), zero) for w in words])
+        """The summed weights of each word's features; what the sample lacks points at the last row, which is zero."""
+        most, none, get = len(STARTS) + 1, len(self.words), self.words.get
+        at = np.full((len(words), most), none, np.int64)
+        for i, w in enumerate(words):
+            for j, f in enumerate(features_of(w)):
+                at[i, j] = get(f, none)
+        return self.table[at].sum(1)
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         out = np.zeros((len(sums), 0))
@@ -170,7 +179,7 @@ def predict(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...]) -
     """doc_id and p_<category> for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = None if chain is None else WordRows(len(categories), chain.rows)
+        memo = None if chain is None else WordRows(len(categories), chain.rows, most=MEMO_WORDS)
         for b in batches:
             texts, out = b.column(1).to_pylist(), [np.zeros((0, len(categories)))]
             for lo, hi in slices(texts):
