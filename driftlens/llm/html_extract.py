@@ -11,7 +11,8 @@ and reader comments are left out, by tag, role, class or id.
 
 Edge cases: null and empty pages have empty text; a page without the host's
 path is read at its own best container, and one without containers at its body;
-ties between paths go to the higher total score, then the first in order;
+ties between paths go to the higher total score, then the first in order; of
+several containers with the path, the best and those beside it are read;
 unclosed and misnested tags end with the container around them; pages whose url
 is null or has no host share the empty host; repeated rows get the same text; an
 empty table gives an empty result; extra columns are not read.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, slices, table, written
+from .common import kept_columns, salted, slices, table, written
 
 #: HTML's element kinds.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "math", "canvas", "audio", "video", "title", "head"}
@@ -38,11 +39,15 @@ CONTAINERS = {"article", "main", "section", "div", "body", "td", "center"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "th", "caption", "hr", "address", "header", "details", "summary", "html", "fieldset"} | SKIPPED
 #: Words of a class or id that mark what is not the article.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscri\w+|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|replies|respond|disqus|"
-    r"footer|foot|masthead|topbar|toolbar|pagination|pager|login|signup|search|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|popup|modal|overlay|newsletter|subscri\w+|"
+    r"nav\w*|menu|breadcrumbs?|sidebar|widget|recommend\w*|sharing|comments?|replies|respond|disqus|"
+    r"footer|masthead|topbar|toolbar|pagination|pager|login|signup|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Words that can also name a part of the article: they count outside it, and inside it for boxes, not for its paragraphs.
+MAYBE = re.compile(r"(?:^|[\s_-])(?:notice|side|related|share|social|foot|search|legal)(?:$|[\s_-])", re.I)
+#: Elements that hold text itself.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "td", "th", "figcaption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -68,23 +73,28 @@ class Node:
         self.score, self.first, self.last = 0.0, first, first
 
 
+def inside(node: Node | None) -> bool:
+    """Whether an element is or stands in an article."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _node(tag: str, attrs: str, parent: Node | None, first: int) -> Node:
     name, skip = tag, tag in SKIPPED
     if attrs.strip():
         a = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
-        classes = sorted(set(a.get("class", "").split()))[:4]
-        name = ".".join([tag, *(re.sub(r"\d+", "#", c)[:40] for c in classes)])
+        name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in a.get("class", "").split()})])
         marks = f"{a.get('class', '')} {a.get('id', '')}"
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
         if tag not in ("body", "html", "article", "main") and (BOILER.search(marks) or a.get("role", "").lower() in ROLES):
             skip = True
+        elif tag not in ("body", "html", "article", "main") and MAYBE.search(marks):
+            skip = tag not in TEXTUAL or not inside(parent)
         skip = skip or bool(hidden)
     # a header inside an article is its heading; elsewhere it is the page's
     if tag == "header":
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        skip = skip or up is None
+        skip = skip or not inside(parent)
     return Node(tag, name, skip or bool(parent and parent.skip), parent, first)
 
 
@@ -206,8 +216,11 @@ def text_at(page: str | None, path: str | None) -> str:
     blocks, nodes = parse(page)
     same = [n for n in nodes if path and n.path == path and n.tag in CONTAINERS and not n.skip and n.score > 0]
     node = max(same, key=lambda n: n.score) if same else best(nodes)
-    some = blocks if node is None else blocks[node.first : node.last]
-    return "\n\n".join(s for s, _, _ in some)
+    if node is None:
+        return "\n\n".join(s for s, _, _ in blocks)
+    # an article can be cut into containers of one path that stand side by side
+    beside = [n for n in same if n.parent is node.parent] or [node]
+    return "\n\n".join(s for n in beside for s, _, _ in blocks[n.first : n.last])
 
 
 def host_of(url: str = "url") -> Column:
@@ -235,7 +248,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     return counted.groupBy("host").agg(F.min(order).getField("path").alias("path"))
 
 
-#: Winning paths of at most so many bytes go to all executors; more are joined by host.
+#: Winning paths of at most so many bytes go to all executors; more are joined by host, large hosts in parts.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -253,8 +266,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     kept_columns(pages, ("page_id", "url", "html"))
     paths = written(winning_paths(pages))
     size = paths.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
-    paths = paths.withColumnRenamed("host", "__host")
-    joined = pages.select("page_id", "url", "html").withColumn("__h", host_of()).join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, F.col("__h") == F.col("__host"), "left")
+    marked = pages.select("page_id", "url", "html").withColumn("__h", host_of())
+    paths = paths.withColumnRenamed("host", "__h")
+    joined = marked.join(F.broadcast(paths), "__h", "left") if size <= BROADCAST_BYTES else salted(marked, paths, ["__h"], "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
 
 
