@@ -11,19 +11,24 @@ position; here only sampled ones move:
    texts or more are candidates.
 2. The windows of each candidate, with their text, go where its hash goes.
    Equal stretches are merged first, both before and after the exchange: all
-   but the smallest doc_id lose them. The rest are suffixes in initial 8-gram
-   buckets, refined by sorting on the bucket identifiers of positions 8, 16 and
-   18 bytes on (depths 16, 32 and 50); a refined identifier serves every suffix
-   that reaches its position, and suffixes alone in their bucket are left out of
-   later rounds. The result is exact.
+   but the smallest doc_id lose them. The suffixes of the others are sorted by
+   bucket-pointer refinement: initial 8-gram buckets, in order, are split by the
+   pointers of the buckets at a later offset; the new pointers hold at once, so
+   that buckets refined later, and the parts of a bucket, which are refined
+   recursively, see the finer order, and each bucket's known depth grows by
+   that of the bucket it was sorted by. It ends with buckets of one suffix or
+   of a depth of 50; neighbours in this order that share 50 bytes are equal.
 3. Each document's covered ranges are united and its remaining bytes hashed.
 
-Whole copies of a text are found by digest and need no windows. A passage that
-very many documents share costs each block of documents one stretch.
+Whole copies of a text are found by digest and need no windows; large groups of
+copies are split among tasks. A passage that very many documents share costs
+each block of documents one stretch. Buckets of a bounded size are dealt to a
+bounded number of partitions, and a task works through them one at a time.
 
 Edge cases: null texts are empty; texts of under 50 bytes stay whole; rows with
-one doc_id don't match each other; repeated rows get equal results; an empty
-table gives an empty result; extra columns are not read.
+one doc_id don't match each other; rows without doc_id match nothing and stay
+whole; repeated rows get equal results; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, parts, release, table, text_bytes, text_of, written
+from .common import bucket_runs, dealt, dropped, kept_columns, parts, salted, table, text_bytes, text_of, written
 
 LENGTH, GRAM = 50, 20
 #: 20-grams in a window.
@@ -177,14 +182,12 @@ def _grams(buckets: int, chunks: int):
 
 def _shared(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0]:
-                    yield _batch([r])
-                else:
-                    held.setdefault(r[1], []).append(r)
-        for rows in held.values():
+        for bucket in bucket_runs(batches, 1):
+            if passed := [r for r in bucket if r[0]]:
+                yield _batch(passed)
+            rows = [r for r in bucket if not r[0]]
+            if not rows:
+                continue
             d, k, h = _ints(rows, 2), _ints(rows, 3), _ints(rows, 4, np.uint64)
             order = np.argsort(h, kind="stable")
             d, k, h = d[order], k[order], h[order]
@@ -199,64 +202,58 @@ def _shared(chunks: int):
 # step 2
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list, set, list]:
-    """Documents (doc_id, text), ids of copies, and other rows of a chunk's partition."""
-    docs, copies, rows = [], set(), []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if r[0] == 3:
-                docs.append((r[1], r[2]))
-            elif r[0] == 2:
-                copies.add((r[1], r[2]))
-            else:
-                rows.append(r)
-    return docs, copies, rows
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, set, list]]:
+    """For each chunk documents (doc_id, text), ids of copies, and other rows."""
+    for chunk in bucket_runs(batches, 0):
+        docs = [(r[2], r[3]) for r in chunk if r[1] == 3]
+        copies = {(r[2], r[3]) for r in chunk if r[1] == 2}
+        yield docs, copies, [r[1:] for r in chunk if r[1] < 2]
 
 
 def _windows(buckets: int, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, copies, rows = _gathered(batches)
-        d, k, h = _ints(rows, 3), _ints(rows, 4), _ints(rows, 5, np.uint64)
-        del rows
-        order = np.lexsort((h, k, d))
-        d, k, h = d[order], k[order], h[order]
-        start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.empty(0, np.int64)
-        ends = [*start[1:], len(d)]
-        cand = {(int(d[i]), int(k[i])): (i, j) for i, j in zip(start, ends)}
-        work = []
-        for doc_id, text in docs:
-            if len(text) >= LENGTH and (span := cand.get((doc_id, key := content_key(text)))) and (doc_id, hashlib.sha256(text).digest()) not in copies:
-                work.append((doc_id, key, text, h[span[0] : span[1]]))
-        del docs
-        seen: dict[tuple[int, bytes], tuple] = {}
-        covered: list[tuple[int, int, int, int]] = []
-        for lo, hi in _blocks([len(w[2]) for w in work]):
-            some = work[lo:hi]
-            own, s, n, _, g = stretches([w[2] for w in some])
-            g = _bucket(g, buckets).astype(np.uint64) << np.uint64(32) | (g & np.uint64(0xFFFFFFFF))
-            # candidates of the block by (document, hash)
-            sizes = [len(w[3]) for w in some]
-            mine = np.unique(_pair(np.repeat(np.arange(len(some)), sizes), np.concatenate([w[3] for w in some])))
-            ok = np.isin(_pair(own, g), mine)
-            buf = b"".join(w[2] for w in some)
-            begin = np.cumsum([0, *(len(w[2]) for w in some)])
-            for o, x, c, y in zip(own[ok].tolist(), s[ok].tolist(), n[ok].tolist(), g[ok].tolist()):
-                doc_id, key = some[o][0], some[o][1]
-                at = x - int(begin[o])
-                part = (y, buf[x : x + c + LENGTH - 1])
-                _merge(seen, part, doc_id, key, at, covered)
-        by: dict[int, list] = {}
-        for (y, part), (doc_id, places) in seen.items():
-            by.setdefault(y >> 32, []).extend((doc_id, key, at, len(part), y, part) for key, at in dict.fromkeys(places))
-        out, pack = [], zstandard.ZstdCompressor(3)
-        for bucket, rows in by.items():
-            meta = np.array([(at, n, y) for _, _, at, n, y, _ in rows], np.uint64)
-            out.append((0, bucket, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), meta.tobytes(), pack.compress(b"".join(r[5] for r in rows))))
-        yield _batch(out + _covered(covered, chunks))
+        for docs, copies, rows in _gathered(batches):
+            yield _stretch_rows(docs, copies, rows, buckets, chunks)
 
     return run
 
 
+def _stretch_rows(docs: list, copies: set, rows: list, buckets: int, chunks: int) -> pa.RecordBatch:
+    d, k, h = _ints(rows, 3), _ints(rows, 4), _ints(rows, 5, np.uint64)
+    order = np.lexsort((h, k, d))
+    d, k, h = d[order], k[order], h[order]
+    start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.empty(0, np.int64)
+    ends = [*start[1:], len(d)]
+    cand = {(int(d[i]), int(k[i])): (i, j) for i, j in zip(start, ends)}
+    work = []
+    for doc_id, text in docs:
+        if len(text) >= LENGTH and (span := cand.get((doc_id, key := content_key(text)))) and (doc_id, hashlib.sha256(text).digest()) not in copies:
+            work.append((doc_id, key, text, h[span[0] : span[1]]))
+    seen: dict[tuple[int, bytes], tuple] = {}
+    covered: list[tuple[int, int, int, int]] = []
+    for lo, hi in _blocks([len(w[2]) for w in work]):
+        some = work[lo:hi]
+        own, s, n, _, g = stretches([w[2] for w in some])
+        g = _bucket(g, buckets).astype(np.uint64) << np.uint64(32) | (g & np.uint64(0xFFFFFFFF))
+        # candidates of the block by (document, hash)
+        sizes = [len(w[3]) for w in some]
+        mine = np.unique(_pair(np.repeat(np.arange(len(some)), sizes), np.concatenate([w[3] for w in some])))
+        ok = np.isin(_pair(own, g), mine)
+        buf = b"".join(w[2] for w in some)
+        begin = np.cumsum([0, *(len(w[2]) for w in some)])
+        for o, x, c, y in zip(own[ok].tolist(), s[ok].tolist(), n[ok].tolist(), g[ok].tolist()):
+            doc_id, key = some[o][0], some[o][1]
+            _merge(seen, (y, buf[x : x + c + LENGTH - 1]), doc_id, key, x - int(begin[o]), covered)
+    by: dict[int, list] = {}
+    for (y, part), (doc_id, places) in seen.items():
+        by.setdefault(y >> 32, []).extend((doc_id, key, at, len(part), y, part) for key, at in dict.fromkeys(places))
+    out, pack = [], zstandard.ZstdCompressor(3)
+    for bucket, found in by.items():
+        meta = np.array([(at, n, y) for _, _, at, n, y, _ in found], np.uint64)
+        out.append((0, bucket, np.array([r[0] for r in found], np.int64).tobytes(), np.array([r[1] for r in found], np.int64).tobytes(), meta.tobytes(), pack.compress(b"".join(r[5] for r in found))))
+    return _batch(out + _covered(covered, chunks))
+
+
 def _merge(seen: dict, part: tuple[int, bytes], doc_id: int, key: int, at: int, covered: list) -> None:
     """Keep the places of the smallest doc_id that has a stretch; the others lose it."""
     end = len(part[1])
@@ -283,75 +280,130 @@ def _covered(spans: list[tuple[int, int, int, int]], chunks: int) -> list[tuple]
     return _dealt(1, _chunk(x[:, 0], chunks), x[:, 0], x[:, 1], x[:, 2], x[:, 3])
 
 
-def refine(label: np.ndarray, live: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement: suffixes ``live`` of one bucket are told apart by the bucket at ``step`` bytes on.
+#: Suffixes of an initial batch of buckets; what one batch has refined the next one uses.
+BATCH = 1 << 16
 
-    Returns the labels (those of suffixes alone in their bucket stay) and the suffixes that still share a bucket.
+
+def suffix_order(buf: np.ndarray, grams: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Pointers that order the suffixes of ``buf`` by their first ``depth`` bytes at least, by bucket-pointer refinement.
+
+    A suffix's pointer is the place of its bucket's end in the order. Suffixes
+    with one pointer share the known depth of their bucket; a bucket of depth d
+    is split by the pointers of what follows d bytes on.
     """
-    pair = np.stack((label[live], label[live + step]), 1)
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
-    p = pair[order]
-    new = np.concatenate(([True], (p[1:] != p[:-1]).any(1)))
-    rank = np.cumsum(new) - 1
-    out = label.copy()
-    out[live[order]] = rank + (label.max() + 1)
-    return out, live[order[np.bincount(rank)[rank] > 1]]
+    n = len(buf)
+    order = np.argsort(grams, kind="stable")
+    last = np.append(grams[order][1:] != grams[order][:-1], True)
+    ends = np.flatnonzero(last)
+    # behind the text all is alike, and nothing is left to tell apart
+    pointer = np.full(n + depth, -1, np.int64)
+    pointer[order] = ends[np.searchsorted(ends, np.arange(n))]
+    known = np.full(n + 1, 8, np.int64)  # by pointer
+    known[-1] = depth
+    size = np.diff(np.append(-1, ends))
+    live = order[np.repeat(size > 1, size)]
+    todo = []
+    while len(live):  # whole buckets, up to about BATCH suffixes
+        cut = min(BATCH, len(live))
+        cut = int(np.searchsorted(pointer[live], pointer[live[cut - 1]], "right"))
+        todo.append((8, live[:cut]))
+        live = live[cut:]
+    todo.reverse()
+    while todo:
+        offset, some = todo.pop()
+        own, by = pointer[some], pointer[some + offset]
+        sort = np.lexsort((by, own))
+        some, own, by = some[sort], own[sort], by[sort]
+        new = np.append(True, (own[1:] != own[:-1]) | (by[1:] != by[:-1]))
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(some)))
+        # parts lie one after another before the end of the bucket that they come from
+        bucket_end = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+        to_end = np.repeat(bucket_end, np.diff(np.append(-1, bucket_end))) - np.arange(len(some))
+        part_end = at + size - 1
+        ptr = own[part_end] - to_end[part_end]
+        deeper = offset + known[by[at]]
+        pointer[some] = np.repeat(ptr, size)
+        known[ptr] = deeper
+        more = (size > 1) & (deeper < depth)
+        for d in np.unique(deeper[more]).tolist():
+            todo.append((d, some[np.repeat(more & (deeper == d), size)]))
+    return pointer[:n]
 
 
 def window_classes(buf: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A label for the ``LENGTH`` bytes from each place of ``buf``, equal where they are equal; -1 where they leave their stretch."""
+    """A label for the ``LENGTH`` bytes from each place of ``buf``, equal where they are equal; -1 for those that are alone or leave their stretch."""
     left = np.repeat(start + lens, lens) - np.arange(len(buf))
-    x = np.zeros(len(buf), np.uint64)
-    padded = np.concatenate((buf, np.zeros(8, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((buf, np.zeros(LENGTH + 8, np.uint8))).astype(np.uint64)
+    grams = np.zeros(len(buf) + LENGTH, np.uint64)
     for i in range(8):
-        x = x << np.uint64(8) | padded[i : i + len(buf)]
-    label = np.unique(x, return_inverse=True)[1].reshape(-1)
-    live = np.flatnonzero(left >= 8)
-    live = live[np.bincount(label[live])[label[live]] > 1]
-    for depth, step in ((16, 8), (32, 16), (LENGTH, LENGTH - 32)):
-        # a suffix alone in its bucket has a label of its own already
-        live = live[left[live] >= depth]
-        if not len(live):
-            break
-        label, live = refine(label, live, step)
+        grams = grams << np.uint64(8) | padded[i : i + len(grams)]
+    pointer = suffix_order(buf, grams[: len(buf)])
+    win = np.flatnonzero(left >= LENGTH)
     out = np.full(len(buf), -1, np.int64)
-    out[live] = label[live]
+    if not len(win):
+        return out
+    win = win[np.argsort(pointer[win], kind="stable")]
+    same = np.ones(len(win) - 1, bool)
+    for off in (0, 8, 16, 24, 32, 40, LENGTH - 8):  # the common prefix of neighbours, eight bytes at a time
+        same &= grams[win[1:] + off] == grams[win[:-1] + off]
+    label = np.cumsum(np.append(True, ~same)) - 1
+    shared = np.append(same, False) | np.append(False, same)
+    out[win[shared]] = label[shared]
     return out
 
 
 def _matches(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
         unpack = zstandard.ZstdDecompressor()
+        seen: dict[tuple[int, bytes], tuple] = {}
+        covered: list[tuple[int, int, int, int]] = []
+        bucket = None
+
+        def finished() -> pa.RecordBatch:
+            nonlocal seen, covered
+            # a 20-gram can give matches only with two different stretches of two documents
+            by: dict[int, list] = {}
+            for (y, part), (doc_id, places) in seen.items():
+                by.setdefault(y, []).append((part, doc_id, places))
+            rows, held = [], 0
+            for group in by.values():
+                if len(group) > 1 and any(g[1] != group[0][1] for g in group):
+                    if held > RUN_BYTES:
+                        covered += _overlaps(rows)
+                        rows, held = [], 0
+                    rows += group
+                    held += sum(len(g[0]) for g in group)
+            if rows:
+                covered += _overlaps(rows)
+            out, seen, covered = _batch(_covered(covered, chunks)), {}, []
+            return out
+
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
+                if r[1] != bucket:
+                    if seen or covered:
+                        yield finished()
+                    bucket = r[1]
                 if r[0]:
                     yield _batch([r])
-                else:
-                    held.setdefault(r[1], []).append(r)
-        for rows in held.values():
-            seen: dict[tuple[int, bytes], tuple] = {}
-            covered: list[tuple[int, int, int, int]] = []
-            for r in rows:
+                    continue
                 at, data = 0, unpack.decompress(r[5])
                 for doc_id, key, (place, n, y) in zip(np.frombuffer(r[2], np.int64).tolist(), np.frombuffer(r[3], np.int64).tolist(), np.frombuffer(r[4], np.uint64).reshape(-1, 3).tolist()):
-                    part = (y, data[at : at + n])
+                    _merge(seen, (y, data[at : at + n]), doc_id, key, place, covered)
                     at += n
-                    _merge(seen, part, doc_id, key, place, covered)
-            kinds: dict[int, int] = {}
-            for y, _ in seen:
-                kinds[y] = kinds.get(y, 0) + 1
-            some = [(part, *v) for (y, part), v in seen.items() if kinds[y] > 1]
-            del seen, kinds
-            # stretches of one 20-gram stay together, in runs that bound the memory of a sort
-            if some:
-                covered += _overlaps(some)
-            yield _batch(_covered(covered, chunks))
+        if seen or covered:
+            yield finished()
 
     return run
 
 
+#: Bytes of stretches that are sorted together; those of one 20-gram always are.
+RUN_BYTES = 4 << 20
+
+
 def _overlaps(some: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """Covered places (doc_id, key, from, to) of distinct stretches (text, doc_id, places)."""
     buf = np.frombuffer(b"".join(p for p, *_ in some), np.uint8)
     lens = np.fromiter((len(p) for p, *_ in some), np.int64, len(some))
     start = np.cumsum(lens) - lens
@@ -361,7 +413,7 @@ def _overlaps(some: list[tuple]) -> list[tuple[int, int, int, int]]:
         return []
     own = np.repeat(np.arange(len(some)), lens)[at]
     doc = np.array([d for _, d, _ in some], np.int64)[own]
-    label = np.unique(label[at], return_inverse=True)[1].reshape(-1)
+    label = label[at]
     least = np.full(label.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, label, doc)
     hit = least[label] < doc
@@ -377,65 +429,69 @@ def _overlaps(some: list[tuple]) -> list[tuple[int, int, int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, copies, rows = _gathered(batches)
-    d, k, a, z = (_ints(rows, i) for i in (3, 4, 5, 6))
-    del rows
-    order = np.lexsort((a, k, d))
-    d, k, a, z = d[order], k[order], a[order], z[order]
-    start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else []
-    spans = {(int(d[i]), int(k[i])): (i, j) for i, j in zip(start, [*start[1:], len(d)])}
-    for at in range(0, len(docs), 2000):
-        out = []
-        for doc_id, text in docs[at : at + 2000]:
-            removed: list[list[int]] = []
-            if len(text) >= LENGTH and (doc_id, hashlib.sha256(text).digest()) in copies:
-                removed = [[0, len(text)]]
-            elif span := spans.get((doc_id, content_key(text))) if len(text) >= LENGTH and spans else None:
-                for x, y in zip(a[span[0] : span[1]].tolist(), z[span[0] : span[1]].tolist()):
-                    if removed and x <= removed[-1][1]:
-                        removed[-1][1] = max(removed[-1][1], y)
-                    else:
-                        removed.append([x, y])
-            kept, last = [], 0
-            for x, y in removed:
-                kept.append(text[last:x])
-                last = y
-            kept.append(text[last:])
-            rest = b"".join(kept)
-            out.append((doc_id, len(text), len(text) - len(rest), len(removed), hashlib.sha256(rest).hexdigest(), rest))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    for docs, copies, rows in _gathered(batches):
+        d, k, a, z = (_ints(rows, i) for i in (3, 4, 5, 6))
+        order = np.lexsort((a, k, d))
+        d, k, a, z = d[order], k[order], a[order], z[order]
+        start = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else []
+        spans = {(int(d[i]), int(k[i])): (i, j) for i, j in zip(start, [*start[1:], len(d)])}
+        for at in range(0, len(docs), 2000):
+            out = []
+            for doc_id, text in docs[at : at + 2000]:
+                removed: list[list[int]] = []
+                if len(text) >= LENGTH and (doc_id, hashlib.sha256(text).digest()) in copies:
+                    removed = [[0, len(text)]]
+                elif span := spans.get((doc_id, content_key(text))) if len(text) >= LENGTH and spans else None:
+                    for x, y in zip(a[span[0] : span[1]].tolist(), z[span[0] : span[1]].tolist()):
+                        if removed and x <= removed[-1][1]:
+                            removed[-1][1] = max(removed[-1][1], y)
+                        else:
+                            removed.append([x, y])
+                kept, last = [], 0
+                for x, y in removed:
+                    kept.append(text[last:x])
+                    last = y
+                kept.append(text[last:])
+                rest = b"".join(kept)
+                out.append((doc_id, len(text), len(text) - len(rest), len(removed), hashlib.sha256(rest).hexdigest(), rest))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in _OUT.split(", ")])
+
+
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay."""
     kept_columns(docs, ("doc_id", "text"))
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
+    texts = every.where("doc_id is not null")
     size = text_bytes(docs)
     buckets, chunks = parts(spark, 0.6 * size), parts(spark, size, 12 << 20)
     # whole copies: the smallest doc_id of a text stands for it
-    shas = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
-    heads = shas.groupBy("sha").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("most")).where("head < most")
-    copies = written(shas.join(heads, "sha").where("doc_id > head").select("doc_id", "sha").distinct())
-    candidates = written(texts.mapInArrow(_grams(buckets, chunks), _ROW).repartition(buckets, "at").mapInArrow(_shared(chunks), _ROW))
-    release(spark)
+    shas = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")))
+    heads = written(shas.groupBy("sha").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")))
+    several = heads.where("head < most").select("sha", "head")
+    copies = written(salted(shas, several, ["sha"], counts=heads.select("sha", "n")).where("doc_id > head").select("doc_id", "sha").distinct())
+    dropped(shas, heads)
+    candidates = written(dealt(texts.mapInArrow(_grams(buckets, chunks), _ROW), buckets).mapInArrow(_shared(chunks), _ROW))
     chunk = _chunk_column("doc_id", chunks)
 
     def gathered(rows: DataFrame) -> DataFrame:
         """Texts, copies and rows of each chunk together."""
         no_id, none = F.lit(None).cast("long"), F.lit(None).cast("binary")
-        return (
-            texts.select(F.lit(3).alias("kind"), chunk.alias("at"), "doc_id", F.col("text").alias("data"), none.alias("doc"), none.alias("content"), none.alias("a"), none.alias("b"))
-            .union(copies.select(F.lit(2), chunk, "doc_id", "sha", none, none, none, none))
-            .union(rows.select("kind", "at", no_id, none, "doc", "content", "a", "b"))
-            .repartition(chunks, "at")
-            .select("kind", "doc_id", "data", "doc", "content", "a", "b")
+        return dealt(
+            texts.select(chunk.alias("at"), F.lit(3).alias("kind"), "doc_id", F.col("text").alias("data"), none.alias("doc"), none.alias("content"), none.alias("a"), none.alias("b"))
+            .union(copies.select(chunk, F.lit(2), "doc_id", "sha", none, none, none, none))
+            .union(rows.select("at", "kind", no_id, none, "doc", "content", "a", "b")),
+            chunks,
         )
 
-    spans = written(gathered(candidates).mapInArrow(_windows(buckets, chunks), _ROW).repartition(buckets, "at").mapInArrow(_matches(chunks), _ROW))
-    release(spark)
-    return gathered(spans).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = written(dealt(gathered(candidates).mapInArrow(_windows(buckets, chunks), _ROW), buckets).mapInArrow(_matches(chunks), _ROW))
+    dropped(candidates)
+    whole = every.where("doc_id is null").select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2("text", 256), F.col("text").alias("kept"))
+    return gathered(spans).mapInArrow(_cut, _OUT).union(whole)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from driftlens.llm import components, decontaminate, exact_dedup, html_extract, language_id, near_copies, packing, quality, secrets, simhash, suffix_dedup, toxicity
+from driftlens.llm import common, components, decontaminate, exact_dedup, html_extract, language_id, near_copies, packing, quality, secrets, simhash, suffix_dedup, toxicity
 from driftlens.llm.common import crc_mod, table
 
 SF = "/root/testdata/sf0.001"
@@ -99,12 +99,46 @@ def test_exact_dedup(spark, odd):
 
 
 def test_digest_index_grows(spark, tmp_path):
+    """A second batch, an index opened with another partition count, repeated batches and repeated doc_ids."""
     path = f"file://{tmp_path}/index"
-    exact_dedup.keep_first(frame(spark, [(5, "one", None), (6, "two", None)]), path)
-    index, rows = None, frame(spark, [(1, "one", None), (2, "three", None)])
-    name = exact_dedup.DigestIndex(spark, path, 16)
-    name.append(exact_dedup.digests(rows))
-    assert sorted(r.keep_id for r in name.rows().collect()) == [2, 5, 6]
+    first = frame(spark, [(5, "one", None), (6, "two", None), (7, "t w o", None)])
+    assert {r.doc_id for r in exact_dedup.keep_first(first, path, "a").collect()} == {5, 7}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = frame(spark, [(1, "one", None), (2, "three", None), (3, "two", None)])
+        assert {r.doc_id for r in exact_dedup.keep_first(rows, path, "b").collect()} == {2}
+        assert {r.doc_id for r in exact_dedup.keep_first(rows, path, "b").collect()} == {2}
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(rows, path, "b").collect()}
+        assert got == {1: (5, 2, False), 2: (2, 1, True), 3: (7, 3, False)}
+        many = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+        for n in ("c", "d"):
+            exact_dedup.index_for(many, path, n)[0].close()
+        index = exact_dedup.DigestIndex(spark, path)
+        assert index.rows().count() == 403 and index.heads().count() == 403 and index.buckets == 16
+        index.close()
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, 64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_keep_first_of_repeated_ids(spark):
+    rows = [(5, "alpha", None), (5, "beta", None), (3, "beta ", None), (8, "gamma", None), (8, "gamma", None), (None, "delta", None), (None, "delta", None), (9, "del ta", None)]
+    got = sorted((r.doc_id, r.text) for r in exact_dedup.keep_first(frame(spark, rows)).collect())
+    assert got == [(3, "beta "), (5, "alpha"), (8, "gamma"), (9, "del ta")]
+    assert [(r.doc_id, r.text) for r in exact_dedup.keep_first(frame(spark, rows[5:7])).collect()] == [(None, "delta")]
+
+
+def test_hot_groups_are_split(spark):
+    """A third of all rows in one group, more rows than a thousandth: results are those of the plain join."""
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    got = exact_dedup.exact_groups(rows).groupBy("group_size").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()
+    assert {(r.group_size, r.n, r.k) for r in got} == {(2000, 2000, 1), (1, 4000, 4000)}
+    small = spark.createDataFrame([("same", 1), ("1", 2), ("1", 3)], "text string, v int")
+    both = common.salted(common.written(rows), small, ["text"])
+    assert {(r.text, r.v): r.n for r in both.groupBy("text", "v").agg(F.count("*").alias("n")).collect()} == {("same", 1): 2000, ("1", 2): 1, ("1", 3): 1}
+    assert common.salted(common.written(rows), small, ["text"], "left").count() == 6001
 
 
 def test_simhash(spark, odd):
@@ -228,8 +262,6 @@ def test_decontaminate(spark):
     docs = frame(spark, rows)
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained(docs, bench).collect())
     assert got == [(1, 3), (2, 3), (4, 0), (7, 4), (7, 4)]
-    blocks = sorted((r.doc_id, r.item_id) for r in decontaminate.contained(docs, bench, block_keys=10).collect())
-    assert blocks == got
     assert sorted(r.doc_id for r in decontaminate.without_items(docs, bench).collect()) == [3, 5, 6]
     assert decontaminate.contained(docs, bench.where("false")).count() == 0
 
@@ -241,7 +273,7 @@ def test_language(spark, odd):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) > 0.9 * len(held)
     got = {r.doc_id: r for r in language_id.predict(frame(spark, odd), language_id.fit(frame(spark, odd))).collect()}
     assert {got[i].lang_pred for i in (1, 2, 3, 13)} == {"und"} and got[3].score == 0
-    assert language_id.runs("\u00bd \u00b2 12") == [] and language_id.runs("x\u00b2 \u00bd") == ["x\u00b2", "\u00bd"]
+    assert not language_id.has_letter("\u00bd \u00b2 12") and language_id.has_letter("x\u00b2 \u00bd") and not language_id.has_letter(None)
     assert {r.lang_pred for r in language_id.predict(frame(spark, odd), None).collect()} == {"und"}
     assert {r.doc_id for r in language_id.accepted(frame(spark, odd)).collect()} == {i for i, t, _ in odd} - {1, 2, 3, 13}
 
@@ -249,19 +281,36 @@ def test_language(spark, odd):
 def test_language_learns_whole_texts_and_all_languages(spark, monkeypatch):
     """700 languages whose own words stand behind 3,000 characters that all texts share."""
     seen = {}
-    monkeypatch.setattr(language_id.ByteGru, "train", lambda self, words, y, *more: seen.update(words=words, y=y))
+    monkeypatch.setattr(language_id.ByteGru, "train", lambda self, texts, y, *more: seen.update(texts=texts, y=y))
     rows = [(5 * k + i, "licence " * 375 + "own" + "".join(chr(97 + int(d)) for d in str(k)) + " tail" * 9, f"l{k:03d}") for k in range(700) for i in range(5)]
     docs = frame(spark, rows)
     model = language_id.fit(docs)
     learned = {r.lang for r in docs.where(crc_mod("doc_id", 5) != 0).select("lang").collect()}
     assert len(learned) > 690 and model.languages == sorted(learned)
-    own = {(model.languages[k], w.decode()) for k, w in zip(seen["y"], seen["words"]) if w.startswith(b"own")}
-    assert {lang for lang, _ in own} == learned and len(own) == len(learned)
+    whole = {(lang, t.encode()) for _, t, lang in rows}
+    assert {(model.languages[k], t) for k, t in zip(seen["y"], seen["texts"])} <= whole and len(set(seen["y"])) == len(learned)
+    # a bound on all characters means fewer documents, each of them whole
+    few = language_id.training_texts(docs.where("lang = 'l007'").union(frame(spark, [(9000 + i, "x" * 4000, "big") for i in range(500)])), sample_chars=200_000)
+    assert 5 < sum(lang == "big" for lang, _ in few) < 60 and {len(t) for lang, t in few if lang == "big"} == {4000}
+
+
+def test_every_byte_is_labelled_with_its_context():
+    """Windows give the labels that one pass over the whole text gives, but for context far away."""
+    m = language_id.ByteGru(["a", "b", "c"], hidden=4)
+    rng = random.Random(1)
+    texts = [words(rng, n).encode() for n in (0, 1, 30, 500)] + ["é, ü 12! ".encode() * 90, b""]
+    got = language_id.document_labels(m, texts, core=64, context=40)
+    for t, row in zip(texts, got):
+        assert abs(row.sum() - len(t)) < 1e-2
+        if t:
+            assert np.allclose(row, m.labels([t])[0].sum(0), atol=1e-3 * len(t))
+    one, other = (m.labels([w + b" same word"])[0][-4:] for w in (b"first", b"xqzzx"))
+    assert not np.allclose(one, other, atol=1e-9)
 
 
 def test_more_languages_than_a_batch():
     m = language_id.ByteGru([str(k) for k in range(6)], hidden=3)
-    assert len(m.train([b"a", b"b", b"c", b"d", b"e", b"f", b"g"], np.array([0, 1, 2, 3, 4, 5, 5]), np.array([1.0, 1, 1, 1, 1, 3, 1]), steps=2, batch=4)) == 4
+    assert len(m.train([b"a", b"b", b"c", b"d", b"e", b"f", b"g"], np.array([0, 1, 2, 3, 4, 5, 5]), steps=2, batch=4)) == 4
 
 
 def test_gradients_of_gru():
@@ -320,7 +369,7 @@ def test_whole_texts_are_learned(spark):
     chain = toxicity.fit(docs, marks, toxicity.CATEGORIES)
     assert all((r.p_toxic > 0.5) == (r.doc_id % 2 == 1) for r in toxicity.predict(docs, chain, toxicity.CATEGORIES).collect())
     ids, share = quality.unpacked_shares(quality.packed_shares("ab c ab"))
-    assert abs(share.sum() - 1) < 1e-6 and len(ids) == len(set(ids.tolist())) == len(set(quality.features([b"ab", b"c"])[1].tolist()))
+    assert abs(share.sum() - 1) < 1e-6 and len(ids) == len(set(ids.tolist())) == len(set(quality.features(["ab", "c"])[1].tolist()))
     # a bound on all characters means fewer documents, each of them whole
     few = quality.labelled_sample(docs, labels, ["toxic"], F.lit(True), lambda t: str(len(t)).encode(), 60, 20 * len(rows[0][1]))
     assert 5 < len(few) < 40 and {int(r["found"]) for r in few} == {len(rows[0][1])}
