@@ -258,13 +258,14 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
-#: A document whose best language is labelled with less than this is rejected.
-LEAST_SCORE = 0.3
+#: A document whose best language is labelled with less than this many times an equal share is rejected.
+LEAST_SHARES = 1.05
 
 
-def accepted(docs: DataFrame, model: ByteGru | None = None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` in a known language, with all their columns."""
+def accepted(docs: DataFrame, model: ByteGru | None = None, least_shares: float = LEAST_SHARES) -> DataFrame:
+    """The rows of ``docs`` in a known language, with all their columns; of a single learned language every text with a letter."""
     model = model or fit(docs)
+    least = 0.0 if model is None or len(model.languages) < 2 else least_shares / len(model.languages)
     run, names = _predict(model), docs.columns
     schema = docs.schema
 
