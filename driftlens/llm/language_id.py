@@ -37,7 +37,7 @@ HIDDEN = 12
 #: Bytes that a window labels, and bytes of context before and after them.
 CORE, CONTEXT = 400, 24
 #: Windows of a batch; its products stay small enough for one thread.
-ROWS = 512
+ROWS = 900
 #: Bound of the training sample: documents of a language, and of all languages, but LEAST_DOCS of each at least, and
 #: about the characters of all of them; longer texts mean fewer documents.
 SAMPLE_DOCS, ALL_DOCS, LEAST_DOCS, SAMPLE_CHARS = 600, 60_000, 20, 40_000_000
@@ -71,58 +71,80 @@ class ByteGru:
         self.p["o"] = np.zeros(len(languages))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _layer(self, d: str, x: np.ndarray, on: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each byte of x (rows, steps); ``on`` masks the padding."""
-        n, steps = x.shape
-        h, hs, saved = np.zeros((n, self.h), np.float32), np.empty((steps, n, self.h), np.float32), []
-        table_, u, c = self.p[f"x{d}"], self.p[f"u{d}"], self.p[f"c{d}"]
-        k = self.h
-        for t in range(steps):
-            g = table_[x[:, t]]
-            zr = 0.5 * np.tanh(0.5 * (g[:, : 2 * k] + h @ u)) + 0.5
+    def _layer(self, d: str, x: np.ndarray, on: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States (steps, rows, units) after each byte of x (steps, rows), read forwards or backwards; padding leaves a state as it is."""
+        steps, n = x.shape
+        k, table_ = self.h, self.p[f"x{d}"].copy()
+        # the logistic function by way of tanh
+        table_[:, : 2 * k] *= 0.5
+        u, c = self.p[f"u{d}"] * table_.dtype.type(0.5), self.p[f"c{d}"]
+        h, hs, saved = np.zeros((n, k), table_.dtype), np.empty((steps, n, k), table_.dtype), [()] * steps
+        full = on.all(1)[:, 0] if n else np.zeros(steps, bool)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            g = table_[x[t]]
+            zr = h @ u
+            zr += g[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :k], zr[:, k:]
             rh = r * h
-            cand = np.tanh(g[:, 2 * k :] + rh @ c)
-            m = on[:, t : t + 1] * z
-            new = h + m * (cand - h)
+            cand = rh @ c
+            cand += g[:, 2 * k :]
+            np.tanh(cand, out=cand)
             if keep:
-                saved.append((h, z, r, rh, cand))
-            hs[t] = h = new
+                saved[t] = (h, z, r, rh, cand)
+            step = cand - h
+            step *= z
+            if not full[t]:
+                step *= on[t]
+            h = np.add(h, step, out=hs[t])
         return hs, saved
 
     @staticmethod
-    def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        steps = int(lens.max())
-        on = np.arange(steps)[None, :] < lens[:, None]
+    def _padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes (steps, rows) and where there are any (steps, rows, 1)."""
+        lens = np.fromiter(map(len, windows), np.int64, len(windows))
+        on = np.arange(int(lens.max()))[None, :] < lens[:, None]
         x = np.zeros(on.shape, np.uint8)
-        x[on] = np.frombuffer(b"".join(words), np.uint8)
-        back = np.where(on, lens[:, None] - 1 - np.arange(steps)[None, :], 0)
-        return x, np.take_along_axis(x, back, 1) * on, on.astype(np.float32), back
-
-    def _forward(self, words: list[bytes], keep: bool = False):
-        x, xb, on, back = self._padded(words)
-        hf, sf = self._layer("f", x, on, keep)
-        hb, sb = self._layer("b", xb, on, keep)
-        hf, hb = hf.transpose(1, 0, 2), np.take_along_axis(hb.transpose(1, 0, 2), back[:, :, None], 1)
-        both = np.concatenate((hf, hb), 2)
-        logits = both @ self.p["v"] + self.p["o"]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True), both, on, back, (x, xb, sf, sb)
+        x[on] = np.frombuffer(b"".join(windows), np.uint8)
+        return np.ascontiguousarray(x.T), np.ascontiguousarray(on.T)[:, :, None].astype(np.float32)
+
+    def _softmax(self, hf: np.ndarray, hb: np.ndarray) -> np.ndarray:
+        v, k = self.p["v"], self.h
+        out = hf @ v[:k]
+        out += hb @ v[k:]
+        out += self.p["o"]
+        out -= out.max(-1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(-1, keepdims=True)
+        return out
 
     def labels(self, windows: list[bytes]) -> np.ndarray:
-        """(windows, bytes, languages): each byte's probabilities."""
-        return self._forward(windows)[0]
+        """(bytes, windows, languages): each byte's probabilities."""
+        x, on = self._padded(windows)
+        return self._softmax(self._layer("f", x, on)[0], self._layer("b", x, on)[0])
+
+    def pooled(self, windows: list[bytes], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each window the summed probabilities of its bytes from ``first`` to before ``last``."""
+        x, on = self._padded(windows)
+        hf, hb = self._layer("f", x, on)[0], self._layer("b", x, on)[0]
+        out = np.zeros((len(windows), len(self.languages)))
+        for a in range(0, len(x), 8):  # blocks stay in the cache
+            t = np.arange(a, min(a + 8, len(x)))[:, None]
+            mine = ((t >= first) & (t < last)).astype(hf.dtype)
+            out += (self._softmax(hf[a : a + 8], hb[a : a + 8]) * mine[:, :, None]).sum(0)
+        return out
 
     def _layer_back(self, d: str, x: np.ndarray, on: np.ndarray, saved: list, dh_all: np.ndarray, grads: dict) -> None:
         u, c, k = self.p[f"u{d}"], self.p[f"c{d}"], self.h
         gx, gu, gc = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u), np.zeros_like(c)
-        dh = np.zeros((len(x), k), np.float32)
-        gates = np.empty((x.shape[1], len(x), 3 * k), gx.dtype)
-        for t in range(x.shape[1] - 1, -1, -1):
+        steps, n = x.shape
+        dh, gates = np.zeros((n, k), gx.dtype), np.empty((steps, n, 3 * k), gx.dtype)
+        for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
             h, z, r, rh, cand = saved[t]
-            dh = dh + dh_all[:, t]
-            m = on[:, t : t + 1]
+            dh = dh + dh_all[t]
+            m = on[t]
             dz = dh * m * (cand - h)
             dcand = dh * m * z
             dh = dh * (1 - m * z)
@@ -135,26 +157,25 @@ class ByteGru:
             gu += h.T @ dzr
             dh = dh + dzr @ u.T
             gates[t, :, : 2 * k], gates[t, :, 2 * k :] = dzr, da
-        seen = x.T.ravel()
+        seen = x.ravel()
         order = np.argsort(seen, kind="stable")
         values, first = np.unique(seen[order], return_index=True)
         gx[values] = np.add.reduceat(gates.reshape(-1, 3 * k)[order], first, axis=0)
         grads[f"x{d}"], grads[f"u{d}"], grads[f"c{d}"] = gx, gu, gc
 
-    def gradients(self, words: list[bytes], y: np.ndarray) -> tuple[float, dict]:
-        probs, both, on, back, (x, xb, sf, sb) = self._forward(words, keep=True)
-        total = on.sum()
-        n = np.arange(len(words))[:, None]
-        t = np.arange(on.shape[1])[None, :]
-        loss = float(-(np.log(probs[n, t, y[:, None]] + 1e-9) * on).sum() / total)
-        dl = probs.copy()
-        dl[n, t, y[:, None]] -= 1
-        dl *= (on / total)[:, :, None]
-        grads = {"v": np.einsum("ntk,ntc->kc", both, dl), "o": dl.sum((0, 1))}
+    def gradients(self, windows: list[bytes], y: np.ndarray) -> tuple[float, dict]:
+        x, on = self._padded(windows)
+        (hf, sf), (hb, sb) = self._layer("f", x, on, True), self._layer("b", x, on, True)
+        probs, total, k = self._softmax(hf, hb), on.sum(), self.h
+        t, n = np.arange(len(x))[:, None], np.arange(len(windows))[None, :]
+        loss = float(-(np.log(probs[t, n, y[None, :]] + 1e-9) * on[:, :, 0]).sum() / total)
+        dl = probs
+        dl[t, n, y[None, :]] -= 1
+        dl *= on / total
+        grads = {"v": np.concatenate((np.einsum("tnk,tnc->kc", hf, dl), np.einsum("tnk,tnc->kc", hb, dl))), "o": dl.sum((0, 1))}
         dboth = dl @ self.p["v"].T
-        self._layer_back("f", x, on, sf, dboth[:, :, : self.h], grads)
-        db = np.take_along_axis(dboth[:, :, self.h :], back[:, :, None], 1) * on[:, :, None]  # the reversal is its own inverse
-        self._layer_back("b", xb, on, sb, db, grads)
+        self._layer_back("f", x, on, sf, dboth[:, :, :k], grads)
+        self._layer_back("b", x, on, sb, dboth[:, :, k:], grads)
         return loss, grads
 
     def train(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.015, seed: int = 7) -> list[float]:
@@ -192,10 +213,7 @@ def document_labels(model: ByteGru, texts: list[bytes], core: int = CORE, contex
     rows = max(1, ROWS * 32 // max(32, len(model.languages)))  # bounds the memory of many languages
     for k in range(0, len(order), rows):
         some = order[k : k + rows]
-        probs = model.labels([cut[i] for i in some])
-        place = np.arange(probs.shape[1])[None, :]
-        mine = (place >= before[some, None]) & (place < (before + own)[some, None])
-        np.add.at(out, owner[some], np.einsum("ntc,nt->nc", probs, mine.astype(np.float32)))
+        np.add.at(out, owner[some], model.pooled([cut[i] for i in some], before[some], (before + own)[some]))
     return out
 
 
