@@ -37,7 +37,8 @@ def scratch(spark: SparkSession) -> str:
 
 #: Scratch folders by application, for :func:`clean_scratch`.
 _SCRATCH: dict[str, list[str]] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For a write that cuts lineage: its shuffle files go with its end; what Python workers get at once stays small where rows are large.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,12 +61,14 @@ def written(df: DataFrame, path: str | None = None, codec: str = "zstd") -> Data
     """Cut lineage: write ``df`` to the shared folder and read it again with its own schema; the shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

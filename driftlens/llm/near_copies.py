@@ -80,38 +80,54 @@ def _prefixes(last: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keys, owners, sizes, held = [], [], [], 0
-            for i, (doc_id, t) in enumerate(zip(ids, texts)):
-                h = shingle_set(t)
-                n = len(h)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, order[at], -1)
-                    h = h[np.argsort(rank, kind="stable")]
-                keys.append(h[: n - need(n) + 1])
-                owners.append(doc_id)
-                sizes.append(n)
-                held += len(keys[-1])
-                if held > 100_000 or i + 1 == len(ids):
-                    lens = [len(k) for k in keys]
-                    cols = [np.concatenate(keys).view(np.int64), np.repeat(np.array(owners, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc_id", "n"])
-                    keys, owners, sizes, held = [], [], [], 0
+            for at in range(0, b.num_rows, 500):
+                ids, texts = b.column(0)[at : at + 500], b.column(1)[at : at + 500].to_pylist()
+                keys, sizes = [], []
+                for t in texts:
+                    h = shingle_set(t)
+                    n = len(h)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        rank = np.where(known[place] == h, order[place], -1)
+                        h = h[np.argsort(rank, kind="stable")]
+                    keys.append(h[: n - need(n) + 1].view(np.int64))
+                    sizes.append(n)
+                ends = np.cumsum([0, *map(len, keys)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), lists], ["doc_id", "n", "keys"])
 
     return run
 
 
+def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    cols = list(zip(*([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches)))
+    return [np.concatenate(c) for c in cols] or None
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, nb) for each document b of a prefix shingle whose smallest document a is of similar size."""
+    if not (cols := _columns(batches)):
+        return
+    key, doc, n = cols
+    order = np.lexsort((doc, key))
+    key, doc, n = key[order], doc[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    head = np.repeat(first, np.diff(np.append(first, len(key))))
+    ok = (doc != doc[head]) & (NUM * np.maximum(n, n[head]) <= DEN * np.minimum(n, n[head]))
+    for at in range(0, int(ok.sum()), 200_000):
+        rows = np.flatnonzero(ok)[at : at + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[head[rows]], doc[rows], n[rows])], ["a", "b", "nb"])
+
+
 #: Pairs that are held at once.
-STEP_PAIRS = 2_000_000
+STEP_PAIRS = 300_000
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb) for each shared prefix shingle of two documents of similar size in different components."""
-    cols = list(zip(*([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches)))
-    if not cols:
+    if not (cols := _columns(batches)):
         return
-    key, doc, n, comp = (np.concatenate(c) for c in cols)
+    key, doc, n, comp = cols
     order = np.lexsort((doc, comp, key))
     key, doc, n, comp = key[order], doc[order], n[order].astype(np.int64), comp[order]
     new_key = np.concatenate((key[1:] != key[:-1], [True]))
@@ -147,54 +163,49 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n) for each shingle in the prefix of a document of n shingles."""
-    return docs.mapInArrow(_prefixes(frequent(docs)), "key long, doc_id long, n int")
+    """(doc_id, n, keys): the number of a document's shingles, and those in its prefix; written."""
+    return written(docs.mapInArrow(_prefixes(frequent(docs)), "doc_id long, n int, keys array<long>"))
+
+
+def met(keys: DataFrame, total: int) -> DataFrame:
+    """(key, ...) for each prefix shingle, those of one shingle in one partition."""
+    rest = [c for c in keys.columns if c != "keys"]
+    return keys.select(F.explode("keys").alias("key"), *rest).repartition(min(parts(keys.sparkSession, 28 * total), MOST_PARTS), "key")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id and grams, the whole set, of the documents in ``pairs``; written."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]))
-
+    return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, grams binary"))
 
-def prefix_size(n) -> Column:
-    """The shingles in the prefix of a set of n."""
-    return n - F.floor((NUM * n + DEN - 1) / DEN) + 1
 
-
-def star_pairs(keys: DataFrame) -> DataFrame:
+def star_pairs(keys: DataFrame, total: int) -> DataFrame:
     """(a, b): each document with that document that is the smallest of most of its prefix shingles, if of a quarter of them."""
-    least = written(keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("m")))
-    heads = least.where("m > 1").select("key", F.col("h.doc_id").alias("a"), F.col("h.n").alias("na"))
-    met = salted(keys, heads, ["key"], counts=least.select("key", F.col("m").alias("n")))
-    met = met.where((F.col("a") != F.col("doc_id")) & (NUM * F.greatest("n", "na") <= DEN * F.least("n", "na")))
-    shared = met.groupBy("doc_id", "n", "a").agg(F.count(F.lit(1)).alias("k")).where(4 * F.col("k") >= prefix_size(F.col("n")))
-    best = shared.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("a")).alias("neg"))).alias("h"))
-    return best.select((-F.col("h.neg")).alias("a"), F.col("doc_id").alias("b"))
+    shared = met(keys, total).mapInArrow(_stars, "a long, b long, nb long").groupBy("a", "b", "nb").agg(F.count(F.lit(1)).alias("k"))
+    prefix = F.col("nb") - F.floor((NUM * F.col("nb") + DEN - 1) / DEN) + 1
+    best = shared.where(4 * F.col("k") >= prefix).groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("neg"))).alias("h"))
+    return best.select((-F.col("h.neg")).alias("a"), "b")
 
 
-def cross_pairs(keys: DataFrame, components_: DataFrame) -> DataFrame:
+def cross_pairs(keys: DataFrame, total: int, components_: DataFrame) -> DataFrame:
     """(a, b) of documents in different components that can still be similar, as their prefixes tell; written."""
-    spark = keys.sparkSession
     named = components_.select(F.col("node").alias("doc_id"), "component")
-    of = written(keys.join(named, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
-    spans = written(of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")))
-    open_ = salted(of, spans.where("lo < hi").select("key"), ["key"], counts=spans.select("key", "n"))
-    total = spans.where("lo < hi").agg(F.sum("n")).first()[0] or 0
-    n = min(parts(spark, 28 * total), MOST_PARTS)
-    shared = open_.repartition(n, "key").select("key", "doc_id", "n", "comp").mapInArrow(_cross, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
+    of = keys.join(named, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "keys")
+    shared = met(of, total).mapInArrow(_cross, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
     # beyond the prefix that ends first, at most the rest of its own set is shared
     rest = F.greatest(*(F.floor((NUM * F.col(c) + DEN - 1) / DEN) - 1 for c in ("na", "nb")))
-    out = written(shared.where((NUM + DEN) * (F.col("count") + rest) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
-    dropped(of, spans)
-    return out
+    return written(shared.where((NUM + DEN) * (F.col("count") + rest) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+
+
+def n_keys(keys: DataFrame) -> int:
+    return keys.agg(F.sum(F.size("keys"))).first()[0] or 0
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is 0.8 or more."""
+    """The pairs (a, b), a written table, whose similarity is 0.8 or more; the pairs of a hub are split among tasks."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb")
+    both = salted(pairs, one, ["a"]).join(two, "b").select("a", "b", "ga", "gb")
     return both.mapInArrow(_similar, "a long, b long").distinct()
 
 
@@ -207,7 +218,8 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
     """(a, b), a < b: every two documents whose similarity is 0.8 or more; for groups of bounded size, as it lists all pairs."""
     docs = usable(docs)
     alone = docs.sparkSession.createDataFrame([], "node long, component long")
-    pairs = cross_pairs(written(prefix_keys(docs)), alone)
+    keys = prefix_keys(docs)
+    pairs = cross_pairs(keys, n_keys(keys), alone)
     return verified(pairs, sets_of(docs, pairs))
 
 
@@ -218,13 +230,14 @@ def groups(docs: DataFrame) -> DataFrame:
     head = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
     linked = near.join(head[0], "a").join(head[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     copies = salted(fps, heads.where("n > 1").select("fp", "head"), ["fp"], counts=heads.select("fp", "n")).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    keys = written(prefix_keys(docs))
-    first = linked.union(copies).union(star_pairs(keys)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    keys = prefix_keys(docs)
+    total = n_keys(keys)
+    first = linked.union(copies).union(star_pairs(keys, total)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = written(first.where("a < b").distinct())
     sets = sets_of(docs, first)
     links = written(verified(first, sets))
     dropped(fps, heads, near, first, sets)
-    apart = cross_pairs(keys, components(links))
+    apart = cross_pairs(keys, total, components(links))
     sets = sets_of(docs, apart)
     more = written(verified(apart, sets))
     dropped(keys, apart, sets)
