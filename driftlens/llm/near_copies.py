@@ -11,9 +11,10 @@ is in a prefix; the sample decides the cost only, as any order finds all pairs.
 No group is turned into all its pairs. First, fingerprint links and one pair a
 document, with the smallest document of its prefix shingles, are verified on
 whole sets; they join dense groups into components. Then only pairs of
-documents in different components that share a prefix shingle are listed. How
-many they share bounds their overlap from above; those that can still reach 0.8
-are verified. A link within a component could not change the components.
+documents in different components are listed, at those prefix shingles that can
+be the first that they share: its places and their sizes bound their overlap
+from above, and only where that can still reach 0.8 they are verified. A link
+within a component could not change the components.
 
 Words are those of the fingerprints of ``simhash``. Edge cases: null and empty
 texts have no words and are copies of each other only; a text of one to four
@@ -124,12 +125,12 @@ STEP_PAIRS = 300_000
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb) for each shared prefix shingle of two documents of similar size in different components."""
+    """(a, b) for each prefix shingle that can be the first one shared by two similar documents in different components."""
     if not (cols := _columns(batches)):
         return
-    key, doc, n, comp = cols
+    key, pos, doc, n, comp = cols
     order = np.lexsort((doc, comp, key))
-    key, doc, n, comp = key[order], doc[order], n[order].astype(np.int64), comp[order]
+    key, pos, doc, n, comp = key[order], pos[order], doc[order], n[order].astype(np.int64), comp[order]
     new_key = np.concatenate((key[1:] != key[:-1], [True]))
     new_run = new_key | np.concatenate((comp[1:] != comp[:-1], [True]))
     rows = np.arange(len(key))
@@ -143,12 +144,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = max(1, int(np.searchsorted(held, STEP_PAIRS, "right")))
         left = np.repeat(busy[:take], count[busy[:take]])
         right = np.arange(len(left)) - np.repeat(held[:take] - count[busy[:take]], count[busy[:take]]) + first[left]
-        ok = (NUM * np.maximum(n[left], n[right]) <= DEN * np.minimum(n[left], n[right])) & (doc[left] != doc[right])
-        left, right = left[ok], right[ok]
-        swap = doc[left] > doc[right]
-        x, y = np.where(swap, right, left), np.where(swap, left, right)
+        # the first shingle that two sets share has nothing in common before it, so what follows it bounds the overlap
+        overlap = -(-NUM * (n[left] + n[right]) // (NUM + DEN))
+        ok = (np.minimum(n[left] - pos[left], n[right] - pos[right]) >= overlap) & (doc[left] != doc[right])
+        x, y = doc[left[ok]], doc[right[ok]]
         if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[x], doc[y], n[x], n[y])], ["a", "b", "na", "nb"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
         busy = busy[take:]
 
 
@@ -167,10 +168,9 @@ def prefix_keys(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(_prefixes(frequent(docs)), "doc_id long, n int, keys array<long>"))
 
 
-def met(keys: DataFrame, total: int) -> DataFrame:
-    """(key, ...) for each prefix shingle, those of one shingle in one partition."""
-    rest = [c for c in keys.columns if c != "keys"]
-    return keys.select(F.explode("keys").alias("key"), *rest).repartition(min(parts(keys.sparkSession, 28 * total), MOST_PARTS), "key")
+def met(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of prefix shingles with those of one shingle in one partition."""
+    return rows.repartition(min(parts(rows.sparkSession, 32 * total), MOST_PARTS), "key")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def star_pairs(keys: DataFrame, total: int) -> DataFrame:
     """(a, b): each document with that document that is the smallest of most of its prefix shingles, if of a quarter of them."""
-    shared = met(keys, total).mapInArrow(_stars, "a long, b long, nb long").groupBy("a", "b", "nb").agg(F.count(F.lit(1)).alias("k"))
+    shared = met(keys.select(F.explode("keys").alias("key"), "doc_id", "n"), total).mapInArrow(_stars, "a long, b long, nb long").groupBy("a", "b", "nb").agg(F.count(F.lit(1)).alias("k"))
     prefix = F.col("nb") - F.floor((NUM * F.col("nb") + DEN - 1) / DEN) + 1
     best = shared.where(4 * F.col("k") >= prefix).groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("neg"))).alias("h"))
     return best.select((-F.col("h.neg")).alias("a"), "b")
@@ -190,11 +190,8 @@ def star_pairs(keys: DataFrame, total: int) -> DataFrame:
 def cross_pairs(keys: DataFrame, total: int, components_: DataFrame) -> DataFrame:
     """(a, b) of documents in different components that can still be similar, as their prefixes tell; written."""
     named = components_.select(F.col("node").alias("doc_id"), "component")
-    of = keys.join(named, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "keys")
-    shared = met(of, total).mapInArrow(_cross, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
-    # beyond the prefix that ends first, at most the rest of its own set is shared
-    rest = F.greatest(*(F.floor((NUM * F.col(c) + DEN - 1) / DEN) - 1 for c in ("na", "nb")))
-    return written(shared.where((NUM + DEN) * (F.col("count") + rest) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+    of = keys.join(named, "doc_id", "left").select(F.posexplode("keys").alias("pos", "key"), "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    return written(met(of.select("key", "pos", "doc_id", "n", "comp"), total).mapInArrow(_cross, "a long, b long").distinct())
 
 
 def n_keys(keys: DataFrame) -> int:
