@@ -13,8 +13,9 @@ document, with the smallest document of its prefix shingles, are verified on
 whole sets; they join dense groups into components. Then only pairs of
 documents in different components are listed, at those prefix shingles that can
 be the first that they share: its places and their sizes bound their overlap
-from above, and only where that can still reach 0.8 they are verified. A link
-within a component could not change the components.
+from above. Where that can still reach 0.8 their prefixes are held against each
+other, which bounds it further, and only what is left is verified. A link within
+a component could not change the components.
 
 Words are those of the fingerprints of ``simhash``. Edge cases: null and empty
 texts have no words and are copies of each other only; a text of one to four
@@ -191,7 +192,15 @@ def cross_pairs(keys: DataFrame, total: int, components_: DataFrame) -> DataFram
     """(a, b) of documents in different components that can still be similar, as their prefixes tell; written."""
     named = components_.select(F.col("node").alias("doc_id"), "component")
     of = keys.join(named, "doc_id", "left").select(F.posexplode("keys").alias("pos", "key"), "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    return written(met(of.select("key", "pos", "doc_id", "n", "comp"), total).mapInArrow(_cross, "a long, b long").distinct())
+    pairs = written(met(of.select("key", "pos", "doc_id", "n", "comp"), total).mapInArrow(_cross, "a long, b long").distinct())
+    # beyond the prefix that ends first, at most the rest of its own set is shared; prefixes are a fifth of the sets
+    one, two = (keys.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "ab")
+    both = salted(pairs, one, ["a"]).join(two, "b")
+    rest = F.greatest(*(F.floor((NUM * F.col(c) + DEN - 1) / DEN) - 1 for c in ("na", "nb")))
+    could = (NUM + DEN) * (F.size(F.array_intersect("ka", "kb")) + rest) >= NUM * (F.col("na") + F.col("nb"))
+    out = written(both.where(could).select("a", "b").distinct())
+    dropped(pairs)
+    return out
 
 
 def n_keys(keys: DataFrame) -> int:
