@@ -43,6 +43,7 @@ HEDGES = (
     r"\b(approximately|approx\.?|about|around|roughly|nearly|almost|over|under|above|below|more\s+than|less\s+than|up\s+to|at\s+least|at\s+most|"
     r"no\s+(?:more|less)\s+than|between|range\s+of|in\s+the\s+range\s+of|north\s+of|south\s+of|low|mid|high|single|double|triple|digits?|plus|minus)\b"
 )
+# Numbers and currency signs.
 NUMBER = r"\b\d+(?:[.,]\d+)*\b"
 CURRENCY = "[$€£¥]"
 
@@ -194,7 +195,7 @@ def ticker_of(ticker: Column, name: Column, candidates: list[str], names: dict[s
     """The row's own ticker, else by exact name, else the first candidate (in order) within the name, else empty."""
     known = F.create_map(*[F.lit(x) for kv in (names or TICKERS).items() for x in kv])
     found = F.lit("")
-    for c in sorted(candidates, reverse=True):
+    for c in reversed([c for c in candidates if c]):
         found = F.when(F.contains(F.upper(name), F.lit(c.upper())), c.upper()).otherwise(found)
     return F.coalesce(F.nullif(F.upper(F.trim(ticker)), F.lit("")), F.element_at(known, name), found)
 

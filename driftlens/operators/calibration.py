@@ -6,18 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
+# Labels, weights of confidence, seed of the draws.
 LABELS = ("MAINTAINED", "REPHRASED", "DROPPED", "UNCLEAR")
-WEIGHTS = {"H": 1.0, "M": 0.5, "L": 0.25}
+WEIGHTS = {"H": 1.0, "M": 0.7, "L": 0.3}
+SEED = 20260509
 
 
 def weighted_labels(pairs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Pairs with a weight by confidence; UNCLEAR goes. Raises on labels or confidences that are not known."""
+    """Pairs with a weight by confidence; UNCLEAR goes. Reading the result raises on labels or confidences that are not known."""
     weights = weights or WEIGHTS
-    bad = pairs.agg(F.count_if(~F.col("label").isin(*LABELS) | ~F.col("confidence").isin(*weights)).alias("n")).first()["n"]
-    if bad:
-        raise ValueError(f"{bad} rows with an unknown label or confidence")
+    known = F.col("label").isin(*LABELS) & F.col("confidence").isin(*weights)
+    wrong = F.raise_error(F.concat(F.lit("unknown label or confidence: "), F.coalesce(F.col("label").cast("string"), F.lit("null")), F.lit(", "), F.coalesce(F.col("confidence").cast("string"), F.lit("null"))))
     m = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    return pairs.where(F.col("label") != "UNCLEAR").withColumn("weight", F.element_at(m, F.col("confidence")))
+    return pairs.where(F.when(F.coalesce(known, F.lit(False)), F.col("label") != "UNCLEAR").otherwise(wrong.cast("boolean"))).withColumn("weight", F.element_at(m, F.col("confidence")))
 
 
 def boundary_sweep(pairs: DataFrame, x: str = "similarity", y: str = "y", w: str = "weight", steps: int = 100) -> DataFrame:
@@ -48,23 +51,8 @@ def best_thresholds(sweep: DataFrame) -> DataFrame:
 def weighted_auc(pairs: DataFrame, x: str = "similarity", y: str = "y", w: str = "weight") -> DataFrame:
     """The weighted chance that a positive has a higher x than a negative, ties by half; by sums over distinct values."""
     by = pairs.groupBy(x).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)).alias("q"))
-    below = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    c = by.withColumn("lower", F.coalesce(F.sum("q").over(below), F.lit(0.0)))
-    return c.agg(F.try_divide(F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-6, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic fit by Newton steps."""
-    X, b = np.stack((x, np.ones_like(x)), 1), np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(X @ b, -35, 35)))
-        g = X.T @ (w * (p - y)) + penalty * b
-        h = (X * (w * p * (1 - p))[:, None]).T @ X + penalty * np.eye(2)
-        step = np.linalg.solve(h, g)
-        b = b - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-10:
-            break
-    return float(b[0]), float(b[1])
+    c = running(by, x, ["q"])
+    return c.agg(F.try_divide(F.sum(F.col("p") * (F.col("q_upto") - F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def f1_threshold(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 100) -> float:
@@ -75,21 +63,8 @@ def f1_threshold(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 100)
     return float(np.round(f1, 9).argmax() / steps)
 
 
-def bootstrap(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]], draws: int = 1000, seed: int = 20260509) -> list[tuple[float, float]]:
-    """95 % intervals of the F1 threshold of each boundary, all from one random stream; labelled pairs are a small hand-made table."""
-    rng, out = np.random.default_rng(seed), []
-    for x, y, w in frames:
-        got = []
-        for _ in range(draws):
-            i = rng.integers(0, len(x), len(x))
-            if 0 < y[i].sum() < len(i):
-                got.append(f1_threshold(x[i], y[i], w[i]))
-        out.append(tuple(float(v) for v in np.percentile(got, [2.5, 97.5])) if got else (float("nan"), float("nan")))
-    return out
-
-
-def distributed_logistic(d: DataFrame, penalty: float = 1e-6, rounds: int = 50) -> tuple[float, float]:
-    """:func:`logistic` over a table of any size: a Newton step is one aggregate of five sums."""
+def logistic(d: DataFrame, penalty: float = 1e-6, rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a weighted logistic fit over a table of any size: a Newton step is one aggregate of five sums."""
     b = np.zeros(2)
     x, y, w = (F.col(c).cast("double") for c in ("similarity", "y", "weight"))
     for _ in range(rounds):
@@ -104,43 +79,37 @@ def distributed_logistic(d: DataFrame, penalty: float = 1e-6, rounds: int = 50)
     return float(b[0]), float(b[1])
 
 
-def bootstrap_cells(d: DataFrame, draws: int = 1000, steps: int = 100, seed: int = 20260509) -> tuple[float, float]:
-    """:func:`bootstrap` over a table of any size: the threshold depends on (step, y, weight) alone, so draws are of their counts."""
+def bootstrap(d: DataFrame, draws: int = 1000, steps: int = 100, rng: np.random.Generator | None = None) -> tuple[float, float]:
+    """The 95 % interval of the F1 threshold.
+
+    The threshold depends on (step, y, weight) alone, so what is drawn are the
+    counts of these cells, some hundreds however many pairs there are; the same
+    draws at every size.
+    """
     k = F.greatest(F.least(F.floor(F.round(F.col("similarity") * steps, 6)), F.lit(steps)), F.lit(-1)).cast("int")
     rows = d.groupBy(k.alias("k"), "y", "weight").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "y", "weight").collect()
     if not rows:
         return float("nan"), float("nan")
     x, y, w, n = (np.array([float(r[c]) for r in rows]) for c in ("k", "y", "weight", "n"))
-    rng, got = np.random.default_rng(seed), []
+    rng, got = rng or np.random.default_rng(SEED), []
     for c in rng.multinomial(int(n.sum()), n / n.sum(), draws):
         if 0 < c[y == 1].sum() < c.sum():
             got.append(f1_threshold(x / steps, y, w * c))
     return tuple(float(v) for v in np.percentile(got, [2.5, 97.5])) if got else (float("nan"), float("nan"))
 
 
-def calibrate(pairs: DataFrame, draws: int = 1000, most: int = 100_000) -> dict:
+def calibrate(pairs: DataFrame, draws: int = 1000) -> dict:
     """Both boundaries (MAINTAINED against DROPPED; either kind of kept against DROPPED): thresholds, AUC, logistic fit, interval.
 
-    Labelled pairs are made by hand; above ``most`` rows they stay in Spark, with draws of other random numbers.
+    One stream of random numbers serves both; pairs stay in Spark.
     """
     d = weighted_labels(pairs)
-    small = d.count() <= most
-    out, frames = {}, []
+    out, rng = {}, np.random.default_rng(SEED)
     for name, kept in (("maintained", ["MAINTAINED"]), ("rephrased", ["MAINTAINED", "REPHRASED"])):
         sub = d.where(F.col("label").isin(*kept, "DROPPED")).withColumn("y", (F.col("label") != "DROPPED").cast("int"))
         best, auc = best_thresholds(boundary_sweep(sub)).first(), weighted_auc(sub).first()["auc"]
-        if small:
-            rows = sub.orderBy("similarity", "y", "weight").select("similarity", "y", "weight").toPandas().to_numpy(float)
-            x, y, w = rows.T if len(rows) else np.zeros((3, 0))
-            n, (beta, alpha) = len(x), logistic(x, y, w) if len(x) else (0.0, 0.0)
-            frames.append((x, y, w))
-        else:
-            n, (beta, alpha) = sub.count(), distributed_logistic(sub)
-        out[name] = {**best.asDict(), "auc": auc, "logistic": {"beta": beta, "intercept": alpha}, "p50_threshold": -alpha / beta if beta else None, "n": n}
-        if not small:
-            out[name]["bootstrap_ci_95"] = bootstrap_cells(sub, draws)
-    for name, ci in zip(out, bootstrap(frames, draws) if small else []):
-        out[name]["bootstrap_ci_95"] = ci
+        n, (beta, alpha) = sub.count(), logistic(sub)
+        out[name] = {**best.asDict(), "auc": auc, "logistic": {"beta": beta, "intercept": alpha}, "p50_threshold": -alpha / beta if beta else None, "n": n, "bootstrap_ci_95": bootstrap(sub, draws, rng=rng)}
     return out
 
 

@@ -27,7 +27,3 @@ def abnormal_returns(daily: DataFrame, events: DataFrame, key: str = "company",
     v = band_rows(model, rows.select(key, "pos", "ret", "mkt_ret"), key, *window)
     ar = F.col("ret") - (F.col("alpha_hat") + F.col("beta_hat") * F.col("mkt_ret"))
     return v.groupBy(*keys, "alpha_hat", "beta_hat", "n_est_obs").agg(F.when(F.count(ar) == F.count(F.lit(1)), F.sum(ar)).alias("car"), F.count(F.lit(1)).alias("n_event_days"))
-
-
-def conclusion(p_value) -> object:
-    return F.when(p_value > 0.10, "not related").otherwise("related")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,41 +38,101 @@ def rule_targets(components: DataFrame, strict: bool = False) -> DataFrame:
     return out.where("governing_verb <> ''") if strict else out
 
 
-def parsed_response(raw: str | None) -> list[dict] | None:
-    """Targets of a model's reply: fenced or bare JSON, a list within text, or single objects; None if there is no JSON."""
-    if raw is None:
+# What a reply is searched for when it is no JSON as a whole, and the fields by which an object is a target.
+FIRST_LIST, FLAT_OBJECT = re.compile(r"\[.*?\]", re.S), re.compile(r"\{[^{}]*\}", re.S)
+TARGET_FIELDS = {"metric_name", "raw_text", "numerical_value", "trend_direction", "unit", "time_horizon", "confidence"}
+
+
+def _json(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
         return None
-    body = re.sub(r"^\s*```(?:json)?|```\s*$", "", raw.strip(), flags=re.M).strip()
-    candidates = [body]
-    if m := re.search(r"\[.*\]", body, re.S):
-        candidates.append(m[0])
-    for c in candidates:
-        try:
-            return _targets(json.loads(c))
-        except ValueError:
-            continue
-    found, at, decoder = [], body.find("{"), json.JSONDecoder()
-    while at >= 0:
-        try:
-            value, end = decoder.raw_decode(body, at)
-            found += _targets(value) or []
-            at = body.find("{", end)
-        except ValueError:
-            at = body.find("{", at + 1)
-    return found or None
-
-
-def _targets(value: object) -> list[dict] | None:
+
+
+def _objects(values: list) -> list[dict]:
+    return [x for x in values if isinstance(x, dict)]
+
+
+def parsed_response(raw: str | None) -> list[dict] | None:
+    """Targets of a model's reply; none for an empty reply, None where there is nothing to read.
+
+    The reply, without fences, is read as JSON; failing that its first list;
+    failing that its flat objects that look like targets. Of an object, the list
+    ``targets`` counts, else the first list that holds objects, else the object
+    itself if it looks like a target.
+    """
+    if not raw:
+        return []
+    body = raw.strip()
+    if body.startswith("```"):
+        body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", body)).strip()
+    value = _json(body)
+    if value is None and (m := FIRST_LIST.search(body)):
+        value = _json(m[0])
+    if value is None:
+        found = _objects([_json(m[0]) for m in FLAT_OBJECT.finditer(body)])
+        return [x for x in found if TARGET_FIELDS & x.keys()] if found else None
     if isinstance(value, list):
-        return [x for x in value if isinstance(x, dict)]
-    if isinstance(value, dict):
-        if isinstance(value.get("targets"), list):
-            return _targets(value["targets"])
-        for v in value.values():
-            if isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
-                return v
-        return [value] if "metric_name" in value else []
-    return None
+        return _objects(value)
+    if not isinstance(value, dict):
+        return None
+    if isinstance(value.get("targets"), list):
+        return _objects(value["targets"])
+    for v in value.values():
+        if isinstance(v, list) and (some := _objects(v)):
+            return some
+    return [value] if TARGET_FIELDS & value.keys() else None
+
+
+class LimitedClient:
+    """A client held to requests and tokens a minute, retried with growing pauses; it counts what it does.
+
+    Each partition has its own copy, so limits are to be divided by the tasks
+    that run at once. ``counters`` are of one copy.
+    """
+
+    def __init__(self, client: Callable[[str], str], requests: float = 600, tokens: float = 2_000_000, retries: int = 6, base: float = 1.0, cap: float = 60.0, sleep=time.sleep, clock=time.monotonic):
+        self.client, self.retries, self.base, self.cap, self.sleep, self.clock = client, retries, base, cap, sleep, clock
+        self.rates, self.left, self.at = (requests / 60, tokens / 60), [requests, tokens], None
+        self.most = (requests, tokens)
+        self.counters = dict.fromkeys(("requests", "retries", "failures", "tokens_in", "tokens_out", "empty", "replies"), 0)
+        self.counters["waited"] = 0.0
+
+    def _take(self, tokens: int) -> None:
+        """Wait until a request of so many tokens fits; one of more than a minute's tokens waits for a full minute's."""
+        wants = (1, min(tokens, self.most[1]))
+        while True:
+            now = self.clock()
+            past = 0.0 if self.at is None else now - self.at
+            self.at = now
+            self.left = [min(m, x + past * r) for m, x, r in zip(self.most, self.left, self.rates)]
+            pause = max((w - x) / r for w, x, r in zip(wants, self.left, self.rates))
+            if pause <= 0:
+                self.left = [x - w for x, w in zip(self.left, wants)]
+                return
+            self.counters["waited"] += pause
+            self.sleep(pause)
+
+    def __call__(self, text: str) -> str:
+        n = max(1, len(text) // 4) if text else 0
+        for k in range(self.retries + 1):
+            self._take(n)
+            self.counters["requests"] += 1
+            try:
+                reply = self.client(text)
+            except Exception:
+                if k == self.retries:
+                    self.counters["failures"] += 1
+                    raise
+                self.counters["retries"] += 1
+                self.sleep(min(self.base * 2**k, self.cap))
+                continue
+            self.counters["tokens_in"] += n
+            self.counters["tokens_out"] += len(reply or "") // 4
+            self.counters["replies" if reply else "empty"] += 1
+            return reply
+        raise AssertionError
 
 
 def extract_with(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk") -> DataFrame:

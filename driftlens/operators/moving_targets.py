@@ -52,6 +52,15 @@ def persistence(sets: DataFrame, window: int = 12) -> DataFrame:
     return moved.join(calls, list(KEY), "left_semi").groupBy(*KEY, "norm").agg((F.count(F.lit(1)) == window).alias("persistent"))
 
 
+def lasting(sets: DataFrame, window: int = 12) -> DataFrame:
+    """(company, q_int, norm) of targets that all of the ``window`` quarters before the call state, by runs of quarters: one sort, no copies."""
+    by = Window.partitionBy("company", "norm").orderBy("q_int")
+    runs = sets.select(*KEY, "norm").withColumn("__run", F.col("q_int") - F.row_number().over(by))
+    at = F.row_number().over(Window.partitionBy("company", "norm", "__run").orderBy("q_int"))
+    long = runs.withColumn("__n", at).where(F.col("__n") >= window)
+    return long.select("company", (F.col("q_int") + 1).alias("q_int"), "norm", F.lit(True).alias("persistent"))
+
+
 def window_union(sets: DataFrame, n: int = 4) -> DataFrame:
     """The union of the n quarters before each call."""
     moved = sets.select("company", "norm", F.explode(F.sequence(F.col("q_int") + 1, F.col("q_int") + n)).alias("q_int"))
@@ -59,15 +68,15 @@ def window_union(sets: DataFrame, n: int = 4) -> DataFrame:
 
 
 def substring_persistence(dropped: DataFrame, sets: DataFrame, window: int) -> DataFrame:
-    """Dropped metrics found, by substring either way, in each of the quarters before.
+    """Dropped metrics found, by substring either way, in each of the ``window`` quarters before.
 
     A text that lies within another has its beginning among the other's pieces
-    of that length, so both are joined on (company, quarter, piece) and then
-    verified; pieces have 8, 4, 2 or 1 characters, as long as the inner text has.
+    of that length, so distinct names of a company are joined on (company, piece)
+    and then verified; pieces have 8, 4, 2 or 1 characters, as long as the inner
+    text has. Quarters come in after that, and runs of them tell what lasts.
     """
-    d = dropped.select(*KEY, F.col("norm").alias("metric")).where("metric <> ''").distinct()
-    h = sets.where("norm <> ''").select("company", F.explode(F.sequence(F.col("q_int") + 1, F.col("q_int") + window)).alias("q_int"), F.col("q_int").alias("past_q"), "norm")
-    h = h.join(d.select(*KEY).distinct(), list(KEY), "left_semi")
+    d = dropped.where("norm <> ''").select("company", F.col("norm").alias("metric")).distinct()
+    h = sets.where("norm <> ''").select("company", "norm").distinct()
 
     def start(c: str):
         n = F.length(c)
@@ -77,11 +86,13 @@ def substring_persistence(dropped: DataFrame, sets: DataFrame, window: int) -> D
         cut = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.col(c).substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
         return F.explode(F.array_distinct(F.concat(*[cut(k) for k in (1, 2, 4, 8)])))
 
-    on = [*KEY, "piece"]
+    on = ["company", "piece"]
     inside = d.withColumn("piece", start("metric")).join(h.withColumn("piece", pieces("norm")), on).where(F.contains("norm", "metric"))
     around = d.withColumn("piece", pieces("metric")).join(h.withColumn("piece", start("norm")), on).where(F.contains("metric", "norm"))
-    seen = inside.select(*KEY, "metric", "past_q").unionByName(around.select(*KEY, "metric", "past_q")).groupBy(*KEY, "metric").agg(F.countDistinct("past_q").alias("n"))
-    return dropped.select(*KEY, F.col("norm").alias("metric")).join(seen, [*KEY, "metric"], "left").select(*KEY, "metric", (F.coalesce("n", F.lit(0)) == window).alias("persistent"))
+    alike = inside.select("company", "metric", "norm").unionByName(around.select("company", "metric", "norm")).distinct()
+    stated = alike.join(sets.select(*KEY, "norm"), ["company", "norm"]).select(*KEY, F.col("metric").alias("norm")).distinct()
+    out = dropped.select(*KEY, "norm").join(lasting(stated, window), [*KEY, "norm"], "left")
+    return out.select(*KEY, F.col("norm").alias("metric"), F.coalesce("persistent", F.lit(False)).alias("persistent"))
 
 
 def unique_labels(targets: DataFrame, keys: tuple[str, ...], name: str, order: tuple[str, ...]) -> DataFrame:

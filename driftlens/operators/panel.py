@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clipped
+from .ordered import exact_quantiles
 
 
 def momentum(panel: DataFrame, firm: str = "company", date: str = "date", ret: str = "ret") -> DataFrame:
@@ -43,9 +44,12 @@ def bucket_of(x: Column, edges: Column) -> Column:
 def quantiles(panel: DataFrame, x: str, by: str | None = "date", n: int = 5, least: int | None = None) -> DataFrame:
     """A ``quintile`` column by linear-interpolated quantiles of each period; null in periods of fewer than ``least`` values."""
     least = least or n
-    agg = [quantile_edges(F.col(x), n).alias("__e"), F.count(x).alias("__n")]
-    edges = panel.groupBy(by).agg(*agg) if by else panel.agg(*agg)
-    out = panel.join(edges, by, "left") if by else panel.crossJoin(F.broadcast(edges))
+    if by:
+        edges = panel.groupBy(by).agg(quantile_edges(F.col(x), n).alias("__e"), F.count(x).alias("__n"))
+        out = panel.join(edges, by, "left")
+    else:  # one row of edges, found without one task that sorts all values
+        edges = exact_quantiles(panel, F.col(x), [min(1.0, i * (1 / n)) for i in range(n + 1)], "__e").crossJoin(panel.agg(F.count(x).alias("__n")))
+        out = panel.crossJoin(F.broadcast(edges))
     return out.withColumn("quintile", F.when(F.col("__n") >= least, bucket_of(F.col(x), F.col("__e")))).drop("__e", "__n")
 
 

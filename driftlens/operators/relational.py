@@ -45,9 +45,9 @@ def row_positions(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def band_rows(events: DataFrame, rows: DataFrame, key: str, lo: int, hi: int) -> DataFrame:
-    """Rows lo..hi places from each event's place; each row is dealt to the places it serves."""
-    r = rows.withColumn("rel", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("event_pos", F.col("pos") - F.col("rel"))
-    return events.join(r, [key, "event_pos"])
+    """Rows lo..hi places from each event's place; the few events ask for the places that they need."""
+    wanted = events.withColumn("rel", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("pos", F.col("event_pos") + F.col("rel"))
+    return wanted.join(rows, [key, "pos"])
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from .moving_targets import KEY, persistence
+from .moving_targets import KEY, lasting
 from .vectors import continuity, pair_similarities
 
 
@@ -17,8 +17,7 @@ def classified(labels: DataFrame, targets: DataFrame, sets: DataFrame, window: i
     ``labels`` are of :func:`vectors.continuity`; ``targets`` gives a name and a flag for (company, idx) by key.
     """
     named = labels.join(targets.select("company", F.col("idx").alias("hist_idx"), "norm", "is_financial"), ["company", "hist_idx"], "left")
-    lasting = persistence(sets, window).select(*KEY, "norm", "persistent")
-    d = named.join(lasting, [*KEY, "norm"], "left")
+    d = named.join(lasting(sets, window), [*KEY, "norm"], "left")
     dropped = F.col("label") == "dropped"
     fin = T.is_financial(F.col("is_financial"), F.col("norm"))
     n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
@@ -51,6 +50,31 @@ def watchlist(scores: DataFrame, by: str, score: str, name: str, n: int = 20) ->
     return scores.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def initial_state(calls: DataFrame) -> DataFrame:
+    """Calls with the workflow's empty state: what every later node finds where an earlier one added nothing."""
+    texts, none = F.array().cast("array<string>"), F.lit(0.0)
+    return calls.withColumns({
+        "extracted_targets": texts,
+        "historical_targets": texts,
+        "maintained": texts,
+        "rephrased": texts,
+        "dropped": texts,
+        "risk_score": none,
+        "financial_drop_ratio": none,
+        "nonfinancial_drop_ratio": none,
+        "persistent_drop_ratio": none,
+        "risk_flag": F.lit("LOW"),
+        "summary": F.lit(""),
+        "recommendation": F.lit(""),
+        "errors": texts,
+    })
+
+
+def kpis(scores: DataFrame, ticker: str = "company", flag: str = "risk_flag") -> DataFrame:
+    """One row: companies, calls, and calls with a high flag."""
+    return scores.agg(F.countDistinct(ticker).alias("n_companies"), F.count(F.lit(1)).alias("n_calls"), F.sum((F.col(flag) == "HIGH").cast("long")).alias("n_high"))
+
+
 def cached_or(live: DataFrame, cache: DataFrame, keys: list[str], value: str, missing: str = "unavailable") -> DataFrame:
     """The cached value, else the live one, else a mark that neither is there."""
     c = cache.select(*keys, F.col(value).alias("__c"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import average_ranks, exact_quantiles
+
 
 def cross_sectional(panel: DataFrame, y: str, x: list[str], by: str = "date", least: int | None = None) -> DataFrame:
     """Per period OLS coefficients (period, variable, coef, n) on complete rows; periods of fewer than max(20, k + 5) go.
@@ -127,14 +129,9 @@ def signal_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Average ranks come from counts of each value, cumulated over distinct values.
     """
-    from pyspark.sql import Window
-
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     for c in "ab":
-        n = d.groupBy(c).count()
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        r = n.select(c, (F.sum("count").over(w) - (F.col("count") - 1) / 2).alias(f"r{c}"))
-        d = d.join(r, c)
+        d = d.join(average_ranks(d, c).withColumnRenamed("rank", f"r{c}"), c)
     n = F.count(F.lit(1))
     only = lambda x: F.when(n >= 3, x)
     return d.agg(n.alias("n"), only(F.corr("a", "b")).alias("pearson"), only(F.corr("ra", "rb")).alias("spearman"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.stddev_samp("a").alias("sd_a"), F.stddev_samp("b").alias("sd_b"))
@@ -171,9 +168,31 @@ def paired_regression(left: DataFrame, right: DataFrame, key: str, y: str, x: st
 
 def welch_high_low(df: DataFrame, x: str, by: str, lo: float = 0.2, hi: float = 0.8) -> DataFrame:
     """Welch's t of x between rows with ``by`` at or above its hi quantile and at or below its lo one; null where a side has fewer than 3."""
-    q = df.agg(F.percentile(by, F.array(F.lit(lo), F.lit(hi))).alias("q"))
+    q = exact_quantiles(df, F.col(by), [lo, hi])
     d = df.crossJoin(F.broadcast(q))  # one row of two numbers
     high, low = F.when(F.col(by) >= F.col("q")[1], F.col(x)), F.when(F.col(by) <= F.col("q")[0], F.col(x))
     v1, v0 = F.var_samp(high) / F.count(high), F.var_samp(low) / F.count(low)
     ok = (F.count(high) >= 3) & (F.count(low) >= 3)
     return d.agg(F.count(high).alias("n_high"), F.count(low).alias("n_low"), F.avg(high).alias("mean_high"), F.avg(low).alias("mean_low"), F.when(ok, F.try_divide(F.avg(high) - F.avg(low), F.sqrt(v1 + v0))).alias("welch_t"))
+
+
+def announcement_effect(cars: DataFrame, scores: DataFrame, key: str = "company", car: str = "car", mt: str = "mt") -> DataFrame:
+    """One row: the regression of abnormal returns on scores over pairs of equal keys, its p-value, the returns of high and low scores, and what follows.
+
+    Without a pair the counts are 0 and the conclusion says so.
+    """
+    reg = paired_regression(cars.select(key, car), scores.select(key, mt), key, car, mt)
+    reg = with_p_value(reg, "t_beta", F.col("n") - 2, "p_mt")
+    pairs = cars.select(key, F.col(car).alias("__y")).where("__y is not null").join(scores.select(key, F.col(mt).alias("__x")).where("__x is not null"), key)
+    test = welch_high_low(pairs, "__y", "__x")
+    # a p-value above a tenth fails to tell the slope from zero
+    told = F.when(F.col("n") == 0, "insufficient data").when(F.col("p_mt") > 0.10, "not related").otherwise("related")
+    return reg.crossJoin(F.broadcast(test)).withColumn("conclusion", told)
+
+
+def return_groups(cars: DataFrame, scores: DataFrame, n: int = 5, key: str = "company", car: str = "car", mt: str = "mt") -> DataFrame:
+    """Mean, deviation, count and t of abnormal returns by quantile of the score, over pairs of equal keys."""
+    from .panel import quantiles
+
+    pairs = cars.select(key, car).where(F.col(car).isNotNull()).join(scores.select(key, mt).where(F.col(mt).isNotNull()), key)
+    return group_t(quantiles(pairs, mt, by=None, n=n).withColumnRenamed("quintile", "mt_group"), "mt_group", car)

@@ -19,8 +19,9 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = norm(v)
-    return F.transform(_doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    # the length is bound once and not computed for each element
+    lengths = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return F.element_at(F.transform(lengths, lambda n: F.transform(_doubles(v), lambda x: x / n)), 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,6 +74,11 @@ def threshold_grid(pairs: DataFrame, maintained: list[float], rephrased: list[fl
     return rows.withColumn("fp_rate", F.coalesce(F.try_divide(F.col("n_false").cast("double"), F.col("n_kept").cast("double")), F.lit(1.0)))
 
 
+def best_bounds(grid: DataFrame) -> DataFrame:
+    """The grid by false-drop rate, with the first as the best; equal rates by their bounds."""
+    return grid.orderBy("fp_rate", "m", "r").limit(1)
+
+
 def upserted(index: DataFrame, new: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
     """The index with rows of ``new`` in the place of those with the same key; of several new ones the last by ``order``."""
     cols = [c for c in new.columns if c != key]

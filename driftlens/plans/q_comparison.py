@@ -49,7 +49,7 @@ def table_lines(s, d):
 
 
 def call_reports(s, d):
-    """The whole flow, from similarities to flags, at the workflow's own bounds."""
+    """The whole flow, from similarities to flags; bounds are lower than the default, which would call all of these vectors dropped."""
     v = X.vectors(s, d)
     named = v.select("company", "q_int", "idx", F.concat(F.lit("metric "), (F.col("idx") % 97).cast("string")).alias("norm"), (F.col("idx") % 2 == 0).alias("is_financial"))
     sets = named.select("company", "q_int", "norm", "is_financial").distinct()

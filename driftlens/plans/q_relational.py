@@ -67,7 +67,8 @@ def first_appearance(s, d):
 
 
 def missing_keys(s, d):
-    return X.read(s, d, "customer").select("c_custkey").exceptAll(X.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    urgent = X.read(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return X.read(s, d, "customer").select("c_custkey").exceptAll(urgent)
 
 
 def batch_union(s, d):
@@ -109,7 +110,7 @@ QUERIES = {
     "token_sets": (token_sets, """WITH p AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS b FROM part)
       SELECT p_partkey, len(list_intersect(a, b)) AS n_both, len(list_distinct(list_concat(a, b))) AS n_any, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n_more FROM p"""),
     "first_appearance": (first_appearance, "SELECT l_partkey, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL"),
-    "missing_keys": (missing_keys, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "missing_keys": (missing_keys, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"),
     "batch_union": (batch_union, "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END AS batch FROM orders"),
     "coverage": (coverage, f"WITH {X.COMPONENTS}, c AS (SELECT transcript_id, count(*) AS n, count(DISTINCT ctype) AS k FROM comp GROUP BY ALL) SELECT count(*) AS n_transcripts, sum(n)::BIGINT AS n_components, max(k) AS max_kinds, round(avg(n), 6) AS mean_n, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75 FROM c"),
     "extraction_summary": (extraction_summary, "SELECT lang, count(*) AS n_docs, count(quality) AS n_labelled, sum(coalesce(toxic, 0))::BIGINT AS n_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),

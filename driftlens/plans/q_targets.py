@@ -54,14 +54,14 @@ def window_retrieval(s, d):
 def substring_persistence(s, d):
     sets = M.target_sets(X.targets(s, d))
     dropped = _mt(s, d).select("company", "q_int", F.explode("dropped_targets").alias("norm"))
-    p = M.substring_persistence(dropped, sets, 3)
+    p = M.substring_persistence(dropped, sets, 12)
     return p.groupBy("company", "q_int").agg(F.count(F.lit(1)).alias("n_dropped"), F.sum(F.col("persistent").cast("long")).alias("n_persistent"))
 
 
 def risk_flags(s, d):
     t = X.targets(s, d)
     sets = M.target_sets(t)
-    c = M.compared(sets, t.select("company", "q_int").distinct()).where("in_past = 1").join(M.persistence(sets, 12), ["company", "q_int", "norm"], "left")
+    c = M.compared(sets, t.select("company", "q_int").distinct()).where("in_past = 1").join(M.lasting(sets, 12), ["company", "q_int", "norm"], "left")
     drop = F.col("in_now") == 0
     n = lambda x: F.sum(F.coalesce(x.cast("long"), F.lit(0)))
     g = c.groupBy("company", "q_int").agg(F.count(F.lit(1)).alias("n_total"), n(drop).alias("n_dropped"), n(drop & F.col("persistent")).alias("n_persistent"), n(drop & ~F.col("past_financial")).alias("n_other"))
@@ -122,8 +122,8 @@ QUERIES = {
       SELECT company, q_int, count(*) AS n_window, sum(persistent::INT)::BIGINT AS n_persistent FROM p GROUP BY ALL"""),
     "window_retrieval": (window_retrieval, _W + " SELECT c.company, c.q_int, count(DISTINCT s.norm) AS n_union FROM calls c JOIN sets s ON s.company = c.company AND s.q_int BETWEEN c.q_int - 4 AND c.q_int - 1 GROUP BY ALL"),
     "substring_persistence": (substring_persistence, _W + _CMP + """, dr AS (SELECT company, q_int, norm FROM cmp WHERE in_past AND NOT in_now),
-      seen AS (SELECT d.company, d.q_int, d.norm, count(DISTINCT s.q_int) AS n FROM dr d JOIN sets s ON s.company = d.company AND s.q_int BETWEEN d.q_int - 3 AND d.q_int - 1 AND (contains(s.norm, d.norm) OR contains(d.norm, s.norm)) GROUP BY ALL)
-      SELECT company, q_int, count(*) AS n_dropped, count(*) FILTER (n = 3) AS n_persistent FROM dr LEFT JOIN seen USING (company, q_int, norm) GROUP BY ALL"""),
+      seen AS (SELECT d.company, d.q_int, d.norm, count(DISTINCT s.q_int) AS n FROM dr d JOIN sets s ON s.company = d.company AND s.q_int BETWEEN d.q_int - 12 AND d.q_int - 1 AND (contains(s.norm, d.norm) OR contains(d.norm, s.norm)) GROUP BY ALL)
+      SELECT company, q_int, count(*) AS n_dropped, count(*) FILTER (n = 12) AS n_persistent FROM dr LEFT JOIN seen USING (company, q_int, norm) GROUP BY ALL"""),
     "risk_flags": (risk_flags, _W + _CMP + """, p AS (SELECT c.company, c.q_int, s.norm, count(*) = 12 AS persistent FROM calls c JOIN sets s ON s.company = c.company AND s.q_int BETWEEN c.q_int - 12 AND c.q_int - 1 GROUP BY ALL),
       g AS (SELECT company, q_int, count(*) AS n_total, count(*) FILTER (NOT in_now) AS n_dropped, count(*) FILTER (NOT in_now AND persistent) AS n_persistent, count(*) FILTER (NOT in_now AND NOT fin) AS n_other FROM cmp LEFT JOIN p USING (company, q_int, norm) WHERE in_past GROUP BY ALL),
       r AS (SELECT *, CASE WHEN n_dropped > 0 THEN round(least(greatest(0.5::DOUBLE * (n_dropped / n_total) + 0.3::DOUBLE * (n_persistent / n_dropped) + 0.2::DOUBLE * (n_other / n_dropped), 0), 1), 9) ELSE 0.0 END AS risk_score FROM g)

@@ -105,11 +105,21 @@ QUERIES = {
     "ticker_lookup": (tickers, """SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'T' || n_nationkey WHEN n_name = 'NATION_3' THEN 'N3' WHEN n_name = 'NATION_7' THEN 'N7'
       WHEN contains(upper(n_name), '1') THEN '1' WHEN contains(upper(n_name), '2') THEN '2' WHEN contains(upper(n_name), 'NATION') THEN 'NATION' ELSE '' END AS ticker FROM nation"""),
     "target_keys": (target_keys, "SELECT * FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) WHEN p_partkey % 7 = 0 THEN '' ELSE lower(p_name) END AS key, count(*) AS n FROM part GROUP BY ALL) WHERE key <> ''"),
-    "metric_names": (metric_names, None),
+    "metric_names": (metric_names, """SELECT p_partkey, lower(p_name) || ' gross margin ' || lower(p_type) || ' revenue' AS canonical, 'in our ' || lower(p_name) || ' gross-margin of in fy24 (' || lower(p_type) || ') sales' AS normalised FROM part"""),
     "sentence_counts": (sentence_counts, f"""WITH {X.COMPONENTS} SELECT transcript_id, ord, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n_sentences,
       CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS n_tokens, CASE ctype WHEN 2 THEN 'presentation' WHEN 3 THEN 'analyst question' ELSE 'management answer' END AS label,
       CASE ctype WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 3 END::BIGINT AS priority FROM comp"""),
-    "chunks": (chunks, None),
+    "chunks": (chunks, rf"""WITH RECURSIVE {X.COMPONENTS}, g AS (SELECT transcript_id, ctype, string_agg(text, chr(10) || chr(10) ORDER BY ord, text) AS whole FROM comp GROUP BY ALL),
+      s AS (SELECT transcript_id, ctype, list_filter(list_transform(string_split(regexp_replace(whole, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM g),
+      r AS (SELECT transcript_id, ctype, p, 0 AS i, '' AS held, []::VARCHAR[] AS done FROM s
+        UNION ALL SELECT transcript_id, ctype, p, i + 1,
+          CASE WHEN greatest(1, length(p[i + 1]) // 4) > 120 THEN '' WHEN held = '' THEN p[i + 1] WHEN greatest(1, length(held) // 4) + greatest(1, length(p[i + 1]) // 4) <= 120 THEN held || ' ' || p[i + 1] ELSE p[i + 1] END,
+          CASE WHEN greatest(1, length(p[i + 1]) // 4) > 120 THEN list_concat(CASE WHEN held = '' THEN done ELSE list_append(done, held) END, list_transform(range(0, (length(p[i + 1]) - 1) // 480 + 1), lambda k: substr(p[i + 1], k * 480 + 1, 480)))
+            WHEN held = '' OR greatest(1, length(held) // 4) + greatest(1, length(p[i + 1]) // 4) <= 120 THEN done ELSE list_append(done, held) END
+        FROM r WHERE i < len(p)),
+      c AS (SELECT transcript_id, ctype, CASE WHEN held = '' THEN done ELSE list_append(done, held) END AS all_chunks FROM r WHERE i = len(p)),
+      u AS (SELECT transcript_id, ctype, unnest(all_chunks) AS chunk, generate_subscripts(all_chunks, 1) - 1 AS chunk_no FROM c)
+      SELECT transcript_id, ctype, chunk_no, greatest(1, length(chunk) // 4) AS n_tokens, md5(chunk) AS chunk_md5 FROM u"""),
     "nested_components": (nested_components, f"WITH {X.COMPONENTS} SELECT transcript_id, count(*) AS n_components, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord, text)) AS text_md5 FROM comp WHERE length(trim(text)) > 0 GROUP BY ALL"),
     "rule_targets": (rule_targets, """SELECT p_partkey, 'MONEY' AS entity_label, '$' || p_size || ' million' AS value_text, '' AS governing_verb FROM part
       UNION ALL SELECT p_partkey, 'PERCENT', '12%', 'expect' FROM part"""),

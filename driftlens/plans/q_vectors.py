@@ -40,7 +40,7 @@ def window_pairs(s, d):
 
 def threshold_grid(s, d):
     c = V.continuity(V.pair_similarities(X.vectors(s, d)), 0.30, 0.15).withColumn("kept", F.col("cur_idx") % 3 != 0)
-    g = V.threshold_grid(c, [0.2, 0.25, 0.3], [0.1, 0.15, 0.2])
+    g = V.threshold_grid(c, [0.2, 0.25, 0.3, 0.35, 0.4], [0.05, 0.1, 0.15, 0.2, 0.25])
     return g.select("m", "r", "n_false", "n_maintained", "n_kept", F.round("fp_rate", 6).alias("fp_rate"))
 
 
@@ -61,7 +61,7 @@ def weighted_auc(s, d):
 
 def calibrate(s, d):
     """Both boundaries with logistic fit and bootstrap interval; no SQL for draws."""
-    r = C.calibrate(X.labelled_pairs(s, d), draws=200)
+    r = C.calibrate(X.labelled_pairs(s, d))
     rows = [(k, float(v["calibrated_f1"]), float(v["auc"] or 0), float(v["p50_threshold"] or 0), *map(float, v["bootstrap_ci_95"]), v["n"]) for k, v in r.items()]
     return s.createDataFrame(rows, "boundary string, threshold double, auc double, p50 double, ci_low double, ci_high double, n long")
 
@@ -80,7 +80,7 @@ QUERIES = {
       SELECT company, q_int, n_current, coalesce(n_historical, 0) AS n_historical, coalesce(n_maintained, 0) AS n_maintained, coalesce(n_rephrased, 0) AS n_rephrased, coalesce(n_dropped, 0) AS n_dropped,
         coalesce(round(n_dropped / n_historical, 6), 0) AS mt_score_strict, coalesce(round((n_dropped + n_rephrased) / n_historical, 6), 0) AS mt_score_lenient FROM c LEFT JOIN n USING (company, q_int)"""),
     "window_pairs": (window_pairs, _W + " SELECT c.company, c.q_int, count(*) AS n_pairs, round(max(list_cosine_similarity(c.v, h.v)), 6) AS max_sim FROM v c JOIN v h ON c.company = h.company AND h.q_int BETWEEN c.q_int - 2 AND c.q_int - 1 GROUP BY ALL"),
-    "threshold_grid": (threshold_grid, _W + """, g AS (SELECT m::DOUBLE AS m, r::DOUBLE AS r FROM (VALUES (0.2), (0.25), (0.3)) a(m), (VALUES (0.1), (0.15), (0.2)) b(r) WHERE r < m)
+    "threshold_grid": (threshold_grid, _W + """, g AS (SELECT m::DOUBLE AS m, r::DOUBLE AS r FROM (VALUES (0.2), (0.25), (0.3), (0.35), (0.4)) a(m), (VALUES (0.05), (0.1), (0.15), (0.2), (0.25)) b(r) WHERE r < m)
       SELECT m, r, count(*) FILTER (cur_idx % 3 <> 0 AND sim <= r) AS n_false, count(*) FILTER (cur_idx % 3 <> 0 AND sim > m) AS n_maintained, count(*) FILTER (cur_idx % 3 <> 0) AS n_kept,
         coalesce(round(count(*) FILTER (cur_idx % 3 <> 0 AND sim <= r) / nullif(count(*) FILTER (cur_idx % 3 <> 0), 0), 6), 1) AS fp_rate FROM labels, g GROUP BY m, r"""),
     "f1_sweep": (f1_sweep, _SWEEP + " SELECT threshold, round(f1, 6) AS f1, round(ba, 6) AS balanced_accuracy FROM sw"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import quarters
 from ..functions import text as T
 
+# Other names of columns.
 ALIASES = {"componenttext": "text", "component_type_id": "component_type", "year": "fiscalyear"}
 
 
@@ -110,9 +111,38 @@ def stage_status(spark: SparkSession, stages: dict[str, list[str]]) -> dict[str,
     return out
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None, lo: int = 0, hi: int = 0, n: int = 1) -> DataFrame:
-    """A remote table or query; filters and columns are pushed down, and a numeric key splits the read."""
+def read_csv_checked(spark: SparkSession, path: str, schema: str, allowed: dict[str, tuple]) -> DataFrame:
+    """A CSV file with all columns of the schema; reading raises on a value that its column does not allow."""
+    have = spark.read.option("header", True).csv(path).columns
+    names = [c.split()[0] for c in schema.split(", ")]
+    required(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in have)), names)
+    raw = spark.read.option("header", True).csv(path).select(*names)
+    df = raw.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in (x.split() for x in schema.split(", "))])
+    for c, values in allowed.items():
+        wrong = F.raise_error(F.concat(F.lit(f"{c} can't be "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+        df = df.withColumn(c, F.when(F.col(c).isin(*values), F.col(c)).otherwise(wrong.cast("string")))
+    return df
+
+
+def repaired(spark: SparkSession, jsonl: str, path: str, schema: str, key: str = "transcript_id") -> int:
+    """Write the table at ``path`` anew from its lines; the table before stays once, beside it, as ``<path>.bak``."""
+    rows = read_jsonl(spark, jsonl, schema, key)
+    fresh = f"{path}.new"
+    write_parquet(rows, fresh)
+    jvm = spark.sparkContext._jvm
+    place = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place(path)):
+        fs.delete(place(f"{path}.bak"), True)
+        fs.rename(place(path), place(f"{path}.bak"))
+    fs.rename(place(fresh), place(path))
+    return spark.read.parquet(path).count()
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None, lo: int = 0, hi: int = 0, n: int = 1, members: DataFrame | None = None, on: str | None = None) -> DataFrame:
+    """A remote table or query; filters and columns are pushed down, and a numeric key splits the read; rows of ``members`` only, if given."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", query)
     if key:
         r = r.options(partitionColumn=key, lowerBound=lo, upperBound=hi, numPartitions=n)
-    return r.load()
+    out = r.load()
+    return out if members is None else out.join(members.select(on).distinct(), on, "left_semi")

@@ -89,7 +89,7 @@ def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", sim.alias("similarity"), F.when(F.col("quality") == 1, "MAINTAINED").otherwise("DROPPED").alias("label"), F.when(F.col("toxic") == 1, "L").otherwise("H").alias("confidence"), F.col("quality").alias("y"))
 
 
-PAIRS = "lp AS (SELECT doc_id, round(least(n_chars / 5000.0, 1.0), 4)::DOUBLE AS similarity, quality AS y, CASE toxic WHEN 1 THEN 0.25 ELSE 1.0 END::DOUBLE AS weight FROM labels JOIN documents USING (doc_id))"
+PAIRS = "lp AS (SELECT doc_id, round(least(n_chars / 5000.0, 1.0), 4)::DOUBLE AS similarity, quality AS y, CASE toxic WHEN 1 THEN 0.3 ELSE 1.0 END::DOUBLE AS weight FROM labels JOIN documents USING (doc_id))"
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:

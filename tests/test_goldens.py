@@ -9,10 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from driftlens import cli
 from driftlens.functions import quarters as Q
 from driftlens.functions import scoring as S
 from driftlens.functions import text as T
-from driftlens.operators import calibration, extraction, moving_targets, panel, stats, vectors
+from driftlens.operators import calibration, embedding, extraction, moving_targets, ordered, panel, stats, vectors
 from driftlens.sources import io
 from driftlens.streaming.resume import append_stream
 
@@ -105,8 +106,9 @@ def test_greedy_matches(spark):
 
 def test_responses():
     p = extraction.parsed_response
-    assert len(p('```json\n{"targets":[{"metric_name":"a"}]}\n```')) == 1 and p("[]") == [] and p("no json") is None and p(None) is None
+    assert len(p('```json\n{"targets":[{"metric_name":"a"}]}\n```')) == 1 and p("[]") == [] and p("no json") is None and p(None) == p("") == []
     assert len(p('{"x":[{"metric_name":"a"}]}')) == 1 and len(p('{"metric_name":"a"}')) == 1 and len(p('so: {"metric_name":"a"} and {"metric_name":"b"} end')) == 2
+    assert p('{"unit": "x"}') == [{"unit": "x"}] and p('{"a": 1}') is None and p('{"a": [1, {"b": 2}]}') == [{"b": 2}] and p('so [{"a": 1}] and [{"b": 2}]') == [{"a": 1}] and p('x {"z": 1} y') == []
 
 
 def test_continuity_bounds(spark):
@@ -187,14 +189,110 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(out).count() == 10
 
 
-def test_calibration_stays_in_spark(spark):
+def test_calibration_by_cells(spark):
+    """The fit is that of the rows, the interval that of draws of rows, at any size; weights are those of the labels."""
     rng = np.random.default_rng(3)
-    rows = [(i, float(round(x, 4)), "MAINTAINED" if x + rng.normal(0, 0.15) > 0.5 else "DROPPED", "H" if i % 3 else "L") for i, x in enumerate(rng.uniform(0, 1, 400))]
+    rows = [(i, float(round(x, 4)), "MAINTAINED" if x + rng.normal(0, 0.15) > 0.5 else "DROPPED", "HML"[i % 3]) for i, x in enumerate(rng.uniform(0, 1, 400))]
     pairs = spark.createDataFrame(rows, "doc_id long, similarity double, label string, confidence string")
-    local, far = calibration.calibrate(pairs, 200), calibration.calibrate(pairs, 200, most=10)
-    for k in local:
-        assert abs(local[k]["p50_threshold"] - far[k]["p50_threshold"]) < 1e-6 and local[k]["n"] == far[k]["n"] == 400
-        assert max(abs(a - b) for a, b in zip(local[k]["bootstrap_ci_95"], far[k]["bootstrap_ci_95"])) < 0.06
+    got = calibration.calibrate(pairs, 300)["maintained"]
+    x, y, w = np.array([r[1] for r in rows]), np.array([r[2] == "MAINTAINED" for r in rows], float), np.array([{"H": 1.0, "M": 0.7, "L": 0.3}[r[3]] for r in rows])
+    z = got["logistic"]["beta"] * x + got["logistic"]["intercept"]
+    p = 1 / (1 + np.exp(-z))
+    assert abs((w * (p - y)).sum()) < 1e-3 and abs((w * (p - y) * x).sum()) < 1e-3 and got["n"] == 400
+    draws = [calibration.f1_threshold(x[i], y[i], w[i]) for i in (rng.integers(0, 400, 400) for _ in range(300))]
+    assert max(abs(a - b) for a, b in zip(got["bootstrap_ci_95"], np.percentile(draws, [2.5, 97.5]))) < 0.06
+    with pytest.raises(Exception, match="unknown label"):
+        calibration.weighted_labels(pairs.withColumn("confidence", F.lit("Q"))).count()
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 3).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=60))
+def test_ordered(spark, xs):
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    known = [x for x in xs if x is not None]
+    got = ordered.exact_quantiles(df, F.col("x"), [0.0, 0.2, 0.5, 1.0]).first().q
+    if not known:
+        assert got is None
+        return
+    assert np.allclose(got, np.quantile(known, [0.0, 0.2, 0.5, 1.0]))
+    ranks = {r.x: r["rank"] for r in ordered.average_ranks(df, "x").collect()}
+    s = pd.Series(known)
+    assert all(ranks[x] == r for x, r in zip(s, s.rank()))
+
+
+def test_limited_client():
+    now, slept, calls = [0.0], [], []
+
+    def sleep(t):
+        slept.append(t)
+        now[0] += t
+
+    def client(text):
+        calls.append(text)
+        if text == "down" or len(calls) % 4 == 0:
+            raise RuntimeError("busy")
+        return "ok" * 10
+
+    c = extraction.LimitedClient(client, requests=6, tokens=1000, retries=2, base=1, cap=3, sleep=sleep, clock=lambda: now[0])
+    assert [c(t) for t in ("a" * 400, "b" * 400, "c" * 400, "d" * 400)] == ["ok" * 10] * 4
+    assert c.counters["replies"] == 4 and c.counters["retries"] == 1 and c.counters["tokens_in"] == 400
+    with pytest.raises(RuntimeError):
+        c("down")
+    assert c.counters["failures"] == 1 and c.counters["requests"] == 8 and now[0] >= 10 and c.counters["waited"] > 0
+    big = extraction.LimitedClient(lambda t: "", tokens=10, sleep=sleep, clock=lambda: now[0])
+    assert big("x" * 4000) == "" and big.counters["empty"] == 1
+
+
+def test_csv_and_repair(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "l.csv").write_text("pair_id,label,similarity,more\n1,MAINTAINED,0.5,x\n2,DROPPED,bad,y\n")
+    schema, allowed = "pair_id long, label string, similarity double", {"label": ("MAINTAINED", "DROPPED")}
+    assert [tuple(r) for r in io.read_csv_checked(spark, f"{root}/l.csv", schema, allowed).collect()] == [(1, "MAINTAINED", 0.5), (2, "DROPPED", None)]
+    with pytest.raises(Exception, match="label can't be"):
+        io.read_csv_checked(spark, f"{root}/l.csv", schema, {"label": ("MAINTAINED",)}).collect()
+    with pytest.raises(ValueError):
+        io.read_csv_checked(spark, f"{root}/l.csv", "pair_id long, weight double", {})
+    (tmp_path / "r.jsonl").write_text('{"transcript_id":"a","n":1}\nbad\n')
+    assert io.repaired(spark, f"{root}/r.jsonl", f"{root}/t", "transcript_id string, n int") == 1
+    (tmp_path / "r.jsonl").write_text('{"transcript_id":"a","n":1}\n{"transcript_id":"b","n":2}\n')
+    assert io.repaired(spark, f"{root}/r.jsonl", f"{root}/t", "transcript_id string, n int") == 2 and spark.read.parquet(f"{root}/t.bak").count() == 1
+
+
+def test_announcement_conclusion(spark):
+    rng = np.random.default_rng(1)
+    mt = [(i, float(x)) for i, x in enumerate(rng.uniform(0, 1, 60))]
+    scores = spark.createDataFrame(mt, "company int, mt double")
+    tied = spark.createDataFrame([(i, 0.5 * x + float(rng.normal(0, 0.01))) for i, x in mt], "company int, car double")
+    loose = spark.createDataFrame([(i, float(rng.normal(0, 1))) for i, _ in mt], tied.schema)
+    a, b, c = (stats.announcement_effect(t, scores).first() for t in (tied, loose, tied.where("false")))
+    assert (a.conclusion, c.conclusion, c.n) == ("related", "insufficient data", 0) and abs(a.beta - 0.5) < 0.05 and a.n_high == a.n_low == 12
+    assert b.conclusion == ("not related" if b.p_mt > 0.1 else "related")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    data, out = "/root/testdata/sf0.001", f"file://{tmp_path}/out"
+    assert cli.main(["list"], spark) == 0 and "exact_mt" in capsys.readouterr().out
+    assert cli.main(["run", "--data", data, "--out", out, "--stop", "matching", "--skip", "matching"], spark) == 0
+    assert capsys.readouterr().out == "targets\tdone\nbaseline\tdone\n"
+    assert cli.main(["status", "--out", out], spark) == 0 and capsys.readouterr().out.endswith("next\tmatching\n")
+    assert cli.main(["run", "--data", data, "--out", out, "--dry-run"], spark) == 0 and "evaluation\tplanned" in capsys.readouterr().out
+    monkeypatch.setitem(cli.STAGES, "baseline", lambda *a: 1 / 0)
+    assert cli.main(["run", "--data", data, "--out", out, "--start", "baseline", "--stop", "matching", "--continue-on-error"], spark) == 1
+    assert capsys.readouterr().out == "baseline\tfailed: division by zero\nmatching\tdone\n"
+    assert cli.main(["query", "none", "--data", data], spark) == 2 and cli.main(["query", "mt_summary", "--data", data, "--out", f"{out}/q"], spark) == 0
+    assert spark.read.parquet(f"{out}/q").count() == 1
+    with pytest.raises(ValueError):
+        cli.chosen("nowhere", None, [])
+    capsys.readouterr()
+    assert cli.main(["thresholds", "--maintained", "0.7"], spark) == 0 and capsys.readouterr().out == "maintained\t0.7\nrephrased\t0.4\nstored\tFalse\n"
+
+
+def test_embedding_encoder_is_replaceable(spark):
+    df = spark.createDataFrame([(1, "abcd"), (2, None), (3, "ab")], "id int, t string")
+    got = {r.id: r.v for r in embedding.embedded(df, "t").collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-12 and not any(got[2]) and not any(got[3]) and len(got[1]) == embedding.DIM
+    own = embedding.embedded(df, "t", "w", lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=2)
+    assert {r.id: r.w for r in own.collect()} == {1: [4.0, 1.0], 2: [0.0, 1.0], 3: [2.0, 1.0]}
 
 
 def test_comparison(spark):
