@@ -29,7 +29,7 @@ from .common import kept_columns, table, written
 LENGTH, END_ID = 2048, 0
 #: A bin with so few free places or fewer leaves at once; the last round emits everything.
 SLACK = 4
-#: Items of one task of the first round.
+#: Items of one task of the first round, and pieces of a task of a later one.
 TASK_BINS = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -159,16 +159,17 @@ def _packer(length: int, nearly: int):
     return run
 
 
-def packed(items: DataFrame, length: int = LENGTH, slack: int = SLACK, task_bins: int = TASK_BINS, tasks: int | None = None) -> DataFrame:
+def packed(items: DataFrame, length: int = LENGTH, slack: int = SLACK, task_bins: int = TASK_BINS, most: int = TASK_BINS, tasks: int | None = None) -> DataFrame:
     """Bins (size, members, done) of ``items`` (the columns of :func:`pieces`).
 
     A round packs what is open in ``n`` tasks, a quarter as many the next time,
-    down to one. Of a task's bins at most one is half empty or more, as best-fit
-    would have joined two. Hence few small bins are open after a round. The
-    larger ones can't be joined with each other; each that is joined takes in a
-    small one at least, so as many of the emptiest as there are small ones go on
-    with those, and the others are final. So the last task has about twice as many items as the
-    round before it had tasks, however many bins there are.
+    down to one. The pieces of underfull bins go on by themselves while a task
+    of the next round gets no more than ``most`` of them. Otherwise, as with
+    pieces that hardly ever fit together, the bins go on whole: of a task's bins
+    at most one is half empty or more, as best-fit would have joined two, so few
+    small bins are open after a round. The larger ones can't be joined with each
+    other; each that is joined takes in a small one at least, so as many of the
+    emptiest as there are small ones go on with those, and the others are final.
     """
     spark = items.sparkSession
     struct = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
@@ -183,9 +184,13 @@ def packed(items: DataFrame, length: int = LENGTH, slack: int = SLACK, task_bins
         if n == 1:
             out.append(open_bins)
             return _union(out)
-        going, final = going_on(open_bins, length)
-        out.append(final)
-        rest, n = written(going), max(1, n // 4)
+        n = max(1, n // 4)
+        if (open_bins.agg(F.sum(F.size("members"))).first()[0] or 0) <= most * n:
+            rest = open_bins.select(F.explode("members").alias("m")).select(F.col("m.length").alias("size"), F.array("m").alias("members"), F.lit(False).alias("done"))
+        else:
+            rest, final = going_on(open_bins, length)
+            out.append(final)
+        rest = written(rest)
 
 
 def going_on(bins: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
