@@ -8,8 +8,8 @@ of features. As the layer is linear in the mean, a task needs
 two numbers and a feature count for each distinct word.
 
 Edge cases: null and empty texts have no features and get the score of the
-bias; ids without a label are scored but not learned from; repeated labels of
-an id are learned from once each; a table without labels gives 0.5 for all; a
+bias; ids without a label are scored but not learned from; an id that repeats is
+learned from by one of its texts, once for each of its labels; a table without labels gives 0.5 for all; a
 score of exactly 0.5 is predicted 1; extra columns are not read.
 """
 
@@ -168,7 +168,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], fold,
             yield b.drop_columns(["text"]).append_column("found", found)
 
     schema = StructType([f for f in rows.schema if f.name != "text"]).add("found", BinaryType())
-    got = rows.mapInArrow(run, schema).collect()
+    # a doc_id that repeats is learned from once for each of its labels, whichever number of rows has it
+    got = rows.mapInArrow(run, schema).groupBy("doc_id", *names).agg(F.min("found").alias("found")).collect()
     return sorted(got, key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"], r["found"], *(r[c] for c in names)))
 
 
