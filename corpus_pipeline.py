@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm import decontaminate, exact_dedup, language_id, near_copies, packing
-from driftlens.llm.common import table, written
+from driftlens.llm.common import dropped, table, written
 from driftlens.session import ship
 
 
@@ -27,7 +27,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Links come from the fingerprints' multi-index tables, verified on sets of five-word shingles at 0.8, and from what
+    of such pairs the fingerprints' three bits leave out.
+    """
     ship(spark)
     return near_copies.keep_one(docs)
 
@@ -49,7 +53,8 @@ STAGES = [("language_id", known_language), ("exact_dedup", exact), ("simhash_ded
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
