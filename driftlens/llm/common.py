@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -214,3 +217,44 @@ class WordRows:
         if len(ids) > self.most:
             self.ids, self.rows = {}, np.zeros((1024, out.shape[1]))
         return out
+
+
+#: Bits of a filter that goes to the tasks (4 MB).
+FILTER_BITS = 1 << 25
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of two bits a hash, put together in Spark as words of 64 bits; its size is fixed."""
+    mask = F.lit(FILTER_BITS - 1).cast("long")
+    at = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    x, y = _places(h)
+    one = np.uint64(1)
+    ok = (bits[x >> 6] >> (x & 63).astype(np.uint64)) & one
+    return (ok & (bits[y >> 6] >> (y & 63).astype(np.uint64))).astype(bool)
+
+
+def returned(fn: Callable) -> Callable:
+    """``fn`` over batches, which gives freed memory back to the system at its end: workers live on for other stages."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another system's C library
+            pass
+
+    return run

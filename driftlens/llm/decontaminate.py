@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, kept_columns, salted, table, written
+from .common import bit_filter, dropped, kept_columns, passes, returned, salted, table, written
 
 WORDS, LEAST = 5, 0.8
-#: Bits of the filter that goes to the tasks (4 MB, two of them), and words of a text that are looked at together.
-FILTER_BITS, BLOCK_WORDS = 1 << 25, 200_000
+#: Words of a text that are looked at together.
+BLOCK_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -114,27 +114,6 @@ def item_shingles(benchmark: DataFrame, least: float = LEAST, k: int = WORDS) ->
     return rows.mapInArrow(_shingled(least, k), _ITEM)
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of two bits a hash, put together in Spark as words of 64 bits; its size is fixed."""
-    mask = F.lit(FILTER_BITS - 1).cast("long")
-    at = hashes.select(F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))).alias("bit"))
-    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    x, y = _places(h)
-    one = np.uint64(1)
-    ok = (bits[x >> 6] >> (x & 63).astype(np.uint64)) & one
-    return (ok & (bits[y >> 6] >> (y & 63).astype(np.uint64))).astype(bool)
-
-
 def _blocks(text: str, size: int = BLOCK_WORDS, overlap: int = WORDS - 1) -> Iterator[list[str]]:
     """The words of a text in blocks that share the words of a shingle less one."""
     found = (m.group() for m in _WORD.finditer(text.lower()))
@@ -149,6 +128,7 @@ _MATCH = "doc_id long, text_hash long, class binary, shingles array<string>"
 
 
 def _search(widths: list[int], signatures: np.ndarray, wanted: np.ndarray):
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
@@ -159,9 +139,9 @@ def _search(widths: list[int], signatures: np.ndarray, wanted: np.ndarray):
                     h = hashes.of(w)
                     for width in widths:
                         own = _mix(h, width)
-                        here = _passes(wanted, own)
+                        here = passes(wanted, own)
                         if here.any():
-                            hit = hit or bool(_passes(signatures, own[here]).any())
+                            hit = hit or bool(passes(signatures, own[here]).any())
                             found.update(" ".join(w[j : j + width]) for j in np.flatnonzero(here).tolist())
                 if hit:
                     names = sorted(found)

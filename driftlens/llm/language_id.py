@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept_columns, slices, table
+from .common import crc_mod, kept_columns, returned, slices, table
 
 HIDDEN = 12
 #: Bytes that a window labels, and bytes of context before and after them.
@@ -253,6 +253,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
 
 
 def _predict(model: ByteGru | None):
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, pred, score = b.column(1).to_pylist(), [], []
@@ -287,6 +288,7 @@ def accepted(docs: DataFrame, model: ByteGru | None = None, least_shares: float
     run, names = _predict(model), docs.columns
     schema = docs.schema
 
+    @returned
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, text = names.index("doc_id"), names.index("text")
         for b in batches:

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_PARTS, dropped, kept_columns, parts, salted, sample_by_hash, written
+from .common import MOST_PARTS, bit_filter, dropped, kept_columns, parts, passes, returned, salted, sample_by_hash, written
 from .components import components
 from .simhash import fingerprint_links, shingle_hashes
 
@@ -54,12 +55,25 @@ def need(n):
     return (NUM * n + DEN - 1) // DEN
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, texts = b.column(0), b.column(1)
-        for at in range(0, b.num_rows, 500):
-            some = [shingle_set(t).tobytes() for t in texts[at : at + 500].to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids[at : at + 500], pa.array(some, pa.binary())], ["doc_id", "grams"])
+def _sets(wanted: np.ndarray):
+    """The sets of documents whose ids pass a filter."""
+
+    @returned
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(passes(wanted, mixed(ids)))
+            for at in range(0, len(rows), 500):
+                some = pa.array(rows[at : at + 500])
+                grams = [shingle_set(t).tobytes() for t in b.column(1).take(some).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+
+    return run
+
+
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A hash of ids, as :func:`bit_filter` takes it from ``xxhash64`` of theirs."""
+    return np.fromiter((xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in ids), np.uint64, len(ids))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +94,7 @@ def _prefixes(last: np.ndarray):
     order = np.argsort(last)
     known = last[order]
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -106,6 +121,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [np.concatenate(c) for c in cols] or None
 
 
+@returned
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, nb) for each document b of a prefix shingle whose smallest document a is of similar size."""
     if not (cols := _columns(batches)):
@@ -125,13 +141,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STEP_PAIRS = 300_000
 
 
+@returned
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) for each prefix shingle that can be the first one shared by two similar documents in different components."""
     if not (cols := _columns(batches)):
         return
-    key, pos, doc, n, comp = cols
+    key, pos, before, doc, n, comp = cols
     order = np.lexsort((doc, comp, key))
-    key, pos, doc, n, comp = key[order], pos[order], doc[order], n[order].astype(np.int64), comp[order]
+    key, pos, before, doc, n, comp = key[order], pos[order], before[order], doc[order], n[order].astype(np.int64), comp[order]
     new_key = np.concatenate((key[1:] != key[:-1], [True]))
     new_run = new_key | np.concatenate((comp[1:] != comp[:-1], [True]))
     rows = np.arange(len(key))
@@ -148,12 +165,15 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the first shingle that two sets share has nothing in common before it, so what follows it bounds the overlap
         overlap = -(-NUM * (n[left] + n[right]) // (NUM + DEN))
         ok = (np.minimum(n[left] - pos[left], n[right] - pos[right]) >= overlap) & (doc[left] != doc[right])
+        # two that have the shingle before in common too are listed there
+        ok &= (before[left] != before[right]) | (pos[left] == 0) | (pos[right] == 0)
         x, y = doc[left[ok]], doc[right[ok]]
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
         busy = busy[take:]
 
 
+@returned
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -175,9 +195,10 @@ def met(rows: DataFrame, total: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id and grams, the whole set, of the documents in ``pairs``; written."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, grams binary"))
+    """doc_id and grams, the whole set, of the documents in ``pairs``, and of few others; written. Texts stay where they are."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = bit_filter(ids.select(F.xxhash64("id").alias("hash")))
+    return written(docs.mapInArrow(_sets(wanted), "doc_id long, grams binary"))
 
 
 def star_pairs(keys: DataFrame, total: int) -> DataFrame:
@@ -191,8 +212,9 @@ def star_pairs(keys: DataFrame, total: int) -> DataFrame:
 def cross_pairs(keys: DataFrame, total: int, components_: DataFrame) -> DataFrame:
     """(a, b) of documents in different components that can still be similar, as their prefixes tell; written."""
     named = components_.select(F.col("node").alias("doc_id"), "component")
-    of = keys.join(named, "doc_id", "left").select(F.posexplode("keys").alias("pos", "key"), "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    pairs = written(met(of.select("key", "pos", "doc_id", "n", "comp"), total).mapInArrow(_cross, "a long, b long").distinct())
+    of = keys.join(named, "doc_id", "left").select(F.posexplode("keys").alias("pos", "key"), "keys", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    before = F.when(F.col("pos") > 0, F.col("keys")[F.col("pos") - 1]).otherwise(F.lit(0).cast("long")).alias("before")
+    pairs = written(met(of.select("key", "pos", before, "doc_id", "n", "comp"), total).mapInArrow(_cross, "a long, b long").distinct())
     # beyond the prefix that ends first, at most the rest of its own set is shared; prefixes are a fifth of the sets
     one, two = (keys.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "ab")
     both = salted(pairs, one, ["a"]).join(two, "b")

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, table, written
+from .common import kept_columns, returned, table, written
 
 LENGTH, END_ID = 2048, 0
 #: A bin with so few free places or fewer leaves at once; the last round emits everything.
@@ -104,6 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     kept_columns(docs, ("doc_id", "text"))
     end = int(end_id).to_bytes(4, "little")
 
+    @returned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens(tokenizer)
         for b in batches:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_PARTS, SHARE, dropped, kept_columns, parts, salted, table, written
+from .common import MOST_PARTS, SHARE, dropped, kept_columns, parts, returned, salted, table, written
 from .components import components
 
 SEED, WORDS, LINK_BITS = 42, 3, 3
@@ -58,6 +58,7 @@ def fingerprint(text: str) -> int:
     return int(((ones * 2 > len(h)).astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64))
 
 
+@returned
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -120,6 +121,7 @@ def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x
 
 
+@returned
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links in the buckets of one partition."""
     keys, fps = [], []
