@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Rows that a Python worker gets at once.
+BATCH_ROWS = "2000"
 #: Bytes a reducer of a blob exchange should hold, before numpy's working copies.
 BUCKET_BYTES = 10 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """Ship the package; rows of texts are large, so that few of them should go to a Python worker at once."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +49,7 @@ def scratch(spark: SparkSession) -> str:
 #: Scratch folders by application, for :func:`clean_scratch`.
 _SCRATCH: dict[str, list[str]] = {}
 #: For a write that cuts lineage: its shuffle files go with its end; what Python workers get at once stays small where rows are large.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -37,7 +37,7 @@ HIDDEN = 12
 #: Bytes that a window labels, and bytes of context before and after them.
 CORE, CONTEXT = 400, 24
 #: Windows of a batch; its products stay small enough for one thread.
-ROWS = 900
+ROWS = 600
 #: Bound of the training sample: documents of a language, and of all languages, but LEAST_DOCS of each at least, and
 #: about the characters of all of them; longer texts mean fewer documents.
 SAMPLE_DOCS, ALL_DOCS, LEAST_DOCS, SAMPLE_CHARS = 600, 60_000, 20, 40_000_000

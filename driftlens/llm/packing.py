@@ -56,7 +56,7 @@ class WordTokens:
     model; all other words go through the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
