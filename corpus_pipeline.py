@@ -10,19 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm import decontaminate, exact_dedup, language_id, near_copies, packing
-from driftlens.llm.common import dropped, table, written
-from driftlens.session import ship
+from driftlens.llm.common import dropped, prepared, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus teaches; the others go."""
-    ship(spark)
+    prepared(spark)
     return language_id.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original, then the smallest doc_id."""
-    ship(spark)
+    prepared(spark)
     return exact_dedup.keep_first(docs)
 
 
@@ -32,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Links come from the fingerprints' multi-index tables, verified on sets of five-word shingles at 0.8, and from what
     of such pairs the fingerprints' three bits leave out.
     """
-    ship(spark)
+    prepared(spark)
     return near_copies.keep_one(docs)
 
 
@@ -43,7 +42,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    ship(spark)
+    prepared(spark)
     return packing.sequences(docs, packing.default_tokenizer())
 
 
