@@ -12,10 +12,14 @@ No group is turned into all its pairs. First, fingerprint links and one pair a
 document, with the smallest document of its prefix shingles, are verified on
 whole sets; they join dense groups into components. Then only pairs of
 documents in different components are listed, at those prefix shingles that can
-be the first that they share: its places and their sizes bound their overlap
-from above. Where that can still reach 0.8 their prefixes are held against each
-other, which bounds it further, and only what is left is verified. A link within
-a component could not change the components.
+be the first that they share. What is before it then is in one set only, and of
+what follows sketches (the parities of shingles in 256 classes by hash, which
+differ in no more places than the sets) tell how much is: both bound their
+overlap from above. A shingle goes with
+minima over those before it: two sets with a minimum in common share an earlier
+one, where they are listed. Where the bounds still reach 0.8 their prefixes are
+held against each other, which bounds the overlap further, and only what is left
+is verified. A link within a component could not change the components.
 
 Words are those of the fingerprints of ``simhash``. Edge cases: null and empty
 texts have no words and are copies of each other only; a text of one to four
@@ -50,6 +54,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(h) if len(h) else np.zeros(1, np.uint64)
 
 
+#: Classes of a sketch: eight bits of a shingle's hash.
+SKETCH_BITS = 256
+#: Odd factors, each of which orders shingles in another way.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Whether the number of shingles in each class is odd; two sketches differ in at most as many places as their sets."""
+    return np.packbits(np.bincount(h >> np.uint64(56), minlength=SKETCH_BITS).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def need(n):
     """The least overlap of a set of n with any set that is similar to it."""
     return (NUM * n + DEN - 1) // DEN
@@ -99,10 +114,11 @@ def _prefixes(last: np.ndarray):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 ids, texts = b.column(0)[at : at + 500], b.column(1)[at : at + 500].to_pylist()
-                keys, sizes = [], []
+                keys, sizes, marks = [], [], []
                 for t in texts:
                     h = shingle_set(t)
                     n = len(h)
+                    marks.append(sketch(h))
                     if len(known):
                         place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         rank = np.where(known[place] == h, order[place], -1)
@@ -111,7 +127,7 @@ def _prefixes(last: np.ndarray):
                     sizes.append(n)
                 ends = np.cumsum([0, *map(len, keys)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), lists], ["doc_id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], ["doc_id", "n", "keys", "sketch"])
 
     return run
 
@@ -137,8 +153,44 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[head[rows]], doc[rows], n[rows])], ["a", "b", "nb"])
 
 
-#: Pairs that are held at once.
-STEP_PAIRS = 300_000
+#: Prefix shingles that are made into rows at once, and pairs that are held at once.
+STEP_ROWS, STEP_PAIRS = 100_000, 300_000
+_LOW, _SKETCH = [f"low{i}" for i in range(len(FACTORS))], [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_PLACED = ", ".join(["key long, pos int, doc_id long, n int, comp long", *(f"{c} long" for c in _LOW + _SKETCH)])
+
+
+@returned
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix shingle: its place, its document, minima over the shingles before it (0 at the first place), the sketch of it and those after it."""
+    for b in batches:
+        ends = b.column(2).offsets.to_numpy().astype(np.int64)
+        marks = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+        doc, n, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
+        values = b.column(2).values.to_numpy()
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_ROWS, "right")) - 1)
+            edges = ends[at : to + 1] - ends[at]
+            key = values[ends[at] : ends[to]]
+            low = np.zeros((len(FACTORS), len(key)), np.uint64)
+            for mixed_, out in zip((key.view(np.uint64) * np.uint64(f) for f in FACTORS), low):
+                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    np.minimum.accumulate(mixed_[x : y - 1], out=out[x + 1 : y])
+            row = np.repeat(np.arange(at, to), np.diff(edges))
+            starts = edges[row - at]
+            pos = (np.arange(len(key)) - starts).astype(np.int32)
+            after = []
+            for i in range(marks.shape[1]):
+                kind = key.view(np.uint64) >> np.uint64(56)
+                bit = np.where(kind >> np.uint64(6) == i, np.uint64(1) << (kind & np.uint64(63)), np.uint64(0))
+                before = np.bitwise_xor.accumulate(np.append(np.uint64(0), bit))[:-1]
+                after.append(before ^ before[starts] ^ marks[row, i])
+            for x in range(0, len(key), STEP_ROWS):
+                part = slice(x, x + STEP_ROWS)
+                r = row[part]
+                cols = [key[part], pos[part], doc[r], n[r], comp[r], *(v[part].view(np.int64) for v in (*low, *after))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "pos", "doc_id", "n", "comp", *_LOW, *_SKETCH])
+            at = to
 
 
 @returned
@@ -146,12 +198,16 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) for each prefix shingle that can be the first one shared by two similar documents in different components."""
     if not (cols := _columns(batches)):
         return
-    key, pos, before, doc, n, comp = cols
-    order = np.lexsort((doc, comp, key))
-    key, pos, before, doc, n, comp = key[order], pos[order], before[order], doc[order], n[order].astype(np.int64), comp[order]
-    new_key = np.concatenate((key[1:] != key[:-1], [True]))
-    new_run = new_key | np.concatenate((comp[1:] != comp[:-1], [True]))
-    rows = np.arange(len(key))
+    order = np.lexsort((cols[2], cols[4], cols[0]))
+    new_key = np.append(np.diff(cols[0][order]) != 0, True)
+    # shingles of one component only have no partners
+    alone = np.append(True, new_key[:-1]) & new_key
+    order, new_key = order[~alone], new_key[~alone]
+    cols = [c[order] for c in cols]
+    pos, doc, n, comp = cols[1], cols[2], cols[3].astype(np.int64), cols[4]
+    low, marks = cols[5 : 5 + len(FACTORS)], [c.view(np.uint64) for c in cols[5 + len(FACTORS) :]]
+    new_run = new_key | np.append(comp[1:] != comp[:-1], True)[: len(comp)]
+    rows = np.arange(len(doc))
     # the run of a row's component ends here, and the rows of its key end there; what lies between are its partners
     first = np.flatnonzero(new_run)[np.searchsorted(np.flatnonzero(new_run), rows)] + 1
     last = np.flatnonzero(new_key)[np.searchsorted(np.flatnonzero(new_key), rows)] + 1
@@ -162,11 +218,20 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = max(1, int(np.searchsorted(held, STEP_PAIRS, "right")))
         left = np.repeat(busy[:take], count[busy[:take]])
         right = np.arange(len(left)) - np.repeat(held[:take] - count[busy[:take]], count[busy[:take]]) + first[left]
-        # the first shingle that two sets share has nothing in common before it, so what follows it bounds the overlap
+        # the first shingle that two sets share has nothing in common before it
         overlap = -(-NUM * (n[left] + n[right]) // (NUM + DEN))
         ok = (np.minimum(n[left] - pos[left], n[right] - pos[right]) >= overlap) & (doc[left] != doc[right])
-        # two that have the shingle before in common too are listed there
-        ok &= (before[left] != before[right]) | (pos[left] == 0) | (pos[right] == 0)
+        left, right, overlap = left[ok], right[ok], overlap[ok]
+        # two that share an earlier shingle are listed there
+        early = np.zeros(len(left), bool)
+        for v in low:
+            early |= v[left] == v[right]
+        ok = ~early | (pos[left] == 0) | (pos[right] == 0)
+        left, right, overlap = left[ok], right[ok], overlap[ok]
+        apart = pos[left].astype(np.int64) + pos[right]
+        for v in marks:
+            apart += np.bitwise_count(v[left] ^ v[right])
+        ok = n[left] + n[right] - apart >= 2 * overlap
         x, y = doc[left[ok]], doc[right[ok]]
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -185,13 +250,13 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, keys): the number of a document's shingles, and those in its prefix; written."""
-    return written(docs.mapInArrow(_prefixes(frequent(docs)), "doc_id long, n int, keys array<long>"))
+    """(doc_id, n, keys, sketch): the number of a document's shingles, those in its prefix, and the sketch of all; written."""
+    return written(docs.mapInArrow(_prefixes(frequent(docs)), "doc_id long, n int, keys array<long>, sketch binary"))
 
 
-def met(rows: DataFrame, total: int) -> DataFrame:
-    """Rows of prefix shingles with those of one shingle in one partition."""
-    return rows.repartition(min(parts(rows.sparkSession, 32 * total), MOST_PARTS), "key")
+def met(rows: DataFrame, total: int, width: int = 32) -> DataFrame:
+    """Rows of prefix shingles, of ``width`` bytes each, with those of one shingle in one partition."""
+    return rows.repartition(min(parts(rows.sparkSession, width * total), MOST_PARTS), "key")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -212,9 +277,8 @@ def star_pairs(keys: DataFrame, total: int) -> DataFrame:
 def cross_pairs(keys: DataFrame, total: int, components_: DataFrame) -> DataFrame:
     """(a, b) of documents in different components that can still be similar, as their prefixes tell; written."""
     named = components_.select(F.col("node").alias("doc_id"), "component")
-    of = keys.join(named, "doc_id", "left").select(F.posexplode("keys").alias("pos", "key"), "keys", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    before = F.when(F.col("pos") > 0, F.col("keys")[F.col("pos") - 1]).otherwise(F.lit(0).cast("long")).alias("before")
-    pairs = written(met(of.select("key", "pos", before, "doc_id", "n", "comp"), total).mapInArrow(_cross, "a long, b long").distinct())
+    of = keys.join(named, "doc_id", "left").select("doc_id", "n", "keys", "sketch", F.coalesce("component", "doc_id").alias("comp"))
+    pairs = written(met(of.mapInArrow(_placed, _PLACED), total, 64).mapInArrow(_cross, "a long, b long").distinct())
     # beyond the prefix that ends first, at most the rest of its own set is shared; prefixes are a fifth of the sets
     one, two = (keys.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "ab")
     both = salted(pairs, one, ["a"]).join(two, "b")
