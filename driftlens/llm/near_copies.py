@@ -164,7 +164,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each prefix shingle: its place, its document, minima over the shingles before it (0 at the first place), the sketch of it and those after it."""
     for b in batches:
         ends = b.column(2).offsets.to_numpy().astype(np.int64)
-        marks = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+        marks = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, SKETCH_BITS // 64)
         doc, n, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
         values = b.column(2).values.to_numpy()
         at = 0
