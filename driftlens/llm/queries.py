@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, language_id, packing, quality, secrets, simhash, suffix_dedup, toxicity
+from . import alignment, decontaminate, divergence, exact_dedup, html_extract, language_id, packing, personal, quality, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
+    "op11_personal_data": personal.op11_personal_data,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_alignment": alignment.op13_alignment,
 }
-SQL = {"op5_decontaminate": decontaminate.SQL, "op6_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_decontaminate": decontaminate.SQL, "op6_exact_dedup": exact_dedup.SQL, "op12_divergence": divergence.SQL}
