@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_comparison, q_events, q_market, q_relational, q_targets, q_text, q_universe, q_vectors
+from . import q_comparison, q_events, q_market, q_phrases, q_relational, q_targets, q_text, q_universe, q_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (q_targets, q_vectors, q_text, q_relational, q_market, q_events, q_comparison, q_universe)
+_MODULES = (q_targets, q_vectors, q_text, q_phrases, q_relational, q_market, q_events, q_comparison, q_universe)
 
 
 def queries() -> dict[str, Query]:

@@ -82,6 +82,30 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 COMPONENTS = "comp AS (SELECT conv_id AS transcript_id, turn AS ord, CASE role WHEN 'system' THEN 2 WHEN 'user' THEN 3 ELSE 4 END AS ctype, text FROM conversations)"
 
 
+def statements(spark: SparkSession, d: str) -> DataFrame:
+    """Components whose texts state amounts, percentages and products: a sentence for each eight words of a conversation, in one of eight forms."""
+    c = components(spark, d).withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)))
+    form = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_FORMS))
+    said = f"transform(if(size(w) < 8, cast(array() as array<bigint>), sequence(0L, size(w) div 8 - 1)), i -> transform(array(named_struct('a', w[int(8 * i)], 'b', w[int(8 * i + 1)], 'c', w[int(8 * i + 2)], 'n', string((37 * i + 11 * ord + 5) % 97 + 1))), x -> CASE (i + ord) % 8 {form} END)[0])"
+    return c.withColumn("text", F.array_join(F.expr(said), " ")).drop("w")
+
+
+#: Sentences around words a, b, c and a number n, in both dialects.
+_FORMS = [
+    "'Our ' || x.a || ' ' || x.b || ' was $' || x.n || '.5 million.'",
+    "'We saw a ' || x.n || '% year-over-year increase in ' || x.a || ' ' || x.b || '.'",
+    "'The ' || x.a || ' ' || x.b || ' of the ' || x.c || ' totaled approximately €' || x.n || ' billion, and the iPhone ' || x.n || ' Pro ' || x.c || ' remained strong.'",
+    "'We expect to deliver adjusted ' || x.a || ' of $' || x.n || ' million.'",
+    "'In Q4, the ' || x.a || ' margin of ' || x.n || '% improved while ' || x.b || ' cut costs.'",
+    "x.a || ' ' || x.b || ' ' || x.c || ' and $' || x.n || ' ' || x.b || ' of ' || x.c || '!'",
+    "'The Vision ' || x.a || ' drove a $' || x.n || ' million investment in ' || x.b || ', our AirPods ' || x.b || ' and AIRPODS ' || x.b || '.'",
+    "x.a || ' came in at $' || x.n || ' million, a ' || x.n || '% decline. ' || x.b || ' exceeded ' || x.c || ' by ' || x.n || ' basis points?'",
+]
+STATEMENTS = f"""{COMPONENTS}, words AS (SELECT transcript_id, ord, ctype, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+') AS w FROM comp),
+st AS (SELECT transcript_id, ord, ctype, array_to_string(list_transform(range(0, len(w) // 8), lambda i: list_transform([{{'a': w[8 * i + 1], 'b': w[8 * i + 2], 'c': w[8 * i + 3], 'n': ((37 * i + 11 * ord + 5) % 97 + 1)::VARCHAR}}],
+  lambda x: CASE (i + ord) % 8 {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_FORMS))} END)[1]), ' ') AS text FROM words)"""
+
+
 def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     """similarity from document lengths, y from quality, confidence from toxic."""
     x = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
