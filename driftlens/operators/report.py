@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from .moving_targets import KEY, lasting
-from .vectors import continuity, pair_similarities
+from .vectors import best_matches, continuity
 
 
 def classified(labels: DataFrame, targets: DataFrame, sets: DataFrame, window: int = 12) -> DataFrame:
@@ -38,7 +38,7 @@ def reported(scores: DataFrame) -> DataFrame:
 
 def run_reports(vectors: DataFrame, targets: DataFrame, sets: DataFrame, maintained: float = 0.50, rephrased: float = 0.45, lag: int = 4, done: DataFrame | None = None) -> DataFrame:
     """All nodes over all calls; calls in ``done`` are left out, so a stopped run resumes."""
-    labels = continuity(pair_similarities(vectors, lag), maintained, rephrased)
+    labels = continuity(best_matches(vectors, lag), maintained, rephrased)
     if done is not None:
         labels = labels.join(done.select(*KEY), list(KEY), "left_anti")
     return reported(classified(labels, targets, sets))

@@ -58,7 +58,7 @@ def call_reports(s, d):
 
 
 def continuity_shares(s, d):
-    c = V.continuity(V.pair_similarities(X.vectors(s, d)), 0.30, 0.15)
+    c = V.continuity(V.best_matches(X.vectors(s, d)), 0.30, 0.15)
     return c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 

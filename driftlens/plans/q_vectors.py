@@ -23,10 +23,16 @@ def pair_similarities(s, d):
 
 
 def continuity(s, d):
-    c = V.continuity(V.pair_similarities(X.vectors(s, d)), 0.30, 0.15)
+    c = V.continuity(V.best_matches(X.vectors(s, d)), 0.30, 0.15)
     return c.select("company", "q_int", "hist_idx", "cur_idx", F.round("sim", 6).alias("sim"), "label")
 
 
+def pair_log(s, d):
+    v = X.vectors(s, d).withColumn("name", F.concat(F.lit("target "), (F.col("idx") % 7).cast("string")))
+    p = V.pair_log(v, 0.30, 0.15)
+    return p.select("company", "q_int", "cur_idx", "hist_idx", "current_label", "historical_label", F.round("similarity", 6).alias("similarity"), "label", "is_best")
+
+
 def semantic_mt(s, d):
     v = X.vectors(s, d)
     m = V.semantic_mt(v, v.select("company", "q_int"), 0.30, 0.15)
@@ -39,7 +45,7 @@ def window_pairs(s, d):
 
 
 def threshold_grid(s, d):
-    c = V.continuity(V.pair_similarities(X.vectors(s, d)), 0.30, 0.15).withColumn("kept", F.col("cur_idx") % 3 != 0)
+    c = V.continuity(V.best_matches(X.vectors(s, d)), 0.30, 0.15).withColumn("kept", F.col("cur_idx") % 3 != 0)
     g = V.threshold_grid(c, [0.2, 0.25, 0.3, 0.35, 0.4], [0.05, 0.1, 0.15, 0.2, 0.25])
     return g.select("m", "r", "n_false", "n_maintained", "n_kept", F.round("fp_rate", 6).alias("fp_rate"))
 
@@ -75,6 +81,9 @@ QUERIES = {
     "unit_vectors": (unit_vectors, "SELECT vec_id AS idx, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, 1.0::DOUBLE AS unit_length FROM embeddings"),
     "pair_similarities": (pair_similarities, _W + " SELECT company, q_int, cur_idx, hist_idx, round(sim, 6) AS sim FROM pairs"),
     "continuity_labels": (continuity, _W + " SELECT company, q_int, hist_idx, cur_idx, round(sim, 6) AS sim, label FROM labels"),
+    "pair_log": (pair_log, _W + """ SELECT p.company, p.q_int, p.cur_idx, p.hist_idx, 'target ' || (p.cur_idx % 7) || ' [' || p.cur_idx || ']' AS current_label,
+      'target ' || (p.hist_idx % 7) || ' (' || ((p.q_int - 4) // 4) || 'Q' || ((p.q_int - 4) % 4 + 1) || ') [' || p.hist_idx || ']' AS historical_label, round(p.sim, 6) AS similarity, label, p.cur_idx = l.cur_idx AS is_best
+      FROM pairs p JOIN labels l USING (company, q_int, hist_idx)"""),
     "semantic_mt": (semantic_mt, _W + """, n AS (SELECT company, q_int, count(*) AS n_historical, count(*) FILTER (label = 'maintained') AS n_maintained, count(*) FILTER (label = 'rephrased') AS n_rephrased, count(*) FILTER (label = 'dropped') AS n_dropped FROM labels GROUP BY ALL),
       c AS (SELECT company, q_int, count(*) AS n_current FROM v GROUP BY ALL)
       SELECT company, q_int, n_current, coalesce(n_historical, 0) AS n_historical, coalesce(n_maintained, 0) AS n_maintained, coalesce(n_rephrased, 0) AS n_rephrased, coalesce(n_dropped, 0) AS n_dropped,

@@ -329,3 +329,31 @@ def test_substring_persistence(spark):
     got = {(r.company, r.q_int, r.metric): r.persistent for r in moving_targets.substring_persistence(spark.createDataFrame(dropped, frame.schema), frame, 2).collect()}
     want = {(c, q, n): len({p for k, p, m in sets if k == c and q - 2 <= p < q and (m in n or n in m)}) == 2 for c, q, n in dropped}
     assert got == want and True in want.values() and False in want.values()
+
+
+def test_blocks_of_vectors(spark):
+    """Tiles of any size give the pairs of a plain loop; best matches and the log follow them; ties go to the smallest idx."""
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 9 else "b", i % 6, i, rng.integers(-2, 3, 5).astype(float).tolist(), f"n{i % 2}") for i in range(120)]
+    rows += [("a", 4, 200, [0.0] * 5, "zero"), ("a", 0, 201, None, "null"), ("c", 0, 202, [1.0] * 5, "alone"), ("a", 0, 203, [0.0] * 5, "zero")]
+    v = spark.createDataFrame(rows, "company string, q_int int, idx long, v array<double>, name string")
+
+    def cosine(x, y):
+        n = np.linalg.norm(x) * np.linalg.norm(y)
+        return float(np.dot(x, y) / n) if n else 0.0
+
+    want = {(c, q, i, j): cosine(x, y) for c, q, i, x, _ in rows for d, p, j, y, _ in rows if x and y and c == d and p == q - 4}
+    best = {}
+    for (c, q, i, j), s in sorted(want.items()):
+        if (c, q, j) not in best or round(s, 9) > best[c, q, j][0]:
+            best[c, q, j] = (round(s, 9), i)
+    for tile in (1, 7, 512):
+        got = {tuple(r)[:4]: r.sim for r in vectors.pair_similarities(v, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        c = vectors.continuity(vectors.best_matches(v, tile=tile)).collect()
+        assert {(r.company, r.q_int, r.hist_idx): (r.sim, r.cur_idx) for r in c} == best
+        log = vectors.pair_log(v, tile=tile).collect()
+        assert {(r.company, r.q_int, r.cur_idx, r.hist_idx) for r in log} == want.keys() and len(log) == len(want)
+        assert {(r.company, r.q_int, r.hist_idx): r.cur_idx for r in log if r.is_best} == {k: i for k, (_, i) in best.items()}
+        assert {r.label for r in log} == {"maintained", "rephrased", "dropped"} and any(r.historical_label == "n1 (0Q1) [6]" or r.historical_label == "n0 (0Q1) [6]" for r in log)
+    assert vectors.pair_log(v.limit(0)).count() == 0 and {r.q_int for r in vectors.pair_similarities(v, window=2).collect()} == {1, 2, 3, 4, 5}
