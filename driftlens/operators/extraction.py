@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,51 +37,74 @@ def rule_targets(components: DataFrame, strict: bool = False) -> DataFrame:
     return out.where("governing_verb <> ''") if strict else out
 
 
-# What a reply is searched for when it is no JSON as a whole, and the fields by which an object is a target.
-FIRST_LIST, FLAT_OBJECT = re.compile(r"\[.*?\]", re.S), re.compile(r"\{[^{}]*\}", re.S)
-TARGET_FIELDS = {"metric_name", "raw_text", "numerical_value", "trend_direction", "unit", "time_horizon", "confidence"}
+# Fences of code around a reply, what it is searched for when it is no JSON as a whole, and the fields by which an object is a target.
+FENCE, FENCE_END = r"^```(?:json)?\s*", r"\s*```$"
+FIRST_LIST, FLAT_OBJECT = r"(?s)\[.*?\]", r"\{[^{}]*\}"
+TARGET_FIELDS = ["metric_name", "raw_text", "numerical_value", "trend_direction", "unit", "time_horizon", "confidence"]
+_TEXT_FIELDS = [f for f in TARGET_FIELDS if f != "numerical_value"]
 
 
-def _json(text: str) -> object:
-    try:
-        return json.loads(text)
-    except ValueError:
-        return None
+def _kind(v: Column, *names: str) -> Column:
+    kind = F.schema_of_variant(v)
+    return reduce(lambda a, b: a | b, [kind.startswith(n) for n in names])
 
 
-def _objects(values: list) -> list[dict]:
-    return [x for x in values if isinstance(x, dict)]
+def _parsed(text: Column) -> Column:
+    v = F.try_parse_json(text)
+    return F.when(~F.is_variant_null(v), v)
 
 
-def parsed_response(raw: str | None) -> list[dict] | None:
-    """Targets of a model's reply; none for an empty reply, None where there is nothing to read.
+def _objects(values: Column) -> Column:
+    return F.filter(values, lambda x: _kind(x, "OBJECT"))
+
+
+def _fields(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _target_like(values: Column) -> Column:
+    wanted = F.array(*map(F.lit, TARGET_FIELDS))
+    return F.filter(values, lambda x: F.coalesce(F.arrays_overlap(F.map_keys(_fields(x)), wanted), F.lit(False)))
+
+
+def reply_objects(raw: Column) -> Column:
+    """The objects of a model's reply that tell targets, as an array of variants: empty for an empty reply, null where there is nothing to read.
 
     The reply, without fences, is read as JSON; failing that its first list;
     failing that its flat objects that look like targets. Of an object, the list
     ``targets`` counts, else the first list that holds objects, else the object
-    itself if it looks like a target.
+    itself if it looks like a target. An object with a key twice is no JSON.
     """
-    if not raw:
-        return []
-    body = raw.strip()
-    if body.startswith("```"):
-        body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", body)).strip()
-    value = _json(body)
-    if value is None and (m := FIRST_LIST.search(body)):
-        value = _json(m[0])
-    if value is None:
-        found = _objects([_json(m[0]) for m in FLAT_OBJECT.finditer(body)])
-        return [x for x in found if TARGET_FIELDS & x.keys()] if found else None
-    if isinstance(value, list):
-        return _objects(value)
-    if not isinstance(value, dict):
-        return None
-    if isinstance(value.get("targets"), list):
-        return _objects(value["targets"])
-    for v in value.values():
-        if isinstance(v, list) and (some := _objects(v)):
-            return some
-    return [value] if TARGET_FIELDS & value.keys() else None
+    trimmed = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed, FENCE, ""), FENCE_END, ""), r"^\s+|\s+$", "")
+    body = F.when(trimmed.startswith("```"), bare).otherwise(trimmed)
+    value = F.coalesce(_parsed(body), _parsed(F.nullif(F.regexp_extract(body, FIRST_LIST, 0), F.lit(""))))
+    flat = _objects(F.filter(F.transform(F.regexp_extract_all(body, F.lit(FLAT_OBJECT), F.lit(0)), _parsed), lambda x: x.isNotNull()))
+    a_list = lambda v: F.when(_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    own = F.try_variant_get(value, "$.targets", "variant")
+    # the reply's own order of keys, as a variant sorts them
+    lists = F.transform(F.json_object_keys(body), lambda k: _objects(a_list(F.try_element_at(_fields(value), k))))
+    first = F.get(F.filter(lists, lambda x: F.size(x) > 0), F.lit(0))
+    alone = F.filter(_target_like(F.array(value)), lambda x: x.isNotNull())
+    of_object = F.coalesce(_objects(a_list(own)), first, F.when(F.size(alone) > 0, alone))
+    return (
+        F.when(F.coalesce(raw, F.lit("")) == "", F.array().cast("array<variant>"))
+        .when(value.isNull(), F.when(F.size(flat) > 0, _target_like(flat)))
+        .when(_kind(value, "ARRAY"), _objects(a_list(value)))
+        .when(_kind(value, "OBJECT"), of_object)
+    )
+
+
+def reply_targets(raw: Column) -> Column:
+    """:func:`reply_objects` as structs of TARGET_FIELDS; texts as they are, a number only where the reply has a number."""
+    number = lambda x: F.try_variant_get(x, "$.numerical_value", "variant")
+    return F.transform(
+        reply_objects(raw),
+        lambda x: F.struct(
+            *[F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in _TEXT_FIELDS],
+            F.when(_kind(number(x), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(x, "$.numerical_value", "double")).alias("numerical_value"),
+        ),
+    )
 
 
 class LimitedClient:
@@ -135,29 +157,31 @@ class LimitedClient:
         raise AssertionError
 
 
-def extract_with(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk") -> DataFrame:
-    """Run a client over chunks, a partition at a time, and explode what its replies hold; a client that fails leaves an error."""
+def called(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk") -> DataFrame:
+    """The keys with a client's ``reply`` to each chunk, or the ``error`` of a call that failed."""
     kinds = dict(chunks.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", metric_name string, numerical_value double, confidence string, raw_text string, error string"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", reply string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.to_dict("records"):
-                own = [r[k] for k in keys]
                 try:
-                    targets = parsed_response(client(r[text]))
+                    rows.append([*(r[k] for k in keys), client(r[text]), None])
                 except Exception as e:  # noqa: BLE001  a failed call is a row, not a failed job
-                    rows.append([*own, None, None, None, None, str(e)[:200]])
-                    continue
-                for t in targets or []:
-                    n = t.get("numerical_value")
-                    rows.append([*own, t.get("metric_name"), float(n) if isinstance(n, (int, float)) else None, t.get("confidence"), t.get("raw_text"), None])
-            yield pd.DataFrame(rows, columns=[*keys, "metric_name", "numerical_value", "confidence", "raw_text", "error"])
+                    rows.append([*(r[k] for k in keys), None, str(e)[:200]])
+            yield pd.DataFrame(rows, columns=[*keys, "reply", "error"])
 
     return chunks.mapInPandas(run, schema)
 
 
+def extract_with(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk") -> DataFrame:
+    """Run a client over chunks, a partition at a time, and explode what its replies hold, which built-in expressions read; a client that fails leaves an error."""
+    found = called(chunks, client, keys, text).withColumn("t", F.when(F.col("error").isNull(), reply_targets(F.col("reply"))))
+    rows = found.select(*keys, F.explode_outer("t").alias("t"), "error").where("t is not null or error is not null")
+    return rows.select(*keys, "t.metric_name", "t.numerical_value", "t.confidence", "t.raw_text", "error")
+
+
 def chunked(components: DataFrame, keys: tuple[str, ...] = ("transcript_id", "ctype"), order: str = "ord", budget: int = 12_000) -> DataFrame:
     """Components of a type joined in order and packed into chunks."""
     g = components.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("p"))

@@ -79,6 +79,11 @@ def surprise(s, d):
     return f.select("ticker", "fp", "fpi", F.round(S.surprise(F.col("actual"), F.col("meanest"), F.col("stdev")), 6).alias("sue"), F.round(S.surprise_by_price(F.col("actual"), F.col("meanest"), F.col("prccq")), 6).alias("sue_price"))
 
 
+def reply_targets(s, d):
+    r = X.replies(s, d).select("transcript_id", "ord", F.posexplode_outer(E.reply_targets(F.col("reply"))).alias("pos", "t"), E.reply_objects(F.col("reply")).isNull().alias("unread"))
+    return r.select("transcript_id", "ord", "pos", "unread", *[f"t.{f}" for f in E.TARGET_FIELDS])
+
+
 def match_quality(s, d):
     t = X.read(s, d, "part").select("p_brand", F.lower("p_name").alias("name"), "p_partkey")
     pred, truth = t.where("p_partkey % 2 = 0").select("p_brand", "name"), t.where("p_partkey % 2 = 1").select("p_brand", "name")
@@ -123,6 +128,22 @@ QUERIES = {
     "nested_components": (nested_components, f"WITH {X.COMPONENTS} SELECT transcript_id, count(*) AS n_components, md5(string_agg(text, chr(10) || chr(10) ORDER BY ord, text)) AS text_md5 FROM comp WHERE length(trim(text)) > 0 GROUP BY ALL"),
     "rule_targets": (rule_targets, """SELECT p_partkey, 'MONEY' AS entity_label, '$' || p_size || ' million' AS value_text, '' AS governing_verb FROM part
       UNION ALL SELECT p_partkey, 'PERCENT', '12%', 'expect' FROM part"""),
+    "reply_targets": (reply_targets, rf"""WITH {X.REPLIED},
+      tr AS (SELECT *, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t FROM rp),
+      bo AS (SELECT *, CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(t, '^```(json)?\s*', ''), '\s*```$', '') ELSE t END AS body FROM tr),
+      li AS (SELECT *, regexp_extract(body, '(?s)\[.*?\]') AS lst FROM bo),
+      va AS (SELECT *, CASE WHEN json_valid(body) AND body <> 'null' THEN body WHEN json_valid(lst) THEN lst END AS val FROM li),
+      ob AS (SELECT *, CASE WHEN reply = '' THEN []::VARCHAR[]
+        WHEN val IS NULL THEN nullif(list_filter(regexp_extract_all(body, '\{{[^{{}}]*\}}'), lambda x: json_valid(x)), [])
+        WHEN json_type(val) = 'ARRAY' THEN list_filter(json_extract(val, '$[*]')::VARCHAR[], lambda x: json_type(x) = 'OBJECT')
+        WHEN json_type(val) <> 'OBJECT' THEN NULL
+        WHEN json_type(val, '$.targets') = 'ARRAY' THEN list_filter(json_extract(val, '$.targets[*]')::VARCHAR[], lambda x: json_type(x) = 'OBJECT')
+        ELSE coalesce(list_filter(list_transform(json_keys(val), lambda k: list_filter(coalesce(json_extract(json_extract(val, '$.' || k), '$[*]')::VARCHAR[], []), lambda x: json_type(x) = 'OBJECT')), lambda l: len(l) > 0)[1],
+          CASE WHEN list_has_any(json_keys(val), {E.TARGET_FIELDS}) THEN [val::VARCHAR] END) END AS objs FROM va),
+      fi AS (SELECT *, CASE WHEN reply <> '' AND val IS NULL THEN list_filter(objs, lambda x: list_has_any(json_keys(x), {E.TARGET_FIELDS})) ELSE objs END AS found FROM ob),
+      un AS (SELECT transcript_id, ord, found IS NULL AS unread, unnest(CASE WHEN coalesce(len(found), 0) = 0 THEN [NULL] ELSE found END) AS o, CASE WHEN coalesce(len(found), 0) > 0 THEN unnest(range(0, len(found))) END AS pos FROM fi)
+      SELECT transcript_id, ord, pos::INT AS pos, unread, {", ".join(f"o ->> '$.{f}' AS {f}" for f in E.TARGET_FIELDS if f != "numerical_value")},
+        CASE WHEN json_type(o, '$.numerical_value') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (o ->> '$.numerical_value')::DOUBLE END AS numerical_value FROM un"""),
     "financial_kinds": (financial_kinds, """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) || ' revenue' WHEN 1 THEN 'customer ' || lower(p_name) ELSE lower(p_name) END AS n FROM part)
       SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN false WHEN p_partkey % 4 = 0 THEN true WHEN p_partkey % 4 = 1 THEN false ELSE true END AS is_financial FROM p"""),
     "formulas": (formulas, """SELECT o_orderkey, round(ln(greatest(abs(o_totalprice) * o_orderkey::DOUBLE / 1000, 1.0)), 6) AS size, round(ln(greatest((o_orderkey % 7)::DOUBLE / nullif(o_totalprice, 0), 1e-6)), 6) AS logbm,

@@ -106,6 +106,44 @@ st AS (SELECT transcript_id, ord, ctype, array_to_string(list_transform(range(0,
   lambda x: CASE (i + ord) % 8 {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_FORMS))} END)[1]), ' ') AS text FROM words)"""
 
 
+#: Replies around the first three words a, b, c of a text and a number n: by form, whole JSON or something near it.
+_T = '{"metric_name": "~a ~b", "numerical_value": ~n, "raw_text": "~a was ~n million", "unit": "million"}'
+_U = '{"metric_name": "~c", "numerical_value": null, "confidence": "high", "trend_direction": "up"}'
+REPLIES = [
+    f"[{_T}, {_U}, 5, null]",
+    "```json\n{\"targets\": [" + _T + ", \"~a\", " + _U + "], \"other\": [" + _U + "]}\n```",
+    '{"zz": [1, 2], "found": [' + _U + ', 3], "also": [' + _T + "]}",
+    _T,
+    f"Here they are: [{_T}] and more [1].",
+    f"First {_T}, then {_U}; not {{\"z\": 1}} nor {{broken}}.",
+    "",
+    "~a ~b found nothing.",
+    '{"a": 1, "targets": "none"}',
+    '```\n{"metric_name": "~a", "numerical_value": "~n", "time_horizon": ~n.5}\n```',
+    '[{"metric_name": "~a", "inner": {"metric_name": "~b", "numerical_value": ~n.25}}, {"numerical_value": -~n.75}] trailing',
+    "null",
+]
+
+
+def replies(spark: SparkSession, d: str) -> DataFrame:
+    """transcript_id, ord and what a model could have replied to the component: words of its text in one of a dozen forms; null without three words."""
+    c = components(spark, d).withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)))
+    out = F.element_at(F.array(*map(F.lit, REPLIES)), ((F.col("transcript_id") + F.col("ord")) % len(REPLIES) + 1).cast("int"))
+    for k, x in (("~a", F.get("w", F.lit(0))), ("~b", F.get("w", F.lit(1))), ("~c", F.get("w", F.lit(2))), ("~n", (F.col("ord") * 7 + F.col("transcript_id") % 50).cast("string"))):
+        out = F.replace(out, F.lit(k), x)
+    return c.select("transcript_id", "ord", out.alias("reply"))
+
+
+def _reply_sql() -> str:
+    out = "[" + ", ".join("'" + r.replace("'", "''") + "'" for r in REPLIES) + f"][(transcript_id + ord) % {len(REPLIES)} + 1]"
+    for k, x in (("~a", "w[1]"), ("~b", "w[2]"), ("~c", "w[3]"), ("~n", "(ord * 7 + transcript_id % 50)::VARCHAR")):
+        out = f"replace({out}, '{k}', {x})"
+    return out
+
+
+REPLIED = f"{COMPONENTS}, words AS (SELECT transcript_id, ord, regexp_extract_all(coalesce(text, ''), '\\p{{L}}+') AS w FROM comp), rp AS (SELECT transcript_id, ord, {_reply_sql()} AS reply FROM words)"
+
+
 def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     """similarity from document lengths, y from quality, confidence from toxic."""
     x = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")

@@ -104,11 +104,19 @@ def test_greedy_matches(spark):
     assert tuple(one(spark, f=extraction.f1(F.lit(1), F.lit(2), F.lit(1))).f) == (0.5, 1.0, pytest.approx(2 / 3))
 
 
-def test_responses():
-    p = extraction.parsed_response
-    assert len(p('```json\n{"targets":[{"metric_name":"a"}]}\n```')) == 1 and p("[]") == [] and p("no json") is None and p(None) == p("") == []
-    assert len(p('{"x":[{"metric_name":"a"}]}')) == 1 and len(p('{"metric_name":"a"}')) == 1 and len(p('so: {"metric_name":"a"} and {"metric_name":"b"} end')) == 2
-    assert p('{"unit": "x"}') == [{"unit": "x"}] and p('{"a": 1}') is None and p('{"a": [1, {"b": 2}]}') == [{"b": 2}] and p('so [{"a": 1}] and [{"b": 2}]') == [{"a": 1}] and p('x {"z": 1} y') == []
+def test_responses(spark):
+    cases = {
+        '```json\n{"targets":[{"metric_name":"a"}]}\n```': [{"metric_name": "a"}], "[]": [], "no json": None, None: [], "": [], "null": None, "5": None, '"x"': None, " \n": None,
+        '{"x":[{"metric_name":"a"}]}': [{"metric_name": "a"}], '{"metric_name":"a"}': [{"metric_name": "a"}], 'so: {"metric_name":"a"} and {"metric_name":"b"} end': [{"metric_name": "a"}, {"metric_name": "b"}],
+        '{"unit": "x"}': [{"unit": "x"}], '{"a": 1}': None, '{"a": [1, {"b": 2}]}': [{"b": 2}], 'so [{"a": 1}] and [{"b": 2}]': [{"a": 1}], 'x {"z": 1} y': [], '{"z": [{"b": 1}], "a": [{"c": 2}]}': [{"b": 1}],
+        '```\n[{"a": null}]```  ': [{"a": None}], '{"targets": {}, "unit": null}': [{"targets": {}, "unit": None}], '{"targets": [], "x": [{"a": 1}]}': [], '[[{"a": 1}]]': [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, reply string")
+    got = {r.i: r for r in df.select("i", F.transform(extraction.reply_objects(F.col("reply")), lambda x: F.to_json(x)).alias("o"), extraction.reply_targets(F.col("reply")).alias("t")).collect()}
+    for i, (reply, want) in enumerate(cases.items()):
+        assert (got[i].o and [json.loads(x) for x in got[i].o]) == want if want else got[i].o == want, reply
+    one = df.limit(1).select(extraction.reply_targets(F.lit('[{"numerical_value": 2.5, "unit": 7}, {"numerical_value": "3"}, {"numerical_value": -4}, {"numerical_value": true}]')).alias("t")).first().t
+    assert [(x.numerical_value, x.unit) for x in one] == [(2.5, "7"), (None, None), (-4.0, None), (None, None)]
 
 
 def test_continuity_bounds(spark):
