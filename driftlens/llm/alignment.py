@@ -10,7 +10,9 @@ Neither tokenizer joins bytes over a single space between two characters that
 aren't white space: A's pattern starts a part there, and no piece of B has a
 space after another character (held true of the file when it is loaded; else
 whole texts are encoded). So a text is cut there, and units that a worker has
-met before are not encoded and merged again.
+met before are not encoded and merged again. New units are encoded as one text,
+and their ends are merged in one run, the two pointers being those of a merge
+sort of two sorted lists; that each unit ends where tokens of both do is checked.
 
 The most frequent pairs, at most 65,536, are broadcast for the join back; all
 others, none of which has a larger share of the links than one in 65,536, go
@@ -54,8 +56,25 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteTokens:
-    """A: ids and lengths in bytes of the tokens of ordinary text."""
+class Tokens:
+    """A tokenizer's ids for texts that begin with a space, each id's bytes and their number, and the id's decimal digits before each separator."""
+
+    def __init__(self, of_id: dict[int, bytes]):
+        n = max(of_id) + 1
+        self.bytes = of_id
+        self.size = np.zeros(n, np.int64)
+        self.size[list(of_id)] = [*map(len, of_id.values())]
+        self.shown = {sep: np.array([f"{i}{sep}" for i in range(n)], object) for sep in ",|;\n"}
+
+    def encode(self, text: str) -> list[int]:
+        raise NotImplementedError
+
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+
+class ByteTokens(Tokens):
+    """A: tokens of ordinary text, special tokens' strings included."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -65,40 +84,34 @@ class ByteTokens:
         of = _byte_of_letter()
         # an entry's id is its rank, as entries are numbered in the order of their merges
         ranks = {bytes([of[c] for c in entry]): i for entry, i in vocab.items()}
-        self.bytes = dict(zip(ranks.values(), ranks))
+        super().__init__(dict(zip(ranks.values(), ranks)))
         self.encoding = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(" " + t) for t in texts]
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(" " + text)
 
 
-class PieceTokens:
-    """B: ids and bytes of the pieces of text, which it begins with a space."""
+class PieceTokens(Tokens):
+    """B: pieces of text, which it begins with a space itself. ``cuts``: no piece has a space after another character."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = {i: bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
+        super().__init__({i: bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)})
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
-def merged(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-    """(i, j) where the i-th token of A and the j-th of B end together."""
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if ends_a[i] == ends_b[j]:
-            yield i, j
-            i += 1
-            j += 1
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in both of the ends that both have: the two sorted lists are merged, and equal ends are neighbours then."""
+    both = np.concatenate((ends_a, ends_b))
+    order = np.argsort(both, kind="stable")  # two sorted runs are merged, not sorted again
+    twice = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    return order[twice], order[twice + 1] - len(ends_a)
 
 
 class Units:
@@ -110,54 +123,79 @@ class Units:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.n: list[tuple[int, int, int] | None] = []
         self.groups: list[str] = []
-        self.pairs: list[list[int]] = []
+        # of each unit its numbers of tokens of A and B, and of groups, which is -1 where B does not give it back; where its pairs begin
+        self.n, self.starts, self.pairs = np.zeros((0, 3), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, units: list[str], ids_a: list[int], ids_b: list[int], ends: np.ndarray) -> bool:
+        """Learn units whose tokens follow one another; ``ends`` are theirs in bytes. False if one ends within a token."""
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        i, j = merged(ends_a, ends_b)
+        common = ends_a[i]
+        last = np.searchsorted(common, ends)  # of each unit, its last group
+        if (last >= len(common)).any() or (common[last] != ends).any():
+            return False
+        # a group's tokens of A, then its tokens of B: each token's place is its number and that of the other side's tokens before it
+        of_a, of_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        shown = np.empty(len(a) + len(b), object)
+        text_a = self.a.shown[","][a]
+        text_a[i] = self.a.shown["|"][a[i]]
+        text_b = self.b.shown[","][b]
+        text_b[j] = self.b.shown[";"][b[j]]
+        text_b[j[last]] = self.b.shown["\n"][b[j[last]]]
+        shown[np.arange(len(a)) + np.append(-1, j)[of_a] + 1] = text_a
+        shown[np.arange(len(b)) + i[of_b] + 1] = text_b
+        self.known.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
+        self.groups += "".join(shown.tolist()).split("\n")[:-1]
+        n = np.diff(np.stack((i[last], j[last], last)), prepend=-1).T
+        self.n = np.concatenate((self.n, n))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(n[:, 2])))
+        self.pairs = np.concatenate((self.pairs, a[i] << 32 | b[j]))
+        return True
+
+    def _alone(self, unit: str) -> None:
+        a, b, whole = self.a.encode(unit), self.b.encode(unit), b" " + unit.encode()
+        if self.a.joined(a) == whole == self.b.joined(b):
+            self._add([unit], a, b, np.array([len(whole)]))
+            return
+        self.known[unit] = len(self.groups)
+        self.groups.append("")
+        self.n = np.concatenate((self.n, [[0, 0, -1]]))
+        self.starts = np.append(self.starts, self.starts[-1])
 
     def _learn(self, units: list[str]) -> None:
-        a_bytes, b_bytes = self.a.bytes, self.b.bytes
-        for unit, a, b in zip(units, self.a.encode(units), self.b.encode(units)):
-            x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-            self.known[unit] = len(self.n)
-            whole = b" " + unit.encode()
-            if b"".join(x) != whole or b"".join(y) != whole:
-                self.n.append(None)
-                self.groups.append("")
-                self.pairs.append([])
-                continue
-            ends_a, ends_b = np.cumsum([*map(len, x)]).tolist(), np.cumsum([*map(len, y)]).tolist()
-            links = [*merged(a, b, ends_a, ends_b)]
-            text, from_a, from_b = [], 0, 0
-            for i, j in links:
-                text.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                from_a, from_b = i + 1, j + 1
-            self.n.append((len(a), len(b), len(links)))
-            self.groups.append(";".join(text))
-            self.pairs.append([a[i] << 32 | b[j] for i, j in links])
+        usual = [u for u in units if not u[:1].isspace() and not u[-1:].isspace() and u and SPACE not in u] if self.b.cuts else []
+        if usual:
+            text = " ".join(usual)
+            a, b, whole = self.a.encode(text), self.b.encode(text), b" " + text.encode()
+            ends = np.cumsum([len(u.encode()) + 1 for u in usual])
+            if not (self.a.joined(a) == whole == self.b.joined(b) and self._add(usual, a, b, ends)):
+                usual = []
+        for u in set(units).difference(usual) if usual else units:
+            self._alone(u)
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, digest, distinct pairs, how often each) of each text."""
         nothing = (0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
-        for text in texts:
-            if not text:
-                yield nothing
-                continue
-            units = _CUT.split(text) if self.b.cuts and SPACE not in text else [text]
-            if len(self.known) > self.most:
-                self._clear()
-            if new := list(set(units).difference(self.known)):
-                self._learn(new)
-            at = list(map(self.known.__getitem__, units))
-            sizes = list(map(self.n.__getitem__, at))
-            if None in sizes:
+        cut = [[] if not t else _CUT.split(t) if self.b.cuts and SPACE not in t else [t] for t in texts]
+        if len(self.known) > self.most:
+            self._clear()
+        if new := list({u for units in cut for u in units}.difference(self.known)):
+            self._learn(new)
+        for units in cut:
+            at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            n = self.n[at]
+            if not len(at) or (n[:, 2] < 0).any():
                 yield nothing
                 continue
             digest = hashlib.sha256()
             for k in range(0, len(at), 100_000):  # long texts in parts
-                digest.update(((";" if k else "") + ";".join(map(self.groups.__getitem__, at[k : k + 100_000]))).encode())
-            pairs, times = np.unique(np.array([p for k in at for p in self.pairs[k]], np.int64), return_counts=True)
-            n_a, n_b, n_groups = map(sum, zip(*sizes))
-            yield n_a, n_b, n_groups, digest.hexdigest(), pairs, times
+                digest.update(((";" if k else "") + ";".join(map(self.groups.__getitem__, at[k : k + 100_000].tolist()))).encode())
+            links = n[:, 2]
+            place = np.arange(links.sum()) + np.repeat(self.starts[at] - np.cumsum(links) + links, links)
+            pairs, times = np.unique(self.pairs[place], return_counts=True)
+            yield *n.sum(0).tolist(), digest.hexdigest(), pairs, times
 
 
 _UNITS: dict[tuple[str, str], Units] = {}

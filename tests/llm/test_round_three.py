@@ -1,17 +1,21 @@
 """Personal data, divergence of sources and alignment of tokenizers against plain versions, and on odd tables."""
 
+import base64
 import hashlib
+import random
 import re
 import time
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm import alignment, divergence, personal
+from driftlens.llm import alignment, divergence, html_extract, language_id, near_copies, personal
 from driftlens.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -213,9 +217,94 @@ def test_alignment_of_nothing(spark):
     assert alignment.with_counts(found, alignment.pair_counts(found)).count() == 0
 
 
+def test_units_that_cannot_be_joined(monkeypatch):
+    """Where a unit would end within a token, units are encoded each for itself."""
+    paths = alignment.default_tokenizers()
+    u = alignment.Units(alignment.ByteTokens(paths[0]), alignment.PieceTokens(paths[1]))
+    v = alignment.Units(u.a, u.b)
+    monkeypatch.setattr(v, "_add", lambda units, a, b, ends, own=v._add: len(units) == 1 and own(units, a, b, ends))
+    texts = ["one two three", "it's four", "two two"]
+    assert [r[:4] for r in u.rows(texts)] == [r[:4] for r in v.rows(texts)]
+
+
 def test_units_are_forgotten():
     a, b = alignment.ByteTokens(alignment.default_tokenizers()[0]), alignment.PieceTokens(alignment.default_tokenizers()[1])
     few, many = alignment.Units(a, b, 3), alignment.Units(a, b)
     texts = ["one two three four", "two five six", None, "one", "it 's a   test\n of\tspaces "]
     as_lists = lambda u: [(*r[:4], r[4].tolist(), r[5].tolist()) for r in u.rows(texts)]
     assert as_lists(few) == as_lists(many)
+
+
+# near copies, language and pages: cases that went wrong before
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """An id with unlike texts loses only the row that has a near copy; of a group the row of the smallest id, then digest, stays."""
+    rng = random.Random(3)
+    a, b, c = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(5, a), (5, b), (3, b + " one"), (9, c), (9, c + " more"), (9, c + " last"), (4, a.upper()), (None, a), (-1, None), (-1, ""), (8, "")]
+    got = sorted((r.doc_id or 0, r.text or "") for r in near_copies.keep_one(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect())
+    first = min((hashlib.md5(t.encode()).hexdigest(), t) for t in (c, c + " more", c + " last"))[1]
+    assert got == sorted([(4, a.upper()), (3, b + " one"), (9, first), (0, a), (-1, "")])
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10**6])
+def test_runs_hold_whole_keys(rows):
+    rng = np.random.default_rng(rows)
+    key = np.sort(rng.integers(0, 60, 1000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.arange(len(k)))], ["key", "v"]) for k in np.split(key, np.sort(rng.integers(0, 1000, 40)))]
+    runs = list(near_copies._runs(iter(batches), rows))
+    assert np.concatenate([r[0] for r in runs]).tolist() == key.tolist()
+    assert all(x[0][-1] != y[0][0] for x, y in zip(runs, runs[1:])) and (rows > 1 or len(runs) == len(set(key.tolist())))
+    assert list(near_copies._runs(iter([]))) == []
+
+
+def test_rejected_languages(spark):
+    """What is in no learned language goes, though the network names one; what is in one stays."""
+    rng = random.Random(4)
+    foreign = [
+        "\u0421\u044a\u0435\u0448\u044c \u0436\u0435 \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u043c\u044f\u0433\u043a\u0438\u0445 \u0431\u0443\u043b\u043e\u043a", "\u6211\u80fd\u541e\u4e0b\u73bb\u7483\u800c\u4e0d\u4f24\u8eab\u4f53",
+        "Kaikki ihmiset syntyv\u00e4t vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu j\u00e4rki ja omatunto.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)), base64.b64encode(rng.randbytes(400)).decode(), "x", "12 34 !", None,
+    ]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rows = language_id.training_texts(docs)
+    model, known = language_id.ByteGru(sorted({lang for lang, _ in rows}), hidden=2), language_id.Familiar(rows)
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(foreign)], docs.schema)
+    got = {r.doc_id for r in language_id.accepted(docs.union(more), model, known).select("doc_id").collect()}
+    assert not [foreign[-1 - i] for i in got if i < 0]
+    own = {r.doc_id for r in docs.collect() if language_id.has_letter(r.text)}
+    assert len(own - got) <= len(own) // 100
+
+
+PAGES = [
+    ("<p data-x=it's>first don't stop</p><p>second para</p>", "first don't stop\n\nsecond para"),
+    ('<p title="a > b">one</p><p title=\'x"y\'>two</p>', "one\n\ntwo"),
+    ("<p class=a\"b title = 'q>r' >one's</p><p>isn't</p>", "one's\n\nisn't"),
+    ('<p class="navy-blue">one</p><p class="recommended">two</p><p class="promo widget">three</p>', "one\n\ntwo\n\nthree"),
+    ('<p>one</p><div class="recommended"><p>box</p></div><div class="navbar">menu</div><div class="navigate-well"><p>two</p></div><p class="advert">buy</p><p class="sponsored">buy</p>', "one\n\ntwo"),
+    ("<p>for <math><mi>x</mi><mo>&gt;</mo><mn>2</mn></math> only</p>", "for x>2 only"),
+    ("<p>a<!-->b<!-- > -- --!>c<!---->d</p><p class=comment class=x>no</p><p class=x class=comment>yes</p>", "abcd\n\nyes"),
+    ("<p>one</p><script>if (a</b/.exec(c)) '</script foo>'</script >x<p>two</p>", "one\n\n'\n\ntwo"),
+    ("<p =x>one</p><p a==b'>two</p>", "one\n\ntwo"),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_attributes_and_class_words(page, text):
+    got = html_extract.text_at(f"<html><body><article>{page}</article></body></html>", None)
+    if "script" in page:  # what follows the script's end is text of the article
+        assert got.startswith("one") and got.endswith("two") and "exec" not in got
+    else:
+        assert got == text
+
+
+def test_tags_take_linear_time():
+    for part in ("<p a='", '<p a="', "<p a=", "<!--", "<a b=c", "<", "<p '", "</script", "='"):
+        began = time.time()
+        html_extract.parse("<body>" + part * (200_000 // len(part)))
+        assert time.time() - began < 10, part
