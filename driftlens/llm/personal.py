@@ -29,6 +29,7 @@ import hashlib
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,22 +101,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _chain(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """What a chain of digits is by the base pattern, or else the numbers in it that look like cards: runs of whole groups of 13 to 19 digits."""
+    """What a chain of digits is by the base pattern, or else the numbers in it that look like cards: runs of whole groups, of 13 to 19 digits that an issuer could have given out and that pass the check."""
     digits = _digits(text[start:end])
     if 16 <= len(digits) <= 19 and luhn(digits):
         return [(start, end)], []
     if len(digits) < 13:
         return [], []
+    # check sums up to each digit, with every second digit doubled: those at odd places, and those at even ones
+    plain = [int(d) for d in digits]
+    twice = [2 * d - 9 if d > 4 else 2 * d for d in plain]
+    sums = [[0, *accumulate(t if i % 2 != k else d for i, (d, t) in enumerate(zip(plain, twice)))] for k in (0, 1)]
     groups, found, i = [m.span() for m in re.finditer(r"[0-9]+", text[start:end])], [], 0
+    edges = [0, *accumulate(hi - lo for lo, hi in groups)]
     while i < len(groups):
-        held, best = "", None
-        for j in range(i, len(groups)):
-            lo, hi = groups[j]
-            if len(held) + hi - lo > 19:
-                break
-            held += text[start + lo : start + hi]
-            if len(held) >= 13 and luhn(held):
-                best = j
+        best = None
+        if ISSUERS.match(digits, edges[i]):
+            for j in range(i, len(groups)):
+                a, b = edges[i], edges[j + 1]
+                if b - a > 19:
+                    break
+                if b - a >= 13 and (sums[(b - 1) % 2][b] - sums[(b - 1) % 2][a]) % 10 == 0:
+                    best = j
         if best is None:
             i += 1
         else:
