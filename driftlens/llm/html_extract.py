@@ -32,28 +32,37 @@ from pyspark.sql import functions as F
 from .common import kept_columns, salted, slices, table, written
 
 #: HTML's element kinds.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "math", "canvas", "audio", "video", "title", "head"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "canvas", "audio", "video", "title", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "center"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "th", "caption", "hr", "address", "header", "details", "summary", "html", "fieldset"} | SKIPPED
-#: Words of a class or id that mark what is not the article.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|popup|modal|overlay|newsletter|subscri\w+|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|widget|recommend\w*|sharing|comments?|replies|respond|disqus|"
-    r"footer|masthead|topbar|toolbar|pagination|pager|login|signup|copyright)(?:$|[\s_-])",
-    re.I,
+
+def _words(words: str) -> re.Pattern:
+    """Any of these as a whole word of a class or id."""
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words.split())})(?:$|[\s_-])", re.I)
+
+
+#: Words of a class or id that mark what is not the article, whatever element has them.
+BOILER = _words(
+    "ads? adverts? advertisements? advertising sponsored cookies? consent popup modal overlay newsletter breadcrumbs? "
+    "comments? replies respond disqus masthead pagination pager copyright"
 )
 #: Words that can also name a part of the article: they count outside it, and inside it for boxes, not for its paragraphs.
-MAYBE = re.compile(r"(?:^|[\s_-])(?:notice|side|related|share|social|foot|search|legal)(?:$|[\s_-])", re.I)
+MAYBE = _words(
+    "notice side related share social foot search legal banner sponsors? promos? promotions? promoted subscribe subscriptions? subscribers? "
+    "nav navs navbar navigation menus? sidebars? widgets? recommended recommends recommendations? sharing footers? topbar toolbar login signup"
+)
 #: Elements that hold text itself.
 TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "td", "th", "figcaption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: What stands in a tag: a quote opens a value only right after its sign of equality; an unclosed one runs to the end, as the standard has it.
+_VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:{_VALUE}|(?=>)|\Z))*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"([^\s=/>]+)(?:\s*=\s*({_VALUE}))?")
 PATH_CHARS = 400
 _SPACE = re.compile(r"\s+")
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 
@@ -83,7 +92,9 @@ def inside(node: Node | None) -> bool:
 def _node(tag: str, attrs: str, parent: Node | None, first: int) -> Node:
     name, skip = tag, tag in SKIPPED
     if attrs.strip():
-        a = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
+        a: dict[str, str] = {}
+        for k, v in _ATTR.findall(attrs):  # of attributes of one name the first counts
+            a.setdefault(k.lower(), html.unescape(v[1 : -1 if v[-1] == v[0] and len(v) > 1 else None] if v[:1] in ("'", '"') else v))
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in a.get("class", "").split()})])
         marks = f"{a.get('class', '')} {a.get('id', '')}"
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
