@@ -242,7 +242,11 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGru | None:
     """Learn from documents outside the held-out fold that have a lang."""
-    rows = training_texts(docs, sample_docs)
+    return learned(training_texts(docs, sample_docs))
+
+
+def learned(rows: list[tuple[str, bytes]]) -> ByteGru | None:
+    """A network trained on (lang, bytes); none without rows."""
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -277,14 +281,82 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
-#: A document whose best language is labelled with less than this many times an equal share is rejected.
-LEAST_SHARES = 1.05
+#: Cells of the table of three bytes in a row, and the lengths for which the pipeline's bounds are learned.
+CELLS, LENGTHS = 1 << 18, (4, 8, 16, 32, 64, 128, 256, 512, 1024)
+#: Windows of each length that bounds are learned from, and how far above the most surprising of them a bound lies, in bits a byte.
+BOUND_WINDOWS, MARGIN = 4000, 0.25
+
+
+def letters_of(text: bytes) -> np.ndarray:
+    """The bytes of letters with one space around each run of them; what is no letter does not tell a language."""
+    x = np.frombuffer(text, np.uint8)
+    x = np.where((x >= 97) & (x <= 122) | (x >= 128), x, 32).astype(np.uint8)
+    x = np.concatenate(([32], x, [32])).astype(np.uint8)
+    return x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
+
+
+def _cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte but the first two, the cell of it and the two before it, and the cell of those two."""
+    y = x.astype(np.uint64)
+    two = y[:-2] << np.uint64(8) | y[1:-1]
+    mix = lambda h: (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+    return mix(two << np.uint64(8) | y[2:]), mix(two + np.uint64(1 << 32))
+
+
+class Familiar:
+    """How surprising a text's letters are, given the two bytes before each, to one who knows the learned texts; and how surprising a learned text can be.
+
+    The network's probabilities tell the learned languages from each other, for any text whatever. This tells whether
+    it is in any of them: bounds are set by windows of texts that the counts have not seen.
+    """
+
+    def __init__(self, texts: list[tuple[str, bytes]], seed: int = 7):
+        found = [(lang, letters_of(t)) for lang, t in texts]
+        halves = [found[0::2], found[1::2]]
+        rng = np.random.default_rng(seed)
+        bounds = np.zeros(len(LENGTHS))
+        for learn, rest in (halves, halves[::-1]):
+            bits = self._bits(learn)
+            rest = [x for _, x in rest if len(x) > 3]
+            for i, n in enumerate(LENGTHS):
+                for k in rng.integers(0, len(rest), BOUND_WINDOWS) if rest else ():
+                    x = rest[k]
+                    at = int(rng.integers(0, max(1, len(x) - n - 2)))
+                    bounds[i] = max(bounds[i], bits[_cells(x[at : at + n + 2])[0]].mean())
+        self.bits, self.bounds = self._bits(found), bounds + MARGIN
+
+    @staticmethod
+    def _bits(found: list[tuple[str, np.ndarray]]) -> np.ndarray:
+        """Bits of surprise by cell, of the language in which it is least."""
+        out = np.full(CELLS, np.float32(12.0))
+        for lang in sorted({lang for lang, _ in found}):
+            three, two, pairs = np.zeros(CELLS), np.zeros(CELLS), np.zeros(CELLS, np.int64)
+            for own, x in found:
+                if own == lang and len(x) > 2:
+                    c, before = _cells(x)
+                    three += np.bincount(c, minlength=CELLS)
+                    two += np.bincount(before, minlength=CELLS)
+                    pairs[c] = before
+            seen = three > 0
+            out[seen] = np.minimum(out[seen], -np.log2(three[seen] / (two[pairs[seen]] + 1)))
+        return out
+
+    def knows(self, text: bytes) -> bool:
+        """A text shorter than the shortest length is held to that one's bound, a longer one than the longest to that one's."""
+        x = letters_of(text)
+        if len(x) < 3:
+            return False
+        return bool(self.bits[_cells(x)[0]].mean() <= np.interp(np.log(len(x) - 2), np.log(LENGTHS), self.bounds))
+
 
+def accepted(docs: DataFrame, model: ByteGru | None = None, known: Familiar | None = None) -> DataFrame:
+    """The rows of ``docs`` that the network gives a language and whose letters are those of the learned texts, with all their columns.
 
-def accepted(docs: DataFrame, model: ByteGru | None = None, least_shares: float = LEAST_SHARES) -> DataFrame:
-    """The rows of ``docs`` in a known language, with all their columns; of a single learned language every text with a letter."""
-    model = model or fit(docs)
-    least = 0.0 if model is None or len(model.languages) < 2 else least_shares / len(model.languages)
+    Without any language to learn all texts are ``und``, and none is accepted.
+    """
+    rows = training_texts(docs) if model is None or known is None else []
+    model = model or learned(rows)
+    known = known or (Familiar(rows) if rows else None)
     run, names = _predict(model), docs.columns
     schema = docs.schema
 
@@ -293,7 +365,7 @@ def accepted(docs: DataFrame, model: ByteGru | None = None, least_shares: float
         at, text = names.index("doc_id"), names.index("text")
         for b in batches:
             out = next(run(iter([pa.RecordBatch.from_arrays([b.column(at), b.column(text)], ["doc_id", "text"])])))
-            ok = [p != UND and s >= least for p, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist())]
+            ok = [p != UND and (known is None or known.knows(text_of_bytes(t.as_py()))) for p, t in zip(out.column(1).to_pylist(), b.column(text))]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
