@@ -23,8 +23,11 @@ is verified. A link within a component could not change the components.
 
 Words are those of the fingerprints of ``simhash``. Edge cases: null and empty
 texts have no words and are copies of each other only; a text of one to four
-words is one shingle; repeated rows are one document; rows without doc_id have
-no copies; an empty input gives an empty result; extra columns are not read.
+words is one shingle; rows without doc_id have no copies; an empty input gives
+an empty result; extra columns are not read. ``keep_one`` tells rows apart, not
+ids: an id that repeats with unlike texts has a row for each, repeated rows are
+copies of each other, and of the smallest doc_id's rows the one with the
+smallest digest stays. The other functions take ids that don't repeat.
 """
 
 from __future__ import annotations
@@ -132,25 +135,43 @@ def _prefixes(last: np.ndarray):
     return run
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    cols = list(zip(*([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches)))
-    return [np.concatenate(c) for c in cols] or None
+#: Rows of whole keys that a task works on at once; a key with more is worked on alone.
+RUN_ROWS = 400_000
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first, in runs of whole keys of about ``rows`` rows."""
+    rows = rows or RUN_ROWS
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        last = held[-1][0][-1]
+        if n < rows or held[0][0][0] == last:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.searchsorted(cols[0], last))  # the last key may go on
+        yield [c[:cut] for c in cols]
+        held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 @returned
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, nb) for each document b of a prefix shingle whose smallest document a is of similar size."""
-    if not (cols := _columns(batches)):
-        return
-    key, doc, n = cols
-    order = np.lexsort((doc, key))
-    key, doc, n = key[order], doc[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    head = np.repeat(first, np.diff(np.append(first, len(key))))
-    ok = (doc != doc[head]) & (NUM * np.maximum(n, n[head]) <= DEN * np.minimum(n, n[head]))
-    for at in range(0, int(ok.sum()), 200_000):
-        rows = np.flatnonzero(ok)[at : at + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[head[rows]], doc[rows], n[rows])], ["a", "b", "nb"])
+    for key, doc, n in _runs(batches):
+        order = np.lexsort((doc, key))
+        key, doc, n = key[order], doc[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        head = np.repeat(first, np.diff(np.append(first, len(key))))
+        ok = (doc != doc[head]) & (NUM * np.maximum(n, n[head]) <= DEN * np.minimum(n, n[head]))
+        for at in range(0, int(ok.sum()), 200_000):
+            rows = np.flatnonzero(ok)[at : at + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[head[rows]], doc[rows], n[rows])], ["a", "b", "nb"])
 
 
 #: Prefix shingles that are made into rows at once, and pairs that are held at once.
@@ -196,8 +217,11 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @returned
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) for each prefix shingle that can be the first one shared by two similar documents in different components."""
-    if not (cols := _columns(batches)):
-        return
+    for cols in _runs(batches):
+        yield from _crossed(cols)
+
+
+def _crossed(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((cols[2], cols[4], cols[0]))
     new_key = np.append(np.diff(cols[0][order]) != 0, True)
     # shingles of one component only have no partners
@@ -255,8 +279,8 @@ def prefix_keys(docs: DataFrame) -> DataFrame:
 
 
 def met(rows: DataFrame, total: int, width: int = 32) -> DataFrame:
-    """Rows of prefix shingles, of ``width`` bytes each, with those of one shingle in one partition."""
-    return rows.repartition(min(parts(rows.sparkSession, width * total), MOST_PARTS), "key")
+    """Rows of prefix shingles, of ``width`` bytes each, with those of one shingle after one another in one partition."""
+    return rows.repartition(min(parts(rows.sparkSession, width * total), MOST_PARTS), "key").sortWithinPartitions("key")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -337,6 +361,16 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but those whose near copies, or theirs in turn, lead to a smaller doc_id; with all their columns."""
-    gone = groups(docs).where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """The rows of ``docs`` but those whose near copies, or theirs in turn, lead to one with a smaller (doc_id, digest); with all their columns.
+
+    Rows are numbered once, in a written table, as ids may repeat; its numbers are the nodes of all links.
+    """
+    kept_columns(docs, ("doc_id", "text"))
+    rows = written(docs.withColumn("__node", F.monotonically_increasing_id()))
+    known = rows.where(F.col("doc_id").isNotNull())
+    found = written(groups(known.select(F.col("__node").alias("doc_id"), "text")))
+    order = F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.col("__node").alias("node"))
+    named = found.join(known.select(F.col("__node").alias("node"), order.alias("order")), "node")
+    stay = written(named.groupBy("component").agg(F.min("order").alias("o")).select(F.col("o.node").alias("node")))
+    gone = found.join(stay, "node", "left_anti").select(F.col("node").alias("__gone"))
+    return rows.join(gone, rows["__node"] == gone["__gone"], "left_anti").drop("__node")
