@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import band_rows, nearest_date, row_positions
+from .relational import nearest_date
 
+#: Sums that tell a regression and a window's abnormal return.
+_SUMS = ("n", "n_full", "r", "m", "mm", "mr")
 
-def abnormal_returns(daily: DataFrame, events: DataFrame, key: str = "company", est: tuple[int, int] = (-250, -30), window: tuple[int, int] = (-1, 1), min_est: int = 30, within: int = 3) -> DataFrame:
-    """Per event: matched day, alpha and beta (0 and 1 below 10 estimation rows), rows used, CAR (null if any return in the window is)."""
-    rows = row_positions(daily, key, "date")
-    days = rows.select(key, "date", "pos")
-    at = nearest_date(events, days, key, "event_date", "date", within)
-    at = at.join(days.withColumnsRenamed({"date": "matched_day", "pos": "event_pos"}), [key, "matched_day"])
+
+def moments_upto(daily: DataFrame, key: str = "company") -> DataFrame:
+    """Each day with its place (``pos``, from 1), its key's number of days, and running sums of what a regression of ret on mkt_ret needs.
+
+    Returns are taken from their key's means (``r0``, ``m0``) first, so that
+    differences of the sums keep their digits. A day without both returns
+    counts as a row only.
+    """
     full = F.col("ret").isNotNull() & F.col("mkt_ret").isNotNull()
+    whole = Window.partitionBy(key)
+    mean = lambda c: F.coalesce(F.avg(F.when(full, F.col(c))).over(whole), F.lit(0.0))
+    order = whole.orderBy("date")
+    d = daily.select(key, "date", "ret", "mkt_ret", F.row_number().over(order).cast("long").alias("pos"), F.count(F.lit(1)).over(whole).alias("days"), mean("ret").alias("r0"), mean("mkt_ret").alias("m0"))
+    r, m = F.when(full, F.col("ret") - F.col("r0")).otherwise(0.0), F.when(full, F.col("mkt_ret") - F.col("m0")).otherwise(0.0)
+    parts = {"n": F.lit(1), "n_full": full.cast("long"), "r": r, "m": m, "mm": m * m, "mr": m * r}
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return d.select(key, "date", "pos", "days", "r0", "m0", *[F.sum(c).over(upto).alias(f"upto_{k}") for k, c in parts.items()])
+
+
+def abnormal_returns(daily: DataFrame, events: DataFrame, key: str = "company", est: tuple[int, int] = (-250, -30), window: tuple[int, int] = (-1, 1), min_est: int = 30, within: int = 3) -> DataFrame:
+    """Per event: matched day, alpha and beta (0 and 1 below 10 estimation rows), rows used, CAR (null if any return in the window is).
+
+    Of each of its two windows an event looks up the running sums at the end
+    and before the beginning, four rows however long the windows are. A market
+    that does not move in the estimation window has no beta, and no alpha.
+    """
+    sums = moments_upto(daily, key)
+    at = nearest_date(events, sums.select(key, "date"), key, "event_date", "date", within)
+    at = at.join(sums.select(key, F.col("date").alias("matched_day"), F.col("pos").alias("event_pos"), "days", "r0", "m0"), [key, "matched_day"])
+    ends = [(k, s, F.least(F.col("event_pos") + to, F.col("days"))) for k, (lo, hi) in (("e", est), ("w", window)) for s, to in ((1, hi), (-1, lo - 1))]
+    looked = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.lit(s).alias("sign"), p.alias("pos")) for k, s, p in ends])).alias("x")
     keys = [key, "event_date", "matched_day", "event_pos"]
-    e = band_rows(at.select(*keys), rows.select(key, "pos", "ret", "mkt_ret"), key, *est)
-    n = F.sum(full.cast("long"))
-    model = e.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_est_rows"),
-        n.alias("n_est_obs"),
-        F.when(n >= 10, F.regr_intercept("ret", "mkt_ret")).otherwise(0.0).alias("alpha_hat"),
-        F.when(n >= 10, F.regr_slope("ret", "mkt_ret")).otherwise(1.0).alias("beta_hat"),
-    ).where(F.col("n_est_rows") >= min_est)
-    v = band_rows(model, rows.select(key, "pos", "ret", "mkt_ret"), key, *window)
-    ar = F.col("ret") - (F.col("alpha_hat") + F.col("beta_hat") * F.col("mkt_ret"))
-    return v.groupBy(*keys, "alpha_hat", "beta_hat", "n_est_obs").agg(F.when(F.count(ar) == F.count(F.lit(1)), F.sum(ar)).alias("car"), F.count(F.lit(1)).alias("n_event_days"))
+    wanted = at.select(*keys, "r0", "m0", looked).select(*keys, "r0", "m0", "x.*")
+    found = wanted.join(sums.select(key, "pos", *[f"upto_{k}" for k in _SUMS]), [key, "pos"])
+    total = lambda of, k: F.sum(F.when(F.col("of") == of, F.col("sign") * F.col(f"upto_{k}")))
+    scale = F.max(F.when((F.col("of") == "e") & (F.col("sign") == 1), F.col("upto_mm")))
+    g = found.groupBy(*keys, "r0", "m0").agg(scale.alias("scale"), *[F.coalesce(total(of, k), F.lit(0)).alias(f"{of}_{k}") for of in "ew" for k in _SUMS])
+    g = g.where((F.col("e_n") >= min_est) & (F.col("w_n") > 0))
+    sxx, sxy = F.expr("e_mm - e_m * e_m / e_n_full"), F.expr("e_mr - e_m * e_r / e_n_full")
+    # what is left of equal returns after the sums' rounding is nothing
+    slope = F.when(sxx > 1e-12 * F.col("scale"), sxy / sxx)
+    enough = F.col("e_n_full") >= 10
+    g = g.withColumn("beta_hat", F.when(enough, slope).otherwise(1.0))
+    g = g.withColumn("alpha_hat", F.when(enough, F.expr("r0 + e_r / e_n_full - beta_hat * (m0 + e_m / e_n_full)")).otherwise(0.0))
+    car = F.expr("w_r + w_n * r0 - alpha_hat * w_n - beta_hat * (w_m + w_n * m0)")
+    return g.select(*keys, "alpha_hat", "beta_hat", F.col("e_n_full").alias("n_est_obs"), F.when(F.col("w_n_full") == F.col("w_n"), car).alias("car"), F.col("w_n").alias("n_event_days"))
