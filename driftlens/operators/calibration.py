@@ -64,18 +64,26 @@ def f1_threshold(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 100)
 
 
 def logistic(d: DataFrame, penalty: float = 1e-6, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic fit over a table of any size: a Newton step is one aggregate of five sums."""
+    """Slope and intercept of a weighted logistic fit over a table of any size: a Newton step is one aggregate of five sums.
+
+    The table is read once, for the weights of each (similarity, y); the steps run over those, which executors keep
+    while it lasts.
+    """
     b = np.zeros(2)
     x, y, w = (F.col(c).cast("double") for c in ("similarity", "y", "weight"))
-    for _ in range(rounds):
-        z = F.least(F.greatest(F.lit(float(b[0])) * x + F.lit(float(b[1])), F.lit(-35.0)), F.lit(35.0))
-        p = 1 / (1 + F.exp(-z))
-        g, h = w * (p - y), w * p * (1 - p)
-        s = [v or 0.0 for v in d.agg(F.sum(g * x), F.sum(g), F.sum(h * x * x), F.sum(h * x), F.sum(h)).first()]
-        step = np.linalg.solve(np.array([[s[2], s[3]], [s[3], s[4]]]) + penalty * np.eye(2), np.array(s[:2]) + penalty * b)
-        b = b - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-10:
-            break
+    cells = d.groupBy(x.alias("similarity"), y.alias("y")).agg(F.sum(w).alias("weight")).persist()
+    try:
+        for _ in range(rounds):
+            z = F.least(F.greatest(F.lit(float(b[0])) * x + F.lit(float(b[1])), F.lit(-35.0)), F.lit(35.0))
+            p = 1 / (1 + F.exp(-z))
+            g, h = w * (p - y), w * p * (1 - p)
+            s = [v or 0.0 for v in cells.agg(F.sum(g * x), F.sum(g), F.sum(h * x * x), F.sum(h * x), F.sum(h)).first()]
+            step = np.linalg.solve(np.array([[s[2], s[3]], [s[3], s[4]]]) + penalty * np.eye(2), np.array(s[:2]) + penalty * b)
+            b = b - np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-10:
+                break
+    finally:
+        cells.unpersist()
     return float(b[0]), float(b[1])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 KEY = ("company", "q_int")
 
 
@@ -116,10 +118,8 @@ def first_transcripts(components: DataFrame, n: int, key: str = "transcript_id",
 
 
 def mt_summary(scores: DataFrame, score: str = "mt_score") -> DataFrame:
+    """One row: how many scores, their mean and exact median, and the share that is positive; the median is found in ranges of values, not in one buffer."""
     s = F.col(score)
-    return scores.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(s).alias("mean_mt"),
-        F.percentile(s, F.lit(0.5)).alias("median_mt"),
-        F.avg(F.coalesce((s > 0).cast("double"), F.lit(0.0))).alias("share_positive"),
-    )
+    told = scores.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean_mt"), F.avg(F.coalesce((s > 0).cast("double"), F.lit(0.0))).alias("share_positive"))
+    median = exact_quantiles(scores, s, [0.5])
+    return told.crossJoin(F.broadcast(median)).select("n", "mean_mt", F.get("q", F.lit(0)).alias("median_mt"), "share_positive")

@@ -5,21 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges that are summed up before anything is cumulated.
-RANGES = 1024
+#: Value ranges that are summed up before anything is cumulated, in COARSE groups of as many each.
+RANGES, COARSE = 1024, 32
+
+
+def split_points(df: DataFrame, x: str, ranges: int = RANGES) -> list[float]:
+    """At most ``ranges`` - 1 values, in order, between which the rows of ``df`` lie in about equal numbers.
+
+    One pass with a sketch of bounded size, which tasks fill before anything is
+    exchanged; only the points come to the driver, so that all that is computed
+    with them agrees.
+    """
+    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    found = df.agg(F.percentile_approx(F.col(x).cast("double"), probs, F.lit(20 * ranges)).alias("q")).first()["q"]
+    return sorted({v for v in found or [] if v is not None})
+
+
+def range_of(v: Column, points: list[float]) -> Column:
+    """How many of the points are at or below ``v``: first among every COARSE-th, then among those between two of them."""
+    if not points:
+        return F.lit(0)
+    array = lambda some: F.array(*map(F.lit, some)) if some else F.array().cast("array<double>")
+    cut = [points[i : i + COARSE] for i in range(0, len(points), COARSE)]
+    below = lambda some: F.size(F.filter(some, lambda p: p <= v))
+    group = F.greatest(below(array([c[0] for c in cut])) - 1, F.lit(0))
+    return group * COARSE + below(F.get(F.array(*map(array, cut)), group))
 
 
 def running(df: DataFrame, x: str, sums: list[str], ranges: int = RANGES) -> DataFrame:
     """``df``, one row for each value of ``x``, with the sums ``<name>_upto`` over all rows up to each.
 
-    Values are cut into equal ranges between the least and the greatest. Only
-    the ranges' totals, of which there are ``ranges`` at most, are cumulated in
-    one task; within a range rows are sorted by a task of its own.
+    Values are cut into ranges of about as many rows each, however they are
+    spread. Only the ranges' totals, of which there are ``ranges`` at most, are
+    cumulated in one task; within a range rows are sorted by a task of its own.
     """
-    v = F.col(x).cast("double")
-    ends = df.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))  # one row
-    at = F.least(F.floor(F.coalesce(F.try_divide((v - F.col("__lo")) * ranges, F.col("__hi") - F.col("__lo")), F.lit(0.0))), F.lit(ranges - 1))
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("__r", at).drop("__lo", "__hi")
+    cut = df.withColumn("__r", range_of(F.col(x).cast("double"), split_points(df, x, ranges)))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy("__r").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     totals = totals.select("__r", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])

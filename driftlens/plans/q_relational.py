@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators.report import cached_or
 from ..sources import standins as X
@@ -78,8 +79,9 @@ def batch_union(s, d):
 
 def coverage(s, d):
     c = X.components(s, d).groupBy("transcript_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ctype").alias("k"))
-    p = F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return c.agg(F.count(F.lit(1)).alias("n_transcripts"), F.sum("n").alias("n_components"), F.max("k").alias("max_kinds"), F.round(F.avg("n"), 6).alias("mean_n"), p[0].alias("q25"), p[1].alias("q50"), p[2].alias("q75"))
+    q = O.exact_quantiles(c, F.col("n"), [0.25, 0.5, 0.75])
+    told = c.agg(F.count(F.lit(1)).alias("n_transcripts"), F.sum("n").alias("n_components"), F.max("k").alias("max_kinds"), F.round(F.avg("n"), 6).alias("mean_n"))
+    return told.crossJoin(F.broadcast(q)).select("n_transcripts", "n_components", "max_kinds", "mean_n", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
 
 def extraction_summary(s, d):
