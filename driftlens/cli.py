@@ -6,7 +6,8 @@ import argparse
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from . import session
 from .operators import moving_targets as M
@@ -32,9 +33,13 @@ def _matching(spark: SparkSession, data: str, out: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, data: str, out: str) -> DataFrame:
-    sets = spark.read.parquet(f"{out}/targets").withColumn("company", M.F.col("company").cast("int"))
+    """Reports on vectors that stand for the targets of their company, which they are dealt in order of names."""
+    sets = spark.read.parquet(f"{out}/targets").withColumn("company", F.col("company").cast("int"))
     v = X.vectors(spark, data)
-    named = v.select("company", "idx", M.F.lit("target").alias("norm"), M.F.lit(True).alias("is_financial"))
+    names = sets.groupBy("company", "norm").agg(F.max("is_financial").alias("is_financial"))
+    dealt = names.withColumns({"k": F.row_number().over(Window.partitionBy("company").orderBy("norm")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("company"))})
+    own = v.select("company", "idx").join(dealt.select("company", "n").distinct(), "company").withColumn("k", (F.col("idx") % F.col("n")).cast("int"))
+    named = own.join(dealt.drop("n"), ["company", "k"]).select("company", "idx", "norm", "is_financial")
     return R.run_reports(v, named, sets, 0.30, 0.15)
 
 
