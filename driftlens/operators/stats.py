@@ -68,43 +68,53 @@ def newey_west(series: DataFrame, value: str, order: str, lags: int = 6, by: str
     return out.drop("__g").where("n_periods >= 2").withColumn("nw_tstat", F.try_divide("mean_coef", "nw_se"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Lentz's continued fraction of the incomplete beta function."""
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h
-
-
-def t_p_value(t: float | None, df: float | None) -> float | None:
-    """Two-sided p of Student's t."""
-    if t is None or df is None or df <= 0 or math.isnan(t):
-        return None
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+# Lanczos' series of the gamma function, with 7 as its shift.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
 
-def with_p_value(df: DataFrame, t: str, dof: Column, name: str = "p_value") -> DataFrame:
-    @F.pandas_udf("double")
-    def p(ts: pd.Series, ds: pd.Series) -> pd.Series:
-        return pd.Series([t_p_value(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(ts, ds)], dtype="float64")
+def _log_gamma(z: Column) -> Column:
+    """For z of 0.5 or more."""
+    total = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:]):
+        total = total + F.lit(c) / (z + float(i))
+    t = z + 6.5
+    return math.log(2 * math.pi) / 2 + (z - 0.5) * F.ln(t) - t + F.ln(total)
+
+
+def _log_half_step(a: Column) -> Column:
+    """ln of gamma(a + 1/2) / gamma(a); for large a by its series, as a difference would lose its digits."""
+    return F.when(a > 100, F.ln(a) / 2 - 1 / (8 * a) + 1 / (192 * a * a * a)).otherwise(_log_gamma(a + 0.5) - _log_gamma(a))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz, as a fold over its terms."""
+    whole = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def step(acc: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        num = F.when(k % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+        # each value is bound once, as an element of an array
+        both = F.transform(F.array(F.struct((1 / whole(1 + num * acc["d"])).alias("d"), whole(1 + num / acc["c"]).alias("c"))), lambda v: F.struct(v["c"].alias("c"), v["d"].alias("d"), (acc["h"] * v["c"] * v["d"]).alias("h")))
+        return F.get(both, F.lit(0))
 
-    return df.withColumn(name, p(F.col(t).cast("double"), dof.cast("double")))
+    first = 1 / whole(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(2), steps), start, step, lambda v: v["h"])
+
+
+def t_p_value(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t, by built-in expressions; null where t is null or no number, or without degrees of freedom."""
+    t, dof = t.cast("double"), dof.cast("double")
+    x, a, b = dof / (dof + t * t), dof / 2, F.lit(0.5)
+    steps = F.least(F.lit(40_000), 100 + 8 * F.sqrt(dof)).cast("int")  # the fraction needs about as many terms as the root of its larger side
+    front = F.exp(_log_half_step(a) - math.log(math.pi) / 2 + a * F.ln(x) + F.ln(t * t / (dof + t * t)) / 2)
+    near, far = front * _beta_fraction(a, b, x, steps) / a, 1 - front * _beta_fraction(b, a, 1 - x, steps) / b
+    p = F.when(t == 0, 1.0).when(x <= 0, 0.0).when(x < (a + 1) / (a + b + 2), near).otherwise(far)
+    return F.when(t.isNotNull() & ~F.isnan(t) & (dof > 0), p)
+
+
+def with_p_value(df: DataFrame, t: str, dof: Column, name: str = "p_value") -> DataFrame:
+    return df.withColumn(name, t_p_value(F.col(t), dof))
 
 
 def fama_macbeth(panel: DataFrame, y: str, x: list[str], by: str = "date", lags: int = 6, least: int | None = None) -> DataFrame:
@@ -138,9 +148,10 @@ def signal_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def group_t(df: DataFrame, by: str, x: str) -> DataFrame:
-    """Mean, deviation, count and t against zero of each group."""
+    """Mean, deviation, count, t against zero and its p of each group."""
     mean, sd, n = F.avg(x), F.stddev_samp(x), F.count(x)
-    return df.groupBy(by).agg(mean.alias("mean_x"), sd.alias("sd_x"), n.alias("n"), F.try_divide(mean, sd / F.sqrt(n)).alias("t"))
+    out = df.groupBy(by).agg(mean.alias("mean_x"), sd.alias("sd_x"), n.alias("n"), F.try_divide(mean, sd / F.sqrt(n)).alias("t"))
+    return with_p_value(out, "t", F.col("n") - 1)
 
 
 def regression(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -152,7 +163,7 @@ def regression(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def paired_regression(left: DataFrame, right: DataFrame, key: str, y: str, x: str) -> DataFrame:
-    """The regression of y on x over all pairs of rows with equal keys, from the sums of each key: no pair is made."""
+    """The regression of y on x over all pairs of rows with equal keys, with the slope's t and p, from the sums of each key: no pair is made."""
     v, w = F.col(y).cast("double"), F.col(x).cast("double")
     a = left.where(v.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("ny"), F.sum(v).alias("sy"), F.sum(v * v).alias("qy"))
     b = right.where(w.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("nx"), F.sum(w).alias("sx"), F.sum(w * w).alias("qx"))
@@ -163,7 +174,8 @@ def paired_regression(left: DataFrame, right: DataFrame, key: str, y: str, x: st
     s = s.selectExpr("coalesce(n, 0) AS n", "try_divide(ty, n) AS my", "try_divide(tx, n) AS mx", "uy - try_divide(ty * ty, n) AS syy", "ux - try_divide(tx * tx, n) AS sxx", "uxy - try_divide(tx * ty, n) AS sxy")
     s = s.withColumn("beta", F.expr("try_divide(sxy, sxx)"))
     se = "sqrt(try_divide(try_divide(syy - sxy * beta, n - 2), sxx))"
-    return s.selectExpr("CAST(n AS LONG) AS n", "my - beta * mx AS alpha", "beta", "try_divide(sxy * sxy, sxx * syy) AS r2", f"try_divide(beta, {se}) AS t_beta")
+    out = s.selectExpr("CAST(n AS LONG) AS n", "my - beta * mx AS alpha", "beta", "try_divide(sxy * sxy, sxx * syy) AS r2", f"try_divide(beta, {se}) AS t_beta")
+    return with_p_value(out, "t_beta", F.col("n") - 2, "p_beta")
 
 
 def welch_high_low(df: DataFrame, x: str, by: str, lo: float = 0.2, hi: float = 0.8) -> DataFrame:
@@ -182,7 +194,7 @@ def announcement_effect(cars: DataFrame, scores: DataFrame, key: str = "company"
     Without a pair the counts are 0 and the conclusion says so.
     """
     reg = paired_regression(cars.select(key, car), scores.select(key, mt), key, car, mt)
-    reg = with_p_value(reg, "t_beta", F.col("n") - 2, "p_mt")
+    reg = reg.withColumnRenamed("p_beta", "p_mt")
     pairs = cars.select(key, F.col(car).alias("__y")).where("__y is not null").join(scores.select(key, F.col(mt).alias("__x")).where("__x is not null"), key)
     test = welch_high_low(pairs, "__y", "__x")
     # a p-value above a tenth fails to tell the slope from zero

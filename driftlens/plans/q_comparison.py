@@ -11,18 +11,20 @@ from ..operators import report as R
 from ..operators import stats as S
 from ..operators import vectors as V
 from ..sources import standins as X
+from .q_market import _BY_VARIABLE
 
 _TEMPLATE = "Text: {text} Targets: {targets}"
 
 
 def alpha_comparison(s, d):
-    """Strict against lenient scores as predictors of the next month's return; p-values have no SQL."""
+    """Strict against lenient scores as predictors of the next month's return."""
     m = X.firm_months(s, d)
     p = m.select("company", "date", "mt_strict", "mt_lenient").join(P.forward_dated(m.select("company", "date", F.col("ret").alias("ret_fwd"))), ["company", "date"])
     side = lambda c: S.fama_macbeth(p.withColumnRenamed(c, "mt"), "ret_fwd", ["mt"])
     a = C.alpha_comparison(side("mt_strict"), side("mt_lenient"), ["variable"])
     v = C.verdict(F.lit(0.0), *[F.col(c) for c in ("base_alpha", "other_alpha", "base_significant", "other_significant")])
-    return a.withColumn("verdict", v)
+    rounded = [F.round(c, n).alias(c) for c, n in (("base_alpha", 5), ("other_alpha", 5), ("base_tstat", 3), ("other_tstat", 3), ("base_p_value", 4), ("other_p_value", 4), ("alpha_improvement", 5), ("tstat_improvement", 3))]
+    return a.select("variable", *rounded, "base_significant", "other_significant", v.alias("verdict"))
 
 
 def verdicts(s, d):
@@ -63,7 +65,13 @@ def continuity_shares(s, d):
 
 
 QUERIES = {
-    "alpha_comparison": (alpha_comparison, None),
+    "alpha_comparison": (alpha_comparison, f"""WITH {X.MONTHS}, f AS (SELECT company, last_day(date - INTERVAL 1 MONTH) AS date, ret AS y FROM fm), p AS (SELECT company, date, mt_strict, mt_lenient, y FROM fm JOIN f USING (company, date)),
+      c AS (SELECT date, regr_slope(y, mt_strict) AS b, regr_intercept(y, mt_strict) AS a FROM p GROUP BY ALL HAVING regr_count(y, mt_strict) >= 20), e AS (SELECT date, regr_slope(y, mt_lenient) AS b, regr_intercept(y, mt_lenient) AS a FROM p GROUP BY ALL HAVING regr_count(y, mt_lenient) >= 20),
+      base AS (SELECT 'base|mt' AS variable, date AS o, b AS x FROM c UNION ALL SELECT 'base|intercept', date, a FROM c UNION ALL SELECT 'other|mt', date, b FROM e UNION ALL SELECT 'other|intercept', date, a FROM e){_BY_VARIABLE},
+      t AS (SELECT *, m / sqrt(greatest(var, 1e-12) / n) AS t FROM v), r AS (SELECT split_part(variable, '|', 1) AS side, split_part(variable, '|', 2) AS name, m, t, {X.p_sql("t", "(n - 1)")} AS p FROM t),
+      j AS (SELECT o.name AS variable, b.m AS ba, o.m AS oa, b.t AS bt, o.t AS ot, b.p AS bp, o.p AS op, coalesce(b.p < 0.05, false) AS bs, coalesce(o.p < 0.05, false) AS os FROM r b JOIN r o ON b.name = o.name WHERE b.side = 'base' AND o.side = 'other')
+      SELECT variable, round(ba, 5) AS base_alpha, round(oa, 5) AS other_alpha, round(bt, 3) AS base_tstat, round(ot, 3) AS other_tstat, round(bp, 4) AS base_p_value, round(op, 4) AS other_p_value, round(oa - ba, 5) AS alpha_improvement,
+        round(ot - bt, 3) AS tstat_improvement, bs AS base_significant, os AS other_significant, CASE WHEN oa > ba AND os AND NOT bs THEN 'OTHER_BETTER' WHEN ba > oa AND bs AND NOT os THEN 'BASE_BETTER' ELSE 'SIMILAR' END AS verdict FROM j"""),
     "verdicts": (verdicts, """WITH x AS (SELECT o_orderkey, o_totalprice / 1000 AS b, o_custkey::DOUBLE AS o, o_orderkey % 3 = 0 AS bs, o_orderkey % 5 = 0 AS os, (o_orderkey % 21 - 10)::INT AS f FROM orders)
       SELECT o_orderkey, CASE WHEN o > b AND os AND NOT bs THEN 'OTHER_BETTER' WHEN b > o AND bs AND NOT os THEN 'BASE_BETTER' WHEN f > 5 THEN 'OTHER_BETTER' WHEN f < -5 THEN 'BASE_BETTER' ELSE 'SIMILAR' END AS verdict FROM x"""),
     "training_rows": (training_rows, """WITH t AS (SELECT p_partkey, p_name || ' sales to grow ' || p_size || '%.' AS text, '[{"entity_label":"PERCENT","value_text":"' || p_size || '%"}]' AS answer FROM part)

@@ -31,13 +31,13 @@ def event_windows(s, d):
 
 def car_groups(s, d):
     c = _cars(s, d).withColumn("day", F.dayofmonth("event_date"))
-    return S.group_t(c, "day", "car").select(F.col("day").cast("long").alias("day"), F.round("mean_x", 5).alias("mean_x"), F.round("sd_x", 5).alias("sd_x"), "n", F.round("t", 3).alias("t"))
+    return S.group_t(c, "day", "car").select(F.col("day").cast("long").alias("day"), F.round("mean_x", 5).alias("mean_x"), F.round("sd_x", 5).alias("sd_x"), "n", F.round("t", 3).alias("t"), F.round("p_value", 5).alias("p_value"))
 
 
 def car_on_score(s, d):
     """CARs joined to scores by firm alone, as many-to-many."""
     r = S.paired_regression(_cars(s, d), X.firm_months(s, d), "company", "car", "mt_strict")
-    return r.select("n", *[F.round(c, 4).alias(c) for c in ("alpha", "beta", "r2", "t_beta")])
+    return r.select("n", *[F.round(c, 4).alias(c) for c in ("alpha", "beta", "r2", "t_beta")], F.round("p_beta", 5).alias("p_beta"))
 
 
 def high_low(s, d):
@@ -61,10 +61,12 @@ _M = X.MONTHS
 QUERIES = {
     "event_cars": (event_cars, _C + " SELECT company, event_date, matched_day, round(alpha_hat, 6) AS alpha_hat, round(beta_hat, 4) AS beta_hat, n_est_obs, round(car, 5) AS car, n_event_days FROM cars"),
     "event_windows": (event_windows, f"WITH {X.DAILY} SELECT e.company, e.pos AS event_pos, count(*) AS n, round(sum(r.ret), 9) AS total FROM daily e JOIN daily r ON r.company = e.company AND r.pos BETWEEN e.pos - 2 AND e.pos + 2 GROUP BY ALL"),
-    "car_groups": (car_groups, _C + " SELECT day(event_date) AS day, round(avg(car), 5) AS mean_x, round(stddev_samp(car), 5) AS sd_x, count(car) AS n, round(avg(car) / nullif(stddev_samp(car) / sqrt(count(car)), 0), 3) AS t FROM cars GROUP BY ALL"),
-    "car_on_score": (car_on_score, _C + f""", {_M}, j AS (SELECT car AS y, mt_strict AS x FROM cars JOIN fm USING (company))
-      SELECT regr_count(y, x)::BIGINT AS n, round(regr_intercept(y, x), 4) AS alpha, round(regr_slope(y, x), 4) AS beta, round(regr_r2(y, x), 4) AS r2,
-        round(regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)), 4) AS t_beta FROM j"""),
+    "car_groups": (car_groups, _C + f""", g AS (SELECT day(event_date) AS day, avg(car) AS m, stddev_samp(car) AS sd, count(car) AS n FROM cars GROUP BY ALL), t AS (SELECT *, m / nullif(sd / sqrt(n), 0) AS t FROM g)
+      SELECT day, round(m, 5) AS mean_x, round(sd, 5) AS sd_x, n, round(t, 3) AS t, round({X.p_sql("t", "(n - 1)")}, 5) AS p_value FROM t"""),
+    "car_on_score": (car_on_score, _C + f""", {_M}, j AS (SELECT car AS y, mt_strict AS x FROM cars JOIN fm USING (company)),
+      r AS (SELECT regr_count(y, x)::BIGINT AS n, regr_intercept(y, x) AS alpha, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2,
+        regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)) AS t FROM j)
+      SELECT n, round(alpha, 4) AS alpha, round(beta, 4) AS beta, round(r2, 4) AS r2, round(t, 4) AS t_beta, round({X.p_sql("t", "(n - 2)")}, 5) AS p_beta FROM r"""),
     "high_low_test": (high_low, f"""WITH {_M}, q AS (SELECT quantile_cont(mt_strict, 0.2) AS a, quantile_cont(mt_strict, 0.8) AS b FROM fm), x AS (SELECT CASE WHEN mt_strict >= b THEN mt_lenient END AS h, CASE WHEN mt_strict <= a THEN mt_lenient END AS l FROM fm, q)
       SELECT count(h) AS n_high, count(l) AS n_low, round(avg(h), 6) AS mean_high, round(avg(l), 6) AS mean_low, round((avg(h) - avg(l)) / sqrt(var_samp(h) / count(h) + var_samp(l) / count(l)), 4) AS welch_t FROM x"""),
     "annual_sharpe": (annual_sharpe, f"WITH {_M} SELECT company, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12), 4) AS sharpe, count(ret) AS n_obs FROM fm GROUP BY ALL"),

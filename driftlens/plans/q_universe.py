@@ -229,7 +229,7 @@ def _scores(s, d):
 def announcement_effect(s, d):
     cars = _cars(s, d).select("company", F.round("car", 7).alias("car"))
     out = ST.announcement_effect(cars, _scores(s, d))
-    return out.select("n", F.round("beta", 4).alias("beta"), F.round("t_beta", 4).alias("t_beta"), "n_high", "n_low", F.round("welch_t", 4).alias("welch_t"))
+    return out.select("n", F.round("beta", 4).alias("beta"), F.round("t_beta", 4).alias("t_beta"), "n_high", "n_low", F.round("welch_t", 4).alias("welch_t"), F.round("p_mt", 5).alias("p_mt"), "conclusion")
 
 
 def announcement_groups(s, d):
@@ -339,8 +339,9 @@ QUERIES = {
         round(logbm, 6) AS logbm, round(sue, 6) AS sue, round(mktrf, 6) AS mktrf, round(umd, 6) AS umd, round(ret_1_0, 6) AS ret_1_0 FROM x JOIN q ON q.date = x.date"""),
     "long_event_cars": (long_event_cars, f"WITH {_CARS} SELECT company, event_date, matched_day, n_est_obs, round(alpha_hat, 6) AS alpha_hat, round(beta_hat, 5) AS beta_hat, round(car, 6) AS car FROM cars"),
     "announcement_effect": (announcement_effect, f"""{_PAIRS}, r AS (SELECT count(*) AS n, regr_slope(car, mt) AS beta, regr_sxx(car, mt) AS sxx, regr_syy(car, mt) - regr_slope(car, mt) * regr_sxy(car, mt) AS sse FROM pr),
-      w AS (SELECT count(*) FILTER (mt >= q80) AS n_high, count(*) FILTER (mt <= q20) AS n_low, avg(car) FILTER (mt >= q80) AS m1, avg(car) FILTER (mt <= q20) AS m0, var_samp(car) FILTER (mt >= q80) AS v1, var_samp(car) FILTER (mt <= q20) AS v0 FROM pr, qs)
-      SELECT n, round(beta, 4) AS beta, round(beta / nullif(sqrt(sse / nullif(n - 2, 0) / nullif(sxx, 0)), 0), 4) AS t_beta, n_high, n_low, round((m1 - m0) / nullif(sqrt(v1 / nullif(n_high, 0) + v0 / nullif(n_low, 0)), 0), 4) AS welch_t FROM r, w"""),
+      w AS (SELECT count(*) FILTER (mt >= q80) AS n_high, count(*) FILTER (mt <= q20) AS n_low, avg(car) FILTER (mt >= q80) AS m1, avg(car) FILTER (mt <= q20) AS m0, var_samp(car) FILTER (mt >= q80) AS v1, var_samp(car) FILTER (mt <= q20) AS v0 FROM pr, qs),
+      tt AS (SELECT *, beta / nullif(sqrt(sse / nullif(n - 2, 0) / nullif(sxx, 0)), 0) AS t FROM r), pv AS (SELECT *, {X.p_sql("t", "(n - 2)")} AS p FROM tt)
+      SELECT n, round(beta, 4) AS beta, round(t, 4) AS t_beta, round(p, 5) AS p_mt, CASE WHEN n = 0 THEN 'insufficient data' WHEN p > 0.10 THEN 'not related' ELSE 'related' END AS conclusion, n_high, n_low, round((m1 - m0) / nullif(sqrt(v1 / nullif(n_high, 0) + v0 / nullif(n_low, 0)), 0), 4) AS welch_t FROM pv, w"""),
     "announcement_groups": (announcement_groups, f"""{_PAIRS}, e AS (SELECT quantile_cont(mt, [0.2, 0.4, 0.6, 0.8]) AS e, min(mt) AS lo, max(mt) AS hi FROM pr),
       g AS (SELECT car, len(list_filter(list_distinct(e), lambda v: v < mt AND v > lo AND v < hi)) + 1 AS mt_group FROM pr, e)
       SELECT mt_group::BIGINT AS mt_group, round(avg(car), 6) AS mean_car, count(*) AS n, round(avg(car) / nullif(stddev_samp(car) / sqrt(count(*)), 0), 3) AS t FROM g GROUP BY ALL"""),

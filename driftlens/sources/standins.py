@@ -176,3 +176,11 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
 FORECASTS = """a AS (SELECT o_custkey AS ticker, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS fp, o_orderpriority AS fpi, round(avg(o_totalprice), 4) AS actual FROM orders GROUP BY ALL),
 e AS (SELECT year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS fp, o_orderpriority AS fpi, round(avg(o_totalprice), 4) AS meanest, round(stddev_samp(o_totalprice), 4) AS stdev, round(max(o_totalprice), 4) AS prccq FROM orders GROUP BY ALL),
 fc AS (SELECT * FROM a LEFT JOIN e USING (fp, fpi))"""
+
+
+def p_sql(t: str, dof: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom in DuckDB: a finite series, unlike the engine's fraction."""
+    c, s_ = f"(1 / sqrt(1 + ({t}) * ({t}) / ({dof})))", f"(abs({t}) / sqrt({dof} + ({t}) * ({t})))"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({dof} - 1) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow({c}, 2 * k + 1))), 0)"
+    even = f"list_sum(list_transform(range(0, ({dof}) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow({c}, 2 * k)))"
+    return f"CASE WHEN {dof} > 0 THEN 1 - CASE WHEN ({dof}) % 2 = 1 THEN 2 / pi() * (atan(abs({t}) / sqrt({dof})) + {s_} * {odd}) ELSE {s_} * {even} END END"

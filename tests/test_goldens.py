@@ -78,7 +78,82 @@ def test_risk(spark):
 def test_newey_west(spark):
     r = stats.newey_west(spark.createDataFrame([(i, float(i)) for i in (1, 2, 3, 4)], "t int, v double"), "v", "t", 1).first()
     assert (r.mean_coef, r.nw_se, r.nw_tstat, r.n_periods) == (2.5, 0.625, 4.0, 4)
-    assert abs(stats.t_p_value(2.0, 10) - 0.07338803) < 1e-7 and abs(stats.t_p_value(0.5, 3) - 0.6514480) < 1e-6
+
+
+def test_p_values(spark):
+    """Against the finite series for whole degrees of freedom, and values that tables have."""
+    from math import atan, cos, isclose, pi, sin, sqrt
+
+    def series(t, n):
+        a, total, c = atan(abs(t) / sqrt(n)), 0.0, 1.0
+        for k in range(n // 2 if n % 2 == 0 else (n - 1) // 2):
+            total += c * cos(a) ** (2 * k + n % 2)
+            c *= (2 * k + 1) / (2 * k + 2) if n % 2 == 0 else (2 * k + 2) / (2 * k + 3)
+        return 1 - (sin(a) * total if n % 2 == 0 else 2 / pi * (a + sin(a) * total))
+
+    cases = [(t, n) for t in (0.0, 1e-6, 0.3, -1.0, 2.0, 6.5, 40.0) for n in (1, 2, 3, 10, 57, 200, 999, 20_000)]
+    df = spark.createDataFrame([*cases, (None, 3), (1.0, 0), (1.0, None), (float("nan"), 4), (float("inf"), 4), (1.96, 10**9)], "t double, n long")
+    got = [r.p for r in df.select(stats.t_p_value(F.col("t"), F.col("n")).alias("p")).collect()]
+    for (t, n), p in zip(cases, got):
+        assert isclose(p, series(t, n), rel_tol=1e-7, abs_tol=1e-11), (t, n, p)
+    assert got[len(cases) : len(cases) + 4] == [None] * 4 and got[-2] == 0.0 and abs(got[-1] - 0.04999579) < 1e-6
+    assert abs(got[cases.index((2.0, 10))] - 0.07338803) < 1e-8
+    plan = df.select(stats.t_p_value(F.col("t"), F.col("n")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ranges_under_skew(spark):
+    """One value far out, and many rows of one value: no range holds many distinct values, and sums, ranks and quantiles stay exact."""
+    rows = [(float(i % 5000) / 7,) for i in range(8000)] + [(1e9,), (-1e9,)] + [(3.25,)] * 3000 + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    values = df.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    points = ordered.split_points(values, "x", 128)
+    sizes = [r["count"] for r in values.groupBy(ordered.range_of(F.col("x"), points).alias("r")).count().collect()]
+    assert len(points) > 100 and max(sizes) < 0.02 * sum(sizes)
+    xs = sorted(x for (x,) in rows if x is not None)
+    upto = {r.x: r.n_upto for r in ordered.running(values, "x", ["n"]).collect()}
+    assert upto == {x: i + 1 for i, x in enumerate(xs)}
+    q = ordered.exact_quantiles(df, F.col("x"), [0.0, 0.1, 0.5, 0.99, 1.0]).first().q
+    assert np.allclose(q, np.quantile(xs, [0.0, 0.1, 0.5, 0.99, 1.0]))
+    assert ordered.split_points(df.where("false"), "x") == [] and ordered.exact_quantiles(df.where("false"), F.col("x"), [0.5]).first().q is None
+    m = moving_targets.mt_summary(df.withColumnRenamed("x", "mt_score")).first()
+    assert (m.n, m.median_mt) == (len(rows), float(np.median(xs)))
+
+
+def test_event_windows_from_running_sums(spark):
+    """Against least squares on the rows of each window: gaps, events at the edges, a market that stands still, firms far from 0."""
+    from datetime import date, timedelta
+
+    from driftlens.operators.events import abnormal_returns
+
+    rng, rows, day = np.random.default_rng(5), [], date(2020, 1, 1)
+    for firm, level in (("a", 0.0), ("b", 1000.0), ("c", 0.0)):
+        for i in range(90):
+            m = 0.25 if firm == "c" else float(rng.normal(0, 0.01))
+            rows.append((firm, day + timedelta(days=i), None if i % 17 == 3 else level + 0.5 * m + float(rng.normal(0, 0.01)), None if i % 23 == 5 else m))
+    events = [(f, day + timedelta(days=i)) for f in "abc" for i in (0, 1, 12, 40, 41, 60, 88, 89)] + [("d", day)]
+    daily = spark.createDataFrame(rows, "company string, date date, ret double, mkt_ret double")
+    got = {(r.company, r.event_date): r for r in abnormal_returns(daily, spark.createDataFrame(events, "company string, event_date date"), est=(-30, -3), window=(-1, 2), min_est=8).collect()}
+    seen = 0
+    for f, when in events:
+        own = [r for r in rows if r[0] == f]
+        p = (when - day).days
+        est = [r for k, r in enumerate(own) if p - 30 <= k <= p - 3]
+        if len(est) < 8:
+            assert (f, when) not in got
+            continue
+        r, ok = got[f, when], [(x, m) for *_, x, m in est if x is not None and m is not None]
+        beta, alpha = (None, None) if f == "c" and len(ok) >= 10 else np.polyfit([m for _, m in ok], [x for x, _ in ok], 1) if len(ok) >= 10 else (1.0, 0.0)
+        win = [(x, m) for k, (*_, x, m) in enumerate(own) if p - 1 <= k <= p + 2]
+        assert (r.n_est_obs, r.n_event_days) == (len(ok), len(win))
+        if beta is None:
+            assert r.beta_hat is None and r.alpha_hat is None and r.car is None
+            continue
+        assert abs(r.beta_hat - beta) < 1e-6 * max(1, abs(beta)) and abs(r.alpha_hat - alpha) < 1e-6
+        full = all(x is not None and m is not None for x, m in win)
+        assert r.car is None if not full else abs(r.car - sum(x - alpha - beta * m for x, m in win)) < 1e-6
+        seen += full
+    assert seen > 5
 
 
 def test_cross_sections_match_least_squares(spark):
@@ -287,6 +362,12 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setitem(cli.STAGES, "baseline", lambda *a: 1 / 0)
     assert cli.main(["run", "--data", data, "--out", out, "--start", "baseline", "--stop", "matching", "--continue-on-error"], spark) == 1
     assert capsys.readouterr().out == "baseline\tfailed: division by zero\nmatching\tdone\n"
+    assert cli.main(["run", "--data", data, "--out", out, "--start", "reports", "--stop", "reports"], spark) == 0
+    r = spark.read.parquet(f"{out}/reports").toPandas()
+    assert (r.n_nonfinancial <= r.n_dropped).all() and 0 < r.n_nonfinancial.sum() < r.n_dropped.sum()
+    share = lambda a, b: (a / b.where(b > 0)).fillna(0)
+    score = 0.5 * share(r.n_dropped, r.n_total) + 0.3 * share(r.n_persistent, r.n_dropped) + 0.2 * share(r.n_nonfinancial, r.n_dropped)
+    assert np.allclose(r.risk_score, score.clip(0, 1)) and r.risk_score.nunique() > 3
     assert cli.main(["query", "none", "--data", data], spark) == 2 and cli.main(["query", "mt_summary", "--data", data, "--out", f"{out}/q"], spark) == 0
     assert spark.read.parquet(f"{out}/q").count() == 1
     with pytest.raises(ValueError):
