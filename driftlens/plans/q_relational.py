@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators.report import cached_or
+from ..sources import io as IO
 from ..sources import standins as X
 
 
@@ -72,6 +73,14 @@ def missing_keys(s, d):
     return X.read(s, d, "customer").select("c_custkey").exceptAll(urgent)
 
 
+def member_components(s, d):
+    """Components of the conversations that somebody but an assistant speaks last in, whose ids go to the scan."""
+    c = X.read(s, d, "conversations")
+    last = c.groupBy("conv_id").agg(F.max(F.struct("turn", "role")).alias("l")).where("l.role <> 'assistant'")
+    found = IO.of_members(c, last, "conv_id")
+    return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
+
+
 def batch_union(s, d):
     o = X.read(s, d, "orders")
     return o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("done").alias("batch")).unionByName(o.where("o_orderstatus <> 'F'").select("o_orderkey", F.lit("open").alias("batch")))
@@ -116,6 +125,8 @@ QUERIES = {
     "batch_union": (batch_union, "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END AS batch FROM orders"),
     "coverage": (coverage, f"WITH {X.COMPONENTS}, c AS (SELECT transcript_id, count(*) AS n, count(DISTINCT ctype) AS k FROM comp GROUP BY ALL) SELECT count(*) AS n_transcripts, sum(n)::BIGINT AS n_components, max(k) AS max_kinds, round(avg(n), 6) AS mean_n, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75 FROM c"),
     "extraction_summary": (extraction_summary, "SELECT lang, count(*) AS n_docs, count(quality) AS n_labelled, sum(coalesce(toxic, 0))::BIGINT AS n_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
+    "member_components": (member_components, """WITH l AS (SELECT conv_id FROM conversations GROUP BY ALL HAVING arg_max(role, turn) <> 'assistant')
+      SELECT conv_id, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM conversations WHERE conv_id IN (SELECT conv_id FROM l) GROUP BY ALL"""),
     "lenient_cast": (lenient_cast, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::DOUBLE END AS value FROM orders"),
     "non_empty_text": (non_empty, f"WITH {X.COMPONENTS} SELECT ctype::BIGINT AS ctype, count(*) AS n FROM comp WHERE length(trim(text)) > 0 GROUP BY ALL"),
 }

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as C
 from ..operators import vectors as V
+from ..sources import io as IO
 from ..sources import standins as X
+from ..sources.index import VectorIndex
 
 _W = f"WITH {X.VECTORS}"
 _P = f"WITH {X.PAIRS}"
@@ -33,6 +35,21 @@ def pair_log(s, d):
     return p.select("company", "q_int", "cur_idx", "hist_idx", "current_label", "historical_label", F.round("similarity", 6).alias("similarity"), "label", "is_best")
 
 
+def vector_index(s, d):
+    """An index of all vectors: a third of them replaced, a company and ids without a vector deleted, compacted, read back."""
+    v = X.vectors(s, d)
+    index = VectorIndex(s, IO.scratch(s, "index"), v.schema, "idx")
+    index.upsert(v)
+    index.upsert(v.where("idx % 3 = 0").withColumn("q_int", F.col("q_int") + 100))
+    index.delete_where("company = 5")
+    index.delete(v.where("idx % 7 = 1").select("idx"))
+    index.upsert(v.where("company = 5 and idx % 7 = 1"))
+    n = index.count()
+    index.compact()
+    index.clean()
+    return index.read().select("idx", "company", F.col("q_int").cast("long").alias("q_int"), F.round(V.norm(F.col("v")), 6).alias("length"), F.lit(n).cast("long").alias("n_rows"))
+
+
 def semantic_mt(s, d):
     v = X.vectors(s, d)
     m = V.semantic_mt(v, v.select("company", "q_int"), 0.30, 0.15)
@@ -81,6 +98,9 @@ QUERIES = {
     "unit_vectors": (unit_vectors, "SELECT vec_id AS idx, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, 1.0::DOUBLE AS unit_length FROM embeddings"),
     "pair_similarities": (pair_similarities, _W + " SELECT company, q_int, cur_idx, hist_idx, round(sim, 6) AS sim FROM pairs"),
     "continuity_labels": (continuity, _W + " SELECT company, q_int, hist_idx, cur_idx, round(sim, 6) AS sim, label FROM labels"),
+    "vector_index": (vector_index, _W + """, x AS (SELECT idx, company, CASE WHEN company = 5 AND idx % 7 = 1 THEN q_int WHEN idx % 3 = 0 THEN q_int + 100 ELSE q_int END AS q_int, round(sqrt(list_inner_product(v, v)), 6) AS length
+      FROM v WHERE (company <> 5 AND idx % 7 <> 1) OR (company = 5 AND idx % 7 = 1))
+      SELECT idx, company, q_int::BIGINT AS q_int, length, count(*) OVER () AS n_rows FROM x"""),
     "pair_log": (pair_log, _W + """ SELECT p.company, p.q_int, p.cur_idx, p.hist_idx, 'target ' || (p.cur_idx % 7) || ' [' || p.cur_idx || ']' AS current_label,
       'target ' || (p.hist_idx % 7) || ' (' || ((p.q_int - 4) // 4) || 'Q' || ((p.q_int - 4) % 4 + 1) || ') [' || p.hist_idx || ']' AS historical_label, round(p.sim, 6) AS similarity, label, p.cur_idx = l.cur_idx AS is_best
       FROM pairs p JOIN labels l USING (company, q_int, hist_idx)"""),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; where it is unset, only a local master gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="driftlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def first_existing(spark: SparkSession, root: str, names: list[str]) -> str:
     for n in names:
         if exists(spark, f"{root}/{n}"):
@@ -139,10 +152,48 @@ def repaired(spark: SparkSession, jsonl: str, path: str, schema: str, key: str =
     return spark.read.parquet(path).count()
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None, lo: int = 0, hi: int = 0, n: int = 1, members: DataFrame | None = None, on: str | None = None) -> DataFrame:
-    """A remote table or query; filters and columns are pushed down, and a numeric key splits the read; rows of ``members`` only, if given."""
+#: Ids of members that are asked for by name, and those of one batch; more are found by a join.
+MOST_IDS, BATCH_IDS = 100_000, 1000
+
+
+def id_batches(members: DataFrame, on: str, size: int = BATCH_IDS, most: int = MOST_IDS) -> list[list] | None:
+    """The distinct ids of ``members`` in order, in batches; None if there are more than ``most``, which are not brought to the driver."""
+    ids = [r[0] for r in members.select(on).where(F.col(on).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(ids) > most:
+        return None
+    ids.sort()
+    return [ids[i : i + size] for i in range(0, len(ids), size)]
+
+
+def of_members(table: DataFrame, members: DataFrame, on: str, most: int = MOST_IDS) -> DataFrame:
+    """The rows of a file table whose ``on`` is among the members': as a list that reaches the scan, where row groups are skipped by it, or by a join for more than ``most`` ids."""
+    batches = id_batches(members, on, max(1, most), most)
+    if batches is None:
+        return table.join(members.select(on).distinct(), on, "left_semi")
+    return table.where(F.col(on).isin([i for b in batches for i in b]))
+
+
+def _quoted(value: object) -> str:
+    return "'" + str(value).replace("'", "''") + "'" if not isinstance(value, (int, float)) else str(value)
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None, lo: int = 0, hi: int = 0, n: int = 1, members: DataFrame | None = None, on: str | None = None, where: str | None = None, size: int = BATCH_IDS, most: int = MOST_IDS) -> DataFrame:
+    """A remote table or query; filters and columns are pushed down, and a numeric key splits the read.
+
+    With ``members`` only rows whose ``on`` is among theirs: each batch of ids
+    is a partition with a list of its own in the remote query, so that nothing
+    else is sent and no list grows too long. More than ``most`` ids, or a
+    ``key`` that splits the read, are joined after it.
+    """
+    batches = id_batches(members, on, size, most) if members is not None and not key else None
+    if batches is not None:
+        have = spark.read.format("jdbc").option("url", url).option("dbtable", query).load().columns
+        name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(next(c for c in have if c.lower() == on.lower()))
+        found = spark.read.jdbc(url, query, predicates=[f"{name} IN ({', '.join(map(_quoted, b))})" for b in batches] or ["1 = 0"])
+        return found.where(where) if where else found
     r = spark.read.format("jdbc").option("url", url).option("dbtable", query)
     if key:
         r = r.options(partitionColumn=key, lowerBound=lo, upperBound=hi, numPartitions=n)
     out = r.load()
+    out = out.where(where) if where else out
     return out if members is None else out.join(members.select(on).distinct(), on, "left_semi")
