@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lemmas import lemma
+
 # Surface forms and what they stand for, applied by length, longest first.
 SYNONYMS = {
     "revenues": "revenue",
@@ -79,6 +81,20 @@ def normalised_target(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(joined, r"^(?:(?:the|a|an|our|its|their|this|that|these|those|we|it|they)\s+)+", "")), F.lit(""))
 
 
+# Words that determine or stand for what follows, which a phrase does not begin with.
+LEADING = "the a an our its their this that these those my his her your each every any some all no we it they he she i you".split()
+
+
+def lemmatised_target(text: Column) -> Column:
+    """As :func:`normalised_target`, with each word's lemma instead of its singular, and without punctuation."""
+    s = F.regexp_replace(_gone(F.trim(F.lower(text)), CURRENCY, NUMBER, UNITS, "%", HEDGES), r"\s+", " ")
+    words = F.filter(F.transform(F.split(F.trim(s), " "), lambda w: F.regexp_replace(w, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")), lambda w: w != "")
+    # the words from the first that does not lead
+    first = F.array_position(F.transform(words, lambda w: ~w.isin(LEADING)), True)
+    kept = F.when(first > 0, F.slice(words, first.cast("int"), F.size(words))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.array_join(F.transform(kept, lemma), " "), F.lit(""))
+
+
 def target_key(normalised: Column, raw: Column) -> Column:
     """What a target is matched by: the normalised text unless it is empty, else the raw one, trimmed and lower-cased."""
     return F.lower(F.trim(F.coalesce(F.nullif(normalised, F.lit("")), raw)))

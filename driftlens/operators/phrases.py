@@ -181,7 +181,7 @@ def _targets(components: DataFrame, walk, products: list[str], text: str) -> Dat
     s = tagged(components, list(products), text).withColumn("found", some)
     s = s.withColumn("found", F.filter("found", lambda t, i: F.array_position(low(F.col("found")), F.lower(t["target_text"])) == i + 1))
     out = s.select(*components.columns, "sentence_no", "sentence", F.inline("found"))
-    return out.withColumn("normalized_text", T.normalised_target(F.col("target_text")))
+    return out.withColumn("normalized_text", T.lemmatised_target(F.col("target_text")))
 
 
 def phrase_targets(components: DataFrame, products: list[str] = (), text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lemmas as L
 from ..operators import phrases as P
 from ..sources import standins as X
 
@@ -20,6 +21,13 @@ def strict_phrases(s, d):
     return t.select("transcript_id", "ord", F.col("sentence_no").cast("long").alias("sentence_no"), "entity_label", "value_text", "target_text", "governing_verb", "is_financial")
 
 
+def lemma_counts(s, d):
+    """How often each lemma occurs in the documents of a language, and in how many forms; words are counted before lemmas are looked up."""
+    words = X.read(s, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return L.with_lemmas(counts).groupBy("lang", "lemma").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_forms"))
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -63,6 +71,7 @@ en AS (SELECT *, place - 1 AS k, substr(tags, place, 1) AS kind, greatest(1, {_l
 e AS (SELECT *, substr(tags, 1, k) AS bef, substr(tags, k + width + 1) AS aft, array_to_string(tokens[k + 1:k + width], ' ') AS value_text FROM en)"""
 _LAST = """SELECT transcript_id, ord, sentence_no, CASE kind WHEN 'M' THEN 'MONEY' WHEN 'Q' THEN 'PERCENT' ELSE 'PRODUCT' END AS entity_label, value_text, target_text, governing_verb, kind <> 'R' AS is_financial
 FROM f WHERE target_text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY transcript_id, ord, sentence_no, lower(target_text) ORDER BY k) = 1"""
+_LEMMA = f"""coalesce({_map_of(L.EXCEPTIONS, "word")}, CASE WHEN word IN ({", ".join(map(_q, L.WHOLE))}) OR length(word) <= 3 THEN word {" ".join(f"WHEN regexp_matches(word, {_q(p)}) THEN regexp_replace(word, {_q(p)}, {_q(r.replace('$1', chr(92) + '1'))})" for p, r in L.RULES)} ELSE word END)"""
 _LINK = {f: v for v in P.LINKING for f in P.forms(v)}
 
 
@@ -72,6 +81,8 @@ def _goals(lo: str, hi: str) -> str:
 
 
 QUERIES = {
+    "lemma_counts": (lemma_counts, f"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
+      l AS (SELECT lang, n, {_LEMMA} AS lemma FROM c) SELECT lang, lemma, sum(n)::BIGINT AS n, count(*) AS n_forms FROM l GROUP BY ALL"""),
     "target_phrases": (target_phrases, f"""WITH {_FOUND},
 g AS (SELECT *, {_words(_len("bef", P.SUBJECT), _len("bef", P.SUBJECT, 2))} AS subject, {_words(_len("bef", P.OWNER), _len("bef", P.OWNER, 2))} AS owner,
   CASE WHEN {_len("aft", P.HEAD)} > 0 THEN {_words(_len("bef", P.OPEN), f"(k + width + {_len('aft', P.HEAD)} - {_len('bef', P.OPEN)})")} END AS around,

@@ -9,6 +9,7 @@ from ..operators import relational as R
 from ..operators.report import cached_or
 from ..sources import io as IO
 from ..sources import standins as X
+from ..streaming.resume import append_once, write_once
 
 
 def interval_join(s, d):
@@ -81,6 +82,19 @@ def member_components(s, d):
     return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
 
 
+def replayed_events(s, d):
+    """Events that arrive as a stream, run twice from the beginning, with a batch that is sent once more: each once."""
+    path = f"{d}/events.parquet"
+    out = IO.scratch(s, "events")
+    events = s.read.parquet(path)
+    stream = s.readStream.schema(events.schema).parquet(f"{path[:-1]}[t]")  # as a pattern, a single file can be a source too
+    for run in ("first", "second"):
+        append_once(stream, f"{out}/rows", f"{out}/{run}", "event_id", "ts").awaitTermination()
+    write_once(f"{out}/rows", "event_id", "ts")(events.where("event_type = 'purchase'"), 1_000)
+    rows = s.read.parquet(f"{out}/rows")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def batch_union(s, d):
     o = X.read(s, d, "orders")
     return o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("done").alias("batch")).unionByName(o.where("o_orderstatus <> 'F'").select("o_orderkey", F.lit("open").alias("batch")))
@@ -127,6 +141,7 @@ QUERIES = {
     "extraction_summary": (extraction_summary, "SELECT lang, count(*) AS n_docs, count(quality) AS n_labelled, sum(coalesce(toxic, 0))::BIGINT AS n_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
     "member_components": (member_components, """WITH l AS (SELECT conv_id FROM conversations GROUP BY ALL HAVING arg_max(role, turn) <> 'assistant')
       SELECT conv_id, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM conversations WHERE conv_id IN (SELECT conv_id FROM l) GROUP BY ALL"""),
+    "replayed_events": (replayed_events, "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "lenient_cast": (lenient_cast, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::DOUBLE END AS value FROM orders"),
     "non_empty_text": (non_empty, f"WITH {X.COMPONENTS} SELECT ctype::BIGINT AS ctype, count(*) AS n FROM comp WHERE length(trim(text)) > 0 GROUP BY ALL"),
 }

@@ -1,5 +1,9 @@
 """Target phrases by hand."""
 
+from pyspark.sql import functions as F
+
+from driftlens.functions import lemmas as L
+from driftlens.functions import text as T
 from driftlens.operators import phrases as P
 
 CASES = [
@@ -56,3 +60,26 @@ def test_repeated_components_and_plan(spark):
     assert out.count() == 3 and P.phrase_targets(df.limit(0)).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+LEMMAS = {
+    "companies": "company", "margins": "margin", "boxes": "box", "losses": "loss", "loss": "loss", "status": "status", "basis": "basis", "sales": "sales", "grew": "grow", "was": "be", "growing": "grow", "Running": "run",
+    "planned": "plan", "increasing": "increase", "driving": "drive", "improved": "improve", "expanding": "expand", "generating": "generate", "applied": "apply", "selling": "sell", "charged": "charge", "reduced": "reduce",
+    "things": "things", "red": "red", "gas": "gas", "bus": "bus", "processes": "process", "exceeded": "exceed", "people": "person", "shipping": "ship", "expenses": "expense", "acquired": "acquire", "éléments": "élément",
+}
+
+
+def test_lemmas(spark):
+    df = spark.createDataFrame([(w,) for w in LEMMAS], "word string")
+    got = {r.word: r.lemma for r in df.select("word", L.lemma(F.col("word")).alias("lemma")).collect()}
+    want = LEMMAS
+    assert got == want
+    low = df.select(F.lower("word").alias("word"))
+    assert {r.word: r.lemma for r in L.with_lemmas(low).collect()} == {w.lower(): x for w, x in want.items()}
+
+
+def test_lemmatised_targets(spark):
+    cases = {"Our growing services revenues": "grow service revenue", "the approximately $5 million of expenses,": "of expense", "It": "", None: "", "12% year-on-year increases": "year-on-year increase", "These the capital expenditures (net)": "capital expenditure net", "all of the margins": "of the margin"}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = [r.n for r in df.select("i", T.lemmatised_target(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == list(cases.values())

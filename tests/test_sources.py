@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from driftlens.sources import io
 from driftlens.sources.index import VectorIndex
+from driftlens.streaming.resume import append_once, write_once
 
 
 def test_remote_reads_by_batches(spark):
@@ -79,3 +80,22 @@ def test_index_survives_crashes(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         index._commit(seen, [])
     assert index.count() == 4
+
+
+def test_streams_that_repeat(spark, tmp_path):
+    """Repeated ids, a repeated batch, a run from the beginning and new files add what is new only."""
+    src, out = f"file://{tmp_path}/src", f"file://{tmp_path}/out"
+    schema = "id long, t int, x string"
+    held = lambda: {(r.id, r.t, r.x) for r in spark.read.parquet(out).collect()}
+    spark.createDataFrame([(1, 5, "a"), (1, 4, "b"), (1, 4, "c"), (2, 1, "d"), (None, 1, "e")], schema).coalesce(1).write.parquet(src)
+    run = lambda name: append_once(spark.readStream.schema(schema).parquet(src), out, f"file://{tmp_path}/{name}", "id", "t").awaitTermination()
+    run("first")
+    assert held() == {(1, 4, "b"), (2, 1, "d")}
+    spark.createDataFrame([(2, 0, "late"), (3, 1, "f")], schema).coalesce(1).write.mode("append").parquet(src)
+    run("first")
+    want = {(1, 4, "b"), (2, 1, "d"), (3, 1, "f")}
+    assert held() == want and spark.read.parquet(out).count() == 3
+    write_once(out, "id", "t")(spark.createDataFrame([(2, 0, "late"), (3, 1, "f")], schema), 1)
+    assert held() == want
+    run("second")
+    assert {r[0] for r in held()} == {1, 2, 3} and spark.read.parquet(out).count() == 3
