@@ -22,6 +22,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def files(spark: SparkSession, path: str) -> list[list]:
+    """Name, length and time of change of each file below ``path``, in order; none where nothing is there."""
+    if not exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append([f.getPath().getName(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share; where it is unset, only a local master gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)

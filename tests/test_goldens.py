@@ -376,6 +376,32 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["thresholds", "--maintained", "0.7"], spark) == 0 and capsys.readouterr().out == "maintained\t0.7\nrephrased\t0.4\nstored\tFalse\n"
 
 
+def test_stages_know_whether_they_are_current(spark, tmp_path, monkeypatch):
+    """A touched input makes its stage and the later ones run, and no other; so does changed code, and a run that was cut off."""
+    import shutil
+
+    data, out = tmp_path / "data", f"file://{tmp_path}/out"
+    data.mkdir()
+    for t in ("part", "supplier", "lineitem", "embeddings"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", data / f"{t}.parquet")
+        (data / f"{t}.parquet").chmod(0o644)
+    names = ["targets", "baseline", "matching"]
+    run = lambda: list(cli.run_stages(spark, f"file://{data}", out, names).values())
+    shown = lambda: [cli.status(spark, out)[0][n] for n in names]
+    assert run() == ["done"] * 3 and run() == ["current"] * 3 and shown() == ["ready"] * 3
+    (data / "embeddings.parquet").touch()
+    assert shown() == ["ready", "ready", "stale"] and run() == ["current", "current", "done"]
+    pd.read_parquet(data / "part.parquet").to_parquet(data / "part.parquet")
+    assert shown() == ["stale", "stale", "ready"] and cli.status(spark, out)[1] == "targets" and run() == ["done", "done", "current"]
+    with monkeypatch.context() as m:
+        m.setitem(cli.STAGES, "baseline", lambda s, d, o: s.range(3))
+        assert shown() == ["ready", "stale", "ready"] and run() == ["current", "done", "current"]
+    with monkeypatch.context() as m:
+        m.setattr(cli.io, "write_parquet", lambda *a: 1 / 0)
+        assert cli.run_stages(spark, f"file://{data}", out, names, force=True)["targets"].startswith("failed")
+    assert shown() == ["stale", "stale", "ready"] and run() == ["done", "done", "current"]
+
+
 def test_embedding_encoder_is_replaceable(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, None), (3, "ab")], "id int, t string")
     got = {r.id: r.v for r in embedding.embedded(df, "t").collect()}
