@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -107,77 +109,129 @@ def reply_targets(raw: Column) -> Column:
     )
 
 
+COUNTERS = ("requests", "retries", "failures", "tokens_in", "tokens_out", "empty", "replies", "waited")
+
+
 class LimitedClient:
     """A client held to requests and tokens a minute, retried with growing pauses; it counts what it does.
 
-    Each partition has its own copy, so limits are to be divided by the tasks
-    that run at once. ``counters`` are of one copy.
+    Threads can share it. Each partition has a copy of its own, whose limits
+    :func:`called` divides by the tasks that run at once; ``counters`` are of one
+    copy, :class:`Totals` brings them together.
     """
 
     def __init__(self, client: Callable[[str], str], requests: float = 600, tokens: float = 2_000_000, retries: int = 6, base: float = 1.0, cap: float = 60.0, sleep=time.sleep, clock=time.monotonic):
         self.client, self.retries, self.base, self.cap, self.sleep, self.clock = client, retries, base, cap, sleep, clock
         self.rates, self.left, self.at = (requests / 60, tokens / 60), [requests, tokens], None
         self.most = (requests, tokens)
-        self.counters = dict.fromkeys(("requests", "retries", "failures", "tokens_in", "tokens_out", "empty", "replies"), 0)
+        self.counters = dict.fromkeys(COUNTERS, 0)
         self.counters["waited"] = 0.0
+        self.lock = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lock": None}
+
+    def divided(self, tasks: int) -> LimitedClient:
+        """A copy with its share of the limits, one request and token a minute at least, and with counters at 0."""
+        requests, tokens = (max(1.0, m / max(1, tasks)) for m in self.most)
+        return LimitedClient(self.client, requests, tokens, self.retries, self.base, self.cap, self.sleep, self.clock)
+
+    def _held(self) -> threading.Lock:
+        if self.lock is None:
+            self.lock = threading.Lock()
+        return self.lock
+
+    def _count(self, **more: float) -> None:
+        with self._held():
+            for k, n in more.items():
+                self.counters[k] += n
 
     def _take(self, tokens: int) -> None:
         """Wait until a request of so many tokens fits; one of more than a minute's tokens waits for a full minute's."""
         wants = (1, min(tokens, self.most[1]))
         while True:
-            now = self.clock()
-            past = 0.0 if self.at is None else now - self.at
-            self.at = now
-            self.left = [min(m, x + past * r) for m, x, r in zip(self.most, self.left, self.rates)]
-            pause = max((w - x) / r for w, x, r in zip(wants, self.left, self.rates))
-            if pause <= 0:
-                self.left = [x - w for x, w in zip(self.left, wants)]
-                return
-            self.counters["waited"] += pause
+            with self._held():
+                now = self.clock()
+                past = 0.0 if self.at is None else now - self.at
+                self.at = now
+                self.left = [min(m, x + past * r) for m, x, r in zip(self.most, self.left, self.rates)]
+                pause = max((w - x) / r for w, x, r in zip(wants, self.left, self.rates))
+                if pause <= 0:
+                    self.left = [x - w for x, w in zip(self.left, wants)]
+                    return
+                self.counters["waited"] += pause
             self.sleep(pause)
 
     def __call__(self, text: str) -> str:
         n = max(1, len(text) // 4) if text else 0
         for k in range(self.retries + 1):
             self._take(n)
-            self.counters["requests"] += 1
+            self._count(requests=1)
             try:
                 reply = self.client(text)
             except Exception:
                 if k == self.retries:
-                    self.counters["failures"] += 1
+                    self._count(failures=1)
                     raise
-                self.counters["retries"] += 1
+                self._count(retries=1)
                 self.sleep(min(self.base * 2**k, self.cap))
                 continue
-            self.counters["tokens_in"] += n
-            self.counters["tokens_out"] += len(reply or "") // 4
-            self.counters["replies" if reply else "empty"] += 1
+            self._count(tokens_in=n, tokens_out=len(reply or "") // 4, **{"replies" if reply else "empty": 1})
             return reply
         raise AssertionError
 
 
-def called(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk") -> DataFrame:
-    """The keys with a client's ``reply`` to each chunk, or the ``error`` of a call that failed."""
+class Totals:
+    """Counters of all partitions' clients on the driver, after an action; a task that is run again has called again, and counts again."""
+
+    def __init__(self, spark: SparkSession):
+        self.sums = {k: spark.sparkContext.accumulator(0.0) for k in COUNTERS}
+
+    def add(self, counters: dict[str, float]) -> None:
+        for k, n in counters.items():
+            self.sums[k].add(float(n))
+
+    def values(self) -> dict[str, float]:
+        return {k: a.value for k, a in self.sums.items()}
+
+
+def called(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk", at_once: int = 8, totals: Totals | None = None) -> DataFrame:
+    """The keys with a client's ``reply`` to each chunk, or the ``error`` of a call that failed.
+
+    A partition has ``at_once`` calls under way at most, whose replies come out
+    in the order of the chunks. The limits of a :class:`LimitedClient` hold for
+    all tasks that can run at once.
+    """
     kinds = dict(chunks.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", reply string, error string"
+    tasks = chunks.sparkSession.sparkContext.defaultParallelism
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                try:
-                    rows.append([*(r[k] for k in keys), client(r[text]), None])
-                except Exception as e:  # noqa: BLE001  a failed call is a row, not a failed job
-                    rows.append([*(r[k] for k in keys), None, str(e)[:200]])
-            yield pd.DataFrame(rows, columns=[*keys, "reply", "error"])
+        own = client.divided(tasks) if isinstance(client, LimitedClient) else client
+
+        def one(chunk: str) -> tuple[str | None, str | None]:
+            try:
+                return own(chunk), None
+            except Exception as e:  # noqa: BLE001  a failed call is a row, not a failed job
+                return None, str(e)[:200]
+
+        try:
+            with ThreadPoolExecutor(at_once) as pool:
+                for f in frames:
+                    for lo in range(0, len(f), 16 * at_once):  # so many calls are planned ahead
+                        part = f.iloc[lo : lo + 16 * at_once]
+                        told = list(pool.map(one, part[text].tolist()))
+                        yield pd.DataFrame({**{k: part[k].tolist() for k in keys}, "reply": [r for r, _ in told], "error": [e for _, e in told]}, columns=[*keys, "reply", "error"])
+        finally:
+            if totals is not None and isinstance(own, LimitedClient):
+                totals.add(own.counters)
 
     return chunks.mapInPandas(run, schema)
 
 
-def extract_with(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk") -> DataFrame:
+def extract_with(chunks: DataFrame, client: Callable[[str], str], keys: list[str], text: str = "chunk", at_once: int = 8, totals: Totals | None = None) -> DataFrame:
     """Run a client over chunks, a partition at a time, and explode what its replies hold, which built-in expressions read; a client that fails leaves an error."""
-    found = called(chunks, client, keys, text).withColumn("t", F.when(F.col("error").isNull(), reply_targets(F.col("reply"))))
+    found = called(chunks, client, keys, text, at_once, totals).withColumn("t", F.when(F.col("error").isNull(), reply_targets(F.col("reply"))))
     rows = found.select(*keys, F.explode_outer("t").alias("t"), "error").where("t is not null or error is not null")
     return rows.select(*keys, "t.metric_name", "t.numerical_value", "t.confidence", "t.raw_text", "error")
 

@@ -376,6 +376,40 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["thresholds", "--maintained", "0.7"], spark) == 0 and capsys.readouterr().out == "maintained\t0.7\nrephrased\t0.4\nstored\tFalse\n"
 
 
+def test_calls_at_once_and_totals(spark, tmp_path):
+    """Totals are the calls that were made; no more than so many are under way; limits are shares; replies keep their chunks."""
+    log = str(tmp_path / "calls")
+
+    def client(text):
+        import os
+        import time as t
+
+        began = t.time()
+        t.sleep(0.02)
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()} {began} {t.time()} {text}\n")
+        if text.startswith("bad") or text == "once" and sum(line.endswith(" once\n") for line in open(log)) < 2:
+            raise ValueError("no")
+        return "" if text == "none" else f'[{{"metric_name": "{text}"}}]'
+
+    texts = [f"t{i}" for i in range(60)] + ["bad", "bad2", "none", "once"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, chunk string").coalesce(2)
+    totals = extraction.Totals(spark)
+    limited = extraction.LimitedClient(client, requests=6000, retries=2, base=0.001)
+    got = extraction.extract_with(df, limited, ["id"], at_once=4, totals=totals).collect()
+    assert {(r.id, r.metric_name) for r in got if r.error is None} == {(i, t) for i, t in enumerate(texts) if not t.startswith("bad") and t != "none"}
+    assert {r.id for r in got if r.error == "no"} == {60, 61}
+    calls = [line.split() for line in open(log)]
+    v = totals.values()
+    assert v["requests"] == len(calls) == 60 + 2 * 3 + 1 + 2 and (v["failures"], v["retries"], v["empty"], v["replies"]) == (2, 5, 1, 61)
+    for pid in {c[0] for c in calls}:
+        own = [(float(c[1]), float(c[2])) for c in calls if c[0] == pid]
+        assert max(sum(a <= x < b for a, b in own) for x, _ in own) <= 4
+    assert max(sum(a <= x < b for a, b in ((float(c[1]), float(c[2])) for c in calls)) for x in (float(c[1]) for c in calls)) > 1
+    share = limited.divided(4)
+    assert share.most[0] == 1500 and share.rates[0] == 25 and limited.divided(10**9).most == (1.0, 1.0)
+
+
 def test_stages_know_whether_they_are_current(spark, tmp_path, monkeypatch):
     """A touched input makes its stage and the later ones run, and no other; so does changed code, and a run that was cut off."""
     import shutil
