@@ -221,8 +221,13 @@ COMPONENTS = {1: "press release", 2: "presentation", 3: "analyst question", 4: "
 PRIORITY = {2: 4, 4: 3, 3: 2, 1: 1}
 
 
-def component_label(c: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in COMPONENTS.items() for x in kv]), c)
+#: The labels that transcripts of calls have.
+CALL_COMPONENTS = {2: "Mgmt Presentation", 3: "Analyst Question", 4: "Mgmt Answer"}
+
+
+def component_label(c: Column, labels: dict[int, str] | None = None) -> Column:
+    """Null for a type without label."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in (labels or COMPONENTS).items() for x in kv]), c)
 
 
 def component_priority(c: Column) -> Column:
@@ -230,10 +235,34 @@ def component_priority(c: Column) -> Column:
 
 
 def humanised(n: Column) -> Column:
+    """Billions, millions and thousands by letter; smaller numbers with six digits, without zeros at the end; a last digit of exactly five is rounded up."""
     a = F.abs(n)
+    few = F.when(a >= 100, F.format_string("%.3f", n))
+    for least, places in ((10, 4), (1, 5), (0.1, 6), (0.01, 7), (0.001, 8), (0.0001, 9)):
+        few = few.when(a >= least, F.format_string(f"%.{places}f", n))
+    tiny = F.regexp_replace(F.format_string("%.5e", n), r"\.?0+e", "e")
     return (
         F.when(a >= 1e9, F.concat(F.format_string("%.2f", n / 1e9), F.lit("B")))
         .when(a >= 1e6, F.concat(F.format_string("%.2f", n / 1e6), F.lit("M")))
         .when(a >= 1e3, F.concat(F.format_string("%.1f", n / 1e3), F.lit("K")))
-        .otherwise(F.regexp_replace(F.format_string("%.4f", n), r"\.?0+$", ""))
+        .when(n == 0, "0")
+        .when((a > 0) & (a < 0.0001), tiny)
+        .otherwise(F.regexp_replace(few, r"\.?0+$", ""))
     )
+
+
+#: Characters of a context that is kept beside a vector, and of one that is shown.
+STORED_CHARS, SHOWN_CHARS = 512, 160
+
+
+def stored_context(c: Column) -> Column:
+    return F.substring(F.coalesce(c, F.lit("")), 1, STORED_CHARS)
+
+
+def shown_context(value: Column, unit: Column, trend: Column, framing: Column, period: Column, fallback: Column) -> Column:
+    """What is shown of a target: its number with its unit, its direction, framing and period; else the fallback; cut at SHOWN_CHARS."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    number = humanised(value)
+    with_unit = F.when(F.contains(unit, F.lit("USD")), F.concat(F.lit("$"), number)).when(some(unit).isNotNull() & ~unit.isin("none", "None"), F.concat(number, F.lit(" "), unit)).otherwise(number)
+    told = F.concat_ws(" · ", F.when(value.isNotNull(), with_unit), some(trend), F.replace(some(framing), F.lit("_"), F.lit(" ")), some(period))
+    return F.substring(F.coalesce(some(told), fallback, F.lit("")), 1, SHOWN_CHARS)

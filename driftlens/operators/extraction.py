@@ -43,7 +43,6 @@ def rule_targets(components: DataFrame, strict: bool = False) -> DataFrame:
 FENCE, FENCE_END = r"^```(?:json)?\s*", r"\s*```$"
 FIRST_LIST, FLAT_OBJECT = r"(?s)\[.*?\]", r"\{[^{}]*\}"
 TARGET_FIELDS = ["metric_name", "raw_text", "numerical_value", "trend_direction", "unit", "time_horizon", "confidence"]
-_TEXT_FIELDS = [f for f in TARGET_FIELDS if f != "numerical_value"]
 
 
 def _kind(v: Column, *names: str) -> Column:
@@ -100,13 +99,8 @@ def reply_objects(raw: Column) -> Column:
 def reply_targets(raw: Column) -> Column:
     """:func:`reply_objects` as structs of TARGET_FIELDS; texts as they are, a number only where the reply has a number."""
     number = lambda x: F.try_variant_get(x, "$.numerical_value", "variant")
-    return F.transform(
-        reply_objects(raw),
-        lambda x: F.struct(
-            *[F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in _TEXT_FIELDS],
-            F.when(_kind(number(x), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(x, "$.numerical_value", "double")).alias("numerical_value"),
-        ),
-    )
+    told = lambda x: F.when(_kind(number(x), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(x, "$.numerical_value", "double"))
+    return F.transform(reply_objects(raw), lambda x: F.struct(*[(told(x) if f == "numerical_value" else F.try_variant_get(x, f"$.{f}", "string")).alias(f) for f in TARGET_FIELDS]))
 
 
 COUNTERS = ("requests", "retries", "failures", "tokens_in", "tokens_out", "empty", "replies", "waited")
@@ -236,6 +230,51 @@ def extract_with(chunks: DataFrame, client: Callable[[str], str], keys: list[str
     return rows.select(*keys, "t.metric_name", "t.numerical_value", "t.confidence", "t.raw_text", "error")
 
 
+def extracted(transcripts: DataFrame, components: DataFrame, client: Callable[[str], str] | None, known: DataFrame | None = None, budget: int = 12_000, totals: Totals | None = None) -> DataFrame:
+    """transcript_id, targets (an array of structs of TARGET_FIELDS) and errors (an array) of each transcript.
+
+    Targets that are ``known`` (transcript_id, pos and TARGET_FIELDS) spare the
+    client; else the components that are not blank are joined by type and
+    packed into chunks; else the transcript's own ``text`` is, which leaves a
+    warning. A transcript without either, or without a client, has no targets
+    and an error; a call that fails leaves its error and the other chunks'
+    targets. Targets are in the order of type, chunk and reply. Of a transcript
+    that repeats one row comes out.
+    """
+    fields = F.struct(*TARGET_FIELDS)
+    kind = "array<struct<" + ", ".join(f"{f}:{'double' if f == 'numerical_value' else 'string'}" for f in TARGET_FIELDS) + ">>"
+    calls = transcripts.groupBy("transcript_id").agg(F.max("text").alias("text"))
+    blank = lambda c: F.length(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))) == 0
+    done = None
+    if known is not None:
+        done = known.groupBy("transcript_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", fields.alias("t")))), lambda x: x["t"]).cast(kind).alias("targets"))
+        done = calls.select("transcript_id").join(done, "transcript_id").withColumn("errors", F.array().cast("array<string>"))
+        calls = calls.join(known.select("transcript_id").distinct(), "transcript_id", "left_anti")
+    parts = components.where(~blank(F.col("text"))).join(calls.select("transcript_id"), "transcript_id", "left_semi")
+    flat = calls.join(parts.select("transcript_id").distinct(), "transcript_id", "left_anti")
+    bare = flat.where(blank(F.col("text"))).select("transcript_id", F.lit("no text and no components").alias("error"))
+    flat = flat.where(~blank(F.col("text")))
+    warned = flat.select("transcript_id", F.lit("no components: the text is read as one").alias("error"))
+    chunks = chunked(parts.select("transcript_id", "ctype", "ord", "text").unionByName(flat.select("transcript_id", F.lit(0).alias("ctype"), F.lit(0).cast(dict(parts.dtypes)["ord"]).alias("ord"), "text")), budget=budget)
+    problems = bare.unionByName(warned)
+    if client is None:
+        problems = problems.unionByName(calls.select("transcript_id").join(bare, "transcript_id", "left_anti").select("transcript_id", F.lit("no client").alias("error")))
+        told = calls.select("transcript_id").where("false").withColumn("targets", F.array().cast(kind))
+    else:
+        # the replies are needed twice, and a call should be made once: what is found and what failed go on in one row a chunk
+        replies = called(chunks, client, ["transcript_id", "ctype", "chunk_no"], totals=totals)
+        row = F.struct("ctype", "chunk_no", F.coalesce(reply_targets(F.col("reply")), F.array()).cast(kind).alias("t"), "error")
+        told = replies.groupBy("transcript_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+        told = told.select("transcript_id", F.flatten(F.transform("r", lambda x: x["t"])).alias("targets"), F.filter(F.transform("r", lambda x: x["error"]), lambda e: e.isNotNull()).alias("failed"))
+    if client is None:
+        told = told.withColumn("failed", F.array().cast("array<string>"))
+    wrong = problems.groupBy("transcript_id").agg(F.array_sort(F.collect_list("error")).alias("e"))
+    out = calls.select("transcript_id").join(told, "transcript_id", "left").join(wrong, "transcript_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.select("transcript_id", F.coalesce("targets", F.array().cast(kind)).alias("targets"), F.concat(F.coalesce("e", none), F.coalesce("failed", none)).alias("errors"))
+    return out if done is None else out.unionByName(done)
+
+
 def chunked(components: DataFrame, keys: tuple[str, ...] = ("transcript_id", "ctype"), order: str = "ord", budget: int = 12_000) -> DataFrame:
     """Components of a type joined in order and packed into chunks."""
     g = components.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("p"))

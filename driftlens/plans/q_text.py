@@ -84,6 +84,32 @@ def reply_targets(s, d):
     return r.select("transcript_id", "ord", "pos", "unread", *[f"t.{f}" for f in E.TARGET_FIELDS])
 
 
+def _first_words(chunk: str) -> str:
+    """A stand-in for a model: the chunk's first word as a metric, with the chunk's length."""
+    import re
+
+    return '[{"metric_name": "%s", "numerical_value": %d}]' % ((re.findall(r"[^\W\d_]+", chunk) or ["none"])[0], len(chunk))
+
+
+def extracted_calls(s, d):
+    """Transcripts of which some have targets already, some have components, some a text only, and some nothing."""
+    c = X.components(s, d).withColumn("ord", F.col("ord").cast("int"))
+    k = F.col("transcript_id") % 5
+    calls = c.groupBy("transcript_id").agg(F.max_by(F.coalesce("text", F.lit("")), "ord").alias("text")).withColumn("text", F.when(k == 1, F.col("text")))
+    known = c.where(k == 0).select("transcript_id", F.col("ord").alias("pos"), *[(F.concat(F.lit("known "), F.col("ord").cast("string")) if f == "metric_name" else F.lit(None).cast("double" if f == "numerical_value" else "string")).alias(f) for f in E.TARGET_FIELDS])
+    found = E.extracted(calls, c.where((k == 0) | (k > 2)), _first_words, known, budget=1_000_000)
+    name = F.concat_ws(" ", F.transform("targets", lambda t: F.concat_ws("=", t["metric_name"], t["numerical_value"].cast("long").cast("string"))))
+    return found.select("transcript_id", name.alias("told"), F.array_join("errors", "; ").alias("errors"))
+
+
+def shown_targets(s, d):
+    """What is shown of the targets of replies, with the components' labels of calls."""
+    r = X.replies(s, d).join(X.components(s, d).select("transcript_id", "ord", "ctype"), ["transcript_id", "ord"])
+    t = r.select("transcript_id", "ord", "ctype", F.posexplode(E.reply_targets(F.col("reply"))).alias("pos", "t"))
+    shown = T.shown_context(F.col("t.numerical_value") * 617.283 / (F.col("ord") + 7), F.col("t.unit"), F.col("t.trend_direction"), F.col("t.time_horizon"), F.col("t.confidence"), F.col("t.raw_text"))
+    return t.select("transcript_id", "ord", "pos", T.component_label(F.col("ctype"), T.CALL_COMPONENTS).alias("label"), shown.alias("shown"), F.length(T.stored_context(F.repeat(F.coalesce("t.metric_name", F.lit("x")), 100))).alias("stored"))
+
+
 def match_quality(s, d):
     t = X.read(s, d, "part").select("p_brand", F.lower("p_name").alias("name"), "p_partkey")
     pred, truth = t.where("p_partkey % 2 = 0").select("p_brand", "name"), t.where("p_partkey % 2 = 1").select("p_brand", "name")
@@ -144,6 +170,16 @@ QUERIES = {
       un AS (SELECT transcript_id, ord, found IS NULL AS unread, unnest(CASE WHEN coalesce(len(found), 0) = 0 THEN [NULL] ELSE found END) AS o, CASE WHEN coalesce(len(found), 0) > 0 THEN unnest(range(0, len(found))) END AS pos FROM fi)
       SELECT transcript_id, ord, pos::INT AS pos, unread, {", ".join(f"o ->> '$.{f}' AS {f}" for f in E.TARGET_FIELDS if f != "numerical_value")},
         CASE WHEN json_type(o, '$.numerical_value') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (o ->> '$.numerical_value')::DOUBLE END AS numerical_value FROM un"""),
+    "extracted_calls": (extracted_calls, f"""WITH {X.COMPONENTS}, k AS (SELECT *, transcript_id % 5 AS k, length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = 0 AS blank FROM comp),
+      done AS (SELECT transcript_id, string_agg('known ' || ord, ' ' ORDER BY ord) AS told, '' AS errors FROM k WHERE k = 0 GROUP BY ALL),
+      parts AS (SELECT transcript_id, ctype, ord, text FROM k WHERE k > 2 AND NOT blank UNION ALL SELECT transcript_id, 0, 0, arg_max(coalesce(text, ''), ord) FROM k WHERE k = 1 GROUP BY ALL HAVING NOT arg_max(blank, ord)),
+      whole AS (SELECT transcript_id, ctype, string_agg(text, chr(10) || chr(10) ORDER BY ord, text) AS t FROM parts GROUP BY ALL),
+      chunk AS (SELECT transcript_id, ctype, array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS c FROM whole),
+      told AS (SELECT transcript_id, string_agg(coalesce(nullif(regexp_extract(c, '\\p{{L}}+'), ''), 'none') || '=' || length(c), ' ' ORDER BY ctype) AS told FROM chunk GROUP BY ALL),
+      ids AS (SELECT DISTINCT transcript_id, k FROM k WHERE k > 0)
+      SELECT transcript_id, told, errors FROM done UNION ALL
+      SELECT ids.transcript_id, coalesce(told, ''), CASE WHEN told IS NULL THEN 'no text and no components' WHEN k = 1 THEN 'no components: the text is read as one' ELSE '' END FROM ids LEFT JOIN told USING (transcript_id)"""),
+    "shown_targets": (shown_targets, None),
     "financial_kinds": (financial_kinds, """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) || ' revenue' WHEN 1 THEN 'customer ' || lower(p_name) ELSE lower(p_name) END AS n FROM part)
       SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN false WHEN p_partkey % 4 = 0 THEN true WHEN p_partkey % 4 = 1 THEN false ELSE true END AS is_financial FROM p"""),
     "formulas": (formulas, """SELECT o_orderkey, round(ln(greatest(abs(o_totalprice) * o_orderkey::DOUBLE / 1000, 1.0)), 6) AS size, round(ln(greatest((o_orderkey % 7)::DOUBLE / nullif(o_totalprice, 0), 1e-6)), 6) AS logbm,
@@ -157,3 +193,9 @@ QUERIES = {
       SELECT p_brand, n_pred, n_true, n_matched, round(p, 6) AS precision, round(r, 6) AS recall, coalesce(round(2 * p * r / nullif(p + r, 0), 6), 0) AS f1 FROM x"""),
     "greedy_matches": (greedy_matches, None),
 }
+_SHOWN = """CASE WHEN abs(v) >= 1e9 THEN printf('%.2f', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN printf('%.2f', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN printf('%.1f', v / 1e3) || 'K' ELSE printf('%g', v) END"""
+QUERIES["shown_targets"] = (shown_targets, f"""WITH rt AS ({QUERIES["reply_targets"][1]}), j AS (SELECT rt.*, CASE role WHEN 'system' THEN 'Mgmt Presentation' WHEN 'user' THEN 'Analyst Question' ELSE 'Mgmt Answer' END AS label, numerical_value * 617.283::DOUBLE / (ord + 7) AS v
+        FROM rt JOIN conversations ON conv_id = transcript_id AND turn = ord WHERE pos IS NOT NULL),
+      n AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN contains(unit, 'USD') THEN '$' || {_SHOWN} WHEN unit <> '' THEN {_SHOWN} || ' ' || unit ELSE {_SHOWN} END AS num FROM j)
+      SELECT transcript_id, ord, pos, label, left(coalesce(nullif(concat_ws(' · ', num, nullif(trend_direction, ''), replace(nullif(time_horizon, ''), '_', ' '), nullif(confidence, '')), ''), raw_text, ''), 160) AS shown,
+        least(512, length(coalesce(metric_name, 'x')) * 100)::INT AS stored FROM n""")

@@ -376,6 +376,39 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["thresholds", "--maintained", "0.7"], spark) == 0 and capsys.readouterr().out == "maintained\t0.7\nrephrased\t0.4\nstored\tFalse\n"
 
 
+def test_shown_contexts(spark):
+    cases = [
+        (89.5e9, "USD_millions", "up", None, "FY24", "x", "$89.50B · up · FY24"), (12.5, "percent", None, "next_quarter", None, "x", "12.5 percent · next quarter"), (None, "percent", "", "", None, "the raw text", "the raw text"),
+        (1234.0, "none", None, None, None, None, "1.2K"), (0.0, "", None, None, None, None, "0"), (-2.5e6, None, None, None, None, None, "-2.50M"), (None, None, None, None, None, None, ""), (None, None, None, None, None, "y" * 300, "y" * 160),
+    ]
+    df = spark.createDataFrame([(i, *c[:6]) for i, c in enumerate(cases)], "i int, v double, u string, t string, f string, p string, r string")
+    got = [r.s for r in df.select("i", T.shown_context(*[F.col(c) for c in "vutfpr"]).alias("s")).orderBy("i").collect()]
+    assert got == [c[6] for c in cases]
+    numbers = [0.0, 1.0, 100.0, 999.9994, 123.4567891, 12.3456789, 1.23456789, 0.5, 0.1234567, 0.012345678, 0.00012345678, 0.000012345678, 1e-7, -3.10, -0.00001]
+    some = spark.createDataFrame(list(enumerate(numbers)), "i int, v double")
+    assert [r.s for r in some.select("i", T.humanised(F.col("v")).alias("s")).orderBy("i").collect()] == [f"{v:g}" for v in numbers]
+    assert one(spark, a=T.component_label(F.lit(2), T.CALL_COMPONENTS), b=T.component_label(F.lit(1)), n=F.length(T.stored_context(F.repeat(F.lit("x"), 600)))) == ("Mgmt Presentation", "press release", 512)
+
+
+def test_extraction_of_transcripts(spark):
+    """Known targets spare the client; components, else the text, else an error; failing chunks leave theirs."""
+    calls = spark.createDataFrame([("a", "ta"), ("b", None), ("c", "flat text"), ("d", " "), ("e", None), ("b", None)], "transcript_id string, text string")
+    parts = spark.createDataFrame([("a", 2, 0, "x"), ("b", 4, 1, "two."), ("b", 4, 0, "one."), ("b", 2, 5, "bad"), ("d", 2, 0, " \n"), ("z", 2, 0, "other")], "transcript_id string, ctype int, ord int, text string")
+    known = spark.createDataFrame([("a", 1, "m2"), ("a", 0, "m1"), ("zz", 0, "m")], "transcript_id string, pos int, metric_name string")
+    for f in extraction.TARGET_FIELDS[1:]:
+        known = known.withColumn(f, F.lit(None).cast("double" if f == "numerical_value" else "string"))
+
+    def client(text):
+        if "bad" in text:
+            raise ValueError("no reply")
+        return json.dumps([{"metric_name": w} for w in text.split()])
+
+    got = {r.transcript_id: ([t.metric_name for t in r.targets], r.errors) for r in extraction.extracted(calls, parts, client, known).collect()}
+    assert got == {"a": (["m1", "m2"], []), "b": (["one.", "two."], ["no reply"]), "c": (["flat", "text"], ["no components: the text is read as one"]), "d": ([], ["no text and no components"]), "e": ([], ["no text and no components"])}
+    got = {r.transcript_id: (r.targets, r.errors) for r in extraction.extracted(calls, parts, None).collect()}
+    assert got["b"] == ([], ["no client"]) and got["c"][1] == ["no client", "no components: the text is read as one"] and got["d"] == ([], ["no text and no components"])
+
+
 def test_calls_at_once_and_totals(spark, tmp_path):
     """Totals are the calls that were made; no more than so many are under way; limits are shares; replies keep their chunks."""
     log = str(tmp_path / "calls")
