@@ -119,7 +119,7 @@ def match_quality(s, d):
 
 
 def greedy_matches(s, d):
-    """Order-dependent folds: rows only; tests hold it against a loop."""
+    """Order-dependent folds; SQL has them as a recursion."""
     t = X.read(s, d, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set(F.lower("p_name"))).alias("names"))
     return t.select("p_brand", "p_size", E.greedy_matches(F.col("names"), F.reverse("names"), 0.3).alias("n_matched"))
 
@@ -191,7 +191,13 @@ QUERIES = {
       m AS (SELECT p_brand, count(*) AS n_matched FROM t WHERE p_partkey % 2 = 0 AND EXISTS (SELECT 1 FROM t u WHERE u.p_brand = t.p_brand AND u.name = t.name AND u.p_partkey % 2 = 1) GROUP BY ALL),
       x AS (SELECT n.*, coalesce(n_matched, 0) AS n_matched, coalesce(n_matched, 0) / n_pred AS p, coalesce(n_matched, 0) / n_true AS r FROM n LEFT JOIN m USING (p_brand))
       SELECT p_brand, n_pred, n_true, n_matched, round(p, 6) AS precision, round(r, 6) AS recall, coalesce(round(2 * p * r / nullif(p + r, 0), 6), 0) AS f1 FROM x"""),
-    "greedy_matches": (greedy_matches, None),
+    "greedy_matches": (greedy_matches, """WITH RECURSIVE t AS (SELECT p_brand, p_size, list_sort(list_distinct(list(lower(p_name)))) AS names FROM part GROUP BY ALL),
+      w AS (SELECT p_brand, p_size, list_transform(names, lambda x: list_distinct(string_split(x, ' '))) AS pred FROM t), b AS (SELECT *, list_reverse(pred) AS truth FROM w),
+      r AS (SELECT p_brand, p_size, pred, truth, 0 AS i, []::BIGINT[] AS used FROM b
+        UNION ALL SELECT p_brand, p_size, pred, truth, i + 1, CASE WHEN len(c) > 0 THEN list_append(used, c[1].j) ELSE used END
+        FROM (SELECT *, list_sort(list_filter(list_transform(range(1, len(truth) + 1), lambda j: {'s': -(len(list_intersect(pred[i + 1], truth[j]))::DOUBLE / len(list_distinct(list_concat(pred[i + 1], truth[j])))), 'j': j}),
+          lambda x: x.s <= -0.3::DOUBLE AND NOT list_contains(used, x.j))) AS c FROM r WHERE i < len(pred)))
+      SELECT p_brand, p_size, len(used)::INT AS n_matched FROM r WHERE i = len(pred)"""),
 }
 _SHOWN = """CASE WHEN abs(v) >= 1e9 THEN printf('%.2f', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN printf('%.2f', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN printf('%.1f', v / 1e3) || 'K' ELSE printf('%g', v) END"""
 QUERIES["shown_targets"] = (shown_targets, f"""WITH rt AS ({QUERIES["reply_targets"][1]}), j AS (SELECT rt.*, CASE role WHEN 'system' THEN 'Mgmt Presentation' WHEN 'user' THEN 'Analyst Question' ELSE 'Mgmt Answer' END AS label, numerical_value * 617.283::DOUBLE / (ord + 7) AS v
