@@ -64,3 +64,8 @@ def summary_text(company: Column, quarter: Column, n_total: Column, n_dropped: C
 
 def recommendation_text(flag: Column) -> Column:
     return F.when(flag == "HIGH", "Ask management about the dropped metrics and review the position.").when(flag == "MEDIUM", "Ask about the dropped metrics and follow them in later quarters.").otherwise("No action; keep monitoring.")
+
+
+def lenient_number(c: Column) -> Column:
+    """A number of a text or of another number, null where it is none."""
+    return F.trim(c.cast("string")).try_cast("double")

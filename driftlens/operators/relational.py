@@ -27,6 +27,13 @@ def latest(df: DataFrame, keys: tuple[str, ...], order: tuple[Column | str, ...]
     return df.groupBy(*keys).agg(top.getField("__row").alias("__r")).select(*keys, "__r.*")
 
 
+def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key by ``order`` (of equal ones the smallest); pre-aggregated before the shuffle, null keys are one key."""
+    rest = [c for c in df.columns if c != key]
+    first = F.min(F.struct(order, F.struct(*rest).alias("__row"))).getField("__row")
+    return df.groupBy(key).agg(first.alias("__r")).select(*[F.col(key) if c == key else F.col(f"__r.{c}") for c in df.columns])
+
+
 def nearest_date(events: DataFrame, days: DataFrame, key: str, event_date: str, day: str, within: int = 3) -> DataFrame:
     """Events with the nearest day of their key within ``within`` calendar days; the earlier of two as near.
 

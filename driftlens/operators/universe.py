@@ -30,6 +30,11 @@ def with_momentum_factor(factors: DataFrame, momentum_factor: DataFrame | None,
     return factors.join(momentum_factor.select("date", name), "date", "left")
 
 
+def with_fundamentals(forecasts: DataFrame, fundamentals: DataFrame, keys: tuple[str, ...] = ("ticker", "fp")) -> DataFrame:
+    """Forecasts with the fundamentals of their firm and period; those without any stay, with nulls."""
+    return forecasts.join(fundamentals, list(keys), "left")
+
+
 def id_map(df: DataFrame, *ids: str) -> DataFrame:
     return df.select(*ids).where(F.col(ids[0]).isNotNull()).distinct()
 

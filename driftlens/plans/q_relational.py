@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scoring import lenient_number
 from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators.report import cached_or
@@ -116,7 +117,7 @@ def extraction_summary(s, d):
 def lenient_cast(s, d):
     o = X.read(s, d, "orders")
     x = F.when(F.col("o_orderkey") % 3 == 0, F.lit("n/a")).otherwise(F.col("o_orderkey").cast("string"))
-    return o.select("o_orderkey", x.try_cast("double").alias("value"))
+    return o.select("o_orderkey", lenient_number(x).alias("value"))
 
 
 def non_empty(s, d):

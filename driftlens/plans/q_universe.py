@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import quarters as Q
 from ..functions import scoring as S
+from ..functions import text as T
 from ..operators import embedding as E
 from ..operators import events as EV
+from ..operators import relational as RL
 from ..operators import report as R
 from ..operators import stats as ST
 from ..operators import universe as U
@@ -57,6 +59,23 @@ def company_map(s, d):
     return U.id_map(c, "gvkey", "companyid")
 
 
+def company_tickers(s, d):
+    """The first order of each customer names it; its priority stands for a ticker where it has none of its own."""
+    o = X.read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" q"), F.col("o_orderkey").cast("string"))).alias("own"))
+    first = RL.first_rows(o, "o_custkey", "o_orderkey")
+    ticker = T.ticker_of(F.col("own"), F.col("o_orderpriority"), ["urgent", "high", "low"], {"5-LOW": "LO"})
+    return first.select(F.col("o_custkey").alias("companyid"), "o_orderkey", ticker.alias("ticker"))
+
+
+def fundamentals_join(s, d):
+    """Mean prices of a customer's orders by quarter beside those of its segment in that quarter."""
+    o = X.read(s, d, "orders").join(X.read(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    o = o.withColumn("fp", Q.of_date(F.col("o_orderdate")))
+    forecasts = o.groupBy(F.col("c_mktsegment").alias("ticker"), "fp", "o_custkey").agg(F.round(F.avg("o_totalprice"), 4).alias("meanest"))
+    fundamentals = o.where("o_orderstatus = 'F'").groupBy(F.col("c_mktsegment").alias("ticker"), "fp").agg(F.round(F.max("o_totalprice"), 4).alias("actual"))
+    return U.with_fundamentals(forecasts, fundamentals).groupBy("ticker", "fp").agg(F.count(F.lit(1)).alias("n"), F.count("actual").alias("n_actual"), F.max("meanest").alias("most"), F.max("actual").alias("actual"))
+
+
 def raw_universe(s, d):
     t = X.targets(s, d).join(X.read(s, d, "nation").select(F.col("n_nationkey").alias("company"), "n_name"), "company")
     return t.select(F.upper("n_name").alias("ticker"), F.concat(F.floor(F.col("q_int") / 4).cast("string"), F.lit("Q"), (F.pmod("q_int", F.lit(4)) + 1).cast("string")).alias("quarter")).distinct()
@@ -301,6 +320,11 @@ QUERIES = {
     "factor_join": (factor_join, f"WITH {_FACTORS} SELECT f.date, mktrf, smb, umd FROM f LEFT JOIN umd ON umd.date = f.date"),
     "factor_fallback": (factor_fallback, f"WITH {_FACTORS} SELECT date, mktrf, smb, NULL::DOUBLE AS umd FROM f"),
     "company_map": (company_map, "SELECT DISTINCT c_nationkey AS gvkey, c_mktsegment AS companyid FROM customer WHERE c_custkey % 7 <> 0"),
+    "company_tickers": (company_tickers, """WITH f AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY ALL)
+      SELECT o_custkey AS companyid, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Q' || o_orderkey WHEN p = '5-LOW' THEN 'LO' WHEN contains(p, 'URGENT') THEN 'URGENT' WHEN contains(p, 'HIGH') THEN 'HIGH' WHEN contains(p, 'LOW') THEN 'LOW' ELSE '' END AS ticker FROM f"""),
+    "fundamentals_join": (fundamentals_join, """WITH o AS (SELECT c_mktsegment AS ticker, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS fp, o_custkey, o_totalprice, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey),
+      f AS (SELECT ticker, fp, o_custkey, round(avg(o_totalprice), 4) AS meanest FROM o GROUP BY ALL), a AS (SELECT ticker, fp, round(max(o_totalprice), 4) AS actual FROM o WHERE o_orderstatus = 'F' GROUP BY ALL)
+      SELECT ticker, fp, count(*) AS n, count(actual) AS n_actual, max(meanest) AS most, max(actual) AS actual FROM f LEFT JOIN a USING (ticker, fp) GROUP BY ALL"""),
     "raw_universe": (raw_universe, f"{_W} SELECT DISTINCT upper(n_name) AS ticker, (q_int // 4)::VARCHAR || 'Q' || (q_int % 4 + 1)::VARCHAR AS quarter FROM calls JOIN nation ON n_nationkey = company"),
     "member_links": (member_links, f"WITH {_MEMBERS} SELECT gvkey, permno FROM p"),
     "top_members": (top_members, f"""WITH {X.MONTHS}, {_MEMBERS.replace('m AS', 'mb AS').replace('FROM m JOIN', 'FROM mb JOIN')},
