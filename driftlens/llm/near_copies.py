@@ -17,9 +17,9 @@ what follows sketches (the parities of shingles in 256 classes by hash, which
 differ in no more places than the sets) tell how much is: both bound their
 overlap from above. A shingle goes with
 minima over those before it: two sets with a minimum in common share an earlier
-one, where they are listed. Where the bounds still reach 0.8 their prefixes are
-held against each other, which bounds the overlap further, and only what is left
-is verified. A link within a component could not change the components.
+one, where they are listed. Where the bounds still reach 0.8 wide sketches, with
+two classes for each shingle, and then their prefixes are held against each
+other, which bounds the overlap further, and only what is left is verified. A link within a component could not change the components.
 
 Words are those of the fingerprints of ``simhash``. Edge cases: null and empty
 texts have no words and are copies of each other only; a text of one to four
@@ -60,7 +60,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 #: Classes of a sketch: eight bits of a shingle's hash.
 SKETCH_BITS = 256
 #: Odd factors, each of which orders shingles in another way.
-FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -68,6 +68,23 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount(h >> np.uint64(56), minlength=SKETCH_BITS).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """As :func:`sketch`, with two classes or more for each shingle, by the first bits of its hash: a power of two, eight at least."""
+    bits = max(3, int(2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1).tobytes()
+
+
+def places_apart(x: bytes, y: bytes) -> int:
+    """In how many places two wide sketches differ, the larger one with neighbouring classes joined until both have as many."""
+    a, b = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (x, y))
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[0::2] ^ a[1::2]
+        else:
+            b = b[0::2] ^ b[1::2]
+    return int(np.count_nonzero(a != b))
+
+
 def need(n):
     """The least overlap of a set of n with any set that is similar to it."""
     return (NUM * n + DEN - 1) // DEN
@@ -117,11 +134,12 @@ def _prefixes(last: np.ndarray):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 ids, texts = b.column(0)[at : at + 500], b.column(1)[at : at + 500].to_pylist()
-                keys, sizes, marks = [], [], []
+                keys, sizes, marks, wide = [], [], [], []
                 for t in texts:
                     h = shingle_set(t)
                     n = len(h)
                     marks.append(sketch(h))
+                    wide.append(wide_sketch(h))
                     if len(known):
                         place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         rank = np.where(known[place] == h, order[place], -1)
@@ -130,7 +148,7 @@ def _prefixes(last: np.ndarray):
                     sizes.append(n)
                 ends = np.cumsum([0, *map(len, keys)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary())], ["doc_id", "n", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), lists, pa.array(marks, pa.binary()), pa.array(wide, pa.binary())], ["doc_id", "n", "keys", "sketch", "wide"])
 
     return run
 
@@ -262,6 +280,16 @@ def _crossed(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         busy = busy[take:]
 
 
+@returned
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose wide sketches differ in no more places than two similar sets of their sizes do."""
+    for batch in batches:
+        n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        most = n - 2 * -(-NUM * n // (NUM + DEN))
+        ok = [places_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(4), batch.column(5), most.tolist())]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 @returned
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -274,8 +302,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, keys, sketch): the number of a document's shingles, those in its prefix, and the sketch of all; written."""
-    return written(docs.mapInArrow(_prefixes(frequent(docs)), "doc_id long, n int, keys array<long>, sketch binary"))
+    """(doc_id, n, keys, sketch, wide): the number of a document's shingles, those in its prefix, and the sketches of all; written."""
+    return written(docs.mapInArrow(_prefixes(frequent(docs)), "doc_id long, n int, keys array<long>, sketch binary, wide binary"))
 
 
 def met(rows: DataFrame, total: int, width: int = 32) -> DataFrame:
@@ -303,6 +331,11 @@ def cross_pairs(keys: DataFrame, total: int, components_: DataFrame) -> DataFram
     named = components_.select(F.col("node").alias("doc_id"), "component")
     of = keys.join(named, "doc_id", "left").select("doc_id", "n", "keys", "sketch", F.coalesce("component", "doc_id").alias("comp"))
     pairs = written(met(of.mapInArrow(_placed, _PLACED), total, 64).mapInArrow(_cross, "a long, b long").distinct())
+    # first by sketches, which are a thirtieth of the sets, then by prefixes, which are a fifth
+    x, y = (keys.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    told = written(salted(pairs, x, ["a"]).join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_close, "a long, b long"))
+    dropped(pairs)
+    pairs = told
     # beyond the prefix that ends first, at most the rest of its own set is shared; prefixes are a fifth of the sets
     one, two = (keys.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}")) for c in "ab")
     both = salted(pairs, one, ["a"]).join(two, "b")

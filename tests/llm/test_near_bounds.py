@@ -31,10 +31,14 @@ def test_bounds_keep_every_similar_pair():
     for last in (np.empty(0, np.uint64), near_copies.shingle_set(" ".join(passage))):
         got = set()
         keys = list(near_copies._prefixes(last)(iter([docs])))
-        rows = [pa.RecordBatch.from_arrays([*b.columns, b.column(0)], ["doc_id", "n", "keys", "sketch", "comp"]) for b in keys]
+        rows = [pa.RecordBatch.from_arrays([*b.columns[:4], b.column(0)], ["doc_id", "n", "keys", "sketch", "comp"]) for b in keys]
         placed = list(near_copies._placed(iter([rows[0].slice(0, 0), rows[0].slice(0, 40), rows[0].slice(40)] + rows[1:])))
         for b in near_copies._cross(iter(placed)):
             got |= set(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         assert len(want) > 100 and want <= got
+        wide = [w for b in keys for w in b.column("wide").to_pylist()]
+        told = pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*[(i, j, len(sets[i]), len(sets[j]), wide[i], wide[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))]))], list("abcdef"))
+        close = set(zip(*(c.to_pylist() for c in next(near_copies._close(iter([told]))).columns)))
+        assert want <= close and len(close) < 2 * len(want) + 200
         assert len(got) < len(texts) ** 2 // 4
     assert list(near_copies._cross(iter([]))) == []
