@@ -61,14 +61,14 @@ PERCENT = r"[0-9]+(?:[.,][0-9]+)* ?(?:%|percent\b|bps\b|basis points\b)"
 TOKEN = rf"{MONEY}|{PERCENT}|[0-9]+(?:[.,][0-9]+)*|[\p{{L}}][\p{{L}}0-9]*(?:[&'’-][\p{{L}}0-9]+)*|[^\s\p{{L}}0-9]"
 
 #: A noun chunk; a determiner opens one, so that it is never within.
-CHUNK = "D?[JGnAMQ]*[NR]+(?:G?[NR]+)*"
-_BARE = "D?[JGn]*[NR]+(?:G?[NR]+)*"
+CHUNK = "D?[JGnAMQ]*[NR]+(?:G[NR]+)*"
+_BARE = "D?[JGn]*[NR]+(?:G[NR]+)*"
 #: The subject of the linking verb that stands at the end of what is before an amount, with what its prepositions add.
 SUBJECT = rf"^(.*?)({_BARE}|O)(?:P(?:{CHUNK}|[MQn]))*[AV]*C[AP]*$"
 #: The chunk whose preposition an entity follows; the beginning of a chunk that an entity is in.
 OWNER, OPEN = rf"^(.*?)({_BARE})PA*$", "^(.*?)(D?[JGnA]*)$"
 #: After an entity: the noun that it stands before, and the object of that noun's preposition.
-HEAD, OBJECT = "^([JGnA]*[NR]+(?:G?[NR]+)*)", rf"^([JGnA]*[NR]+(?:G?[NR]+)*P)({_BARE}|O)"
+HEAD, OBJECT = "^([JGnA]*[NR]+(?:G[NR]+)*)", rf"^([JGnA]*[NR]+(?:G[NR]+)*P)({_BARE}|O)"
 
 
 def forms(lemma: str) -> list[str]:
@@ -109,7 +109,7 @@ def _letter(products: list[str]):
 #: Words that are verbs or nouns are nouns after what opens a chunk, and after a noun where a preposition follows, else verbs; a number after a product is its own.
 SETTLED = [("([QDJGMnP])X", "$1N"), ("NX(P)", "NN$1"), ("X", "V"), ("Rn", "RR")]
 #: The chunk that an entity is in, up to the entity; what follows of it.
-LEFT, RIGHT = "^(.*?)(D?[JGnAMQN]*)$", "^([JGnA]*[NR]+(?:G?[NR]+)*)"
+LEFT, RIGHT = "^(.*?)(D?[JGnAMQN]*)$", "^([JGnA]*[NR]+(?:G[NR]+)*)"
 _LABEL = {"M": "MONEY", "Q": "PERCENT", "R": "PRODUCT"}
 
 
@@ -159,7 +159,7 @@ def _paper(e: Column) -> Column:
     owner = _words(_len(before, OWNER), _len(before, OWNER, 2))
     around = F.when(_len(after, HEAD) > 0, _words(_len(before, OPEN), behind + _len(after, HEAD) - _len(before, OPEN)))
     of_noun = _words(behind + _len(after, OBJECT), _len(after, OBJECT, 2))
-    product = _words(_len(before, LEFT), behind - _len(before, LEFT) + _len(after, "^((?:G?[NR]+)*)"))
+    product = _words(_len(before, LEFT), behind - _len(before, LEFT) + _len(after, "^([NR]*(?:G[NR]+)*)"))
     link = F.lower(F.get("tokens", _len(before, "^(.*C)[AP]*$") - 1))
     verb = F.when((e["kind"] == "M") & subject.isNotNull(), F.coalesce(F.element_at(_map({f: v for v in LINKING for f in forms(v)}), link), F.lit(""))).otherwise("")
     target = F.when(e["kind"] == "M", F.coalesce(subject, owner, around)).when(e["kind"] == "Q", F.coalesce(of_noun, around, owner)).otherwise(product)

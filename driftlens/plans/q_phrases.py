@@ -87,7 +87,7 @@ QUERIES = {
 g AS (SELECT *, {_words(_len("bef", P.SUBJECT), _len("bef", P.SUBJECT, 2))} AS subject, {_words(_len("bef", P.OWNER), _len("bef", P.OWNER, 2))} AS owner,
   CASE WHEN {_len("aft", P.HEAD)} > 0 THEN {_words(_len("bef", P.OPEN), f"(k + width + {_len('aft', P.HEAD)} - {_len('bef', P.OPEN)})")} END AS around,
   {_words(f"(k + width + {_len('aft', P.OBJECT)})", _len("aft", P.OBJECT, 2))} AS of_noun,
-  {_words(_len("bef", P.LEFT), f"(k + width - {_len('bef', P.LEFT)} + {_len('aft', '^((?:G?[NR]+)*)')})")} AS product,
+  {_words(_len("bef", P.LEFT), f"(k + width - {_len('bef', P.LEFT)} + {_len('aft', '^([NR]*(?:G[NR]+)*)')})")} AS product,
   {_map_of(_LINK, f"lower(tokens[{_len('bef', '^(.*C)[AP]*$')}])")} AS link FROM e),
 f AS (SELECT *, CASE kind WHEN 'M' THEN coalesce(subject, owner, around) WHEN 'Q' THEN coalesce(of_noun, around, owner) ELSE product END AS target_text,
   CASE WHEN kind = 'M' AND subject IS NOT NULL THEN coalesce(link, '') ELSE '' END AS governing_verb FROM g) {_LAST}"""),
