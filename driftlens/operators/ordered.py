@@ -61,7 +61,9 @@ def exact_quantiles(df: DataFrame, x: Column, probs: list[float], name: str = "q
     place = lambda p: F.lit(float(p)) * (F.col("__n") - 1)
     value = lambda k: F.min(F.when(F.col("n_upto") > k, F.col("x")))
     found = n.crossJoin(F.broadcast(total)).groupBy("__n").agg(*[value(f(place(p))).alias(f"{e}{i}") for i, p in enumerate(probs) for e, f in (("l", F.floor), ("h", F.ceil))])
-    between = lambda p, i: F.when(F.ceil(place(p)) == F.floor(place(p)), F.col(f"l{i}")).otherwise((F.ceil(place(p)) - place(p)) * F.col(f"l{i}") + (place(p) - F.floor(place(p))) * F.col(f"h{i}"))
+    # between equal values the quantile is that value to the last bit, and never below the lower one: what is cut at it would lose its ties
+    low, high, mixed = lambda i: F.col(f"l{i}"), lambda i: F.col(f"h{i}"), lambda p, i: (F.ceil(place(p)) - place(p)) * F.col(f"l{i}") + (place(p) - F.floor(place(p))) * F.col(f"h{i}")
+    between = lambda p, i: F.when(low(i) == high(i), low(i)).otherwise(F.greatest(low(i), mixed(p, i)))
     row = found.select(F.array(*[between(p, i) for i, p in enumerate(probs)]).alias(name))
     # a table without values still gives its one row
     return row.agg(F.max(name).alias(name))

@@ -303,6 +303,18 @@ def test_ordered(spark, xs):
     assert all(ranks[x] == r for x, r in zip(s, s.rank()))
 
 
+def test_quantiles_of_ties(spark):
+    """A quantile between equal values is that value to the last bit, so rows tied at an edge stay in the group up to it."""
+    for x in (0.03977284, 0.04027616, 0.1):
+        for n in (4, 7, 33):
+            df = spark.createDataFrame([(x,)] * n, "x double").repartition(2)
+            assert ordered.exact_quantiles(df, F.col("x"), [0.2, 0.4, 0.6, 0.8]).first().q == [x] * 4
+    scores = spark.createDataFrame([(i, (0.03977284, 0.04027616, 0.1)[i // 8]) for i in range(24)], "company int, mt double")
+    cars = spark.createDataFrame([(i, 0.01 * i) for i in range(24)], "company int, car double")
+    assert {r.mt_group: r.n for r in stats.return_groups(cars, scores).collect()} == {1: 16, 2: 8}
+    assert stats.welch_high_low(cars.join(scores, "company"), "car", "mt").first()["n_low"] == 8
+
+
 def test_limited_client():
     now, slept, calls = [0.0], [], []
 
