@@ -242,7 +242,9 @@ def long_event_cars(s, d):
 
 
 def _scores(s, d):
-    return X.firm_months(s, d).groupBy("company").agg(F.round(F.avg("mt_lenient"), 8).alias("mt"))
+    # added as decimals: in an average that ends in a 5 at the ninth place, the order of adding doubles would tell the eighth
+    mean = F.sum(F.col("mt_lenient").cast("decimal(18,8)")).cast("double") / F.count("mt_lenient")
+    return X.firm_months(s, d).groupBy("company").agg((F.round(mean * 1e8) / 1e8).alias("mt"))
 
 
 def announcement_effect(s, d):

@@ -315,6 +315,20 @@ def test_quantiles_of_ties(spark):
     assert stats.welch_high_low(cars.join(scores, "company"), "car", "mt").first()["n_low"] == 8
 
 
+def test_scores_do_not_depend_on_the_order_of_months(spark, monkeypatch):
+    """An average that ends in a 5 at the ninth place is rounded alike however its months lie."""
+    from driftlens.plans import q_universe
+
+    rng = np.random.default_rng(3)
+    months = [0.03 + round(float(x), 8) for x in rng.integers(0, 2_000_000, 82) / 1e8]
+    months[0] = round(months[0] + (41 - sum(round(x * 1e8) for x in months) % 82) / 1e8, 8)
+    rows = [(i, float(x)) for i in range(40) for x in rng.permutation(months)]
+    df = spark.createDataFrame(rows, "company int, mt_lenient double").coalesce(1)
+    monkeypatch.setattr(q_universe.X, "firm_months", lambda s, d: df)
+    got = {r.mt for r in q_universe._scores(spark, "").collect()}
+    assert len(got) == 1 and abs(got.pop() - sum(months) / 82) < 1e-8
+
+
 def test_limited_client():
     now, slept, calls = [0.0], [], []
 
