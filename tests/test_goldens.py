@@ -329,6 +329,19 @@ def test_scores_do_not_depend_on_the_order_of_months(spark, monkeypatch):
     assert len(got) == 1 and abs(got.pop() - sum(months) / 82) < 1e-8
 
 
+def test_events_move_days_once(spark):
+    """The days of a company go out to it once, not to each date that they could serve or place that is looked up."""
+    from driftlens.operators.events import abnormal_returns
+
+    days = spark.sql("select c as company, date_add(date '2020-01-01', cast(i * 2 as int)) as date, (i * 7 + c) % 11 / 100D as ret, i % 5 / 100D as mkt_ret from (select explode(sequence(0, 2)) as c), (select explode(sequence(0, 99)) as i)").localCheckpoint()
+    events = spark.createDataFrame([(0, 60, "a"), (0, 60, "b"), (1, 61, "a"), (2, 199, "a"), (2, 202, "a")], "company int, d int, more string").selectExpr("company", "date_add(date '2020-01-01', d) as event_date", "more")
+    out = abnormal_returns(days, events, est=(-20, -3), window=(-1, 1), min_est=10)
+    rows = sorted((r.company, r.event_pos, r.n_est_obs, r.n_event_days) for r in out.collect())
+    assert rows == [(0, 31, 18, 3), (1, 31, 18, 3), (2, 100, 18, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("ExistingRDD") <= 2
+
+
 def test_limited_client():
     now, slept, calls = [0.0], [], []
 
