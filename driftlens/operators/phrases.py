@@ -116,9 +116,14 @@ _LABEL = {"M": "MONEY", "Q": "PERCENT", "R": "PRODUCT"}
 def tagged(components: DataFrame, products: list[str] = (), text: str = "text") -> DataFrame:
     """A row for each sentence with an amount, a percentage or a product: ``sentence_no``, ``sentence``, ``tokens``, ``tags``."""
     s = components.select("*", F.posexplode(T.sentences(F.coalesce(text, F.lit("")))).alias("sentence_no", "sentence"))
-    s = s.withColumn("tokens", F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)))
+    s = _once(s, "tokens", F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)))
     letters = F.array_join(F.transform("tokens", _letter(list(products))), "")
-    return s.withColumn("tags", reduce(lambda c, r: F.regexp_replace(c, *r), SETTLED, letters)).where(F.col("tags").rlike("[MQR]"))
+    return _once(s, "tags", reduce(lambda c, r: F.regexp_replace(c, *r), SETTLED, letters)).where(F.col("tags").rlike("[MQR]"))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once for a row: conditions on what is made of it are not pushed below an explode, where each mention would be worked out anew."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -178,8 +183,8 @@ def _strict(e: Column) -> Column:
 def _targets(components: DataFrame, walk, products: list[str], text: str) -> DataFrame:
     some = F.filter(F.transform(_entities(), walk), lambda t: t["target_text"].isNotNull())
     low = lambda a: F.transform(a, lambda t: F.lower(t["target_text"]))
-    s = tagged(components, list(products), text).withColumn("found", some)
-    s = s.withColumn("found", F.filter("found", lambda t, i: F.array_position(low(F.col("found")), F.lower(t["target_text"])) == i + 1))
+    s = _once(_once(tagged(components, list(products), text), "all_found", some), "low", low(F.col("all_found")))
+    s = _once(s, "found", F.filter("all_found", lambda t, i: F.array_position("low", F.lower(t["target_text"])) == i + 1))
     out = s.select(*components.columns, "sentence_no", "sentence", F.inline("found"))
     return out.withColumn("normalized_text", T.lemmatised_target(F.col("target_text")))
 

@@ -62,6 +62,14 @@ def test_repeated_components_and_plan(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_tokens_are_cut_once(spark):
+    """Sentences are cut into tokens in one place of the plan: conditions on what is found do not cut them again."""
+    df = spark.createDataFrame([(1, CASES[0][0])], "id int, text string")
+    for find in (P.phrase_targets, P.strict_targets):
+        plan = find(df).drop("normalized_text")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and "LocalRelation" not in plan
+
+
 LEMMAS = {
     "companies": "company", "margins": "margin", "boxes": "box", "losses": "loss", "loss": "loss", "status": "status", "basis": "basis", "sales": "sales", "grew": "grow", "was": "be", "growing": "grow", "Running": "run",
     "planned": "plan", "increasing": "increase", "driving": "drive", "improved": "improve", "expanding": "expand", "generating": "generate", "applied": "apply", "selling": "sell", "charged": "charge", "reduced": "reduce",
