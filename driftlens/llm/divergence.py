@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, kept_columns, table, written
 
-#: What is not a term: ASCII but for its letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms: ASCII but for its letters. A split leaves an empty string before the first and after the last term.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a language that must hold a term; ranks of terms that are listed.
 LEAST_DOCS, TOP_TERMS = 10, 10
@@ -40,10 +40,10 @@ def ascii_lower(text: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows that hold the term; counted before the exchange."""
-    found = docs.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("all"))
+    found = docs.select("lang", "source", F.split(ascii_lower(F.col("text")), BETWEEN).alias("all"))
     # a text's terms go out twice: all of them, and each once
     both = found.select("lang", "source", F.explode(F.array(F.struct(F.col("all").alias("terms"), F.lit(1).alias("n"), F.lit(0).alias("docs")), F.struct(F.array_distinct("all").alias("terms"), F.lit(0).alias("n"), F.lit(1).alias("docs")))).alias("x"))
-    each = both.select("lang", "source", F.explode("x.terms").alias("term"), F.col("x.n").alias("n"), F.col("x.docs").alias("docs"))
+    each = both.select("lang", "source", F.explode("x.terms").alias("term"), F.col("x.n").alias("n"), F.col("x.docs").alias("docs")).where("term <> ''")
     return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

@@ -308,3 +308,17 @@ def test_tags_take_linear_time():
         began = time.time()
         html_extract.parse("<body>" + part * (200_000 // len(part)))
         assert time.time() - began < 10, part
+
+
+def test_terms_between_separators(spark):
+    """Texts that begin, end or consist of what lies between terms count as a scan for terms counts them; each text is scanned by a split, not match by match."""
+    import re
+    from collections import Counter
+
+    from driftlens.llm import divergence
+
+    texts = ["", " ", "..a", "a..", "-B b-", "\x00x\x7fÉé Z", "a1b2", "\n\t", "ab ab  AB"]
+    out = divergence.term_counts(spark.createDataFrame([(t, "l", "s") for t in texts], "text string, lang string, source string"))
+    found = [[re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", x)] for x in texts]
+    assert {r.term: r.n for r in out.collect()} == Counter(t for f in found for t in f) and {r.term: r.docs for r in out.collect()} == Counter(t for f in found for t in set(f))
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
